@@ -227,8 +227,7 @@ def merge_lines_header(spark, sf_dir):
     AS row_no, o_orderkey || ',' || o_orderpriority AS line FROM orders"""
 )
 def merge_ordered_lines(spark, sf_dir):
-    merged = merge_ordered(spark, _orders_by_status(spark, sf_dir))
-    return merged.rows.select(F.col("_row_no").alias("row_no"), F.col("value").alias("line"))
+    return merge_ordered(spark, _orders_by_status(spark, sf_dir)).withColumnRenamed("value", "line")
 
 
 @_query(

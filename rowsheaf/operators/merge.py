@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowsheaf.plans.files import comparable_uri, hadoop_path, list_inputs
-from rowsheaf.plans.numbering import Numbered, number_lines
+from rowsheaf.plans.numbering import CHUNK, CHUNK_BASE, ROW, with_row_numbers
 from rowsheaf.sinks.csv import write_csv
 from rowsheaf.sources.encoding import SPARK_CHARSETS, encoding_profile, group_by_encoding, scan_encoded
 from rowsheaf.sources.inventory import file_inventory
-from rowsheaf.sources.lines import header_line, scan_lines
+from rowsheaf.sources.lines import file_key, first_data_line, header_line, order_lines, scan_lines, with_chunk_numbers
 from rowsheaf.sources.tables import header_names, scan_csv, text_schema
 
 HEADERS = ("each", "first", "none")
@@ -62,20 +62,21 @@ def merge_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return scan_lines(spark, paths).where(~F.col("is_header"))
 
 
-def merge_ordered(spark: SparkSession, paths: list[str]) -> Numbered:
-    """:func:`merge_lines` with the global row number: list order, then file order."""
-    return number_lines(scan_lines(spark, paths), measured=False)
+def merge_ordered(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``row_no, value``: the data lines with their global number, list order, then file order."""
+    rows = with_row_numbers(order_lines(spark, paths, measured=False))
+    return rows.select(F.col(ROW).alias("row_no"), "value")
 
 
 def merge_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``file_idx, folder, name, rows, bytes`` per input file, header line not counted."""
-    per_file = scan_lines(spark, paths).groupBy("file_idx").agg(
-        F.count_if(~F.col("is_header")).alias("rows"),
-        F.coalesce(F.sum(F.when(~F.col("is_header"), F.col("n_bytes"))), F.lit(0)).alias("bytes"),
+    listed = list_inputs(spark, paths)
+    per_file = merge_lines(spark, listed).groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value") + 1).alias("bytes")
     )
-    files = spark.createDataFrame(list(enumerate(list_inputs(spark, paths))), "file_idx long, path string")
-    parts = F.split("path", "/")
-    return files.join(per_file, "file_idx", "left").select(
+    files = spark.createDataFrame(list(enumerate(listed)), "file_idx long, file string")
+    parts = F.split(F.url_decode("file"), "/")
+    return files.join(per_file, "file", "left").select(
         "file_idx",
         F.element_at(parts, -2).alias("folder"),
         F.element_at(parts, -1).alias("name"),
@@ -91,33 +92,43 @@ def _refuse_own_input(spark: SparkSession, files: list[str], out: str) -> None:
         raise ValueError(f"output {out} holds input files")
 
 
-def write_merged_lines(spark: SparkSession, paths: list[str], out: str, header: str = "each") -> MergeResult:
+def write_merged_lines(
+    spark: SparkSession, paths: list[str], out: str, header: str = "each", ordered: bool = True
+) -> MergeResult:
     """Merge line by line into a folder whose files, taken by path, are in input order.
 
     Map-only: each file split is written by the task that reads it, under a ``chunk=`` folder named
-    by file and split, so order costs a local sort and no shuffle. ``header="each"`` starts every
-    file with the first input's header, so that the folder reads as CSV; ``"first"`` has it once, so
-    that the concatenated files are the merged file; ``"none"`` drops it.
+    by file and split, so order costs a local sort and no shuffle. Without ``ordered`` there is not even
+    that, and no order. ``header="each"`` starts every file with the first input's header, so that the
+    folder reads as CSV; ``"first"`` has it once, so that the concatenated files are the merged file;
+    ``"none"`` drops it.
     """
     if header not in HEADERS:
         raise ValueError(f"unknown header mode: {header}")
     started = time.monotonic()
     files = list_inputs(spark, paths)
     _refuse_own_input(spark, files, out)
-    lines = merge_lines(spark, files)
-    chunk = F.format_string("%06d_%015d", "file_idx", "block_start")
     head = header_line(spark, files[0]) if header != "none" else None
     value = F.col("value")
     if head is not None and header == "each":
         # The first data line of a split; one split is one output file.
-        first = F.col("line_no") == F.col("header_lines")
+        first = F.col("line_no") == first_data_line()
         value = F.when(first, F.concat(F.lit(head + "\n"), value)).otherwise(value)
-    rows = lines.select(chunk.alias("chunk"), "line_no", value.alias("value"))
+    rows = merge_lines(spark, files)
+    if ordered:
+        rows = with_chunk_numbers(rows.withColumn("file_key", file_key()), files)
+    else:
+        rows = rows.withColumn(CHUNK, F.lit(CHUNK_BASE))
+    rows = rows.select(CHUNK, "line_no", value.alias("value"))
     if head is not None:
-        # A file of its own, named before every split, so that a merge without rows still has its header.
-        rows = spark.createDataFrame([("000000_", 0, head)], "chunk string, line_no long, value string").unionByName(rows)
-    ordered = rows.sortWithinPartitions("chunk", "line_no").select("chunk", "value")
-    ordered.write.partitionBy("chunk").option("lineSep", "\n").text(out)
+        # A file of its own, before every split, so that a merge without rows still has its header.
+        top = spark.createDataFrame([(CHUNK_BASE - 1, 0, head)], f"{CHUNK} long, line_no long, value string")
+        rows = top.coalesce(1).unionByName(rows)
+    if ordered:
+        rows = rows.sortWithinPartitions(CHUNK, "line_no").select(F.col(CHUNK).alias("chunk"), "value")
+        rows.write.partitionBy("chunk").option("lineSep", "\n").text(out)
+    else:
+        rows.select("value").write.option("lineSep", "\n").text(out)
     return _merge_result(spark, files, out, started)
 
 

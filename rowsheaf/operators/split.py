@@ -9,19 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowsheaf.functions.scalars import clean_filename
-from rowsheaf.plans.files import hadoop_path, materialise
+from rowsheaf.plans.files import LAYOUTS, NAMED_FILES, materialise, move_files
 from rowsheaf.plans.numbering import (
-    BROADCAST_CHUNKS,
     CHUNK,
-    OFFSET,
+    CHUNK_BASE,
+    PLACE,
     ROW,
     SIZE,
-    Numbered,
-    number_lines,
-    number_rows,
+    Ordered,
+    broadcast_if,
+    order_rows,
+    whole,
+    with_grid_parts,
+    with_row_numbers,
 )
 from rowsheaf.sinks.csv import csv_line, header_text
-from rowsheaf.sources.lines import header_line, scan_lines
+from rowsheaf.sources.inventory import file_inventory
+from rowsheaf.sources.lines import header_line, order_lines
 
 # Fixed values
 PART_NAME = "%s_%04d.csv"
@@ -32,31 +36,36 @@ BYTES_PER_PART = 100 * 1024 * 1024
 
 METHODS = ("rows", "count", "bytes")
 
-# One file per part is written by one task, so parts above this are written as folders of files.
+# One file per part is written by one task, so larger parts are written as folders of files.
+ONE_FILE_ROWS = 10_000_000
 ONE_FILE_BYTES = 2 << 30
-# Named files are put in place one by one; above this many parts the folders stay as they are.
-ONE_FILE_PARTS = 10_000
 MAX_WRITE_PARTITIONS = 8192
 
 
 @dataclass(frozen=True)
 class Split:
-    """Rows with their 1-based ``part``, and how many parts there are (empty ones included)."""
+    """Rows with their 1-based ``part``.
+
+    ``sizes`` has ``part, rows`` of every part, empty ones included, where they follow from the totals;
+    by bytes they have to be counted.
+    """
 
     rows: DataFrame
-    n_parts: int | None  # None by bytes: known from the manifest only
+    n_parts: int
     total_rows: int
+    total_bytes: int | None
+    sizes: DataFrame | None
 
 
 @dataclass(frozen=True)
 class SplitResult:
     seconds: float
-    manifest: DataFrame  # part, file, rows, bytes
+    manifest: DataFrame  # part, file, rows, bytes (as written, header included)
     path: str
     layout: str  # "files" or "folders"
 
 
-def assign_parts(numbered: Numbered, by: str, n: int) -> Split:
+def assign_parts(ordered: Ordered, by: str, n: int) -> Split:
     """Give every row its part. ``n`` is rows per part, number of parts, or bytes per part.
 
     By bytes the cuts lie on a fixed grid: a row belongs to the part its first byte falls in, so a
@@ -66,22 +75,26 @@ def assign_parts(numbered: Numbered, by: str, n: int) -> Split:
         raise ValueError(f"unknown split method: {by}")
     if n < 1:
         raise ValueError("a split needs a positive number")
+    total = ordered.total_rows
     if by == "bytes":
-        if numbered.total_bytes is None:
-            raise ValueError("rows were numbered without their bytes")
-        part = F.floor(F.col(OFFSET) / F.lit(n)) + 1
-        parts = None
-    else:
-        per_part = n if by == "rows" else max(-(-numbered.total_rows // n), 1)
-        part = F.floor((F.col(ROW) - 1) / F.lit(per_part)) + 1
-        parts = n if by == "count" else max(-(-numbered.total_rows // n), 1)
-    return Split(numbered.rows.withColumn("part", part.cast("int")), parts, numbered.total_rows)
+        if not ordered.measured:
+            raise ValueError("rows were ordered without their bytes")
+        rows = with_grid_parts(ordered, n).withColumn("part", F.col("part").cast("int"))
+        return Split(rows, max(-(-ordered.total_bytes // n), 1), total, ordered.total_bytes, None)
+    per_part = n if by == "rows" else max(-(-total // n), 1)
+    n_parts = n if by == "count" else max(-(-total // n), 1)
+    part = (whole(F.col(ROW) - 1, per_part) + 1).cast("int")
+    left = F.lit(total) - (F.col("part") - 1).cast("long") * F.lit(per_part)
+    sizes = ordered.rows.sparkSession.range(1, n_parts + 1).select(F.col("id").cast("int").alias("part"))
+    sizes = sizes.withColumn("rows", F.greatest(F.least(left, F.lit(per_part)), F.lit(0)).cast("long"))
+    rows = with_row_numbers(ordered).withColumn("part", part).drop(ROW)
+    return Split(rows, n_parts, total, ordered.total_bytes, sizes)
 
 
 def split_lines(spark: SparkSession, path: str | list[str], by: str, n: int) -> Split:
     """Split the physical lines of a CSV file; quoted line ends are not recognised."""
     paths = [path] if isinstance(path, str) else path
-    return assign_parts(number_lines(scan_lines(spark, paths)), by, n)
+    return assign_parts(order_lines(spark, paths, measured=by == "bytes"), by, n)
 
 
 def split_table(
@@ -89,11 +102,10 @@ def split_table(
 ) -> Split:
     """Split the rows of ``df`` in the order of ``order_by``; records stay whole.
 
-    ``line`` is the text bytes are measured on; by bytes it defaults to the row's CSV text.
+    By bytes, ``line`` is the text they are measured on; it defaults to the row's CSV text.
     """
-    if line is None and by == "bytes":
-        line = csv_line(df)
-    return assign_parts(number_rows(df, order_by, line, unique), by, n)
+    measure = (csv_line(df) if line is None else line) if by == "bytes" else None
+    return assign_parts(order_rows(df, order_by, measure, unique), by, n)
 
 
 def part_file(prefix: str, part: Column) -> Column:
@@ -101,9 +113,9 @@ def part_file(prefix: str, part: Column) -> Column:
 
 
 def manifest(split: Split, prefix: str = PREFIX, **extra: Column) -> DataFrame:
-    """``part, file, rows`` (and ``bytes`` if measured) per part; ``extra`` aggregates are added.
+    """``part, file, rows`` per part (and ``bytes`` if measured), counted from the rows.
 
-    Parts that got no row are listed with zero rows when their number is known.
+    ``extra`` aggregates are added. Parts that got no row are listed where their number is set.
     """
     aggregates = [F.count(F.lit(1)).alias("rows")]
     zero = {"rows": 0}
@@ -111,10 +123,8 @@ def manifest(split: Split, prefix: str = PREFIX, **extra: Column) -> DataFrame:
         aggregates.append(F.sum(SIZE).alias("bytes"))
         zero["bytes"] = 0
     per_part = split.rows.groupBy("part").agg(*aggregates, *[c.alias(k) for k, c in extra.items()])
-    if split.n_parts is not None:
-        spark = split.rows.sparkSession
-        every = spark.range(1, split.n_parts + 1).select(F.col("id").cast("int").alias("part"))
-        per_part = every.join(per_part, "part", "left").na.fill(zero)
+    if split.sizes is not None:
+        per_part = split.sizes.select("part").join(per_part, "part", "left").na.fill(zero)
     named = per_part.withColumn("file", part_file(prefix, F.col("part")))
     return named.select("part", "file", *[c for c in per_part.columns if c != "part"])
 
@@ -147,67 +157,58 @@ def write_parts(
 
     ``layout="files"`` puts one file per part at ``out/prefix_0001.csv``: one shuffle by part, the
     parts spread evenly over the tasks. ``"folders"`` writes without a shuffle, each task its own
-    stretch of rows, to ``out/file=prefix_0001.csv/chunk=.../``; the files of a folder, taken by path,
-    are the part. ``"auto"`` takes files while each part fits a task and there are not too many.
+    stretch of rows, to ``out/part=1/chunk=.../``; the files of a part's folder, taken by path, are the part. ``"auto"`` takes files while a part fits a task and there are not too many.
     """
-    if layout not in ("auto", "files", "folders"):
+    if layout not in LAYOUTS:
         raise ValueError(f"unknown layout: {layout}")
     started = time.monotonic()
     spark = split.rows.sparkSession
-    per_part = materialise(manifest(split, prefix), "manifest")
-    facts = per_part.agg(
-        F.count("*").alias("n"), F.max("part").alias("last"), F.max("bytes").alias("bytes")
-    ).first()
-    rows = split.rows.select("part", ROW, CHUNK, F.col(value).alias("value"))
-    if split.n_parts is None and facts["last"] not in (None, facts["n"]):
-        # A row longer than the target leaves parts of the grid empty: close the gaps.
-        dense = materialise(_dense(per_part), "dense")
-        rows = rows.join(F.broadcast(dense) if facts["n"] <= BROADCAST_CHUNKS else dense, "part")
-        rows = rows.withColumn("part", F.col("new_part")).drop("new_part")
-        per_part = per_part.join(dense, "part").withColumn("part", F.col("new_part")).drop("new_part")
-        per_part = per_part.withColumn("file", part_file(prefix, F.col("part")))
-    fits = facts["n"] <= ONE_FILE_PARTS and (facts["bytes"] or 0) <= ONE_FILE_BYTES
+    fits = (
+        split.n_parts <= NAMED_FILES
+        and split.total_rows <= ONE_FILE_ROWS * split.n_parts
+        and (split.total_bytes or 0) <= ONE_FILE_BYTES * split.n_parts
+    )
     if layout == "files" and not fits:
         raise ValueError("parts are too large or too many for one file each; use folders")
     layout = ("files" if fits else "folders") if layout == "auto" else layout
 
+    rows, sizes = split.rows.select("part", CHUNK, PLACE, F.col(value).alias("value")), split.sizes
+    if sizes is None:
+        sizes = materialise(split.rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "parts")
+        n_rows, last = sizes.agg(F.count("*"), F.max("part")).first()
+        if last is not None and last != n_rows:
+            # A row longer than the target leaves parts of the grid empty: close the gaps.
+            dense = materialise(_dense(sizes), "dense")
+            rows, sizes = (
+                df.join(broadcast_if(dense, n_rows), "part").withColumn("part", F.col("new_part")).drop("new_part")
+                for df in (rows, sizes)
+            )
     if header is not None:
-        heads = per_part.select(
-            "part", F.lit(0).cast("long").alias(ROW), F.lit("").alias(CHUNK), F.lit(header).alias("value")
-        )
-        rows = rows.unionByName(heads.withColumn(CHUNK, F.lit("0")))
-    named = rows.withColumn("file", part_file(prefix, F.col("part")))
+        # Before every chunk, so on top of its part.
+        top = [F.lit(CHUNK_BASE - 1).alias(CHUNK), F.lit(0).cast("long").alias(PLACE), F.lit(header).alias("value")]
+        rows = rows.unionByName(sizes.select("part", *top))
     if layout == "files":
-        n = max(facts["n"], 1)
-        tasks = min(n, MAX_WRITE_PARTITIONS)
-        task = F.floor((F.col("part") - 1) * F.lit(tasks) / F.lit(n)).cast("int")
-        placed = named.repartitionById(tasks, task).sortWithinPartitions("file", ROW)
+        tasks = min(split.n_parts, MAX_WRITE_PARTITIONS)
+        task = whole((F.col("part") - 1).cast("long") * F.lit(tasks), split.n_parts).cast("int")
+        placed = rows.repartitionById(tasks, task).sortWithinPartitions("part", CHUNK, PLACE)
         staged = f"{out.rstrip('/')}/_parts"
-        placed.select("file", "value").write.partitionBy("file").option("lineSep", "\n").text(staged)
-        _put_in_place(spark, staged, out)
+        placed.select("part", "value").write.partitionBy("part").option("lineSep", "\n").text(staged)
+        name = spark.range(1).select(clean_filename(F.lit(prefix))).first()[0]
+        move_files(spark, staged, out, lambda part: PART_NAME % (name, int(part)))
     else:
-        placed = named.sortWithinPartitions("file", CHUNK, ROW)
-        chunk = F.col(CHUNK).alias("chunk")
-        placed.select("file", chunk, "value").write.partitionBy("file", "chunk").option("lineSep", "\n").text(out)
-    return SplitResult(time.monotonic() - started, per_part, out, layout)
-
-
-def _put_in_place(spark: SparkSession, staged: str, out: str) -> None:
-    """Give the one file of each ``file=name`` folder its name; metadata only."""
-    fs, root = hadoop_path(spark, staged)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    for folder in fs.listStatus(root):
-        name = folder.getPath().getName()
-        if not name.startswith("file="):
-            continue
-        written = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
-        if len(written) != 1:
-            raise RuntimeError(f"{len(written)} files for {name}")
-        # Spark escapes special characters in folder names.
-        plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name[5:])
-        if not fs.rename(written[0], path(path(out), plain)):
-            raise RuntimeError(f"could not name {plain}")
-    fs.delete(root, True)
+        placed = rows.sortWithinPartitions("part", CHUNK, PLACE)
+        written = placed.select("part", F.col(CHUNK).alias("chunk"), "value").write
+        written.partitionBy("part", "chunk").option("lineSep", "\n").text(out)
+    return SplitResult(time.monotonic() - started, _written(spark, sizes, out, prefix, layout), out, layout)
+
+
+def _written(spark: SparkSession, sizes: DataFrame, out: str, prefix: str, layout: str) -> DataFrame:
+    """``part, file, rows, bytes`` with the bytes on disk."""
+    listed = file_inventory(spark, [out])
+    number = F.regexp_extract("name", r"_(\d+)\.csv$", 1) if layout == "files" else F.regexp_extract("path", r"/part=(\d+)/", 1)
+    on_disk = listed.groupBy(number.cast("int").alias("part")).agg(F.sum("size").alias("bytes"))
+    named = sizes.withColumn("file", part_file(prefix, F.col("part")))
+    return named.join(on_disk, "part", "left").select("part", "file", "rows", F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
 def split_file(
@@ -229,5 +230,5 @@ def split_table_to_csv(
 ) -> SplitResult:
     """Split a table into CSV parts; a record with quoted line ends is never cut."""
     lines = df.select("*", csv_line(df).alias("_line"))
-    split = assign_parts(number_rows(lines, order_by, F.col("_line"), unique), by, n)
+    split = split_table(lines, by, n, order_by, F.col("_line"), unique)
     return write_parts(split, out, header_text(df.columns), prefix, value="_line", layout=layout)

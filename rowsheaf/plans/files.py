@@ -5,10 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# How a data set with an inner order is laid out: one named file per piece, or a folder per piece.
+LAYOUTS = ("auto", "files", "folders")
+
+# Files are named one by one after the write; with more of them, folders are used.
+NAMED_FILES = 10_000
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """Return ``(file system, path)`` handles for ``path``."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -63,6 +71,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def move_files(spark: SparkSession, staged: str, out: str, name_of: Callable[[str], str]) -> None:
+    """Move the one file of each ``key=value`` folder of ``staged`` to ``out/name_of(value)``; metadata only.
+
+    ``staged`` is dropped, and a success mark set last.
+    """
+    fs, root = hadoop_path(spark, staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target = path(out)
+    for folder in fs.listStatus(root):
+        value = folder.getPath().getName().partition("=")[2]
+        if not value:
+            continue
+        files = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        if len(files) != 1:
+            raise RuntimeError(f"{len(files)} files for {value}")
+        if not fs.rename(files[0], path(target, name_of(value))):
+            raise RuntimeError(f"could not name {name_of(value)}")
+    fs.delete(root, True)
+    fs.create(path(target, "_SUCCESS"), True).close()
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for ``df``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,138 +1,192 @@
 """Global row numbers and byte offsets without moving all rows to one task.
 
 Rows live in *chunks* that follow each other in the global order: file splits for text input,
-range partitions for keyed tables. Each row knows its place inside its chunk; one small row per
-chunk carries the chunk's totals, and an exclusive prefix sum over those gives where it starts.
+range partitions for keyed tables. Each row knows its place in its chunk; one small row per chunk
+carries the chunk's totals, and an exclusive prefix sum over those tells where each chunk starts.
+Everything runs inside the JVM, and the rows themselves are not shuffled for it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowsheaf.plans.files import estimated_bytes, materialise
 
 ROW = "_row_no"  # 1-based global row number
-OFFSET = "_byte_offset"  # bytes before this row, line ends included
 SIZE = "_n_bytes"  # bytes of this row, line end included
-CHUNK = "_chunk"  # sortable name of the row's chunk
+KEY = "_chunk_key"  # what a row's chunk is found by
+CHUNK = "_chunk"  # number of the row's chunk; ascending in the global order
+PLACE = "_place"  # 0-based place in the chunk
 
-_GROUP, _SEQ = "_chunk_group", "_chunk_seq"
-_LOCAL_ROW, _LOCAL_BYTES = "_local_row", "_local_bytes"
+# Chunk numbers all have 19 digits, so they sort the same as numbers and as names:
+# this base, then the file times the stride, then the split's start in units.
+CHUNK_BASE = 2 * 10**18
+FILE_STRIDE = 10**12
+START_UNIT = 1024
+
+# Rows of a chunk (as a power of two) whose sizes are summed together; only blocks holding a cut are looked into.
+BLOCK_BITS = 11
+# Beyond this many parts per chunk on average, every row's offset is worked out instead.
+CUTS_PER_CHUNK = 512
 
 # Chunk rows are about 40 bytes; up to this many of them are shipped to every executor.
-BROADCAST_CHUNKS = 1_000_000
-CHUNKS_PER_GROUP = 1024
+BROADCAST_ROWS = 1_000_000
 RANGE_PARTITION_BYTES = 256 << 20
 MAX_RANGE_PARTITIONS = 50_000
 
+_BLOCK = "_block"
+_FIRST_33_BITS = (1 << 33) - 1
+
+
+def place_in_task() -> Column:
+    """0-based place of a row in its task."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit(_FIRST_33_BITS))
+
+
+def whole(a: Column, b: Column | int) -> Column:
+    """Quotient of two whole numbers, rounded down for positive ones, without a detour over doubles."""
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
+def broadcast_if(df: DataFrame, n_rows: int) -> DataFrame:
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
 
 @dataclass(frozen=True)
-class Numbered:
-    """Rows with :data:`ROW` (and :data:`OFFSET`, :data:`SIZE` when measured), plus totals."""
+class Ordered:
+    """Rows in a global order that is known chunk by chunk.
+
+    ``rows`` has :data:`KEY`, :data:`PLACE`, :data:`SIZE` if measured, the columns ``same``, and the payload.
+    ``starts`` has one row per chunk: ``KEY, CHUNK, start_row, start_bytes`` and the columns ``same``, by
+    which a row checks that it is in the chunk its key stood for when chunks were totalled. ``blocks``
+    (if measured) has ``KEY, _block, n_rows, n_bytes``.
+    """
 
     rows: DataFrame
+    starts: DataFrame
+    blocks: DataFrame | None
+    same: list[str]
+    n_chunks: int
     total_rows: int
     total_bytes: int | None
 
-
-_PLACE = T.StructType([T.StructField(name, T.LongType()) for name in ("row", "bytes", "head")])
-
-
-@F.pandas_udf(_PLACE)
-def _place_in_chunk(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Row position, preceding bytes and size of the first row, within each run of one chunk's rows."""
-    current, rows, size, head = None, 0, 0, 0
-    for group, seq, n_bytes in batches:
-        n = len(n_bytes)
-        if n == 0:
-            yield pd.DataFrame({"row": [], "bytes": [], "head": []}, dtype="int64")
-            continue
-        g, s, b = group.to_numpy(), seq.to_numpy(), n_bytes.to_numpy(dtype="int64")
-        if current != (g[0], s[0]):
-            rows, size, head = 0, 0, int(b[0])
-        starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (s[1:] != s[:-1])])
-        run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
-        before = np.cumsum(b) - b
-        row = np.arange(n) - starts[run]
-        offset = before - before[starts][run]
-        first = b[starts][run]
-        # The first run goes on where the last batch stopped.
-        row[run == 0] += rows
-        offset[run == 0] += size
-        first[run == 0] = head
-        current, rows, size, head = (g[-1], s[-1]), int(row[-1]) + 1, int(offset[-1] + b[-1]), int(first[-1])
-        yield pd.DataFrame({"row": row, "bytes": offset, "head": first})
-
-
-place_in_chunk = _place_in_chunk.asNondeterministic()
-
-
-def _with_chunk_starts(rows: DataFrame, chunks: DataFrame, measured: bool) -> Numbered:
-    """Join chunk starts to ``rows``; ``chunks`` has group, seq, n_rows, n_bytes, one row each."""
-    spark = rows.sparkSession
-    chunks = materialise(chunks, "chunks")
-    # Groups are files, or blocks of range partitions: the driver already lists as many of them.
-    groups = chunks.groupBy(_GROUP).agg(F.sum("n_rows").alias("r"), F.sum("n_bytes").alias("b"), F.count("*").alias("c"))
-    starts, total_rows, total_bytes, n_chunks = [], 0, 0, 0
-    for g in sorted(groups.collect(), key=lambda g: g[_GROUP]):
-        starts.append((g[_GROUP], total_rows, total_bytes))
-        total_rows, total_bytes, n_chunks = total_rows + g["r"], total_bytes + g["b"], n_chunks + g["c"]
-    group_starts = spark.createDataFrame(starts, f"{_GROUP} long, _g_rows long, _g_bytes long")
-
-    before = Window.partitionBy(_GROUP).orderBy(_SEQ).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        chunks.withColumn("_c_rows", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
-        .withColumn("_c_bytes", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
-        .join(F.broadcast(group_starts) if len(starts) <= BROADCAST_CHUNKS else group_starts, _GROUP)
-        .select(
-            _GROUP,
-            _SEQ,
-            (F.col("_c_rows") + F.col("_g_rows")).alias("_start_row"),
-            (F.col("_c_bytes") + F.col("_g_bytes")).alias("_start_bytes"),
-        )
-    )
-    small = n_chunks <= BROADCAST_CHUNKS
-    joined = rows.join(F.broadcast(placed) if small else placed, [_GROUP, _SEQ], "left")
-    # A chunk without totals means the input was cut differently in the two scans.
-    known = F.when(
-        F.col("_start_row").isNull(), F.raise_error(F.lit("input files or split sizes changed between scans"))
-    ).otherwise(F.col("_start_row"))
-    out = joined.withColumn(ROW, known + F.col(_LOCAL_ROW) + 1)
-    dropped = [_GROUP, _SEQ, _LOCAL_ROW, "_start_row", "_start_bytes"]
-    if measured:
-        out = out.withColumn(OFFSET, F.col("_start_bytes") + F.col(_LOCAL_BYTES))
-        dropped.append(_LOCAL_BYTES)
-    return Numbered(out.drop(*dropped), total_rows, total_bytes if measured else None)
+    @property
+    def measured(self) -> bool:
+        return self.blocks is not None
 
 
-def number_lines(lines: DataFrame, measured: bool = True) -> Numbered:
-    """Number the data lines of :func:`rowsheaf.sources.lines.scan_lines` in input order.
+def order_chunks(
+    rows: DataFrame, measured: bool, same: list[str], number: Callable[[DataFrame], DataFrame]
+) -> Ordered:
+    """Total the chunks of ``rows`` in one pass and work out where each of them starts.
 
-    Two scans of the text, no shuffle of it: one for the per-split totals, one for the rows.
+    The columns ``same`` are constant in a chunk; ``number`` adds :data:`CHUNK` to one row per chunk.
     """
-    is_header = F.col("is_header")
-    placed = lines.withColumnsRenamed(
-        {"file_idx": _GROUP, "block_start": _SEQ, "line_no": _LOCAL_ROW, "line_offset": _LOCAL_BYTES, "n_bytes": SIZE}
-    )
-    chunks = placed.groupBy(_GROUP, _SEQ).agg(
-        F.count_if(~is_header).alias("n_rows"),
-        F.coalesce(F.sum(F.when(~is_header, F.col(SIZE))), F.lit(0)).alias("n_bytes"),
+    constant = [F.first(c).alias(c) for c in same]
+    n_rows = F.count(F.lit(1)).alias("n_rows")
+    blocks = None
+    if measured:
+        block = F.shiftright(PLACE, BLOCK_BITS).alias(_BLOCK)
+        sums = rows.groupBy(KEY, block).agg(n_rows, F.sum(SIZE).alias("n_bytes"), *constant)
+        blocks = materialise(sums, "blocks")
+        chunks = blocks.groupBy(KEY).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), *constant)
+        chunks = number(chunks)
+    else:
+        counts = rows.groupBy(KEY).agg(n_rows, F.lit(0).cast("long").alias("n_bytes"), *constant)
+        chunks = materialise(number(counts), "chunks")
+
+    # First within each file, then over the files: no window sees more than one file's chunks, and the
+    # driver gets one row per input file, a list it already holds.
+    grouped = chunks.withColumn("_group", whole(F.col(CHUNK) - F.lit(CHUNK_BASE), FILE_STRIDE))
+    totals = grouped.groupBy("_group").agg(F.sum("n_rows"), F.sum("n_bytes"), F.count("*"))
+    group_starts, total_rows, total_bytes, n_chunks = [], 0, 0, 0
+    for group, rows_in, bytes_in, chunks_in in sorted(totals.collect()):
+        group_starts.append((group, total_rows, total_bytes))
+        total_rows, total_bytes, n_chunks = total_rows + rows_in, total_bytes + bytes_in, n_chunks + chunks_in
+    groups = rows.sparkSession.createDataFrame(group_starts, "_group long, _g_rows long, _g_bytes long")
+    before = Window.partitionBy("_group").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
+    def start(size: str, group_start: str) -> Column:
+        return F.coalesce(F.sum(size).over(before), F.lit(0)) + F.col(group_start)
+
+    starts = grouped.join(broadcast_if(groups, len(group_starts)), "_group").select(
+        KEY, CHUNK, start("n_rows", "_g_rows").alias("start_row"), start("n_bytes", "_g_bytes").alias("start_bytes"), *same
     )
-    data = placed.where(~is_header).withColumn(CHUNK, F.format_string("%06d_%015d", _GROUP, _SEQ)).drop("is_header")
-    # Places count from the split's first line; the header, if it is there, is not a data line.
-    data = data.withColumn(_LOCAL_ROW, F.col(_LOCAL_ROW) - F.col("header_lines")).withColumn(
-        _LOCAL_BYTES, F.col(_LOCAL_BYTES) - F.col("header_bytes")
+    return Ordered(rows, starts, blocks, same, n_chunks, total_rows, total_bytes if measured else None)
+
+
+def _find(rows: DataFrame, ordered: Ordered, chunks: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` of their chunk; a row not in the chunk its key stood for raises."""
+    there = chunks.withColumnsRenamed({c: f"_{c}_then" for c in ordered.same})
+    joined = rows.join(broadcast_if(there, n), KEY, "left")
+    found = F.col(CHUNK).isNotNull()
+    for c in ordered.same:
+        found &= F.col(c) == F.col(f"_{c}_then")
+    lost = F.raise_error(F.lit("the input changed between two scans")).cast("long")
+    checked = F.when(F.coalesce(found, F.lit(False)), F.col(CHUNK)).otherwise(lost)
+    kept = [c for c in rows.columns if c not in ordered.same]
+    return joined.select(*kept, checked.alias(CHUNK), *columns)
+
+
+def with_row_numbers(ordered: Ordered) -> DataFrame:
+    """``rows`` with :data:`CHUNK` and :data:`ROW`."""
+    starts = ordered.starts.drop("start_bytes")
+    found = _find(ordered.rows, ordered, starts, ordered.n_chunks, ["start_row"])
+    return found.withColumn(ROW, F.col("start_row") + F.col(PLACE) + 1).drop("start_row", KEY)
+
+
+def _block_offsets(ordered: Ordered) -> DataFrame:
+    """``KEY, _block, n_bytes, offset``: the byte offset each block starts at."""
+    before = Window.partitionBy(KEY).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ordered.blocks.select(
+        KEY, _BLOCK, "n_bytes", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("_in_chunk")
     )
-    data = data.drop("header_lines", "header_bytes")
-    return _with_chunk_starts(data if measured else data.drop(_LOCAL_BYTES), chunks, measured)
+    starts = broadcast_if(ordered.starts.select(KEY, "start_bytes"), ordered.n_chunks)
+    offset = (F.col("start_bytes") + F.col("_in_chunk")).alias("offset")
+    return inside.join(starts, KEY).select(KEY, _BLOCK, "n_bytes", offset)
+
+
+def _row_offsets(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows`` of the given blocks, with the byte offset ``_row_offset`` each row starts at."""
+    located = rows.withColumn(_BLOCK, F.shiftright(PLACE, BLOCK_BITS)).join(blocks, [KEY, _BLOCK])
+    before = Window.partitionBy(KEY, _BLOCK).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.col("offset") + F.coalesce(F.sum(SIZE).over(before), F.lit(0))
+    return located.withColumn("_row_offset", offset).drop(_BLOCK, "n_bytes", "offset")
+
+
+def with_grid_parts(ordered: Ordered, target: int) -> DataFrame:
+    """``rows`` with :data:`CHUNK` and the 1-based ``part`` of the byte grid of width ``target`` they start in.
+
+    Where a part starts is looked up in the few blocks that hold a grid line; all other rows need only
+    know which of their chunk's parts has started before them.
+    """
+
+    def cell(offset: Column) -> Column:
+        return whole(offset, target) + 1
+
+    blocks = _block_offsets(ordered)
+    chunks = ordered.starts.drop("start_row", "start_bytes")
+    if ordered.total_bytes > target * CUTS_PER_CHUNK * max(ordered.n_chunks, 1):
+        found = _find(ordered.rows, ordered, chunks, ordered.n_chunks, [])
+        return _row_offsets(found, blocks).withColumn("part", cell(F.col("_row_offset"))).drop("_row_offset", KEY)
+
+    first, last = cell(F.col("offset")), cell(F.col("offset") + F.col("n_bytes") - 1)
+    n_parts = -(-ordered.total_bytes // target)
+    with_line = broadcast_if(blocks.where(first != last), n_parts)
+    inside = _row_offsets(ordered.rows.select(KEY, PLACE, SIZE), with_line)
+    inside = inside.select(KEY, PLACE, cell(F.col("_row_offset")).alias("part"))
+    heads = blocks.select(KEY, F.shiftleft(_BLOCK, BLOCK_BITS).alias(PLACE), first.alias("part"))
+    part_starts = heads.unionByName(inside).groupBy(KEY, "part").agg(F.min(PLACE).alias("at"))
+    cuts = part_starts.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("_cuts"))
+    cuts = materialise(chunks.join(cuts, KEY), "cuts")
+    found = _find(ordered.rows, ordered, cuts, ordered.n_chunks + n_parts, ["_cuts"])
+    started = F.filter("_cuts", lambda cut: cut["at"] <= F.col(PLACE))
+    return found.withColumn("part", F.element_at(started, -1)["part"]).drop("_cuts", KEY)
 
 
 def range_partitions(df: DataFrame) -> int:
@@ -142,49 +196,23 @@ def range_partitions(df: DataFrame) -> int:
     return min(max(wanted, floor), MAX_RANGE_PARTITIONS)
 
 
-def number_rows(
-    df: DataFrame,
-    order_by: list[str | Column],
-    line: Column | None = None,
-    unique: bool = False,
-    partitions: int | None = None,
-) -> Numbered:
-    """Number the rows of ``df`` in the order of ``order_by``; ``line`` is what their bytes are measured on.
+def order_rows(
+    df: DataFrame, order_by: list[str | Column], line: Column | None = None, unique: bool = False
+) -> Ordered:
+    """Put the rows of ``df`` in the order of ``order_by``; ``line`` is what their bytes are measured on.
 
     One range shuffle. The sorted rows go to a scratch table, because range bounds are sampled and
     a second run of the shuffle could cut elsewhere. Unless the order is ``unique``, ties are broken
     by a hash of the whole row and then by arrival, so a key that holds a third of all rows still
-    spreads over many range partitions and only identical rows are interchangeable.
+    spreads over many range partitions, and only identical rows are interchangeable.
     """
     columns = df.columns
     keys = [F.col(k) if isinstance(k, str) else k for k in order_by]
-    wide = df.withColumn(SIZE, F.octet_length(line) + F.lit(1).cast("long")) if line is not None else df
+    wide = df.withColumn(SIZE, (F.octet_length(line) + 1).cast("long")) if line is not None else df
     if not unique:
         wide = wide.withColumn("_tie", F.xxhash64(*columns)).withColumn("_arrival", F.monotonically_increasing_id())
         keys = [*keys, F.col("_tie"), F.col("_arrival")]
-    n = partitions or range_partitions(df)
-    ranged = wide.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie", "_arrival")
-    pid = F.spark_partition_id().cast("long")
-    ranged = ranged.withColumn(_SEQ, pid).withColumn(_GROUP, F.floor(F.col(_SEQ) / CHUNKS_PER_GROUP))
-    if line is not None:
-        ranged = (
-            ranged.withColumn("_place", place_in_chunk(_GROUP, _SEQ, SIZE))
-            .withColumn(_LOCAL_ROW, F.col("_place.row"))
-            .withColumn(_LOCAL_BYTES, F.col("_place.bytes"))
-            .drop("_place")
-        )
-    else:
-        in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        ranged = ranged.withColumn(_LOCAL_ROW, in_task)
-    staged = materialise(ranged, "ordered")
-    size = F.sum(SIZE) if line is not None else F.lit(0).cast("long")
-    chunks = staged.groupBy(_GROUP, _SEQ).agg(F.count("*").alias("n_rows"), size.alias("n_bytes"))
-    staged = staged.withColumn(CHUNK, F.format_string("%06d", _SEQ))
-    return _with_chunk_starts(staged, chunks, line is not None)
-
-
-def pin_file_splits(spark: SparkSession) -> None:
-    """Fix the split size of small inputs, which otherwise follows the current number of cores."""
-    key = "spark.sql.files.minPartitionNum"
-    if not spark.conf.get(key, None):
-        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    ranged = wide.repartitionByRange(range_partitions(df), *keys).sortWithinPartitions(*keys).drop("_tie", "_arrival")
+    placed = ranged.withColumn(KEY, F.spark_partition_id().cast("long")).withColumn(PLACE, place_in_task())
+    staged = materialise(placed, "ordered")
+    return order_chunks(staged, line is not None, [], lambda c: c.withColumn(CHUNK, F.lit(CHUNK_BASE) + F.col(KEY)))

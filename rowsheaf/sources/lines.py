@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsheaf.plans.files import list_inputs
-from rowsheaf.plans.numbering import BROADCAST_CHUNKS, pin_file_splits, place_in_chunk
+from rowsheaf.plans.files import estimated_bytes, list_inputs
+from rowsheaf.plans.numbering import (
+    CHUNK,
+    CHUNK_BASE,
+    FILE_STRIDE,
+    KEY,
+    PLACE,
+    SIZE,
+    START_UNIT,
+    Ordered,
+    broadcast_if,
+    order_chunks,
+    place_in_task,
+    whole,
+)
 
 LINE_END = "\n"
+MIN_SPLIT_BYTES = 4 << 20
+TASKS_PER_CORE = 2
 
 
 def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -16,47 +31,83 @@ def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.option("lineSep", LINE_END).text([paths] if isinstance(paths, str) else paths)
 
 
+def _one_split_per_task(spark: SparkSession, files: list[str]) -> SparkSession:
+    """A session like ``spark`` whose scans give each file split a task of its own, cut at a fixed size.
+
+    A scan keeps the settings of the session it was made in, so every pass over the same lines sees the
+    same splits even if cores come and go, and a row's place in its task is its place in its split.
+    """
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            session.conf.set(key, value)
+    largest = _size_setting(spark, "spark.sql.files.maxPartitionBytes")
+    even = estimated_bytes(raw_lines(spark, files)) // (spark.sparkContext.defaultParallelism * TASKS_PER_CORE)
+    size = max(min(largest, even), min(MIN_SPLIT_BYTES, largest), START_UNIT) // START_UNIT * START_UNIT
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    session.conf.set("spark.sql.files.openCostInBytes", str(size + 1))
+    session.conf.unset("spark.sql.files.maxPartitionNum")
+    return session
+
+
+def _size_setting(spark: SparkSession, key: str) -> int:
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+
+
 def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All lines of the files with their place.
 
-    Columns: ``file_idx`` (place of the file in the list), ``block_start`` (start of the file split),
-    ``line_no`` and ``line_offset`` (lines and bytes before this one in the split), ``n_bytes`` (line
-    end included), ``is_header`` (first line of a file), ``header_lines`` and ``header_bytes`` (what the
-    header takes at the head of this split), ``value``.
+    Columns: ``task`` (number of the task, which has one file split), ``file`` and ``block_start`` (that
+    split), ``line_no`` (0-based place of the line in it), ``is_header`` (first line of a file), ``value``.
     """
     files = list_inputs(spark, paths)
-    pin_file_splits(spark)
-    order = spark.createDataFrame(
-        [(uri, i) for i, uri in enumerate(files)], "file_uri string, file_idx long"
-    )
-    order = F.broadcast(order) if len(files) <= BROADCAST_CHUNKS else order
-    uri = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///")
-    lines = raw_lines(spark, files).select(
-        "value",
-        uri.alias("file_uri"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        (F.octet_length("value") + F.lit(1)).cast("long").alias("n_bytes"),
-    )
-    # Places are taken in scan order, so before any join.
-    first_split = F.col("block_start") == 0
-    placed = lines.withColumn("_place", place_in_chunk(F.xxhash64("file_uri"), "block_start", "n_bytes"))
-    return placed.join(order, "file_uri").select(
-        "file_idx",
-        "block_start",
-        F.col("_place.row").alias("line_no"),
-        F.col("_place.bytes").alias("line_offset"),
-        "n_bytes",
-        (first_split & (F.col("_place.row") == 0)).alias("is_header"),
-        first_split.cast("long").alias("header_lines"),
-        F.when(first_split, F.col("_place.head")).otherwise(0).alias("header_bytes"),
+    lines = raw_lines(_one_split_per_task(spark, files), files).select(
+        F.spark_partition_id().cast("long").alias("task"),
+        F.input_file_name().alias("file"),
+        F.input_file_block_start().alias("block_start"),
+        place_in_task().alias("line_no"),
         "value",
     )
+    first = (F.col("block_start") == 0) & (F.col("line_no") == 0)
+    return lines.select("task", "file", "block_start", "line_no", first.alias("is_header"), "value")
+
+
+def first_data_line() -> Column:
+    """0-based place of the first data line of a split."""
+    return F.when(F.col("block_start") == 0, 1).otherwise(0)
+
+
+def file_key() -> Column:
+    """A number for ``file``, which is cheaper to group, compare and join than the name."""
+    return F.xxhash64("file")
+
+
+def with_chunk_numbers(splits: DataFrame, files: list[str]) -> DataFrame:
+    """``splits`` (with ``file_key`` and ``block_start``) with :data:`CHUNK`: list order, then file order."""
+    order = splits.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, file_idx long")
+    order = order.select(file_key().alias("file_key"), "file_idx")
+    chunk = F.lit(CHUNK_BASE) + F.col("file_idx") * F.lit(FILE_STRIDE) + whole(F.col("block_start"), START_UNIT)
+    return splits.join(broadcast_if(order, len(files)), "file_key").withColumn(CHUNK, chunk).drop("file_idx")
+
+
+def order_lines(spark: SparkSession, paths: list[str], measured: bool = True) -> Ordered:
+    """The data lines of the files (headers left out) in list order, then file order.
+
+    Two scans of the text in the end: one for the totals of every split, one for the rows. A row whose
+    split is not the one its task was seen with raises.
+    """
+    files = list_inputs(spark, paths)
+    place = (F.col("line_no") - first_data_line()).alias(PLACE)
+    columns = [F.col("task").alias(KEY), place, file_key().alias("file_key"), "block_start"]
+    if measured:
+        columns.append((F.octet_length("value") + 1).cast("long").alias(SIZE))
+    lines = scan_lines(spark, files).where(~F.col("is_header")).select(*columns, "value")
+    return order_chunks(lines, measured, ["file_key", "block_start"], lambda splits: with_chunk_numbers(splits, files))
 
 
 def header_line(spark: SparkSession, path: str) -> str | None:
-    """First line of one file, ``None`` when it is empty."""
-    first = list_inputs(spark, [path])[:1]
-    rows = raw_lines(spark, first).limit(1).collect() if first else []
+    """First line of the first file of ``path``, ``None`` when it is empty."""
+    rows = raw_lines(spark, list_inputs(spark, [path])[:1]).limit(1).collect()
     return rows[0]["value"] if rows else None
 
 
