@@ -66,13 +66,14 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
-    """Register a query under its function name, with the SQL that must give the same rows."""
+def _query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's (or the given) name, with the SQL that must give the same rows."""
 
     def register(run: Query) -> Query:
-        _QUERIES[run.__name__] = run
+        key = name or run.__name__
+        _QUERIES[key] = run
         if sql is not None:
-            _ORACLES[run.__name__] = sql
+            _ORACLES[key] = sql
         return run
 
     return register
@@ -138,7 +139,8 @@ def row_count(spark, sf_dir):
 
 @_query(
     """SELECT o_orderstatus AS status, CAST(sum(strlen(o_orderkey || ',' || o_orderpriority) + 1) AS BIGINT) AS bytes
-    FROM orders GROUP BY 1"""
+    FROM orders GROUP BY 1""",
+    name="file_inventory",
 )
 def file_inventory_bytes(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
@@ -170,7 +172,8 @@ def _encoded_events(spark: SparkSession, sf_dir: str) -> dict[str, str]:
 
 @_query(
     """SELECT event_type, CASE event_type WHEN 'click' THEN 'utf-8' WHEN 'error' THEN 'gbk' WHEN 'purchase'
-    THEN 'gb18030' WHEN 'signup' THEN 'utf-16-le' ELSE 'utf-8-sig' END AS encoding FROM events GROUP BY 1"""
+    THEN 'gb18030' WHEN 'signup' THEN 'utf-16-le' ELSE 'utf-8-sig' END AS encoding FROM events GROUP BY 1""",
+    name="encoding_profile",
 )
 def encoding_profile_kinds(spark, sf_dir):
     folders = _encoded_events(spark, sf_dir)
@@ -224,7 +227,8 @@ def merge_lines_header(spark, sf_dir):
 
 @_query(
     """SELECT row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, o_orderkey)
-    AS row_no, o_orderkey || ',' || o_orderpriority AS line FROM orders"""
+    AS row_no, o_orderkey || ',' || o_orderpriority AS line FROM orders""",
+    name="merge_ordered",
 )
 def merge_ordered_lines(spark, sf_dir):
     return merge_ordered(spark, _orders_by_status(spark, sf_dir)).withColumnRenamed("value", "line")
@@ -232,7 +236,8 @@ def merge_ordered_lines(spark, sf_dir):
 
 @_query(
     """SELECT o_orderstatus AS status, count(*) AS rows,
-    CAST(sum(strlen(o_orderkey || ',' || o_orderpriority) + 1) AS BIGINT) AS bytes FROM orders GROUP BY 1"""
+    CAST(sum(strlen(o_orderkey || ',' || o_orderpriority) + 1) AS BIGINT) AS bytes FROM orders GROUP BY 1""",
+    name="merge_manifest",
 )
 def merge_manifest_rows(spark, sf_dir):
     per_file = merge_manifest(spark, _orders_by_status(spark, sf_dir))
@@ -395,7 +400,8 @@ def extract_count(spark, sf_dir):
 
 @_query(
     """SELECT CAST(row_number() OVER () AS INT) AS pos, column_name AS "column", column_name AS original,
-    column_type AS type, (SELECT count(*) FROM events) AS total_rows FROM (DESCRIBE events)"""
+    column_type AS type, (SELECT count(*) FROM events) AS total_rows FROM (DESCRIBE events)""",
+    name="column_profile",
 )
 def column_profile_types(spark, sf_dir):
     path = _export(_table(spark, sf_dir, "events"), "profile")
@@ -458,27 +464,29 @@ def bom_roundtrip(spark, sf_dir):
 
 @_query(
     """SELECT event_id, trim(replace(replace(replace(' ' || event_type || chr(9) || chr(13), chr(9), ''), chr(10), ''),
-    chr(13), '')) AS v FROM events"""
+    chr(13), '')) AS v FROM events""",
+    name="clean_value",
 )
 def clean_values(spark, sf_dir):
     padded = F.concat(F.lit(" "), "event_type", F.lit("\t\r"))
     return _table(spark, sf_dir, "events").select("event_id", clean_value(padded).alias("v"))
 
 
-@_query("SELECT page_id, left(translate(url, '<>:\"/\\|?*', '_________'), 200) AS f FROM pages")
+@_query("SELECT page_id, left(translate(url, '<>:\"/\\|?*', '_________'), 200) AS f FROM pages", name="clean_filename")
 def clean_filenames(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", clean_filename("url").alias("f"))
 
 
 @_query(
     """SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE)
-    ELSE printf('%.1f KB', n_chars / 1024.0) END AS size FROM documents"""
+    ELSE printf('%.1f KB', n_chars / 1024.0) END AS size FROM documents""",
+    name="format_file_size",
 )
 def format_file_sizes(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", format_file_size("n_chars").alias("size"))
 
 
-@_query("SELECT event_id, ts + INTERVAL 8 HOUR AS local_ts FROM events")
+@_query("SELECT event_id, ts + INTERVAL 8 HOUR AS local_ts FROM events", name="local_timestamp")
 def local_timestamps(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", local_timestamp("ts").alias("local_ts"))
 

@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsheaf.plans.files import comparable_uri, hadoop_path, list_inputs
+from rowsheaf.plans.files import comparable_uri, estimated_bytes, hadoop_path, list_inputs, stored_bytes
 from rowsheaf.plans.numbering import CHUNK, CHUNK_BASE, ROW, with_row_numbers
 from rowsheaf.sinks.csv import write_csv
 from rowsheaf.sources.encoding import SPARK_CHARSETS, encoding_profile, group_by_encoding, scan_encoded
-from rowsheaf.sources.inventory import file_inventory
-from rowsheaf.sources.lines import file_key, first_data_line, header_line, order_lines, scan_lines, with_chunk_numbers
+from rowsheaf.sources.lines import (
+    file_key,
+    first_data_line,
+    header_line,
+    order_lines,
+    raw_lines,
+    scan_lines,
+    with_chunk_numbers,
+)
 from rowsheaf.sources.tables import header_names, scan_csv, text_schema
 
 HEADERS = ("each", "first", "none")
@@ -143,5 +150,4 @@ def write_merged_table(spark: SparkSession, paths: list[str], out: str, header:
 
 def _merge_result(spark: SparkSession, files: list[str], out: str, started: float) -> MergeResult:
     seconds = time.monotonic() - started
-    sizes = [file_inventory(spark, p).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] for p in (files, [out])]
-    return MergeResult(seconds, sizes[0], sizes[1], out)
+    return MergeResult(seconds, estimated_bytes(raw_lines(spark, files)), stored_bytes(spark, out), out)

@@ -44,17 +44,17 @@ MAX_WRITE_PARTITIONS = 8192
 
 @dataclass(frozen=True)
 class Split:
-    """Rows with their 1-based ``part``.
+    """Rows with their 1-based ``part``, and ``part, rows`` of every part, empty ones included.
 
-    ``sizes`` has ``part, rows`` of every part, empty ones included, where they follow from the totals;
-    by bytes they have to be counted.
+    A grid of bytes has ``gaps``: a part number without rows is no part there.
     """
 
     rows: DataFrame
+    sizes: DataFrame
     n_parts: int
     total_rows: int
     total_bytes: int | None
-    sizes: DataFrame | None
+    gaps: bool = False
 
 
 @dataclass(frozen=True)
@@ -79,8 +79,8 @@ def assign_parts(ordered: Ordered, by: str, n: int) -> Split:
     if by == "bytes":
         if not ordered.measured:
             raise ValueError("rows were ordered without their bytes")
-        rows = with_grid_parts(ordered, n).withColumn("part", F.col("part").cast("int"))
-        return Split(rows, max(-(-ordered.total_bytes // n), 1), total, ordered.total_bytes, None)
+        rows, sizes = with_grid_parts(ordered, n)
+        return Split(rows, sizes, max(-(-ordered.total_bytes // n), 1), total, ordered.total_bytes, gaps=True)
     per_part = n if by == "rows" else max(-(-total // n), 1)
     n_parts = n if by == "count" else max(-(-total // n), 1)
     part = (whole(F.col(ROW) - 1, per_part) + 1).cast("int")
@@ -88,7 +88,7 @@ def assign_parts(ordered: Ordered, by: str, n: int) -> Split:
     sizes = ordered.rows.sparkSession.range(1, n_parts + 1).select(F.col("id").cast("int").alias("part"))
     sizes = sizes.withColumn("rows", F.greatest(F.least(left, F.lit(per_part)), F.lit(0)).cast("long"))
     rows = with_row_numbers(ordered).withColumn("part", part).drop(ROW)
-    return Split(rows, n_parts, total, ordered.total_bytes, sizes)
+    return Split(rows, sizes, n_parts, total, ordered.total_bytes)
 
 
 def split_lines(spark: SparkSession, path: str | list[str], by: str, n: int) -> Split:
@@ -113,20 +113,20 @@ def part_file(prefix: str, part: Column) -> Column:
 
 
 def manifest(split: Split, prefix: str = PREFIX, **extra: Column) -> DataFrame:
-    """``part, file, rows`` per part (and ``bytes`` if measured), counted from the rows.
+    """``part, file, rows`` per part, and ``bytes`` if measured; ``extra`` aggregates are added.
 
-    ``extra`` aggregates are added. Parts that got no row are listed where their number is set.
+    Row counts follow from the totals; the rows are only read for bytes and extras.
     """
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    zero = {"rows": 0}
-    if SIZE in split.rows.columns:
-        aggregates.append(F.sum(SIZE).alias("bytes"))
-        zero["bytes"] = 0
-    per_part = split.rows.groupBy("part").agg(*aggregates, *[c.alias(k) for k, c in extra.items()])
-    if split.sizes is not None:
-        per_part = split.sizes.select("part").join(per_part, "part", "left").na.fill(zero)
-    named = per_part.withColumn("file", part_file(prefix, F.col("part")))
-    return named.select("part", "file", *[c for c in per_part.columns if c != "part"])
+    aggregates = [c.alias(k) for k, c in extra.items()]
+    if split.total_bytes is not None:
+        aggregates.insert(0, F.sum(SIZE).alias("bytes"))
+    sizes = split.sizes
+    if aggregates:
+        sizes = sizes.join(split.rows.groupBy("part").agg(*aggregates), "part", "left")
+    if split.total_bytes is not None:
+        sizes = sizes.na.fill({"bytes": 0})
+    named = sizes.withColumn("file", part_file(prefix, F.col("part")))
+    return named.select("part", "file", *[c for c in sizes.columns if c != "part"])
 
 
 def _dense(per_part: DataFrame) -> DataFrame:
@@ -173,10 +173,9 @@ def write_parts(
     layout = ("files" if fits else "folders") if layout == "auto" else layout
 
     rows, sizes = split.rows.select("part", CHUNK, PLACE, F.col(value).alias("value")), split.sizes
-    if sizes is None:
-        sizes = materialise(split.rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "parts")
+    if split.gaps:
         n_rows, last = sizes.agg(F.count("*"), F.max("part")).first()
-        if last is not None and last != n_rows:
+        if last not in (None, n_rows):
             # A row longer than the target leaves parts of the grid empty: close the gaps.
             dense = materialise(_dense(sizes), "dense")
             rows, sizes = (

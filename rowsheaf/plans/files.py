@@ -33,6 +33,12 @@ def delete_tree(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``."""
+    fs, p = hadoop_path(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def comparable_uri(path: str) -> str:
     """One spelling for ``file:/x`` and ``file:///x``."""
     return "file:///" + path[len("file:") :].lstrip("/") if path.startswith("file:/") else path

@@ -62,7 +62,7 @@ class Ordered:
     """Rows in a global order that is known chunk by chunk.
 
     ``rows`` has :data:`KEY`, :data:`PLACE`, :data:`SIZE` if measured, the columns ``same``, and the payload.
-    ``starts`` has one row per chunk: ``KEY, CHUNK, start_row, start_bytes`` and the columns ``same``, by
+    ``starts`` has one row per chunk: ``KEY, CHUNK, n_rows, start_row, start_bytes`` and the columns ``same``, by
     which a row checks that it is in the chunk its key stood for when chunks were totalled. ``blocks``
     (if measured) has ``KEY, _block, n_rows, n_bytes``.
     """
@@ -115,7 +115,12 @@ def order_chunks(
         return F.coalesce(F.sum(size).over(before), F.lit(0)) + F.col(group_start)
 
     starts = grouped.join(broadcast_if(groups, len(group_starts)), "_group").select(
-        KEY, CHUNK, start("n_rows", "_g_rows").alias("start_row"), start("n_bytes", "_g_bytes").alias("start_bytes"), *same
+        KEY,
+        CHUNK,
+        "n_rows",
+        start("n_rows", "_g_rows").alias("start_row"),
+        start("n_bytes", "_g_bytes").alias("start_bytes"),
+        *same,
     )
     return Ordered(rows, starts, blocks, same, n_chunks, total_rows, total_bytes if measured else None)
 
@@ -135,7 +140,7 @@ def _find(rows: DataFrame, ordered: Ordered, chunks: DataFrame, n: int, columns:
 
 def with_row_numbers(ordered: Ordered) -> DataFrame:
     """``rows`` with :data:`CHUNK` and :data:`ROW`."""
-    starts = ordered.starts.drop("start_bytes")
+    starts = ordered.starts.drop("n_rows", "start_bytes")
     found = _find(ordered.rows, ordered, starts, ordered.n_chunks, ["start_row"])
     return found.withColumn(ROW, F.col("start_row") + F.col(PLACE) + 1).drop("start_row", KEY)
 
@@ -159,21 +164,24 @@ def _row_offsets(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return located.withColumn("_row_offset", offset).drop(_BLOCK, "n_bytes", "offset")
 
 
-def with_grid_parts(ordered: Ordered, target: int) -> DataFrame:
-    """``rows`` with :data:`CHUNK` and the 1-based ``part`` of the byte grid of width ``target`` they start in.
+def with_grid_parts(ordered: Ordered, target: int) -> tuple[DataFrame, DataFrame]:
+    """Put rows in the cells of the byte grid of width ``target`` that their first bytes are in.
 
+    Gives ``rows`` with :data:`CHUNK` and the 1-based ``part``, and ``part, rows`` per part that has rows.
     Where a part starts is looked up in the few blocks that hold a grid line; all other rows need only
     know which of their chunk's parts has started before them.
     """
 
     def cell(offset: Column) -> Column:
-        return whole(offset, target) + 1
+        return (whole(offset, target) + 1).cast("int")
 
     blocks = _block_offsets(ordered)
     chunks = ordered.starts.drop("start_row", "start_bytes")
+    n_rows = F.sum("rows").alias("rows")
     if ordered.total_bytes > target * CUTS_PER_CHUNK * max(ordered.n_chunks, 1):
         found = _find(ordered.rows, ordered, chunks, ordered.n_chunks, [])
-        return _row_offsets(found, blocks).withColumn("part", cell(F.col("_row_offset"))).drop("_row_offset", KEY)
+        rows = _row_offsets(found, blocks).withColumn("part", cell(F.col("_row_offset"))).drop("_row_offset", KEY)
+        return rows, rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
 
     first, last = cell(F.col("offset")), cell(F.col("offset") + F.col("n_bytes") - 1)
     n_parts = -(-ordered.total_bytes // target)
@@ -186,7 +194,12 @@ def with_grid_parts(ordered: Ordered, target: int) -> DataFrame:
     cuts = materialise(chunks.join(cuts, KEY), "cuts")
     found = _find(ordered.rows, ordered, cuts, ordered.n_chunks + n_parts, ["_cuts"])
     started = F.filter("_cuts", lambda cut: cut["at"] <= F.col(PLACE))
-    return found.withColumn("part", F.element_at(started, -1)["part"]).drop("_cuts", KEY)
+    rows = found.withColumn("part", F.element_at(started, -1)["part"]).drop("_cuts", KEY)
+
+    ends = F.concat(F.slice("_cuts.at", F.lit(2), F.size("_cuts")), F.array("n_rows"))
+    lengths = F.transform("_cuts", lambda cut, i: F.struct(cut["part"], (F.get(ends, i) - cut["at"]).alias("rows")))
+    sizes = cuts.select(F.inline(lengths)).groupBy("part").agg(n_rows)
+    return rows, sizes
 
 
 def range_partitions(df: DataFrame) -> int:
