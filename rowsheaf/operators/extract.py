@@ -41,8 +41,9 @@ def extract_to_csv(
     """
     started = time.monotonic()
     seen = Observation("extract")
-    found = extract(df, column, value, precision).observe(seen, F.count(F.lit(1)).alias("rows"))
-    write_csv(found.hint("rebalance"), out, bom=bom)
+    found = extract(df, column, value, precision).hint("rebalance")
+    # Counted after the rebalancing: a stage that turns out empty is cut from the plan, its counts too.
+    write_csv(found.observe(seen, F.count(F.lit(1)).alias("rows")), out, bom=bom)
     rows = seen.get["rows"]
     if rows == 0:
         delete_tree(df.sparkSession, out)

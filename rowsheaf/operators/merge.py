@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsheaf.plans.files import comparable_uri, estimated_bytes, hadoop_path, list_inputs, stored_bytes
+from rowsheaf.plans.files import (
+    comparable_uri,
+    estimated_bytes,
+    file_uri,
+    hadoop_path,
+    list_inputs,
+    plain_path,
+    stored_bytes,
+)
 from rowsheaf.plans.numbering import CHUNK, CHUNK_BASE, ROW, with_row_numbers
 from rowsheaf.sinks.csv import write_csv
 from rowsheaf.sources.encoding import SPARK_CHARSETS, encoding_profile, group_by_encoding, scan_encoded
@@ -81,8 +89,9 @@ def merge_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     per_file = merge_lines(spark, listed).groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value") + 1).alias("bytes")
     )
-    files = spark.createDataFrame(list(enumerate(listed)), "file_idx long, file string")
-    parts = F.split(F.url_decode("file"), "/")
+    named = [(i, file_uri(spark, f), plain_path(f)) for i, f in enumerate(listed)]
+    files = spark.createDataFrame(named, "file_idx long, file string, path string")
+    parts = F.split("path", "/")
     return files.join(per_file, "file", "left").select(
         "file_idx",
         F.element_at(parts, -2).alias("folder"),
@@ -95,7 +104,7 @@ def merge_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
 def _refuse_own_input(spark: SparkSession, files: list[str], out: str) -> None:
     fs, p = hadoop_path(spark, out)
     target = comparable_uri(fs.makeQualified(p).toUri().toString()).rstrip("/")
-    if any(f == target or f.startswith(target + "/") for f in files):
+    if any(f == target or f.startswith(target + "/") for f in (file_uri(spark, f) for f in files)):
         raise ValueError(f"output {out} holds input files")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PATTERN_CHARACTERS = r"[\\*?\[\]{}]"
+
 # How a data set with an inner order is laid out: one named file per piece, or a folder per piece.
 LAYOUTS = ("auto", "files", "folders")
 
@@ -44,23 +47,40 @@ def comparable_uri(path: str) -> str:
     return "file:///" + path[len("file:") :].lstrip("/") if path.startswith("file:/") else path
 
 
+def _literal(path: str) -> str:
+    return re.sub(_PATTERN_CHARACTERS, r"\\\g<0>", path)
+
+
 def list_inputs(spark: SparkSession, paths: list[str]) -> list[str]:
     """Data files behind ``paths``, in list order; a directory gives its files by name.
 
-    A path listed twice counts once. A path that is absent raises before anything is read.
+    A path may be a pattern, unless a file has just that name. One listed twice counts once; one that
+    is absent raises before anything is read. The result can be given to a reader: characters it takes
+    for a pattern are escaped.
     """
+    jvm = spark._jvm
     ordered: dict[str, None] = {}
     for path in dict.fromkeys(paths):
-        for uri in sorted(spark.read.text(path).inputFiles()):
-            ordered.setdefault(comparable_uri(uri))
+        for uri in sorted(spark.read.text(_literal(path) if exists(spark, path) else path).inputFiles()):
+            ordered.setdefault(_literal(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()))
     return list(ordered)
 
 
+def plain_path(path: str) -> str:
+    """A path from :func:`list_inputs` without escapes."""
+    return re.sub(r"\\(?=" + _PATTERN_CHARACTERS + ")", "", path)
+
+
+def file_uri(spark: SparkSession, path: str) -> str:
+    """A path from :func:`list_inputs` as ``input_file_name()`` spells it."""
+    return comparable_uri(spark._jvm.org.apache.hadoop.fs.Path(plain_path(path)).toUri().toString())
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
     The place comes from ``spark.checkpoint.dir``. Only a local session without that setting
-    falls back to a fresh temporary folder; on a cluster this would not be shared, so it raises.
+    falls back to a temporary folder; on a cluster this would not be shared, so it raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsheaf.plans.files import list_inputs, materialise
+from rowsheaf.plans.files import file_uri, list_inputs, materialise
 from rowsheaf.sources.lines import raw_lines
 from rowsheaf.sources.tables import scan_csv
 
@@ -58,14 +58,14 @@ def encoding_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
     for the multi-byte decoders, and only their lines beyond ASCII are handed to Python.
     """
     files = list_inputs(spark, paths)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///").alias("path")
+    uri = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///").alias("uri")
     raw = F.col("value").cast("binary")
     head = F.lower(F.hex(F.substring(raw, 1, 3)))
     marked = F.lit(None).cast("string")
     for mark, encoding in reversed(BOM_ENCODINGS):
         marked = F.when(head.startswith(mark), encoding).otherwise(marked)
     lines = raw_lines(spark, files).select(
-        path,
+        uri,
         F.is_valid_utf8("value").alias("utf8"),
         (F.octet_length("value") + F.lit(1)).cast("long").alias("n_bytes"),
         F.col("_metadata.file_size").alias("size"),
@@ -74,7 +74,7 @@ def encoding_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("pos"),
         (F.col("_metadata.file_block_start") == 0).alias("first_split"),
     )
-    first = lines.groupBy("path").agg(
+    first = lines.groupBy("uri").agg(
         F.bool_and("utf8").alias("utf8"),
         (F.max("size") - F.sum("n_bytes")).alias("unread"),
         F.min(F.when(F.col("first_split"), F.struct("pos", "mark"))).alias("top"),
@@ -84,22 +84,24 @@ def encoding_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
     plain = ~F.col("path").rlike(COMPRESSED)
     skipped_mark = plain & F.col("unread").isin(UTF8_BOM_BYTES, UTF8_BOM_BYTES - 1)
     found = F.coalesce(F.when(skipped_mark, "utf-8-sig"), F.col("top.mark"), F.when(F.coalesce("utf8", F.lit(True)), "utf-8"))
-    listed = spark.createDataFrame([(f,) for f in files], "path string")
+    listed = spark.createDataFrame([(f, file_uri(spark, f)) for f in files], "path string, uri string")
     # An empty file has no line to judge by; it counts as UTF-8.
-    settled = materialise(listed.join(first, "path", "left").select("path", found.alias("encoding")), "encodings")
+    settled = materialise(listed.join(first, "uri", "left").select("path", "uri", found.alias("encoding")), "encodings")
     # The driver already holds the list of files; this is the part of it still open.
     open_files = [r["path"] for r in settled.where("encoding IS NULL").select("path").collect()]
+    done = settled.where("encoding IS NOT NULL").select("path", "encoding")
     if not open_files:
-        return settled
+        return done
     beyond_ascii = raw_lines(spark, open_files).where(~F.is_valid_utf8("value") | F.col("value").rlike(r"[^\x00-\x7f]"))
     tests = beyond_ascii.select(
-        path, *[_decodes(e)(F.col("value").cast("binary")).alias(e) for e in STRICT_ENCODINGS[1:-1]]
+        uri, *[_decodes(e)(F.col("value").cast("binary")).alias(e) for e in STRICT_ENCODINGS[1:-1]]
     )
-    fits = tests.groupBy("path").agg(*[F.bool_and(F.col(f"`{e}`")).alias(e) for e in STRICT_ENCODINGS[1:-1]])
+    fits = tests.groupBy("uri").agg(*[F.bool_and(F.col(f"`{e}`")).alias(e) for e in STRICT_ENCODINGS[1:-1]])
     choice = F.lit(STRICT_ENCODINGS[-1])  # accepts every byte
     for e in reversed(STRICT_ENCODINGS[1:-1]):
         choice = F.when(F.col(f"`{e}`"), e).otherwise(choice)
-    return settled.where("encoding IS NOT NULL").unionByName(fits.select("path", choice.alias("encoding")))
+    decided = settled.where("encoding IS NULL").drop("encoding").join(fits.withColumn("encoding", choice), "uri")
+    return done.unionByName(decided.select("path", "encoding"))
 
 
 def scan_encoded(

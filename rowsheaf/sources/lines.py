@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsheaf.plans.files import estimated_bytes, list_inputs
+from rowsheaf.plans.files import estimated_bytes, file_uri, list_inputs
 from rowsheaf.plans.numbering import (
     CHUNK,
     CHUNK_BASE,
@@ -84,7 +84,9 @@ def file_key() -> Column:
 
 def with_chunk_numbers(splits: DataFrame, files: list[str]) -> DataFrame:
     """``splits`` (with ``file_key`` and ``block_start``) with :data:`CHUNK`: list order, then file order."""
-    order = splits.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, file_idx long")
+    spark = splits.sparkSession
+    listed = [(file_uri(spark, f), i) for i, f in enumerate(files)]
+    order = spark.createDataFrame(listed, "file string, file_idx long")
     order = order.select(file_key().alias("file_key"), "file_idx")
     chunk = F.lit(CHUNK_BASE) + F.col("file_idx") * F.lit(FILE_STRIDE) + whole(F.col("block_start"), START_UNIT)
     return splits.join(broadcast_if(order, len(files)), "file_key").withColumn(CHUNK, chunk).drop("file_idx")
