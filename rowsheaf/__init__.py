@@ -22,6 +22,7 @@ from rowsheaf.operators.split import (
     split_table_to_csv,
     write_parts,
 )
+from rowsheaf.plans.files import drop_scratch
 from rowsheaf.session import build_session
 from rowsheaf.sinks.csv import read_export, write_csv
 from rowsheaf.sources.encoding import encoding_profile, group_by_encoding, scan_encoded
@@ -40,6 +41,7 @@ __all__ = [
     "count_matches",
     "count_rows",
     "describe_columns",
+    "drop_scratch",
     "encoding_profile",
     "extract",
     "extract_to_csv",

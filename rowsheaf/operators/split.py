@@ -26,6 +26,7 @@ from rowsheaf.plans.numbering import (
 from rowsheaf.sinks.csv import csv_line, header_text
 from rowsheaf.sources.inventory import file_inventory
 from rowsheaf.sources.lines import header_line, order_lines
+from rowsheaf.sources.tables import quoted
 
 # Fixed values
 PART_NAME = "%s_%04d.csv"
@@ -228,6 +229,8 @@ def split_table_to_csv(
     unique: bool = False,
 ) -> SplitResult:
     """Split a table into CSV parts; a record with quoted line ends is never cut."""
-    lines = df.select("*", csv_line(df).alias("_line"))
+    # The line says all about a row; beside it only the order's own columns have to be staged.
+    kept = list(dict.fromkeys(order_by)) if all(isinstance(k, str) for k in order_by) else df.columns
+    lines = df.select(*[quoted(c) for c in kept], csv_line(df).alias("_line"))
     split = split_table(lines, by, n, order_by, F.col("_line"), unique)
     return write_parts(split, out, header_text(df.columns), prefix, value="_line", layout=layout)

@@ -76,18 +76,27 @@ def file_uri(spark: SparkSession, path: str) -> str:
     return comparable_uri(spark._jvm.org.apache.hadoop.fs.Path(plain_path(path)).toUri().toString())
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
-
-    The place comes from ``spark.checkpoint.dir``. Only a local session without that setting
-    falls back to a temporary folder; on a cluster this would not be shared, so it raises.
-    """
+def _scratch_root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.gettempdir()
-    return os.path.join(base, "rowsheaf", f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(base, "rowsheaf", spark.sparkContext.applicationId)
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder for this application under the cluster's shared checkpoint folder.
+
+    The place comes from ``spark.checkpoint.dir``. Only a local session without that setting
+    falls back to a temporary folder; on a cluster this would not be shared, so it raises.
+    """
+    return os.path.join(_scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Drop all scratch tables of this application; results not yet written depend on them."""
+    delete_tree(spark, _scratch_root(spark))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from rowsheaf.plans.files import exists, hadoop_path
+from rowsheaf.plans.files import delete_tree, exists, hadoop_path
 
-BATCH = "batch_id"
+BATCH, SNAPSHOT = "batch_id", "snapshot"
 
 
 class VersionedTable:
@@ -16,50 +16,63 @@ class VersionedTable:
 
     A batch is written with overwrite of its own folder, so replaying it changes nothing. With
     ``keys`` the batches hold changed rows and the newest row of each key counts; without, each batch
-    is the whole result and the newest batch counts.
+    is the whole result and the newest batch counts. After ``keep`` batches they are compacted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str] | None = None):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, path: str, keys: list[str] | None = None, keep: int = 100):
+        self.spark, self.path, self.keys, self.keep = spark, path.rstrip("/"), keys, keep
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch_id}")
+        if len(self.batches()) > self.keep:
+            self.compact()
 
-    def batches(self) -> list[int]:
-        """Completed batches; one that was cut off has no success mark and is written again."""
+    def _complete(self, kind: str) -> list[int]:
+        """Numbers of the ``kind=`` folders whose write was finished; the others are written again."""
         if not exists(self.spark, self.path):
             return []
         fs, root = hadoop_path(self.spark, self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        ids = [int(n.split("=")[1]) for n in names if n.startswith(f"{BATCH}=")]
-        return sorted(i for i in ids if exists(self.spark, f"{self.path}/{BATCH}={i}/_SUCCESS"))
+        names = [s.getPath().getName().partition("=") for s in fs.listStatus(root)]
+        numbers = [int(number) for found, _, number in names if found == kind]
+        return sorted(n for n in numbers if exists(self.spark, f"{self.path}/{kind}={n}/_SUCCESS"))
+
+    def batches(self) -> list[int]:
+        """Batches that count: finished, and not yet part of a snapshot."""
+        whole = self._complete(SNAPSHOT)
+        return [n for n in self._complete(BATCH) if not whole or n > whole[-1]]
 
     def read(self) -> DataFrame:
-        done = self.batches()
-        if not done:
+        batches, whole = self.batches(), self._complete(SNAPSHOT)[-1:]
+        if not batches and not whole:
             raise FileNotFoundError(f"no batch in {self.path}")
-        reader = self.spark.read.option("basePath", self.path)
         if self.keys is None:
-            return reader.parquet(f"{self.path}/{BATCH}={done[-1]}").drop(BATCH)
-        log = reader.parquet(*[f"{self.path}/{BATCH}={i}" for i in done])
-        values = [c for c in log.columns if c not in (BATCH, *self.keys)]
-        newest = log.groupBy(*self.keys).agg(F.max_by(F.struct(*values), BATCH).alias("_v"))
+            return self.spark.read.parquet(f"{self.path}/{BATCH}={batches[-1]}")
+        folders = [(n, SNAPSHOT) for n in whole] + [(n, BATCH) for n in batches]
+        schema = self.spark.read.parquet(f"{self.path}/{folders[-1][1]}={folders[-1][0]}").schema
+        log = self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}={n}" for n, kind in folders])
+        version = F.regexp_extract(F.col("_metadata.file_path"), f"(?:{BATCH}|{SNAPSHOT})=([0-9]+)/[^/]*$", 1)
+        values = [c for c in schema.names if c not in self.keys]
+        newest = log.withColumn("_version", version.cast("long")).groupBy(*self.keys)
+        newest = newest.agg(F.max_by(F.struct(*values), "_version").alias("_v"))
         return newest.select(*self.keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
     def compact(self) -> None:
-        """Rewrite the newest batch as the whole table and drop the older ones."""
-        done = self.batches()
-        if self.keys is not None and len(done) > 1:
-            whole = self.read()
-            fs, _ = hadoop_path(self.spark, self.path)
-            path = self.spark._jvm.org.apache.hadoop.fs.Path
-            merged, last = path(f"{self.path}/_compact"), path(f"{self.path}/{BATCH}={done[-1]}")
-            whole.write.mode("overwrite").parquet(f"{self.path}/_compact")
-            fs.delete(last, True)
-            fs.rename(merged, last)
-        fs, _ = hadoop_path(self.spark, self.path)
-        for i in done[:-1]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{BATCH}={i}"), True)
+        """Fold the batches into a snapshot (or keep only the newest whole result), then drop them.
+
+        Nothing is dropped before what replaces it is complete, so an interrupted run can be repeated.
+        """
+        batches = self.batches()
+        if not batches:
+            return
+        last = batches[-1]
+        if self.keys is not None:
+            self.read().write.mode("overwrite").parquet(f"{self.path}/{SNAPSHOT}={last}")
+            outdated = [(BATCH, n) for n in self._complete(BATCH) if n <= last]
+            outdated += [(SNAPSHOT, n) for n in self._complete(SNAPSHOT) if n < last]
+        else:
+            outdated = [(BATCH, n) for n in batches[:-1]]
+        for kind, n in outdated:
+            delete_tree(self.spark, f"{self.path}/{kind}={n}")
 
     def follow(
         self, stream: DataFrame, checkpoint: str, mode: str, every: str | None = None

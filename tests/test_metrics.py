@@ -152,8 +152,22 @@ def test_counter_follows_and_survives_replay(spark, event_folder, tmp_path):
     assert sorted(map(tuple, table.read().collect())) == expected
 
     table.compact()
-    assert table.batches() == [done[-1]]
+    assert table.batches() == [] and len(os.listdir(table.path)) == 1
     assert sorted(map(tuple, table.read().collect())) == expected
+    table.write(spark.createDataFrame([("b", 77, None, None)], table.read().schema), done[-1] + 1)
+    assert {r["key"]: r["download_count"] for r in table.read().collect()} == {"a": 3, "b": 77}
+
+
+def test_table_compacts_itself(spark, tmp_path):
+    log = VersionedTable(spark, str(tmp_path / "log"), keys=["k"], keep=3)
+    whole = VersionedTable(spark, str(tmp_path / "whole"), keep=3)
+    for i in range(9):
+        log.write(spark.createDataFrame([(i % 2, i), (100 + i, i)], "k int, v int"), i)
+        whole.write(spark.range(i), i)
+        assert len(log.batches()) <= 3 and len(whole.batches()) <= 3
+    expected = {0: 8, 1: 7, **{100 + i: i for i in range(9)}}
+    assert {r["k"]: r["v"] for r in log.read().collect()} == expected
+    assert whole.read().count() == 8
 
 
 def test_unfinished_batch_is_not_read(spark, tmp_path):
