@@ -64,8 +64,8 @@ def describe_columns(df: DataFrame) -> DataFrame:
 def column_profile(spark: SparkSession, path: str, sample_rows: int | None = TYPE_SAMPLE_ROWS, **scan) -> DataFrame:
     """:func:`describe_columns` of a CSV file, with its ``total_rows`` and ``size_mb`` on each row."""
     df = scan_csv(spark, path, sample_rows=sample_rows, **scan)
-    total = df.select(F.lit(1)).agg(F.count("*").alias("total_rows"))
-    size = file_inventory(spark, [path]).agg((F.sum("size") / (1024.0 * 1024.0)).alias("size_mb"))
-    # Both are one-row aggregates: the join is with a single row, whatever the file's size.
-    facts = F.broadcast(total.withColumn("_k", F.lit(1)).join(F.broadcast(size.withColumn("_k", F.lit(1))), "_k"))
-    return describe_columns(df).withColumn("_k", F.lit(1)).join(facts, "_k").drop("_k")
+    total = df.select(F.lit(1)).agg(F.count("*")).first()[0]
+    size = file_inventory(spark, [path]).agg(F.sum("size")).first()[0] or 0
+    return describe_columns(df).select(
+        "*", F.lit(total).cast("long").alias("total_rows"), F.lit(size / (1024 * 1024)).alias("size_mb")
+    )

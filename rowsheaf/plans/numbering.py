@@ -126,22 +126,25 @@ def order_chunks(
 
 
 def _find(rows: DataFrame, ordered: Ordered, chunks: DataFrame, n: int, columns: list[str]) -> DataFrame:
-    """``rows`` with ``columns`` of their chunk; a row not in the chunk its key stood for raises."""
+    """``rows`` with ``columns`` of their chunk; a row not in the chunk its key stood for raises.
+
+    Each column is checked by itself, so the check stays whichever of them is used in the end.
+    """
     there = chunks.withColumnsRenamed({c: f"_{c}_then" for c in ordered.same})
     joined = rows.join(broadcast_if(there, n), KEY, "left")
     found = F.col(CHUNK).isNotNull()
     for c in ordered.same:
         found &= F.col(c) == F.col(f"_{c}_then")
-    lost = F.raise_error(F.lit("the input changed between two scans")).cast("long")
-    checked = F.when(F.coalesce(found, F.lit(False)), F.col(CHUNK)).otherwise(lost)
+    lost = F.raise_error(F.lit("the input changed between two scans"))
+    checked = [F.when(F.coalesce(found, F.lit(False)), F.col(c)).otherwise(lost).alias(c) for c in columns]
     kept = [c for c in rows.columns if c not in ordered.same]
-    return joined.select(*kept, checked.alias(CHUNK), *columns)
+    return joined.select(*kept, *checked)
 
 
 def with_row_numbers(ordered: Ordered) -> DataFrame:
     """``rows`` with :data:`CHUNK` and :data:`ROW`."""
     starts = ordered.starts.drop("n_rows", "start_bytes")
-    found = _find(ordered.rows, ordered, starts, ordered.n_chunks, ["start_row"])
+    found = _find(ordered.rows, ordered, starts, ordered.n_chunks, [CHUNK, "start_row"])
     return found.withColumn(ROW, F.col("start_row") + F.col(PLACE) + 1).drop("start_row", KEY)
 
 
@@ -179,7 +182,7 @@ def with_grid_parts(ordered: Ordered, target: int) -> tuple[DataFrame, DataFrame
     chunks = ordered.starts.drop("start_row", "start_bytes")
     n_rows = F.sum("rows").alias("rows")
     if ordered.total_bytes > target * CUTS_PER_CHUNK * max(ordered.n_chunks, 1):
-        found = _find(ordered.rows, ordered, chunks, ordered.n_chunks, [])
+        found = _find(ordered.rows, ordered, chunks, ordered.n_chunks, [CHUNK])
         rows = _row_offsets(found, blocks).withColumn("part", cell(F.col("_row_offset"))).drop("_row_offset", KEY)
         return rows, rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -192,7 +195,7 @@ def with_grid_parts(ordered: Ordered, target: int) -> tuple[DataFrame, DataFrame
     part_starts = heads.unionByName(inside).groupBy(KEY, "part").agg(F.min(PLACE).alias("at"))
     cuts = part_starts.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("_cuts"))
     cuts = materialise(chunks.join(cuts, KEY), "cuts")
-    found = _find(ordered.rows, ordered, cuts, ordered.n_chunks + n_parts, ["_cuts"])
+    found = _find(ordered.rows, ordered, cuts, ordered.n_chunks + n_parts, [CHUNK, "_cuts"])
     started = F.filter("_cuts", lambda cut: cut["at"] <= F.col(PLACE))
     rows = found.withColumn("part", F.element_at(started, -1)["part"]).drop("_cuts", KEY)
 

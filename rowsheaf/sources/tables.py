@@ -51,7 +51,8 @@ def infer_types(df: DataFrame, sample_rows: int | None = TYPE_SAMPLE_ROWS) -> T.
 
     NULL fits every type; a column of NULLs only is text, and so is a time of day.
     """
-    sample = df if sample_rows is None else df.limit(sample_rows)
+    # A limit inside a plan runs every task; taking the first rows reads as few splits as it needs.
+    sample = df if sample_rows is None else df.sparkSession.createDataFrame(df.take(sample_rows), df.schema)
     tests = []
     for i, name in enumerate(df.columns):
         c = F.col(f"`{name.replace('`', '``')}`")

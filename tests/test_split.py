@@ -1,3 +1,4 @@
+import dataclasses
 import os
 import random
 
@@ -144,6 +145,17 @@ def test_split_then_merge_gives_the_input(spark, ten, tmp_path):
     assert "".join(files_in_order(merged)) == open(ten).read()
 
 
+@pytest.mark.parametrize("changed", ["block_start", "file_key"])
+def test_rows_of_an_unknown_split_raise(spark, ten, changed):
+    ordered = order_lines(spark, [ten])
+    moved = dataclasses.replace(ordered, starts=ordered.starts.withColumn(changed, F.col(changed) + 1024))
+    for wrong in (moved, dataclasses.replace(ordered, starts=ordered.starts.where("false"))):
+        with pytest.raises(Exception, match="changed between two scans"):
+            numbering.with_row_numbers(wrong).select(numbering.ROW).collect()
+        with pytest.raises(Exception, match="changed between two scans"):
+            assign_parts(wrong, "rows", 3).rows.select("part").collect()
+
+
 def test_hot_key_spreads(spark):
     """A third of all rows share one key, and half of those are copies of one row."""
     df = spark.range(30_000).select(
