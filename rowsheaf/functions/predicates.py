@@ -90,6 +90,19 @@ def _pushable_range(c: Column, dtype: T.DataType, number: float) -> Column | Non
     return None
 
 
+def _text_match(c: Column, dtype: T.DataType, text: str) -> Column:
+    """Normalised text equals ``text`` (NULL counts as blank), behind a plain test that scans can use.
+
+    Normalising changes only values with a tab, a line feed or a space at an end; all others have to
+    be ``text`` as they are. Most rows fail this first, before their text is rewritten.
+    """
+    exact = normalised_text(c) == text
+    as_it_is = (c == text) | c.contains("\t") | c.contains("\n") | c.startswith(" ") | c.endswith(" ")
+    if text == "":
+        exact, as_it_is = c.isNull() | exact, c.isNull() | as_it_is
+    return as_it_is & exact if isinstance(dtype, T.StringType) else exact
+
+
 def match(c: Column, dtype: T.DataType, value: object, precision: str = "float32") -> Column:
     """Predicate for rows of ``c`` that match ``value``.
 
@@ -100,10 +113,10 @@ def match(c: Column, dtype: T.DataType, value: object, precision: str = "float32
     text = clean_search_value(value)
     numeric = isinstance(dtype, (*_INTEGERS, *_FLOATS))
     if text == "":
-        return c.isNull() | ((c == 0) if numeric else (normalised_text(c) == ""))
+        return (c.isNull() | (c == 0)) if numeric else _text_match(c, dtype, "")
     number = parse_number(text)
     if number is None:
-        return _as_text(c, dtype) == text if numeric else normalised_text(c) == text
+        return _as_text(c, dtype) == text if numeric else _text_match(c, dtype, text)
     single = precision == "float32" and abs(number) <= float(np.finfo(np.float32).max)
     to = "float" if single else "double"
     stored, wanted = _as_number(c, dtype, to), F.lit(number).cast(to)
