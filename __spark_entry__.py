@@ -163,7 +163,7 @@ def _encoded_events(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     for kind, encoding in _ENCODINGS.items():
         charset = {"utf-16-le": "UTF-16LE", "utf-8-sig": "UTF-8"}.get(encoding, encoding.upper())
         part = events.where(F.col("event_type") == kind).withColumn("mark", F.lit(_MARKS[kind]))
-        name = "﻿event_id" if encoding in ("utf-8-sig", "utf-16-le") else "event_id"
+        name = "\ufeffevent_id" if encoding in ("utf-8-sig", "utf-16-le") else "event_id"
         folders[kind] = scratch_dir(spark, f"encoded-{kind}")
         writer = part.withColumnRenamed("event_id", name).write.option("encoding", charset).option("header", True)
         writer.csv(folders[kind])
@@ -181,7 +181,10 @@ def encoding_profile_kinds(spark, sf_dir):
     return encoding_profile(spark, list(folders.values())).select(kind.alias("event_type"), "encoding").distinct()
 
 
-@_query("SELECT event_id, user_id, event_type, value, CASE event_type WHEN 'purchase' THEN '编号🙂' ELSE '编号' END AS mark FROM events")
+@_query(
+    """SELECT event_id, user_id, event_type, value, CASE event_type WHEN 'purchase' THEN '编号🙂' ELSE '编号' END AS mark
+    FROM events"""
+)
 def transcode_gbk(spark, sf_dir):
     folders = _encoded_events(spark, sf_dir)
     schema = T.StructType([*_events(spark, sf_dir).schema.fields, T.StructField("mark", T.StringType())])
@@ -211,6 +214,12 @@ def merge_keep_header(spark, sf_dir):
     return scan_csv(spark, out).select(*EVENT_COLUMNS)
 
 
+@_query(ROUNDTRIP_SQL)
+def merge_by_position(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    return merge_tables(spark, _events_in_three(spark, sf_dir), events.schema)
+
+
 @_query(ROUNDTRIP_SQL)
 def merge_no_header(spark, sf_dir):
     out = scratch_dir(spark, "merged")
@@ -306,6 +315,16 @@ def split_roundtrip(spark, sf_dir):
     return scan_csv(spark, out).select(*EVENT_COLUMNS)
 
 
+@_query("SELECT o_orderkey || ',' || o_orderpriority AS line FROM orders")
+def split_folders(spark, sf_dir):
+    """The layout without a shuffle: each part's folder has its header once, in its first file."""
+    out = scratch_dir(spark, "folders")
+    path = _export(_order_lines(spark, sf_dir), "to-split")
+    split_file(spark, path, out, "bytes", 65536, layout="folders")
+    lines = spark.read.option("recursiveFileLookup", True).text(out)
+    return lines.where("value <> 'o_orderkey,o_orderpriority'").select(F.col("value").alias("line"))
+
+
 @_query(
     """WITH n AS (SELECT CAST(ceil(count(*) / 5.0) AS BIGINT) AS k FROM documents),
     r AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)
@@ -337,7 +356,10 @@ def split_lines_bytes(spark, sf_dir):
 # ---------------------------------------------------------------- extract
 
 
-@_query("SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount IS NULL OR l_discount = 0 OR l_discount = 0.0")
+@_query(
+    """SELECT l_orderkey, l_linenumber, l_discount FROM lineitem
+    WHERE l_discount IS NULL OR l_discount = 0 OR l_discount = 0.0"""
+)
 def extract_empty_numeric(spark, sf_dir):
     return extract(_table(spark, sf_dir, "lineitem"), "l_discount", "").select("l_orderkey", "l_linenumber", "l_discount")
 
@@ -559,7 +581,10 @@ def _follow_windows(spark: SparkSession, windows: DataFrame, label: str) -> Data
     return table.read()
 
 
-@_query("SELECT m AS window_start, count(*) AS n FROM (SELECT unnest([date_trunc('minute', ts) - to_minutes(i) FOR i IN range(5)]) AS m FROM events) GROUP BY 1")
+@_query(
+    """SELECT m AS window_start, count(*) AS n FROM (SELECT unnest([date_trunc('minute', ts) - to_minutes(i)
+    FOR i IN range(5)]) AS m FROM events) GROUP BY 1"""
+)
 def stream_rate_5m(spark, sf_dir):
     return _follow_windows(spark, live.moving_rate(_stream(spark, sf_dir), "ts"), "rate")
 

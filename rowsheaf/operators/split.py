@@ -158,7 +158,8 @@ def write_parts(
 
     ``layout="files"`` puts one file per part at ``out/prefix_0001.csv``: one shuffle by part, the
     parts spread evenly over the tasks. ``"folders"`` writes without a shuffle, each task its own
-    stretch of rows, to ``out/part=1/chunk=.../``; the files of a part's folder, taken by path, are the part. ``"auto"`` takes files while a part fits a task and there are not too many.
+    stretch of rows, to ``out/part=1/chunk=.../``; the files of a part's folder, taken by path, are the
+    part. ``"auto"`` takes files while a part fits a task and there are not too many.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout: {layout}")

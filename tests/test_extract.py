@@ -105,6 +105,30 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<id:bigint>" in count_matches(df, "id", "7")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_absent_text_reads_no_rows(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(5000).selectExpr("id", "concat('kind-', id % 7) AS kind").coalesce(1).write.parquet(path)
+    for value, scanned in (("kind-9", 0), ("kind-3", 5000)):
+        found = extract(spark.read.parquet(path), "kind", value)
+        assert len(found.collect()) == (714 if scanned else 0)
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        assert scan.metrics().get("numOutputRows").get().value() == scanned
+
+
+@pytest.mark.parametrize("value", ["", "ab", "a b", "b"])
+def test_plain_test_loses_no_text(spark, value):
+    """Every way to pad a text with tabs, line feeds and spaces, and what does not count as padding."""
+    pads = ["", " ", "\t", "\n", " \t ", "\r", "\u3000", "  \n"]
+    texts = [None, *{p + core + q for core in ("", "ab", "a\tb", "a b", "a\nb", "b", "x") for p in pads for q in pads}]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+
+    def hit(s):
+        plain = None if s is None else s.replace("\t", "").replace("\n", "").strip(" ")
+        return plain == value or (value == "" and s is None)
+
+    assert _ids(df, "s", value) == [i for i, s in enumerate(texts) if hit(s)]
+
+
 def test_unknown_column_and_precision(mixed):
     with pytest.raises(KeyError):
         extract(mixed, "nope", "1")
@@ -121,7 +145,7 @@ def test_extract_to_csv(spark, mixed, tmp_path):
     out = str(tmp_path / "out")
     result = extract_to_csv(mixed, "s", "ab", out)
     assert (result.rows, result.path) == (2, out)
-    assert all(t.startswith("﻿id,") for t in files_in_order(out))
+    assert all(t.startswith("\ufeffid,") for t in files_in_order(out))
     assert scan_csv(spark, out, multi_line=True).columns == ["id", "i", "f", "s"]
 
 

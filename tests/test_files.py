@@ -220,7 +220,9 @@ def test_any_suffix_and_separator(spark, write):
 def test_types(spark, write):
     path = write(
         "types.csv",
-        "i,f,k,d,t,c,s,n\n1,1.5,true,2024-01-02,2024-01-02 03:04:05,10:00:00,x,\n007,2,False,2024-01-03,2024-01-02 03:04:05.5,11:30:00,,\n",
+        "i,f,k,d,t,c,s,n\n"
+        "1,1.5,true,2024-01-02,2024-01-02 03:04:05,10:00:00,x,\n"
+        "007,2,False,2024-01-03,2024-01-02 03:04:05.5,11:30:00,,\n",
     )
     df = scan_csv(spark, path)
     types = [t for _, t in df.dtypes]
@@ -253,7 +255,7 @@ def test_csv_export_text(spark, tmp_path):
 def test_bom_once_per_file_and_gone_on_read(spark, tmp_path):
     out = str(tmp_path / "o")
     write_csv(spark.range(4).toDF("编号").repartition(2), out, bom=True)
-    assert all(t.startswith("﻿编号\n") for t in files_in_order(out))
+    assert all(t.startswith("\ufeff编号\n") for t in files_in_order(out))
     assert scan_csv(spark, out).columns == ["编号"]
 
 

@@ -115,6 +115,21 @@ def test_windows_equal_the_batch(spark, event_folder, tmp_path, files_per_batch)
         assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, expected.collect())), name
 
 
+def test_windows_by_changes_only(spark, tmp_path):
+    """Update mode keeps one row per window, from the changed windows of each batch."""
+    path = str(tmp_path / "events")
+    batches = [STAMPS[:3], STAMPS[3:6], STAMPS[6:]]
+    schema = _log(spark, STAMPS).schema
+    table = VersionedTable(spark, str(tmp_path / "t"), keys=["window_start"], keep=2)
+    for i, stamps in enumerate(batches):
+        _log(spark, stamps, first=1 + 10 * i).coalesce(1).write.mode("append").parquet(path)
+        stream = live.hourly(live.read_events(spark, path, schema))
+        table.follow(stream, str(tmp_path / "cp"), "update").awaitTermination()
+    hour = F.date_trunc("hour", "created_at").cast("timestamp_ntz")
+    expected = spark.read.parquet(path).groupBy(hour).count()
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, expected.collect()))
+
+
 def test_metrics_follow_new_events(spark, event_folder, tmp_path):
     schema = spark.read.parquet(event_folder).schema
     tables = live.MetricTables(spark, str(tmp_path / "m"))
@@ -148,7 +163,7 @@ def test_counter_follows_and_survives_replay(spark, event_folder, tmp_path):
     assert len(done) > 1
 
     last = spark.read.parquet(f"{table.path}/batch_id={done[-1]}").collect()
-    table.write(spark.createDataFrame(last, "key string, download_count bigint, created_at timestamp_ntz, updated_at timestamp_ntz"), done[-1])
+    table.write(spark.createDataFrame(last, table.read().schema), done[-1])
     assert sorted(map(tuple, table.read().collect())) == expected
 
     table.compact()

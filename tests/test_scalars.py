@@ -10,7 +10,7 @@ def _apply(spark, values, fn):
 
 
 def test_clean_value(spark):
-    values = [None, "", " a\t\r\nb ", "　x ", "\x1fy", "a b"]
+    values = [None, "", " a\t\r\nb ", "\u3000x ", "\x1fy", "a b"]
     assert _apply(spark, values, clean_value) == ["", "", "ab", "x", "y", "a b"]
 
 
@@ -39,7 +39,7 @@ def test_format_file_size(spark, size, text):
 
 
 def test_clean_column_name(spark):
-    df = spark.createDataFrame([(1, " a b "), (2, "'q'"), (3, "  "), (4, None), (5, "a　\tb")], "pos int, name string")
+    df = spark.createDataFrame([(1, " a b "), (2, "'q'"), (3, "  "), (4, None), (5, "a\u3000\tb")], "pos int, name string")
     rows = df.select("pos", clean_column_name("name", "pos").alias("c")).orderBy("pos").collect()
     assert [r["c"] for r in rows] == ["ab", "q", "列_3", "", "ab"]
 
