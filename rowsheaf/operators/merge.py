@@ -16,9 +16,10 @@ from rowsheaf.plans.files import (
     hadoop_path,
     list_inputs,
     plain_path,
+    size_setting,
     stored_bytes,
 )
-from rowsheaf.plans.numbering import CHUNK, CHUNK_BASE, ROW, with_row_numbers
+from rowsheaf.plans.numbering import CHUNK, CHUNK_BASE, ROW, place_in_task, with_row_numbers
 from rowsheaf.sinks.csv import write_csv
 from rowsheaf.sources.encoding import SPARK_CHARSETS, encoding_profile, group_by_encoding, scan_encoded
 from rowsheaf.sources.lines import (
@@ -34,6 +35,9 @@ from rowsheaf.sources.tables import header_names, scan_csv, text_schema
 
 HEADERS = ("each", "first", "none")
 
+# With more input files than this to a full-sized output file, lines are brought together.
+SMALL_FILES_PER_OUTPUT = 16
+
 
 @dataclass(frozen=True)
 class MergeResult:
@@ -115,9 +119,10 @@ def write_merged_lines(
 
     Map-only: each file split is written by the task that reads it, under a ``chunk=`` folder named
     by file and split, so order costs a local sort and no shuffle. Without ``ordered`` there is not even
-    that, and no order. ``header="each"`` starts every file with the first input's header, so that the
-    folder reads as CSV; ``"first"`` has it once, so that the concatenated files are the merged file;
-    ``"none"`` drops it.
+    that, and no order. Only where files are many and small are their lines brought together, by a
+    range shuffle over their places, into ordered files of the usual size. ``header="each"`` starts every
+    file with the first input's header, so that the folder reads as CSV; ``"first"`` has it once, so that
+    the concatenated files are the merged file; ``"none"`` drops it.
     """
     if header not in HEADERS:
         raise ValueError(f"unknown header mode: {header}")
@@ -125,26 +130,34 @@ def write_merged_lines(
     files = list_inputs(spark, paths)
     _refuse_own_input(spark, files, out)
     head = header_line(spark, files[0]) if header != "none" else None
-    value = F.col("value")
-    if head is not None and header == "each":
-        # The first data line of a split; one split is one output file.
-        first = F.col("line_no") == first_data_line()
-        value = F.when(first, F.concat(F.lit(head + "\n"), value)).otherwise(value)
+    full_files = -(-estimated_bytes(raw_lines(spark, files)) // size_setting(spark, "spark.sql.files.maxPartitionBytes"))
+    compact = len(files) > SMALL_FILES_PER_OUTPUT * max(full_files, 1)
     rows = merge_lines(spark, files)
-    if ordered:
+    # The first data line of a split; one split is one output file.
+    first = F.col("line_no") == first_data_line()
+    if ordered or compact:
         rows = with_chunk_numbers(rows.withColumn("file_key", file_key()), files)
     else:
         rows = rows.withColumn(CHUNK, F.lit(CHUNK_BASE))
+    if compact:
+        place = [CHUNK, "line_no"]
+        rows = rows.repartitionByRange(max(full_files, 1), *place).sortWithinPartitions(*place)
+        first = place_in_task() == 0
+    value = F.col("value")
+    if head is not None and header == "each":
+        value = F.when(first, F.concat(F.lit(head + "\n"), value)).otherwise(value)
     rows = rows.select(CHUNK, "line_no", value.alias("value"))
-    if head is not None:
-        # A file of its own, before every split, so that a merge without rows still has its header.
-        top = spark.createDataFrame([(CHUNK_BASE - 1, 0, head)], f"{CHUNK} long, line_no long, value string")
-        rows = top.coalesce(1).unionByName(rows)
-    if ordered:
+    top = spark.createDataFrame([(CHUNK_BASE - 1, 0, head)], f"{CHUNK} long, line_no long, value string").coalesce(1)
+    if header == "first" and head is not None:
+        rows = top.unionByName(rows)
+    if ordered and not compact:
         rows = rows.sortWithinPartitions(CHUNK, "line_no").select(F.col(CHUNK).alias("chunk"), "value")
         rows.write.partitionBy("chunk").option("lineSep", "\n").text(out)
     else:
         rows.select("value").write.option("lineSep", "\n").text(out)
+    if header == "each" and head is not None and stored_bytes(spark, out) == 0:
+        # Without a data line no file had a first line to put the header on.
+        top.select("value").write.mode("overwrite").option("lineSep", "\n").text(out)
     return _merge_result(spark, files, out, started)
 
 

@@ -200,16 +200,22 @@ def write_parts(
         placed = rows.sortWithinPartitions("part", CHUNK, PLACE)
         written = placed.select("part", F.col(CHUNK).alias("chunk"), "value").write
         written.partitionBy("part", "chunk").option("lineSep", "\n").text(out)
-    return SplitResult(time.monotonic() - started, _written(spark, sizes, out, prefix, layout), out, layout)
+    return SplitResult(time.monotonic() - started, _written(sizes, rows, out, prefix, layout), out, layout)
 
 
-def _written(spark: SparkSession, sizes: DataFrame, out: str, prefix: str, layout: str) -> DataFrame:
-    """``part, file, rows, bytes`` with the bytes on disk."""
-    listed = file_inventory(spark, [out])
-    number = F.regexp_extract("name", r"_(\d+)\.csv$", 1) if layout == "files" else F.regexp_extract("path", r"/part=(\d+)/", 1)
-    on_disk = listed.groupBy(number.cast("int").alias("part")).agg(F.sum("size").alias("bytes"))
+def _written(sizes: DataFrame, rows: DataFrame, out: str, prefix: str, layout: str) -> DataFrame:
+    """``part, file, rows, bytes`` of what was written, header included.
+
+    Named files are listed. Folders may be too many for that: their bytes are summed when asked for.
+    """
+    if layout == "files":
+        number = F.regexp_extract("name", r"_(\d+)\.csv$", 1).cast("int")
+        listed = file_inventory(rows.sparkSession, [out])
+        per_part = listed.groupBy(number.alias("part")).agg(F.sum("size").alias("bytes"))
+    else:
+        per_part = rows.groupBy("part").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
     named = sizes.withColumn("file", part_file(prefix, F.col("part")))
-    return named.join(on_disk, "part", "left").select("part", "file", "rows", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    return named.join(per_part, "part", "left").select("part", "file", "rows", F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
 def split_file(

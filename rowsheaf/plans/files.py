@@ -130,3 +130,8 @@ def move_files(spark: SparkSession, staged: str, out: str, name_of: Callable[[st
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for ``df``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def size_setting(spark: SparkSession, key: str) -> int:
+    """A session setting such as ``128MB`` in bytes."""
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))

@@ -34,8 +34,9 @@ BLOCK_BITS = 11
 # Beyond this many parts per chunk on average, every row's offset is worked out instead.
 CUTS_PER_CHUNK = 512
 
-# Chunk rows are about 40 bytes; up to this many of them are shipped to every executor.
-BROADCAST_ROWS = 1_000_000
+# Rows about a chunk, part or file are 40 to 100 bytes. Up to this many of them (some 300 MB; 100 TB in
+# splits of 128 MB and parts of 100 MB make 1.8 million) are shipped to every executor.
+BROADCAST_ROWS = 4_000_000
 RANGE_PARTITION_BYTES = 256 << 20
 MAX_RANGE_PARTITIONS = 50_000
 

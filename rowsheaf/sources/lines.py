@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsheaf.plans.files import estimated_bytes, file_uri, list_inputs
+from rowsheaf.plans.files import estimated_bytes, file_uri, list_inputs, size_setting
 from rowsheaf.plans.numbering import (
     CHUNK,
     CHUNK_BASE,
@@ -41,7 +41,7 @@ def _one_split_per_task(spark: SparkSession, files: list[str]) -> SparkSession:
     for key, value in spark.conf.getAll.items():
         if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
             session.conf.set(key, value)
-    largest = _size_setting(spark, "spark.sql.files.maxPartitionBytes")
+    largest = size_setting(spark, "spark.sql.files.maxPartitionBytes")
     even = estimated_bytes(raw_lines(spark, files)) // (spark.sparkContext.defaultParallelism * TASKS_PER_CORE)
     size = max(min(largest, even), min(MIN_SPLIT_BYTES, largest), START_UNIT) // START_UNIT * START_UNIT
     session.conf.set("spark.sql.files.maxPartitionBytes", str(size))
@@ -50,10 +50,6 @@ def _one_split_per_task(spark: SparkSession, files: list[str]) -> SparkSession:
     return session
 
 
-def _size_setting(spark: SparkSession, key: str) -> int:
-    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
-
-
 def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All lines of the files with their place.
 

@@ -132,6 +132,21 @@ def test_output_over_input_is_refused(spark, write, tmp_path):
         write_merged_table(spark, [path], path)
 
 
+@pytest.mark.parametrize("header", ["each", "first", "none"])
+def test_many_small_files_come_together(spark, write, tmp_path, header):
+    paths = [write(f"small/{i}.csv", f"h{i}\n" + "".join(f"{i}-{j}\n" for j in range(i % 5))) for i in range(40)]
+    expected = [f"{i}-{j}" for i in range(40) for j in range(i % 5)]
+    for ordered in (True, False):
+        out = str(tmp_path / f"o{ordered}")
+        write_merged_lines(spark, paths, out, header=header, ordered=ordered)
+        texts = files_in_order(out)
+        assert len(texts) <= 2
+        lines = "".join(texts).splitlines()
+        assert [x for x in lines if x != "h0"] == expected
+        assert lines.count("h0") == {"each": len(texts), "first": 1, "none": 0}[header]
+        assert header == "none" or lines[0] == "h0"
+
+
 def test_merge_many_splits_keeps_order(spark, write):
     """Files cut into many splits, of many lengths."""
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
