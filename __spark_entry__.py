@@ -634,14 +634,31 @@ def entry(spark: SparkSession) -> DataFrame:
     return read_export(spark, out, orders.schema)
 
 
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data operators and of the pipeline over them, where those are installed."""
+    try:
+        from rowsheaf.llm.queries import ORACLES, QUERIES
+    except ImportError:
+        return {}, {}
+    found, sql = dict(QUERIES), dict(ORACLES)
+    try:
+        import corpus_pipeline
+    except ImportError:
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator."""
-    return dict(_QUERIES)
+    return _QUERIES | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL for each query."""
-    return dict(_ORACLES)
+    return _ORACLES | _training_data()[1]
 
 
 if __name__ == "__main__":
