@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsheaf.llm import byte_bpe, chat_format, language_id, lm_scoring
+from rowsheaf.llm import byte_bpe, chat_format, language_id, lm_scoring, ngram_join
 from rowsheaf.llm.text import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), RANKS, PATTERN, fold=(7, 2))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents"), shingle_words=4, threshold=(17, 20))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), RANKS, PATTERN, ids=False)
 
@@ -51,6 +55,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op5_ngram_join": op5_ngram_join,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op9_chat_format": op9_chat_format,
