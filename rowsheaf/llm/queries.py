@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsheaf.llm import byte_bpe, chat_format, language_id, lm_scoring, ngram_join
+from rowsheaf.llm import (
+    byte_bpe,
+    chat_format,
+    decontamination,
+    language_id,
+    license_scan,
+    line_dedup,
+    lm_scoring,
+    nearest,
+    ngram_join,
+    pii,
+)
 from rowsheaf.llm.text import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +36,19 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), RANKS, PATTERN, fold=(7, 2))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf_dir, "documents"), shingle_words=4, threshold=(17, 20))
 
@@ -40,6 +64,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(
@@ -53,11 +81,26 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_digests(formatted, ["conv_id"])
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    "op1_lm_scoring": op1_lm_scoring,
-    "op5_ngram_join": op5_ngram_join,
-    "op6_byte_bpe": op6_byte_bpe,
-    "op7_language_id": op7_language_id,
-    "op9_chat_format": op9_chat_format,
+    query.__name__: query
+    for query in (
+        op1_lm_scoring,
+        op2_decontamination,
+        op3_line_dedup,
+        op4_nearest,
+        op5_ngram_join,
+        op6_byte_bpe,
+        op7_language_id,
+        op8_license_scan,
+        op9_chat_format,
+        op10_pii,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.spread_sql(),
+    "op8_license_scan": license_scan.scan_sql(),
 }
-ORACLES: dict[str, str] = {}
