@@ -50,37 +50,46 @@ def _tokenizer(rank_file: str, pattern: str) -> tiktoken.Encoding:
 class Lattice:
     """All segmentations of a string into entries with log probabilities ``scores`` (by bytes)."""
 
+    _SCORE = -1  # the key of a node's own score; the others are bytes
+
     def __init__(self, scores: dict[bytes, float]):
-        # every prefix of an entry, so that a search stops at the first string that is none
-        self.nodes: dict[bytes, float | None] = {}
+        self.root: dict = {}
         for entry, score in scores.items():
-            for end in range(1, len(entry)):
-                self.nodes.setdefault(entry[:end])
-            self.nodes[entry] = score
+            node = self.root
+            for byte in entry:
+                node = node.setdefault(byte, {})
+            node[self._SCORE] = score
 
     def edges(self, word: bytes) -> list[list[tuple[int, float]]]:
         """For each end, the (start, log probability) of the entries that end there."""
-        n, nodes = len(word), self.nodes
-        into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                score = nodes.get(word[i:j], False)
-                if score is False:
+        root, own = self.root, self._SCORE
+        into: list[list[tuple[int, float]]] = [[] for _ in range(len(word) + 1)]
+        for i in range(len(word)):
+            node, j = root, i
+            for byte in word[i:]:
+                node = node.get(byte)
+                if node is None:
                     break
-                if score is not None:
-                    into[j].append((i, score))
+                j += 1
+                if own in node:
+                    into[j].append((i, node[own]))
         return into
 
     @staticmethod
     def forward(into: list[list[tuple[int, float]]]) -> list[float]:
         """Log of the summed probability of all ways to reach each place."""
-        alpha = [0.0] + [-math.inf] * (len(into) - 1)
-        for j in range(1, len(into)):
-            terms = [alpha[i] + s for i, s in into[j]]
-            if terms:
+        exp, log = math.exp, math.log
+        alpha = [0.0]
+        for edges in into[1:]:
+            if len(edges) == 1:
+                i, s = edges[0]
+                alpha.append(alpha[i] + s)
+            elif edges:
+                terms = [alpha[i] + s for i, s in edges]
                 high = max(terms)
-                if high > -math.inf:
-                    alpha[j] = high + math.log(sum([math.exp(t - high) for t in terms]))
+                alpha.append(high + log(sum([exp(t - high) for t in terms])) if high > -math.inf else high)
+            else:
+                alpha.append(-math.inf)
         return alpha
 
     def log_probability(self, word: bytes, own: float = 0.0) -> float:
@@ -91,23 +100,29 @@ class Lattice:
         return self.forward(into)[-1]
 
     def expected(self, word: bytes) -> list[tuple[bytes, float]]:
-        """How often each entry is expected in a segmentation of ``word``."""
+        """How often each entry is expected in a segmentation of ``word``.
+
+        Backwards from the end, an edge's share is its end's share times its part of what reaches that end.
+        """
+        exp = math.exp
         into = self.edges(word)
         alpha = self.forward(into)
-        total = alpha[-1]
-        beta = [0.0] * len(into)
+        share = [0.0] * len(word) + [1.0]
         out = []
-        reach: list[list[float]] = [[] for _ in into]
-        reach[-1].append(0.0)
-        for j in range(len(into) - 1, 0, -1):
-            if not reach[j]:
-                beta[j] = -math.inf
-                continue
-            high = max(reach[j])
-            beta[j] = high + math.log(sum([math.exp(t - high) for t in reach[j]]))
-            for i, s in into[j]:
-                reach[i].append(beta[j] + s)
-                out.append((word[i:j], math.exp(alpha[i] + s + beta[j] - total)))
+        for j in range(len(word), 0, -1):
+            at = share[j]
+            if at:
+                edges = into[j]
+                if len(edges) == 1:
+                    i = edges[0][0]
+                    share[i] += at
+                    out.append((word[i:j], at))
+                else:
+                    total = alpha[j]
+                    for i, s in edges:
+                        part = at * exp(alpha[i] + s - total)
+                        share[i] += part
+                        out.append((word[i:j], part))
         return out
 
 
@@ -147,8 +162,9 @@ def _own_counts(words: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         encoding = _tokenizer(rank_file, pattern)
         totals = np.zeros(encoding.n_vocab)
         for batch in batches:
-            ids = encoding.encode_ordinary_batch([" " + w for w in batch.column(0).to_pylist()], num_threads=1)
-            totals += np.bincount(np.fromiter((i for x in ids for i in x), np.int64), minlength=len(totals))
+            # words hold no ASCII space, so the pattern cuts the joined text before each of them
+            ids = encoding.encode_ordinary(" " + " ".join(batch.column(0).to_pylist()))
+            totals += np.bincount(np.array(ids, np.int64), minlength=len(totals))
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(totals[used])], ["id", "n"])
 
