@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from rowsheaf.plans.files import materialise
 
 
+def _digest(links: DataFrame) -> tuple:
+    """Tells one set of links from another."""
+    own = F.xxhash64("src", "dst").cast("decimal(38,0)")
+    return tuple(links.agg(F.count("*"), F.sum(own), F.sum("dst")).first())
+
+
 def connected(links: DataFrame, label: str) -> DataFrame:
     """``node, component`` for each node of ``links`` (``src``, ``dst``, long): the smallest node it can reach.
 
@@ -18,6 +24,7 @@ def connected(links: DataFrame, label: str) -> DataFrame:
     both = lambda e: e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     edges = materialise(links.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), label)
     nodes = both(edges).select(F.col("src").alias("node")).distinct()
+    seen = _digest(edges)
     while True:
         # large step: every larger neighbour of a node goes to the smallest of the node and its neighbours
         around = both(edges)
@@ -30,9 +37,8 @@ def connected(links: DataFrame, label: str) -> DataFrame:
         small = joined.where("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
         small = small.union(least.select("src", F.col("least").alias("dst"))).where("src != dst")
         small = materialise(small.distinct(), label)
-        changed = not (small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty())
-        edges = small
-        if not changed:
+        edges, before, seen = small, seen, _digest(small)
+        if seen == before:
             break
     return nodes.join(edges.withColumnRenamed("src", "node"), "node", "left").select(
         "node", F.coalesce("dst", "node").alias("component")

@@ -4,13 +4,16 @@ A document is its set of distinct word shingles. Equal sets make a class, and on
 The work is on token groups:
 
 1. Every set puts its tokens in one global order, tokens known to be common last, and keeps a prefix that is
-   long enough for two linked sets to share at least ``SHARED`` prefix tokens.
-2. Documents that share a token are compared with the smallest document that has it. The components of those
-   links are the groups, so similar documents are together.
-3. The token-group matrix holds each group's token union: (token, group). A document's prefix bounds
-   its overlap with each other group, and only groups with ``SHARED`` tokens in common qualify.
-4. A qualifying group is opened in blocks of bounded size: the union of the block's whole sets gives a sharper
-   bound, and only then are its members compared. One link joins two groups, as all in a group are connected.
+   long enough for two linked sets to share a number of prefix tokens that grows with their size.
+2. Documents that share tokens are compared with the smallest and the largest id among those that have them. The
+   components of those links are a first part of the answer.
+3. Similar documents are put into groups: a large component is one, other documents go with the one they share
+   most tokens with, linked or not. Groups are cut into blocks of bounded size.
+4. The token-group matrix holds the token union of each block, (token, block), with the range of its members' sizes. A
+   document's prefix bounds its overlap with each block; only blocks with enough tokens in common and a member
+   of fitting size qualify, save those of its own large component.
+5. A qualifying block is opened: the union of its whole sets gives a sharper bound, and only then are its
+   members compared. Links are returned only as far as they connect what isn't connected yet.
 
 So a pair of documents is left out only if the bounds exclude a link or the two are connected anyway.
 """
@@ -22,20 +25,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsheaf.llm.components import connected
-from rowsheaf.llm.text import WHITE_SPACE, WordHasher, frequent, rolling, slices, utf8_buffer
+from rowsheaf.llm.text import WHITE_SPACE, WordHasher, frequent, rolling, sized, slices, utf8_buffer
 from rowsheaf.plans.files import materialise
 
-# Prefix tokens that two linked sets must share.
+# Prefix tokens that two linked sets must share: so many, and one more for each so many tokens of a set.
 SHARED = 3
+SHARED_EACH = 25
 # Common tokens that every task knows, and how often a token must come to be one.
 COMMON_TOKENS = 1 << 18
 COMMON_LEAST = 16
-# Members of a group that one task opens at a time.
+# Members of a block, and documents that ask for it at a time, about.
 BLOCK = 256
+ASKING = 1024
+# Documents of a component that makes a group of its own.
+LARGE = 64
 # Tokens a task counts at a time.
 _CHUNK_TOKENS = 4 << 20
 
@@ -104,9 +111,20 @@ def _needed(n, numerator: int, denominator: int):
     return -(-n * numerator // denominator)
 
 
+def _least_shared(n: Column, numerator: int, denominator: int) -> Column:
+    """How many prefix tokens a set of ``n`` shares with each it is linked with, the smaller of which sets the number."""
+    smaller = F.ceil(n * numerator / denominator - F.lit(1e-9))
+    return F.floor(smaller / SHARED_EACH) + SHARED
+
+
+def _fits(n: Column, least: Column, most: Column, numerator: int, denominator: int) -> Column:
+    """Whether a set of ``n`` can be linked with one of a size from ``least`` to ``most``."""
+    return (n * numerator <= most * denominator) & (least * numerator <= n * denominator)
+
+
 def _prefix(tokens: np.ndarray, common: np.ndarray, often: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
     """The first tokens in the global order: by how common, then by hash."""
-    size = len(tokens) - _needed(len(tokens), numerator, denominator) + SHARED
+    size = len(tokens) - _needed(len(tokens), numerator, denominator) + SHARED + len(tokens) // SHARED_EACH
     if len(common):
         at = np.searchsorted(common, tokens)
         at[at == len(common)] = 0
@@ -158,6 +176,8 @@ def _sets_of(source: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), tokens], ["doc_id", "tokens"])
 
+    # ids that fit a broadcast keep the texts where they are
+    ids = sized(materialise(ids, "join-wanted"))
     return source.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens array<long>")
 
 
@@ -169,27 +189,38 @@ def _linked(a: pd.Series, b: pd.Series, numerator: int, denominator: int) -> pd.
     return pd.Series(out, dtype=bool)
 
 
-def _open(key, members: pd.DataFrame, queries: pd.DataFrame, numerator: int, denominator: int) -> pd.DataFrame:
-    """The groups of the queries that are linked with a member of this block."""
-    out = set()
+def _open(members: pd.DataFrame, queries: pd.DataFrame, numerator: int, denominator: int) -> pd.DataFrame:
+    """Links between the components of the queries and of the members of a block, as far as they connect anything new."""
+    out, parent = [], {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x] = parent.get(parent[x], parent[x])
+        return x
+
     if len(members) and len(queries):
         sizes = np.array([len(t) for t in members["tokens"]])
-        tokens = np.concatenate(members["tokens"].to_list())
+        labels = members["own"].to_numpy()
+        tokens = np.concatenate(members["tokens"].to_list()).view(np.uint64)
         owners = np.repeat(np.arange(len(members)), sizes)
         order = np.argsort(tokens, kind="stable")
         tokens, owners = tokens[order], owners[order]
-        for group, own in zip(queries["own"], queries["tokens"]):
-            if group in out:
-                continue
+        for label, own in zip(queries["own"], queries["tokens"]):
+            own = np.asarray(own).view(np.uint64)
             low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
             hit = high > low
             if hit.sum() < _needed(len(own), numerator, denominator):
                 continue  # the union of the block has too few of its tokens
-            at = np.concatenate([np.arange(i, j) for i, j in zip(low[hit], high[hit])])
+            width = (high - low)[hit]
+            at = np.repeat(low[hit] - np.cumsum(width) + width, width) + np.arange(width.sum())
             both = np.bincount(owners[at], minlength=len(sizes))
-            if (denominator * both >= numerator * (len(own) + sizes - both)).any():
-                out.add(group)
-    return pd.DataFrame({"src": [key[0]] * len(out), "dst": sorted(out)}, columns=["src", "dst"]).astype("int64")
+            linked = denominator * both >= numerator * (len(own) + sizes - both)
+            for other in np.unique(labels[linked]):
+                a, b = root(int(label)), root(int(other))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(other), int(label)))
+    return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
 
 
 def similar_components(
@@ -214,24 +245,24 @@ def similar_components(
         raise ValueError("the threshold must be from 3/4 to 1")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profiles = materialise(_profiles(source, shingle_words, numerator, denominator, common_tokens), "join-profiles")
-    sized = profiles.where("n > 0 AND doc_id IS NOT NULL")
-    classes = sized.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    with_words = profiles.where("n > 0 AND doc_id IS NOT NULL")
+    classes = with_words.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialise(classes, "join-classes")
 
     reps = classes.select(F.col("rep").alias("doc_id"))
-    tokens = sized.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("token"))
+    sizes = materialise(with_words.select("doc_id", "n").join(sized(reps), "doc_id", "left_semi"), "join-sizes")
+    tokens = with_words.join(sized(reps), "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("token"))
     # tokens of a single set are most of all, and link nothing; their rows go no further
-    tokens = materialise(tokens, "join-tokens")
-    by_token = tokens.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
-    by_token = by_token.where("pivot < last").select("token", "pivot")
-    tokens = materialise(tokens.join(by_token, "token").select("token", "doc_id", "pivot"), "join-shared")
-
-    links = _verified_stars(source, tokens, shingle_words, numerator, denominator)
-    groups = connected(links, "join-groups")  # node, component; only of linked documents
-    grouped = tokens.select("token", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    grouped = grouped.select("token", "doc_id", F.coalesce("component", "doc_id").alias("own"))
-    grouped = materialise(grouped, "join-grouped")
-    found = _opened(source, grouped, groups, shingle_words, numerator, denominator)
+    by_token = tokens.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    by_token = sized(materialise(by_token.where("first < last"), "join-by-token"))
+    tokens = tokens.join(by_token, "token").join(sized(sizes), "doc_id").select("token", "doc_id", "n", "first", "last")
+    tokens = materialise(tokens, "join-shared")
+
+    shares = _shares(tokens)
+    links = _verified_stars(source, shares, sizes, shingle_words, numerator, denominator)
+    near = materialise(connected(links, "join-near"), "join-near")  # node, component; only of linked documents
+    blocks = _blocks(tokens, shares, near)
+    found = _opened(source, tokens, blocks, shingle_words, numerator, denominator)
     merged = connected(links.unionByName(found), "join-components")
 
     keyed = profiles.select("doc_id", "n", "key_a", "key_b")
@@ -242,42 +273,69 @@ def similar_components(
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _verified_stars(source: DataFrame, tokens: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """Links (src, dst) between documents and the smallest document that shares some of their prefix tokens."""
-    pairs = tokens.where("doc_id != pivot").groupBy("doc_id", "pivot").count().where(F.col("count") >= SHARED)
-    pairs = materialise(pairs.select("doc_id", "pivot"), "join-stars")
+def _shares(tokens: DataFrame) -> DataFrame:
+    """How many prefix tokens a document shares with the first or last of those that have them: ``doc_id, n, pivot, count``."""
+    ends = tokens.select("doc_id", "n", F.explode(F.array("first", "last")).alias("pivot")).where("doc_id != pivot")
+    return materialise(ends.groupBy("doc_id", "n", "pivot").count(), "join-shares")
+
+
+def _verified_stars(source: DataFrame, shares: DataFrame, sizes: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """Links (src, dst) among those pairs."""
+    pairs = shares.where(F.col("count") >= _least_shared(F.col("n"), numerator, denominator))
+    others = sized(sizes).select(F.col("doc_id").alias("pivot"), F.col("n").alias("m"))
+    fits = _fits(F.col("n"), F.col("m"), F.col("m"), numerator, denominator)
+    pairs = materialise(pairs.join(others, "pivot").where(fits).select("doc_id", "pivot"), "join-stars")
     ids = pairs.select("doc_id").union(pairs.select("pivot")).distinct()
     sets = materialise(_sets_of(source, ids, k), "join-star-sets")
-    sized = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("pivot"), F.col("tokens").alias("other")), "pivot")
+    paired = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("pivot"), F.col("tokens").alias("other")), "pivot")
     test = F.pandas_udf(lambda a, b: _linked(a, b, numerator, denominator), "boolean")
-    links = sized.where(test("tokens", "other")).select(F.col("pivot").alias("src"), F.col("doc_id").alias("dst"))
+    links = paired.where(test("tokens", "other")).select(F.col("pivot").alias("src"), F.col("doc_id").alias("dst"))
     return materialise(links, "join-star-links")
 
 
-def _opened(source: DataFrame, grouped: DataFrame, groups: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """Links (src, dst) between groups, found by opening the groups that qualify for a document of another."""
-    matrix = grouped.select("token", F.col("own").alias("group")).distinct()
-    several = matrix.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("token")
-    matrix = matrix.join(several, "token", "left_semi")
-    asked = grouped.join(several, "token", "left_semi").join(matrix, "token").where("own != group")
-    asked = asked.groupBy("doc_id", "own", "group").count().where(F.col("count") >= SHARED)
-    # of two groups, the one with the smaller id asks or is asked first; asking from both sides finds nothing more
-    asked = materialise(asked.where("own > group").select("doc_id", "own", "group"), "join-asked")
-
-    wanted = asked.select("group").distinct()
-    members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")).join(wanted, "group", "left_semi")
-    alone = wanted.join(groups.select(F.col("component").alias("group")), "group", "left_anti")
-    members = members.select("doc_id", "group").unionByName(alone.select(F.col("group").alias("doc_id"), "group"))
-    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
-    members = materialise(members, "join-members")
-    ids = members.select("doc_id").union(asked.select("doc_id")).distinct()
-    sets = materialise(_sets_of(source, ids, k), "join-open-sets")
-    asked = asked.join(blocks, "group").select("doc_id", "own", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    asking = sets.select(F.col("doc_id").alias("doc_id"), F.col("tokens").alias("tokens"))
-    queries = asked.join(asking, "doc_id").groupBy("group", "block")
-    opened = members.join(sets, "doc_id").groupBy("group", "block")
-    found = opened.cogroup(queries).applyInPandas(
-        lambda key, own, other: _open(key, own, other, numerator, denominator), "src long, dst long"
+def _blocks(tokens: DataFrame, shares: DataFrame, near: DataFrame) -> DataFrame:
+    """``doc_id, own, large, block`` of every document with a shared token: its component so far, whether
+    that is a large one, and its block."""
+    large = near.groupBy("component").count().where(F.col("count") >= LARGE).select("component", F.lit(True).alias("large"))
+    labels = near.join(sized(materialise(large, "join-large")), "component", "left")
+    labels = sized(materialise(labels.withColumnRenamed("node", "doc_id"), "join-labels"))
+    best = shares.groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("pivot")).alias("of"))).alias("best"))
+    docs = best.join(labels, "doc_id", "left")
+    docs = docs.select(
+        "doc_id", F.coalesce("component", "doc_id").alias("own"), F.coalesce("large", F.lit(False)).alias("large"),
+        F.least("doc_id", -F.col("best.of")).alias("with"),
+    )
+    docs = docs.withColumn("group", F.when(F.col("large"), F.col("own")).otherwise(F.col("with"))).drop("with")
+    docs = materialise(docs, "join-docs")
+    cut = docs.groupBy("large", "group").agg(F.ceil(F.count("*") / BLOCK).alias("cut"))
+    docs = docs.join(cut, ["large", "group"])
+    block = F.xxhash64("large", "group", F.pmod(F.xxhash64("doc_id"), "cut"))
+    return materialise(docs.select("doc_id", "own", "large", block.alias("block")), "join-blocks")
+
+
+def _opened(source: DataFrame, tokens: DataFrame, blocks: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """Links (src, dst) between components, found by opening the blocks that qualify for a document."""
+    placed = materialise(tokens.select("token", "doc_id", "n").join(sized(blocks), "doc_id"), "join-placed")
+    matrix = placed.groupBy("token", F.col("block").alias("other")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("own").alias("a"), F.max("own").alias("b")
     )
-    return materialise(found.distinct(), "join-group-links")
+    fits = _fits(F.col("n"), F.col("least"), F.col("most"), numerator, denominator)
+    # of two blocks the one with the larger number asks. Where all that have the token are connected, nothing is to be
+    # found; so a large component never asks for its own blocks, nor a document for itself
+    asked = placed.join(matrix, "token").where((F.col("block") >= F.col("other")) & fits)
+    asked = asked.where((F.col("a") != F.col("b")) | (F.col("a") != F.col("own")))
+    asked = asked.groupBy("doc_id", "n", "own", "other").count()
+    asked = asked.where(F.col("count") >= _least_shared(F.col("n"), numerator, denominator))
+    asked = materialise(asked.select("doc_id", "own", F.col("other").alias("block")), "join-asked")
+
+    times = asked.groupBy("block").agg(F.ceil(F.count("*") / ASKING).alias("times"))
+    times = sized(materialise(times, "join-times"))
+    members = blocks.join(times, "block").select("doc_id", "own", "block", F.explode(F.sequence(F.lit(1), "times")).alias("time"))
+    asking = asked.join(times, "block").select("doc_id", "own", "block", (F.pmod(F.xxhash64("doc_id"), "times") + 1).alias("time"))
+    ids = members.select("doc_id").union(asking.select("doc_id")).distinct()
+    sets = materialise(_sets_of(source, ids, k), "join-open-sets")
+    others = sets.select(F.col("doc_id").alias("doc_id"), F.col("tokens").alias("tokens"))
+    opened = members.join(sets, "doc_id").groupBy("block", "time")
+    queries = asking.join(others, "doc_id").groupBy("block", "time")
+    found = opened.cogroup(queries).applyInPandas(lambda own, other: _open(own, other, numerator, denominator), "src long, dst long")
+    return materialise(found.distinct(), "join-block-links")

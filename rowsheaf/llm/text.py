@@ -142,3 +142,15 @@ def frequent(counts: DataFrame, column: str, bound: int) -> DataFrame:
             break
         taken, least = taken + row["count"], row["step"]
     return counts.where(F.lit(False)) if least is None else counts.where((F.col(column) > 0) & (step >= least))
+
+
+# Rows of a few numbers that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1 << 20
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for a broadcast join if it has ``rows`` rows at most.
+
+    With more rows it is returned as it is, and the join shuffles.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
