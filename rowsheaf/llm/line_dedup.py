@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowsheaf.llm.text import BROADCAST_ROWS
 from rowsheaf.plans.files import materialise
 
 MIN_SITES = 10
@@ -68,7 +69,7 @@ def drop_boilerplate(
     null id give to the counts and keep their texts. The other columns stay as they are; one called
     ``n_removed`` is replaced.
 
-    Only hashes of lines are shuffled, and the texts once where they meet their removals.
+    Only hashes of lines are shuffled; the texts, once, only if the removals are too many to be broadcast.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
     lines = _lines(source)
@@ -80,6 +81,9 @@ def drop_boilerplate(
     extra = extra.groupBy("_id").agg(F.collect_set("place").alias("_gone"))
     kept = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    # removals that fit a broadcast leave the texts where they are
+    extra = materialise(extra, "line-removals")
+    extra = F.broadcast(extra) if places.count() <= BROADCAST_ROWS else extra
     joined = docs.drop("n_removed").join(extra.withColumnRenamed("_id", id_col), id_col, "left")
     n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
     n_removed = F.when(F.col("_gone").isNull() | F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_removed)

@@ -5,10 +5,10 @@ The work is on token groups:
 
 1. Every set puts its tokens in one global order, tokens known to be common last, and keeps a prefix that is
    long enough for two linked sets to share a number of prefix tokens that grows with their size.
-2. Documents that share tokens are compared with the smallest and the largest id among those that have them. The
-   components of those links are a first part of the answer.
-3. Similar documents are put into groups: a large component is one, other documents go with the one they share
-   most tokens with, linked or not. Groups are cut into blocks of bounded size.
+2. Similar documents are put into groups: each goes with the one it shares most tokens with, of the smallest and the
+   largest id among those that have a token. In groups of more than one block, each document is compared with
+   that one, and where many are linked with it these make a group of their own, known to be connected.
+3. Groups are cut into blocks of bounded size.
 4. The token-group matrix holds the token union of each block, (token, block), with the range of its members' sizes. A
    document's prefix bounds its overlap with each block; only blocks with enough tokens in common and a member
    of fitting size qualify, save those of its own large component.
@@ -258,10 +258,9 @@ def similar_components(
     tokens = tokens.join(by_token, "token").join(sized(sizes), "doc_id").select("token", "doc_id", "n", "first", "last")
     tokens = materialise(tokens, "join-shared")
 
-    shares = _shares(tokens)
-    links = _verified_stars(source, shares, sizes, shingle_words, numerator, denominator)
-    near = materialise(connected(links, "join-near"), "join-near")  # node, component; only of linked documents
-    blocks = _blocks(tokens, shares, near)
+    groups = _groups(tokens)
+    links = _verified_stars(source, groups, sizes, shingle_words, numerator, denominator)
+    blocks = _blocks(groups, links)
     found = _opened(source, tokens, blocks, shingle_words, numerator, denominator)
     merged = connected(links.unionByName(found), "join-components")
 
@@ -273,15 +272,21 @@ def similar_components(
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _shares(tokens: DataFrame) -> DataFrame:
-    """How many prefix tokens a document shares with the first or last of those that have them: ``doc_id, n, pivot, count``."""
+def _groups(tokens: DataFrame) -> DataFrame:
+    """``doc_id, n, group, crowded`` of every document with a shared token: the document it goes with, itself perhaps, and
+    whether so many go with that one that they make more than a block."""
     ends = tokens.select("doc_id", "n", F.explode(F.array("first", "last")).alias("pivot")).where("doc_id != pivot")
-    return materialise(ends.groupBy("doc_id", "n", "pivot").count(), "join-shares")
+    shares = ends.groupBy("doc_id", "n", "pivot").count()
+    best = shares.groupBy("doc_id", "n").agg(F.max(F.struct("count", (-F.col("pivot")).alias("of"))).alias("best"))
+    groups = materialise(best.select("doc_id", "n", F.least("doc_id", -F.col("best.of")).alias("group")), "join-groups")
+    crowded = groups.groupBy("group").count().where(F.col("count") > BLOCK).select("group", F.lit(True).alias("crowded"))
+    groups = groups.join(sized(materialise(crowded, "join-crowded")), "group", "left")
+    return groups.select("doc_id", "n", "group", F.coalesce("crowded", F.lit(False)).alias("crowded"))
 
 
-def _verified_stars(source: DataFrame, shares: DataFrame, sizes: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """Links (src, dst) among those pairs."""
-    pairs = shares.where(F.col("count") >= _least_shared(F.col("n"), numerator, denominator))
+def _verified_stars(source: DataFrame, groups: DataFrame, sizes: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """Links (src, dst) between the documents of crowded groups and those they go with."""
+    pairs = groups.where("crowded AND doc_id != group").select("doc_id", "n", F.col("group").alias("pivot"))
     others = sized(sizes).select(F.col("doc_id").alias("pivot"), F.col("n").alias("m"))
     fits = _fits(F.col("n"), F.col("m"), F.col("m"), numerator, denominator)
     pairs = materialise(pairs.join(others, "pivot").where(fits).select("doc_id", "pivot"), "join-stars")
@@ -293,24 +298,19 @@ def _verified_stars(source: DataFrame, shares: DataFrame, sizes: DataFrame, k: i
     return materialise(links, "join-star-links")
 
 
-def _blocks(tokens: DataFrame, shares: DataFrame, near: DataFrame) -> DataFrame:
-    """``doc_id, own, large, block`` of every document with a shared token: its component so far, whether
-    that is a large one, and its block."""
-    large = near.groupBy("component").count().where(F.col("count") >= LARGE).select("component", F.lit(True).alias("large"))
-    labels = near.join(sized(materialise(large, "join-large")), "component", "left")
-    labels = sized(materialise(labels.withColumnRenamed("node", "doc_id"), "join-labels"))
-    best = shares.groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("pivot")).alias("of"))).alias("best"))
-    docs = best.join(labels, "doc_id", "left")
-    docs = docs.select(
-        "doc_id", F.coalesce("component", "doc_id").alias("own"), F.coalesce("large", F.lit(False)).alias("large"),
-        F.least("doc_id", -F.col("best.of")).alias("with"),
-    )
-    docs = docs.withColumn("group", F.when(F.col("large"), F.col("own")).otherwise(F.col("with"))).drop("with")
+def _blocks(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``doc_id, own, block`` of every document with a shared token: a document it is known to be connected with
+    (itself, if with none), and its block."""
+    large = links.groupBy("src").count().where(F.col("count") >= LARGE).select("src", F.lit(True).alias("large"))
+    linked = links.join(sized(materialise(large, "join-large")), "src", "left").withColumnRenamed("dst", "doc_id")
+    docs = groups.join(sized(materialise(linked, "join-linked")), "doc_id", "left")
+    group = F.when(F.col("large"), F.col("src")).otherwise(F.col("group"))
+    docs = docs.select("doc_id", F.coalesce("src", "doc_id").alias("own"), group.alias("group"), F.coalesce("large", F.lit(False)).alias("large"))
     docs = materialise(docs, "join-docs")
     cut = docs.groupBy("large", "group").agg(F.ceil(F.count("*") / BLOCK).alias("cut"))
     docs = docs.join(cut, ["large", "group"])
     block = F.xxhash64("large", "group", F.pmod(F.xxhash64("doc_id"), "cut"))
-    return materialise(docs.select("doc_id", "own", "large", block.alias("block")), "join-blocks")
+    return materialise(docs.select("doc_id", "own", block.alias("block")), "join-blocks")
 
 
 def _opened(source: DataFrame, tokens: DataFrame, blocks: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
