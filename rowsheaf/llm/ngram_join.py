@@ -34,7 +34,7 @@ from rowsheaf.plans.files import materialise
 
 # Prefix tokens that two linked sets must share: so many, and one more for each so many tokens of a set.
 SHARED = 3
-SHARED_EACH = 25
+SHARED_EACH = 10
 # Common tokens that every task knows, and how often a token must come to be one.
 COMMON_TOKENS = 1 << 18
 COMMON_LEAST = 16
@@ -254,7 +254,8 @@ def similar_components(
     tokens = with_words.join(sized(reps), "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("token"))
     # tokens of a single set are most of all, and link nothing; their rows go no further
     by_token = tokens.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    by_token = sized(materialise(by_token.where("first < last"), "join-by-token"))
+    # shared tokens grow with the documents, so this join shuffles at every size
+    by_token = materialise(by_token.where("first < last"), "join-by-token")
     tokens = tokens.join(by_token, "token").join(sized(sizes), "doc_id").select("token", "doc_id", "n", "first", "last")
     tokens = materialise(tokens, "join-shared")
 
@@ -332,10 +333,13 @@ def _opened(source: DataFrame, tokens: DataFrame, blocks: DataFrame, k: int, num
     times = sized(materialise(times, "join-times"))
     members = blocks.join(times, "block").select("doc_id", "own", "block", F.explode(F.sequence(F.lit(1), "times")).alias("time"))
     asking = asked.join(times, "block").select("doc_id", "own", "block", (F.pmod(F.xxhash64("doc_id"), "times") + 1).alias("time"))
-    ids = members.select("doc_id").union(asking.select("doc_id")).distinct()
-    sets = materialise(_sets_of(source, ids, k), "join-open-sets")
-    others = sets.select(F.col("doc_id").alias("doc_id"), F.col("tokens").alias("tokens"))
-    opened = members.join(sets, "doc_id").groupBy("block", "time")
-    queries = asking.join(others, "doc_id").groupBy("block", "time")
-    found = opened.cogroup(queries).applyInPandas(lambda own, other: _open(own, other, numerator, denominator), "src long, dst long")
+    places = members.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)))
+    places = materialise(places, "join-places")
+    sets = _sets_of(source, places.select("doc_id").distinct(), k)
+    opened = sets.join(sized(places), "doc_id").groupBy("block", "time")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _open(rows[~rows["asks"]], rows[rows["asks"]], numerator, denominator)
+
+    found = opened.applyInPandas(run, "src long, dst long")
     return materialise(found.distinct(), "join-block-links")
