@@ -449,7 +449,7 @@ def clean_column_names(spark, sf_dir):
     WHERE v <> '' GROUP BY v) ORDER BY raw LIMIT 50"""
 )
 def sample_values_small(spark, sf_dir):
-    return sample_values(_table(spark, sf_dir, "part"), "p_brand", sample_rows=1_000_000)
+    return sample_values(_table(spark, sf_dir, "part"), "p_brand", sample_rows=None)
 
 
 @_query("SELECT DISTINCT o_orderpriority AS v FROM orders")

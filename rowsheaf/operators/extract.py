@@ -32,16 +32,17 @@ def count_matches(df: DataFrame, column: str, value: object, precision: str = "f
 
 
 def extract_to_csv(
-    df: DataFrame, column: str, value: object, out: str, precision: str = "float32", bom: bool = True
+    df: DataFrame, column: str, value: object, out: str, precision: str = "float32", bom: bool = True, rebalance: bool = False
 ) -> ExtractResult:
     """Write the matching rows as CSV, counting them in the same pass.
 
-    The few rows that match are spread thinly over the scan's tasks, so they are rebalanced into
-    files of the session's advisory size before the write.
+    Each task writes what it finds, without a shuffle. With ``rebalance`` the rows are brought together
+    into files of the session's advisory size first, for matches that are few and spread thinly.
     """
     started = time.monotonic()
     seen = Observation("extract")
-    found = extract(df, column, value, precision).hint("rebalance")
+    found = extract(df, column, value, precision)
+    found = found.hint("rebalance") if rebalance else found
     # Counted after the rebalancing: a stage that turns out empty is cut from the plan, its counts too.
     write_csv(found.observe(seen, F.count(F.lit(1)).alias("rows")), out, bom=bom)
     rows = seen.get["rows"]

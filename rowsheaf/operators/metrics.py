@@ -9,6 +9,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values
 RECENT_MINUTES = 5
@@ -23,7 +24,18 @@ def instant(events: DataFrame, ts: str, as_of: datetime | str | Column) -> Colum
 
 
 def _day_start(events: DataFrame, ts: str, now: Column) -> Column:
-    return F.date_trunc("day", now).cast(events.schema[ts].dataType)
+    if not _is_instant(events, ts):
+        return F.date_trunc("day", now).cast(events.schema[ts].dataType)
+    return F.from_utc_timestamp(F.date_trunc("day", _utc_clock(events, ts, now)), F.current_timezone())
+
+
+def _is_instant(events: DataFrame, ts: str) -> bool:
+    return isinstance(events.schema[ts].dataType, T.TimestampType)
+
+
+def _utc_clock(events: DataFrame, ts: str, at: Column) -> Column:
+    """``at`` so that its hour and day are those in UTC, whatever the session's zone; a clock reading is UTC already."""
+    return F.to_utc_timestamp(at, F.current_timezone()) if _is_instant(events, ts) else at
 
 
 def _recent(now: Column) -> Column:
@@ -64,7 +76,7 @@ def trend(events: DataFrame, as_of, ts: str = "created_at") -> DataFrame:
     """
     now = instant(events, ts, as_of)
     window = events.where((F.col(ts) >= now - F.expr(f"INTERVAL '{TREND_HOURS}' HOUR")) & (F.col(ts) <= now))
-    counts = F.array(*[F.count_if(F.hour(F.col(ts)) == h) for h in range(24)])
+    counts = F.array(*[F.count_if(F.hour(_utc_clock(events, ts, F.col(ts))) == h) for h in range(24)])
     return (
         window.agg(counts.alias("counts"), F.count(F.lit(1)).alias("total"))
         .where(F.col("total") > 0)

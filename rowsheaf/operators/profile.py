@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from rowsheaf.functions.scalars import EMPTY_COLUMN_NAME, clean_column_name
 from rowsheaf.sources.inventory import file_inventory
-from rowsheaf.sources.tables import TYPE_SAMPLE_ROWS, scan_csv
+from rowsheaf.sources.tables import scan_csv
 
 _TYPE_NAMES = {
     T.ByteType: "BIGINT",
@@ -61,7 +61,7 @@ def describe_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def column_profile(spark: SparkSession, path: str, sample_rows: int | None = TYPE_SAMPLE_ROWS, **scan) -> DataFrame:
+def column_profile(spark: SparkSession, path: str, sample_rows: int | None = None, **scan) -> DataFrame:
     """:func:`describe_columns` of a CSV file, with its ``total_rows`` and ``size_mb`` on each row."""
     df = scan_csv(spark, path, sample_rows=sample_rows, **scan)
     total = df.select(F.lit(1)).agg(F.count("*")).first()[0]

@@ -30,16 +30,17 @@ def random_rows(df: DataFrame, n: int, available: int, seed: int | None = None)
 
 
 def sample_values(
-    df: DataFrame, column: str, limit: int = SHOWN_VALUES, sample_rows: int = SAMPLE_ROWS, seed: int | None = None
+    df: DataFrame, column: str, limit: int = SHOWN_VALUES, sample_rows: int | None = SAMPLE_ROWS, seed: int | None = None
 ) -> DataFrame:
     """Up to ``limit`` distinct cleaned values ``v`` of ``column``, in the column's order.
 
-    A table of more than ``sample_rows`` rows is represented by that many random non-NULL rows.
+    A table of more than ``sample_rows`` rows is represented by that many random non-NULL rows;
+    with ``None`` all rows count, however many.
     """
     name = resolve_column(df.columns, column)
     present = df.select(quoted(name).alias("raw")).where(F.col("raw").isNotNull())
     facts = df.agg(F.count(F.lit(1)).alias("total"), F.count(quoted(name)).alias("present")).first()
-    if facts["total"] > sample_rows:
+    if sample_rows is not None and facts["total"] > sample_rows:
         present = random_rows(present, sample_rows, facts["present"], seed)
     # Twice as many as wanted, since cleaning may blank or merge some.
     first = present.distinct().orderBy("raw").limit(2 * limit)

@@ -1,4 +1,4 @@
-"""CSV files as tables: header row, types from a sample or given, any file suffix."""
+"""CSV files as tables: header row, types from all rows, from a sample, or given; any file suffix."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values
-TYPE_SAMPLE_ROWS = 1000
-
 BOM = "\ufeff"
 
 # Tried in this order; a column takes the first type all its sampled values have.
@@ -46,8 +43,8 @@ def text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def infer_types(df: DataFrame, sample_rows: int | None = TYPE_SAMPLE_ROWS) -> T.StructType:
-    """Types of an all-text table from its first rows; ``None`` looks at every row.
+def infer_types(df: DataFrame, sample_rows: int | None = None) -> T.StructType:
+    """Types of an all-text table from every row, by one aggregate, or from the first ``sample_rows``.
 
     NULL fits every type; a column of NULLs only is text, and so is a time of day.
     """
@@ -74,9 +71,9 @@ def scan_csv(
     header: bool = True,
     encoding: str | None = None,
     multi_line: bool = False,
-    sample_rows: int | None = TYPE_SAMPLE_ROWS,
+    sample_rows: int | None = None,
 ) -> DataFrame:
-    """CSV table. Without a schema the types come from the first ``sample_rows`` rows.
+    """CSV table. Without a schema the types come from all rows, or the first ``sample_rows``.
 
     A later row that does not fit the schema raises; it is never read as NULL. ``multi_line`` keeps
     records with quoted line ends whole, at the price that a file is not split between tasks.

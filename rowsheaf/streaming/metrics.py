@@ -15,9 +15,6 @@ LIVE_REFRESH = "30 seconds"
 IDLE_REFRESH = "60 seconds"
 RATE_WINDOW, RATE_SLIDE = "5 minutes", "1 minute"
 
-# How long a window waits for late events in append and update mode. In complete mode none is lost.
-LATENESS = "10 minutes"
-
 
 def read_events(
     spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None, files_per_batch: int | None = None
@@ -31,25 +28,30 @@ def read_events(
     return reader.parquet(folder)
 
 
-def _windowed(events: DataFrame, ts: str, length: str, slide: str | None, lateness: str) -> DataFrame:
-    # A watermark needs an instant, not a clock reading.
-    timed = events.select(F.col(ts).cast("timestamp").alias("_at")).withWatermark("_at", lateness)
+def _windowed(events: DataFrame, ts: str, length: str, slide: str | None, lateness: str | None) -> DataFrame:
+    # Windows start at instants; a clock reading is one in UTC, whatever the session's zone.
+    at = F.col(ts).cast("timestamp")
+    if not isinstance(events.schema[ts].dataType, T.TimestampType):
+        at = F.from_utc_timestamp(at, F.current_timezone())
+    timed = events.select(at.alias("_at"))
+    # Only a caller who can do without events later than that names a lateness.
+    timed = timed.withWatermark("_at", lateness) if lateness else timed
     window = F.window("_at", length, slide) if slide else F.window("_at", length)
     counts = timed.groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
+    return counts.select(F.to_utc_timestamp("w.start", F.current_timezone()).cast("timestamp_ntz").alias("window_start"), "n")
 
 
-def moving_rate(events: DataFrame, ts: str = "created_at", lateness: str = LATENESS) -> DataFrame:
+def moving_rate(events: DataFrame, ts: str = "created_at", lateness: str | None = None) -> DataFrame:
     """``window_start, n`` of five-minute windows, one starting each minute."""
     return _windowed(events, ts, RATE_WINDOW, RATE_SLIDE, lateness)
 
 
-def hourly(events: DataFrame, ts: str = "created_at", lateness: str = LATENESS) -> DataFrame:
+def hourly(events: DataFrame, ts: str = "created_at", lateness: str | None = None) -> DataFrame:
     """``window_start, n`` per hour."""
     return _windowed(events, ts, "1 hour", None, lateness)
 
 
-def daily(events: DataFrame, ts: str = "created_at", lateness: str = LATENESS) -> DataFrame:
+def daily(events: DataFrame, ts: str = "created_at", lateness: str | None = None) -> DataFrame:
     """``window_start, n`` per UTC day."""
     return _windowed(events, ts, "1 day", None, lateness)
 

@@ -248,8 +248,8 @@ def test_types(spark, write):
 def test_late_misfit_raises(spark, write):
     path = write("late_type.csv", "a\n" + "1\n" * 1500 + "x\n")
     with pytest.raises(Exception, match="MALFORMED"):
-        scan_csv(spark, path).collect()
-    assert scan_csv(spark, path, sample_rows=None).dtypes == [("a", "string")]
+        scan_csv(spark, path, sample_rows=1000).collect()
+    assert scan_csv(spark, path).dtypes == [("a", "string")]
 
 
 def test_infer_types_of_an_empty_table(spark):

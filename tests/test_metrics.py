@@ -193,3 +193,24 @@ def test_unfinished_batch_is_not_read(spark, tmp_path):
     table.write(spark.range(5), 1)
     os.remove(f"{table.path}/batch_id=1/_SUCCESS")
     assert table.batches() == [0] and table.read().count() == 1
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Shanghai"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_days_and_hours_are_utc_in_any_session_zone(spark, tmp_path, zone, kind):
+    times = ["2024-01-29T20:00:00", "2024-01-30T00:30:00", "2024-01-30T12:00:00"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        suffix = "Z" if kind == "timestamp" else ""
+        events = spark.createDataFrame([(i, t + suffix) for i, t in enumerate(times)], "id long, t string")
+        events = events.select("id", F.col("t").cast(kind).alias("created_at"))
+        as_of = F.lit("2024-01-30T12:30:00" + suffix)
+        assert metrics.today(events, as_of).first().n == 2
+        assert metrics.core(events, as_of).first().today == 2
+        hours = {r.hour for r in metrics.trend(events, as_of).where("n > 0").collect()}
+        assert hours == {20, 0, 12}
+        days = {str(r.window_start): r.n for r in live.daily(events, "created_at").collect()}
+        assert days == {"2024-01-29 00:00:00": 1, "2024-01-30 00:00:00": 2}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
