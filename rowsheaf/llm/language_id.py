@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ MODEL_WORDS = 1 << 17
 MODEL_GRAMS = 1 << 17
 # Entries a task counts before it passes them on.
 _FLUSH = 300_000
+# Characters of words whose n-grams a task counts at a time.
+_CHUNK_CHARACTERS = 1 << 20
 # Added to every count.
 _PRIOR = 0.5
 
@@ -46,36 +50,51 @@ class LanguageModel:
     words: dict[str, int]
     grams: dict[str, int]
     table: np.ndarray
-    _unseen: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def of_unseen(self, word: str) -> np.ndarray:
-        """Mean log frequencies of a word's longest n-grams of which the model knows any; zeros if it knows none."""
-        found = self._unseen.get(word)
-        if found is None:
-            for n in range(LONGEST_GRAM, 0, -1):
-                known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
-                if known:
-                    found = self.table[known].mean(axis=0)
-                    break
-            else:
-                found = np.zeros(len(self.languages))
-            if len(self._unseen) >= _FLUSH:
-                self._unseen.clear()
-            self._unseen[word] = found
-        return found
-
-    def predict(self, text: str) -> tuple[str, float]:
-        """The language with the highest sum, the first by name of equals, and its share of the likelihoods."""
-        words = words_of(text)
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
-        get = self.words.get
-        rows = np.array([get(w, -1) for w in words])
-        total = self.table[rows[rows >= 0]].sum(axis=0)
-        for i in np.flatnonzero(rows < 0):
-            total = total + self.of_unseen(words[i])
-        best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+
+    def _known_grams(self, word: str) -> list[int]:
+        """Rows of a word's longest n-grams of which the model knows any."""
+        for n in range(LONGEST_GRAM, 0, -1):
+            known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
+            if known:
+                return known
+        return []
+
+    def of_unseen(self, words: list[str]) -> np.ndarray:
+        """One row per word: mean log frequencies of its longest known n-grams; zeros if it has none."""
+        known = [self._known_grams(w) for w in words]
+        sizes = np.array([len(k) for k in known], np.int64)
+        out = np.zeros((len(words), len(self.languages)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            rows = self.table[np.fromiter(chain.from_iterable(known), np.int64, int(sizes.sum()))]
+            starts = (np.cumsum(sizes) - sizes)[some]
+            out[some] = np.add.reduceat(rows, starts, axis=0) / sizes[some, None]
+        return out
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """For each text the language with the highest sum, the first by name of equals, and its share of the likelihoods."""
+        split = [words_of(text) for text in texts]
+        if not self.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        # words the model doesn't know have their own rows behind the table, for these texts only
+        unseen: dict[str, int] = {}
+        known = self.words
+        found = []
+        for words in split:
+            rows = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+            strange = np.flatnonzero(rows < 0)
+            others = [unseen.setdefault(words[i], len(unseen)) for i in strange.tolist()]
+            found.append((rows[rows >= 0], np.array(others, np.int64)))
+        backed_off = self.of_unseen(list(unseen))
+        out = []
+        for rows, others in found:
+            if not len(rows) and not len(others):
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = self.table[rows].sum(axis=0) + backed_off[others].sum(axis=0)
+            best = int(np.argmax(total))
+            out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def _count_words(batches):
@@ -99,25 +118,48 @@ def _count_words(batches):
     yield from flush()
 
 
-def _count_grams(batches):
-    """(lang, gram, n) from rows of (lang, word, n); a gram of n characters says its own order."""
-    counts: Counter = Counter()
+def _grams_of_words(langs: list[str], words: list[str], n: list[int]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of some words, each pair once.
 
-    def flush():
+    The n-grams of one order are numbered by the number of the n-gram before their last character, and that character.
+    """
+    text = "".join(f"<{w}>" for w in words)
+    lengths = np.array([len(w) + 2 for w in words])
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    weights = np.repeat(np.array(n, np.int64), lengths)
+    names, owners = np.unique(np.array(langs, object), return_inverse=True)
+    owners = np.repeat(owners, lengths)
+    _, characters = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    width = int(characters.max()) + 1
+    at, number = np.arange(len(text)), owners.astype(np.int64)
+    for order in range(1, LONGEST_GRAM + 1):
+        fits = at + order <= ends[at]
+        at, number = at[fits], number[fits]
+        if not len(at):
+            return
+        _, first, number = np.unique(number * width + characters[at + order - 1], return_index=True, return_inverse=True)
+        counts = np.zeros(len(first), np.int64)
+        np.add.at(counts, number, weights[at])
+        starts = at[first]
+        grams = [text[i : i + order] for i in starts.tolist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())],
-            ["lang", "entry", "n"],
+            [pa.array(names[owners[starts]], pa.string()), pa.array(grams, pa.string()), pa.array(counts)], ["lang", "entry", "n"]
         )
-        counts.clear()
 
+
+def _count_grams(batches):
+    """(lang, gram, n) from rows of (lang, word, n); a gram of n characters says its own order."""
+    held, size = ([], [], []), 0
     for batch in batches:
-        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-            for size in range(1, LONGEST_GRAM + 1):
-                for gram in grams_of(word, size):
-                    counts[lang, gram] += n
-            if len(counts) > _FLUSH:
-                yield from flush()
-    yield from flush()
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for column, value in zip(held, row):
+                column.append(value)
+            size += len(row[1])
+            if size > _CHUNK_CHARACTERS:
+                yield from _grams_of_words(*held)
+                held, size = ([], [], []), 0
+    if held[0]:
+        yield from _grams_of_words(*held)
 
 
 def _summed(counts: DataFrame) -> DataFrame:
@@ -186,7 +228,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         own = shared.value
         for batch in batches:
             for part in slices(batch):
-                predicted = [own.predict(text) for text in part.column(1).to_pylist()]
+                predicted = own.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *part.columns[2:], pa.array([p[0] for p in predicted], pa.string()), pa.array([p[1] for p in predicted], pa.float64())],
                     [id_col, *keep, "lang_pred", "score"],
