@@ -19,7 +19,7 @@ from rowsheaf.plans.files import (
     size_setting,
     stored_bytes,
 )
-from rowsheaf.plans.numbering import CHUNK, CHUNK_BASE, ROW, place_in_task, with_row_numbers
+from rowsheaf.plans.numbering import BROADCAST_ROWS, CHUNK, CHUNK_BASE, ROW, place_in_task, with_row_numbers
 from rowsheaf.sinks.csv import write_csv
 from rowsheaf.sources.encoding import SPARK_CHARSETS, encoding_profile, group_by_encoding, scan_encoded
 from rowsheaf.sources.lines import (
@@ -35,9 +35,6 @@ from rowsheaf.sources.tables import header_names, scan_csv, text_schema
 
 HEADERS = ("each", "first", "none")
 
-# With more input files than this to a full-sized output file, lines are brought together.
-SMALL_FILES_PER_OUTPUT = 16
-
 
 @dataclass(frozen=True)
 class MergeResult:
@@ -113,14 +110,14 @@ def _refuse_own_input(spark: SparkSession, files: list[str], out: str) -> None:
 
 
 def write_merged_lines(
-    spark: SparkSession, paths: list[str], out: str, header: str = "each", ordered: bool = True
+    spark: SparkSession, paths: list[str], out: str, header: str = "each", ordered: bool = True, compact: bool = False
 ) -> MergeResult:
     """Merge line by line into a folder whose files, taken by path, are in input order.
 
     Map-only: each file split is written by the task that reads it, under a ``chunk=`` folder named
-    by file and split, so order costs a local sort and no shuffle. Without ``ordered`` there is not even
-    that, and no order. Only where files are many and small are their lines brought together, by a
-    range shuffle over their places, into ordered files of the usual size. ``header="each"`` starts every
+    by file and split, so order costs neither a shuffle nor a sort. Without ``ordered`` there are no
+    such folders, and no order. With ``compact``, for many small files, lines are brought together by a
+    range shuffle over their places into ordered files of the usual size. ``header="each"`` starts every
     file with the first input's header, so that the folder reads as CSV; ``"first"`` has it once, so that
     the concatenated files are the merged file; ``"none"`` drops it.
     """
@@ -130,8 +127,6 @@ def write_merged_lines(
     files = list_inputs(spark, paths)
     _refuse_own_input(spark, files, out)
     head = header_line(spark, files[0]) if header != "none" else None
-    full_files = -(-estimated_bytes(raw_lines(spark, files)) // size_setting(spark, "spark.sql.files.maxPartitionBytes"))
-    compact = len(files) > SMALL_FILES_PER_OUTPUT * max(full_files, 1)
     rows = merge_lines(spark, files)
     # The first data line of a split; one split is one output file.
     first = F.col("line_no") == first_data_line()
@@ -140,6 +135,8 @@ def write_merged_lines(
     else:
         rows = rows.withColumn(CHUNK, F.lit(CHUNK_BASE))
     if compact:
+        size = size_setting(spark, "spark.sql.files.maxPartitionBytes")
+        full_files = -(-estimated_bytes(raw_lines(spark, files)) // size)
         place = [CHUNK, "line_no"]
         rows = rows.repartitionByRange(max(full_files, 1), *place).sortWithinPartitions(*place)
         first = place_in_task() == 0
@@ -147,12 +144,17 @@ def write_merged_lines(
     if head is not None and header == "each":
         value = F.when(first, F.concat(F.lit(head + "\n"), value)).otherwise(value)
     rows = rows.select(CHUNK, "line_no", value.alias("value"))
-    top = spark.createDataFrame([(CHUNK_BASE - 1, 0, head)], f"{CHUNK} long, line_no long, value string").coalesce(1)
+    session = rows.sparkSession  # the scan's own
+    top = session.createDataFrame([(CHUNK_BASE - 1, 0, head)], f"{CHUNK} long, line_no long, value string").coalesce(1)
     if header == "first" and head is not None:
         rows = top.unionByName(rows)
     if ordered and not compact:
-        rows = rows.sortWithinPartitions(CHUNK, "line_no").select(F.col(CHUNK).alias("chunk"), "value")
-        rows.write.partitionBy("chunk").option("lineSep", "\n").text(out)
+        if len(files) <= BROADCAST_ROWS:
+            # A task has one split, which is one chunk: with a file kept open the writer sorts nothing.
+            session.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")
+        else:
+            rows = rows.sortWithinPartitions(CHUNK, "line_no")
+        rows.select(F.col(CHUNK).alias("chunk"), "value").write.partitionBy("chunk").option("lineSep", "\n").text(out)
     else:
         rows.select("value").write.option("lineSep", "\n").text(out)
     if header == "each" and head is not None and stored_bytes(spark, out) == 0:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowsheaf.functions.scalars import clean_filename
-from rowsheaf.plans.files import LAYOUTS, NAMED_FILES, materialise, move_files
+from rowsheaf.plans.files import LAYOUTS, materialise, move_files
 from rowsheaf.plans.numbering import (
     CHUNK,
     CHUNK_BASE,
@@ -19,6 +19,7 @@ from rowsheaf.plans.numbering import (
     Ordered,
     broadcast_if,
     order_rows,
+    refuse_names,
     whole,
     with_grid_parts,
     with_row_numbers,
@@ -37,10 +38,8 @@ BYTES_PER_PART = 100 * 1024 * 1024
 
 METHODS = ("rows", "count", "bytes")
 
-# One file per part is written by one task, so larger parts are written as folders of files.
-ONE_FILE_ROWS = 10_000_000
-ONE_FILE_BYTES = 2 << 30
-MAX_WRITE_PARTITIONS = 8192
+# Named files of fewer rows than this share a task.
+ROWS_PER_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -103,8 +102,10 @@ def split_table(
 ) -> Split:
     """Split the rows of ``df`` in the order of ``order_by``; records stay whole.
 
-    By bytes, ``line`` is the text they are measured on; it defaults to the row's CSV text.
+    By bytes, ``line`` is the text they are measured on; it defaults to the row's CSV text. A column
+    called ``part``, or as one of the columns that the numbering adds, raises.
     """
+    refuse_names(df, {"part"})
     measure = (csv_line(df) if line is None else line) if by == "bytes" else None
     return assign_parts(order_rows(df, order_by, measure, unique), by, n)
 
@@ -152,28 +153,19 @@ def _dense(per_part: DataFrame) -> DataFrame:
 
 
 def write_parts(
-    split: Split, out: str, header: str | None, prefix: str = PREFIX, value: str = "value", layout: str = "auto"
+    split: Split, out: str, header: str | None, prefix: str = PREFIX, value: str = "value", layout: str = "folders"
 ) -> SplitResult:
     """Write each part as CSV text with the header on top.
 
-    ``layout="files"`` puts one file per part at ``out/prefix_0001.csv``: one shuffle by part, the
-    parts spread evenly over the tasks. ``"folders"`` writes without a shuffle, each task its own
-    stretch of rows, to ``out/part=1/chunk=.../``; the files of a part's folder, taken by path, are the
-    part. ``"auto"`` takes files while a part fits a task and there are not too many.
+    ``"folders"`` writes without a shuffle, each task its own stretch of rows, to
+    ``out/part=1/chunk=.../``; the files of a part's folder, taken by path, are the part. ``"files"``, at
+    any size, puts one file per part at ``out/prefix_0001.csv``: one shuffle by part, each written by one
+    task, and named one by one in the end.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout: {layout}")
     started = time.monotonic()
     spark = split.rows.sparkSession
-    fits = (
-        split.n_parts <= NAMED_FILES
-        and split.total_rows <= ONE_FILE_ROWS * split.n_parts
-        and (split.total_bytes or 0) <= ONE_FILE_BYTES * split.n_parts
-    )
-    if layout == "files" and not fits:
-        raise ValueError("parts are too large or too many for one file each; use folders")
-    layout = ("files" if fits else "folders") if layout == "auto" else layout
-
     rows, sizes = split.rows.select("part", CHUNK, PLACE, F.col(value).alias("value")), split.sizes
     if split.gaps:
         n_rows, last = sizes.agg(F.count("*"), F.max("part")).first()
@@ -189,7 +181,8 @@ def write_parts(
         top = [F.lit(CHUNK_BASE - 1).alias(CHUNK), F.lit(0).cast("long").alias(PLACE), F.lit(header).alias("value")]
         rows = rows.unionByName(sizes.select("part", *top))
     if layout == "files":
-        tasks = min(split.n_parts, MAX_WRITE_PARTITIONS)
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(split.n_parts, max(-(-split.total_rows // ROWS_PER_TASK), least))
         task = whole((F.col("part") - 1).cast("long") * F.lit(tasks), split.n_parts).cast("int")
         placed = rows.repartitionById(tasks, task).sortWithinPartitions("part", CHUNK, PLACE)
         staged = f"{out.rstrip('/')}/_parts"
@@ -219,7 +212,7 @@ def _written(sizes: DataFrame, rows: DataFrame, out: str, prefix: str, layout: s
 
 
 def split_file(
-    spark: SparkSession, path: str, out: str, by: str, n: int, prefix: str = PREFIX, layout: str = "auto"
+    spark: SparkSession, path: str, out: str, by: str, n: int, prefix: str = PREFIX, layout: str = "folders"
 ) -> SplitResult:
     """Split one CSV file by lines into parts that each start with its header."""
     return write_parts(split_lines(spark, path, by, n), out, header_line(spark, path), prefix, layout=layout)
@@ -232,12 +225,16 @@ def split_table_to_csv(
     n: int,
     order_by: list[str | Column],
     prefix: str = PREFIX,
-    layout: str = "auto",
+    layout: str = "folders",
     unique: bool = False,
 ) -> SplitResult:
     """Split a table into CSV parts; a record with quoted line ends is never cut."""
     # The line says all about a row; beside it only the order's own columns have to be staged.
-    kept = list(dict.fromkeys(order_by)) if all(isinstance(k, str) for k in order_by) else df.columns
-    lines = df.select(*[quoted(c) for c in kept], csv_line(df).alias("_line"))
+    if all(isinstance(k, str) for k in order_by):
+        # under names that clash with none
+        lines = df.select(*[quoted(c).alias(f"_by_{i}") for i, c in enumerate(order_by)], csv_line(df).alias("_line"))
+        order_by = lines.columns[:-1]
+    else:
+        lines = df.withColumn("_line", csv_line(df))
     split = split_table(lines, by, n, order_by, F.col("_line"), unique)
     return write_parts(split, out, header_text(df.columns), prefix, value="_line", layout=layout)

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 _PATTERN_CHARACTERS = r"[\\*?\[\]{}]"
 
 # How a data set with an inner order is laid out: one named file per piece, or a folder per piece.
-LAYOUTS = ("auto", "files", "folders")
+LAYOUTS = ("files", "folders")
 
-# Files are named one by one after the write; with more of them, folders are used.
-NAMED_FILES = 10_000
+# Hidden files that hold no rows: marks of finished writes, checksums.
+_BOOKKEEPING = re.compile(r"_SUCCESS|_temporary|_started.*|_committed.*|_metadata|_common_metadata|\..*\.crc")
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -51,18 +51,39 @@ def _literal(path: str) -> str:
     return re.sub(_PATTERN_CHARACTERS, r"\\\g<0>", path)
 
 
+def _refuse_hidden(spark: SparkSession, path: str, found: list[str]) -> None:
+    """Raise where Spark's readers would leave out a file of ``path`` for its name."""
+    fs, p = hadoop_path(spark, path)
+    if fs.getFileStatus(p).isFile():
+        names = [p.getName()]
+    else:
+        folders = {path.rstrip("/"), *(f.rpartition("/")[0] for f in found)}
+        to_path = spark._jvm.org.apache.hadoop.fs.Path
+        names = [s.getPath().getName() for f in folders for s in fs.globStatus(to_path(f"{_literal(f)}/{{_,.}}*")) or []]
+    hidden = [n for n in names if n[0] in "_." and "=" not in n and not _BOOKKEEPING.fullmatch(n)]
+    if hidden:
+        raise ValueError(f"Spark reads no file with such a name, rename it: {', '.join(sorted(hidden))} in {path}")
+
+
 def list_inputs(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Data files behind ``paths``, in list order; a directory gives its files by name.
+    """Data files behind ``paths``, in list order; a directory gives its files and those of its folders, by name.
 
     A path may be a pattern, unless a file has just that name. One listed twice counts once; one that
-    is absent raises before anything is read. The result can be given to a reader: characters it takes
+    is absent raises before anything is read, and so does one that Spark hides for its name (``_x``, ``.x``),
+    unless it only marks a finished write. The result can be given to a reader: characters it takes
     for a pattern are escaped.
     """
     jvm = spark._jvm
     ordered: dict[str, None] = {}
+    reader = spark.read.option("recursiveFileLookup", True)
     for path in dict.fromkeys(paths):
-        for uri in sorted(spark.read.text(_literal(path) if exists(spark, path) else path).inputFiles()):
-            ordered.setdefault(_literal(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()))
+        named = exists(spark, path)
+        uris = sorted(reader.text(_literal(path) if named else path).inputFiles())
+        found = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString() for uri in uris]
+        if named:
+            _refuse_hidden(spark, path, found)
+        for file in found:
+            ordered.setdefault(_literal(file))
     return list(ordered)
 
 

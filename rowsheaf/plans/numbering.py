@@ -38,7 +38,8 @@ CUTS_PER_CHUNK = 512
 # splits of 128 MB and parts of 100 MB make 1.8 million) are shipped to every executor.
 BROADCAST_ROWS = 4_000_000
 RANGE_PARTITION_BYTES = 256 << 20
-MAX_RANGE_PARTITIONS = 50_000
+# A guard against estimates far off, as of joins: 400,000 partitions of that size are 100 TB.
+MAX_RANGE_PARTITIONS = 400_000
 
 _BLOCK = "_block"
 _FIRST_33_BITS = (1 << 33) - 1
@@ -213,6 +214,20 @@ def range_partitions(df: DataFrame) -> int:
     return min(max(wanted, floor), MAX_RANGE_PARTITIONS)
 
 
+# Names that rows get while they are numbered and split.
+_OWN_NAMES = {
+    ROW, SIZE, KEY, CHUNK, PLACE, _BLOCK, "_tie", "_arrival", "_row_offset", "_cuts",
+    "n_rows", "n_bytes", "start_row", "start_bytes", "offset",
+}
+
+
+def refuse_names(df: DataFrame, others: set[str] = frozenset()) -> None:
+    """Raise if a column of ``df`` has a name that the numbering would overwrite."""
+    taken = [c for c in df.columns if c.lower() in _OWN_NAMES | others]
+    if taken:
+        raise ValueError(f"rename columns before numbering rows: {', '.join(taken)}")
+
+
 def order_rows(
     df: DataFrame, order_by: list[str | Column], line: Column | None = None, unique: bool = False
 ) -> Ordered:
@@ -223,6 +238,7 @@ def order_rows(
     by a hash of the whole row and then by arrival, so a key that holds a third of all rows still
     spreads over many range partitions, and only identical rows are interchangeable.
     """
+    refuse_names(df)
     columns = df.columns
     keys = [F.col(k) if isinstance(k, str) else k for k in order_by]
     wide = df.withColumn(SIZE, (F.octet_length(line) + 1).cast("long")) if line is not None else df

@@ -110,9 +110,10 @@ def header_line(spark: SparkSession, path: str) -> str | None:
 
 
 def count_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``total_lines`` and ``data_lines`` over all files: one header line per non-empty file."""
+    """``total_lines``, ``data_lines`` and ``n_files`` over all non-empty files, each with one header line."""
     per_file = raw_lines(spark, list_inputs(spark, paths)).groupBy("_metadata.file_path").agg(F.count("*").alias("n"))
     return per_file.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_lines"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("data_lines"),
+        F.count(F.lit(1)).alias("n_files"),
     )

@@ -56,6 +56,22 @@ def daily(events: DataFrame, ts: str = "created_at", lateness: str | None = None
     return _windowed(events, ts, "1 day", None, lateness)
 
 
+def refresh_on_timer(
+    spark: SparkSession, event_table, table: VersionedTable, checkpoint: str, as_of, ts: str = "created_at", every: str = LIVE_REFRESH
+) -> StreamingQuery:
+    """Refresh the core metrics in ``table`` every ``every`` (:data:`IDLE_REFRESH` where nobody looks), until stopped.
+
+    A clock stream wakes it, so "today" and "last 5 minutes" also fall when no event comes.
+    ``event_table()`` is a batch read and ``as_of()`` the instant of each refresh.
+    """
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def on_tick(batch: DataFrame, batch_id: int) -> None:
+        table.write(metrics.core(event_table(), as_of(), ts), batch_id)
+
+    return start(clock.writeStream.foreachBatch(on_tick), checkpoint, every)
+
+
 class MetricTables:
     """``core``, ``trend`` and ``latest`` tables, recomputed from the event table on every change."""
 

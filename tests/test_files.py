@@ -138,7 +138,7 @@ def test_many_small_files_come_together(spark, write, tmp_path, header):
     expected = [f"{i}-{j}" for i in range(40) for j in range(i % 5)]
     for ordered in (True, False):
         out = str(tmp_path / f"o{ordered}")
-        write_merged_lines(spark, paths, out, header=header, ordered=ordered)
+        write_merged_lines(spark, paths, out, header=header, ordered=ordered, compact=True)
         texts = files_in_order(out)
         assert len(texts) <= 2
         lines = "".join(texts).splitlines()
@@ -147,6 +147,34 @@ def test_many_small_files_come_together(spark, write, tmp_path, header):
         assert header == "none" or lines[0] == "h0"
 
 
+def test_hidden_names_raise_and_folders_are_read(spark, write):
+    a, b, c = write("h/a.csv", "x\n1\n"), write("h2/_b.csv", "x\n2\n"), write("h3/.c.csv", "x\n3\n")
+    write("h/inner/d.csv", "x\n4\n")
+    write("h/_SUCCESS", "")
+    for hidden in (b, c, os.path.dirname(b), os.path.dirname(c)):
+        with pytest.raises(ValueError, match="rename"):
+            merge_manifest(spark, [a, hidden])
+    folder = os.path.dirname(a)
+    assert sorted(_values(merge_lines(spark, [folder]))) == ["1", "4"]
+    assert merge_tables(spark, [folder]).count() == 2 == file_inventory(spark, [folder]).count()
+
+
+@pytest.mark.parametrize("n", [16, 17])
+def test_merge_layout_does_not_follow_the_size(spark, write, tmp_path, n):
+    paths = [write(f"n{n}/{i}.csv", f"h\n{i}\n") for i in range(n)]
+    out = tmp_path / "o"
+    write_merged_lines(spark, paths, str(out))
+    assert sum(f.startswith("chunk=") for f in os.listdir(out)) == n
+
+
+def test_ordered_merge_sorts_nothing(spark, three, tmp_path):
+    write_merged_lines(spark, three, str(tmp_path / "o"))
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [done.apply(i).physicalPlanDescription() for i in range(done.size())]
+    written = [p for p in plans if str(tmp_path / "o") in p and "InsertIntoHadoopFs" in p]
+    assert written and not any("Sort" in p or "Exchange hash" in p for p in written)
+
+
 def test_merge_many_splits_keeps_order(spark, write):
     """Files cut into many splits, of many lengths."""
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")

@@ -214,3 +214,27 @@ def test_days_and_hours_are_utc_in_any_session_zone(spark, tmp_path, zone, kind)
         assert days == {"2024-01-29 00:00:00": 1, "2024-01-30 00:00:00": 2}
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_timer_refreshes_without_events(spark, tmp_path):
+    """Three refreshes over the same rows, each an hour later."""
+    _log(spark, ["2024-01-30 12:29:00"]).write.parquet(str(tmp_path / "e"))
+    table = live.VersionedTable(spark, str(tmp_path / "t"))
+    hours = iter(range(12, 23))
+    query = live.refresh_on_timer(
+        spark,
+        lambda: spark.read.parquet(str(tmp_path / "e")),
+        table,
+        str(tmp_path / "cp"),
+        lambda: f"2024-01-30 {next(hours)}:30:00",
+        every="1 second",
+    )
+    try:
+        for _ in range(150):
+            if len(table.batches()) >= 3 or not query.isActive:
+                break
+            query.awaitTermination(0.2)
+    finally:
+        query.stop()
+    first, last = (spark.read.parquet(f"{tmp_path}/t/batch_id={n}").first() for n in (table.batches()[0], table.batches()[-1]))
+    assert (first["last_5m"], last["last_5m"], last["total"]) == (1, 0, 1)

@@ -45,7 +45,7 @@ def test_part_sizes(spark, ten, by, n, sizes):
 
 def test_part_files(spark, ten, tmp_path):
     out = str(tmp_path / "parts")
-    result = split_file(spark, ten, out, "count", 6, prefix=" a/b. ")
+    result = split_file(spark, ten, out, "count", 6, prefix=" a/b. ", layout="files")
     names = [f"a_b_{i:04d}.csv" for i in range(1, 7)]
     assert sorted(f for f in os.listdir(out) if f.endswith(".csv") and not f.startswith(".")) == names
     texts = files_in_order(out)
@@ -101,7 +101,7 @@ def test_bytes_against_plain_python(spark, write):
 def test_long_line_leaves_no_gap_in_the_names(spark, write, tmp_path):
     path = write("long.csv", "h\na\n" + "b" * 50 + "\nc\nd\n")
     out = str(tmp_path / "o")
-    result = split_file(spark, path, out, "bytes", 10)
+    result = split_file(spark, path, out, "bytes", 10, layout="files")
     rows = result.manifest.orderBy("part").collect()
     assert [(r["part"], r["file"], r["rows"]) for r in rows] == [(1, "split_part_0001.csv", 2), (2, "split_part_0002.csv", 2)]
     assert files_in_order(out) == ["h\na\n" + "b" * 50 + "\n", "h\nc\nd\n"]
@@ -137,6 +137,24 @@ def test_records_stay_whole(spark, tmp_path):
         assert all(r["v"] == f'l1 "{r["id"]}"\nl2,{r["id"]}' for r in rows)
 
 
+@pytest.mark.parametrize("n", [10, 100_000])
+def test_layout_does_not_follow_the_size(spark, tmp_path, n):
+    df = spark.range(n)
+    assert split_table_to_csv(df, str(tmp_path / "a"), "count", 2, ["id"]).layout == "folders"
+    assert sorted(f for f in os.listdir(tmp_path / "a") if f[0] not in "._") == ["part=1", "part=2"]
+
+
+def test_columns_of_the_user_are_kept(spark, tmp_path):
+    df = spark.range(12).selectExpr("id % 5 AS part", "id AS _chunk", "id AS n_rows")
+    out = str(tmp_path / "o")
+    split_table_to_csv(df, out, "rows", 5, ["part", "_chunk"], layout="files")
+    rows = scan_csv(spark, out).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, df.collect()))
+    for name in ("part", "_chunk", "_PLACE"):
+        with pytest.raises(ValueError, match="rename"):
+            split_table(spark.range(3).toDF(name), "rows", 2, [name])
+
+
 def test_split_then_merge_gives_the_input(spark, ten, tmp_path):
     parts, merged = str(tmp_path / "parts"), str(tmp_path / "merged")
     split_file(spark, ten, parts, "rows", 3, layout="files")
