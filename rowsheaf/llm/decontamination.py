@@ -105,20 +105,26 @@ class _Benchmark:
             return
         runs = rolling(doc, self.min_match)
         at = np.flatnonzero(self.maybe[runs >> np.uint64(64 - _FILTER_BITS)])
-        low = np.searchsorted(self.seeds, runs[at])
-        high = np.searchsorted(self.seeds, runs[at], side="right")
-        at, low, high = at[high > low], low[high > low], high[high > low]
-        if not len(at):
+        # each seed once, however often the document repeats it, so that repetitions are not multiplied by those of the items
+        seeds, which = np.unique(runs[at], return_inverse=True)
+        low = np.searchsorted(self.seeds, seeds)
+        width = np.searchsorted(self.seeds, seeds, side="right") - low
+        if not width.any():
             return
-        hits = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
-        doc_at, owners, item_at = np.repeat(at, high - low), self.owners[hits], self.places[hits]
-        for k in np.unique(owners):
-            item, own = self.words[k], owners == k
-            bound = len(self._around(item_at[own]))
-            if bound < coverage * len(item):
+        hits = np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())
+        order = np.argsort(self.owners[hits], kind="stable")
+        owners, item_at = self.owners[hits][order], self.places[hits][order]
+        seed_of = np.repeat(np.arange(len(seeds)), width)[order]
+        starts = np.flatnonzero(np.diff(owners, prepend=-1))
+        for start, end in zip(starts, [*starts[1:], len(owners)]):
+            k = owners[start]
+            item = self.words[k]
+            if len(self._around(item_at[start:end])) < coverage * len(item):
                 continue
             # a run of matching words lies in seeds, so the rest of the document can be left out
-            near = self._around(doc_at[own])
+            shared = np.zeros(len(seeds), bool)
+            shared[seed_of[start:end]] = True
+            near = self._around(at[shared[which]])
             gaps = np.flatnonzero(np.diff(near) > 1) + 1
             cut = np.insert(doc[near], gaps, np.arange(len(gaps), dtype=np.uint64))
             tiles = tile(cut, item, self.min_match)

@@ -135,6 +135,14 @@ def test_tiling_finds_reordered_passages(spark):
     assert decontamination.contaminated(docs_of(spark, []), bench).count() == 0
 
 
+def test_long_repetitions_hold_each_seed_once(spark):
+    phrase = "one two three four five six"
+    texts = [f"{phrase} " * 2_000, EN]
+    bench = spark.createDataFrame([(i, phrase if i % 2 else f"{phrase} seven eight") for i in range(40)], "item_id long, text string")
+    rows = decontamination.contaminated(docs_of(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id, r.item_words, r.covered_words) for r in rows} == {(0, i, 6 if i % 2 else 8, 6) for i in range(40)}
+
+
 def test_tiles_are_greedy_and_do_not_overlap():
     rng = np.random.default_rng(1)
     for _ in range(30):
