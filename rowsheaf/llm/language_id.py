@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +18,15 @@ from rowsheaf.plans.files import materialise
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
-# Entries a model may hold, so that it fits every Python worker; the most frequent are kept.
+# Entries that go to every Python worker, the most frequent; the others are looked up in written tables.
 MODEL_WORDS = 1 << 17
 MODEL_GRAMS = 1 << 17
 # Entries a task counts before it passes them on.
 _FLUSH = 300_000
 # Characters of words whose n-grams a task counts at a time.
 _CHUNK_CHARACTERS = 1 << 20
+# Words whose n-grams a task takes out at a time.
+_WORDS = 10_000
 # Added to every count.
 _PRIOR = 0.5
 
@@ -43,58 +45,46 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 @dataclass
-class LanguageModel:
-    """Log frequencies by language. ``words`` and ``grams`` map an entry to its row in ``table``."""
+class SharedModel:
+    """Log frequencies by language of the most frequent entries. ``words`` and ``grams`` map one to its row in ``table``."""
 
-    languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
     table: np.ndarray
 
-    def _known_grams(self, word: str) -> list[int]:
-        """Rows of a word's longest n-grams of which the model knows any."""
+    def totals_of(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, Counter]]:
+        """For each text the number of its words, the sum over those found here, and the others with their numbers."""
+        for text in texts:
+            words = words_of(text)
+            rows = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+            others = Counter([words[i] for i in np.flatnonzero(rows < 0).tolist()])
+            yield len(words), self.table[rows[rows >= 0]].sum(axis=0), others
+
+    def grams_in(self, word: str) -> tuple[int, list[int], list[str]]:
+        """Length of a word's longest n-grams found here (0 if none is), their rows, and its n-grams of that length or
+        more that aren't here, which may still be in the written table."""
+        others = []
         for n in range(LONGEST_GRAM, 0, -1):
-            known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
+            grams = grams_of(word, n)
+            known = [self.grams[g] for g in grams if g in self.grams]
+            others += [g for g in grams if g not in self.grams] if known else grams
             if known:
-                return known
-        return []
-
-    def of_unseen(self, words: list[str]) -> np.ndarray:
-        """One row per word: mean log frequencies of its longest known n-grams; zeros if it has none."""
-        known = [self._known_grams(w) for w in words]
-        sizes = np.array([len(k) for k in known], np.int64)
-        out = np.zeros((len(words), len(self.languages)))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            rows = self.table[np.fromiter(chain.from_iterable(known), np.int64, int(sizes.sum()))]
-            starts = (np.cumsum(sizes) - sizes)[some]
-            out[some] = np.add.reduceat(rows, starts, axis=0) / sizes[some, None]
-        return out
-
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """For each text the language with the highest sum, the first by name of equals, and its share of the likelihoods."""
-        split = [words_of(text) for text in texts]
-        if not self.languages:
-            return [(UNDETERMINED, 0.0)] * len(texts)
-        # words the model doesn't know have their own rows behind the table, for these texts only
-        unseen: dict[str, int] = {}
-        known = self.words
-        found = []
-        for words in split:
-            rows = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-            strange = np.flatnonzero(rows < 0)
-            others = [unseen.setdefault(words[i], len(unseen)) for i in strange.tolist()]
-            found.append((rows[rows >= 0], np.array(others, np.int64)))
-        backed_off = self.of_unseen(list(unseen))
-        out = []
-        for rows, others in found:
-            if not len(rows) and not len(others):
-                out.append((UNDETERMINED, 0.0))
-                continue
-            total = self.table[rows].sum(axis=0) + backed_off[others].sum(axis=0)
-            best = int(np.argmax(total))
-            out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
-        return out
+                return n, known, others
+        return 0, [], others
+
+
+@dataclass
+class LanguageModel:
+    """Counts of every word and n-gram that was learned, as written tables (``entry``, ``n0``, ``n1``, ... by language), and
+    the most frequent ones for every task. The frequency of a count is its share of ``of_words`` or of ``of_grams`` (by
+    length, from 0), by language."""
+
+    languages: list[str]
+    shared: SharedModel | None = None
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+    of_words: np.ndarray | None = None
+    of_grams: np.ndarray | None = None
 
 
 def _count_words(batches):
@@ -166,18 +156,15 @@ def _summed(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "entry").agg(F.sum("n").alias("n"))
 
 
-def _bounded(counts: DataFrame, bound: int, languages: list[str]):
-    """One row per entry with its count in each language, of the most frequent entries over all languages."""
-    by_entry = counts.groupBy("entry").agg(
-        F.sum("n").alias("_all"),
-        *[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(languages)],
-    )
-    kept = frequent(by_entry, "_all", bound).drop("_all").toPandas()
-    return kept["entry"].tolist(), kept[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64)
+def _by_entry(counts: DataFrame, languages: list[str], label: str) -> DataFrame:
+    """One row per entry with its count in each language."""
+    columns = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
+    return materialise(counts.groupBy("entry").agg(F.sum("n").alias("_all"), *columns), label)
 
 
-def _log_frequencies(counts: np.ndarray, totals: np.ndarray, distinct: float) -> np.ndarray:
-    return np.log((counts + _PRIOR) / (totals + _PRIOR * (distinct + 1)))
+def _most_frequent(entries: DataFrame, bound: int, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    kept = frequent(entries, "_all", bound).drop("_all").toPandas()
+    return kept["entry"].tolist(), kept[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64)
 
 
 def train(
@@ -185,9 +172,10 @@ def train(
 ) -> LanguageModel:
     """A model from all rows with a label; those without one, or with a null text, teach nothing.
 
-    Words and n-grams are counted over all of every text; the model keeps the ``words`` and ``grams`` most
-    frequent. Tasks count before anything is shuffled, so a language with most of the rows spreads out. The
-    labels are few; one value per language comes to the driver.
+    Words and n-grams are counted over all of every text, and all counts are kept in written tables. The ``words`` and
+    ``grams`` most frequent also go to every task, which changes no prediction. Tasks count before anything is
+    shuffled, so a language with most of the rows spreads out. The labels are few; one value per language comes
+    to the driver.
     """
     source = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     source = source.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -196,46 +184,132 @@ def train(
     of_words = {r["lang"]: (r["n"], r["distinct"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
     languages = sorted(of_words)
     if not languages:
-        return LanguageModel([], {}, {}, np.zeros((0, 0)))
+        return LanguageModel([])
     gram_counts = materialise(_summed(counted.mapInArrow(_count_grams, "lang string, entry string, n long")), "language-grams")
     orders = gram_counts.groupBy("lang", F.length("entry").alias("order")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
     of_grams = {(r["lang"], r["order"]): (r["n"], r["distinct"]) for r in orders.collect()}
 
-    known, known_counts = _bounded(counted, words, languages)
-    pieces, piece_counts = _bounded(gram_counts, grams, languages)
-    table = np.empty((len(known) + len(pieces), len(languages)))
-    lengths = np.array([len(p) for p in pieces], np.int64)
-    for i, lang in enumerate(languages):
-        n, distinct = of_words[lang]
-        table[: len(known), i] = _log_frequencies(known_counts[:, i], n, distinct)
-        totals = np.array([of_grams.get((lang, k), (0, 0)) for k in range(LONGEST_GRAM + 1)], np.float64)
-        table[len(known) :, i] = _log_frequencies(piece_counts[:, i], totals[lengths, 0], totals[lengths, 1])
-    return LanguageModel(
-        languages, {w: i for i, w in enumerate(known)}, {g: len(known) + i for i, g in enumerate(pieces)}, table
+    whole_words = np.array([n + _PRIOR * (distinct + 1) for n, distinct in map(of_words.get, languages)])
+    whole_grams = np.array(
+        [[n + _PRIOR * (distinct + 1) for n, distinct in (of_grams.get((lang, k), (0, 0)) for lang in languages)] for k in range(LONGEST_GRAM + 1)]
     )
+    all_words = _by_entry(counted, languages, "language-all-words")
+    all_grams = _by_entry(gram_counts, languages, "language-all-grams")
+    known, known_counts = _most_frequent(all_words, words, languages)
+    pieces, piece_counts = _most_frequent(all_grams, grams, languages)
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    table = np.log(np.concatenate([(known_counts + _PRIOR) / whole_words, (piece_counts + _PRIOR) / whole_grams[lengths]]))
+    shared = SharedModel({w: i for i, w in enumerate(known)}, {g: len(known) + i for i, g in enumerate(pieces)}, table)
+    return LanguageModel(languages, shared, all_words, all_grams, whole_words, whole_grams)
+
+
+def _of_unseen(words: DataFrame, model: LanguageModel, shared) -> DataFrame:
+    """``word, s0, s1, ...``: mean log frequencies of the longest n-grams of which any was learned; without any, no row."""
+    each = range(len(model.languages))
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, _WORDS):
+                out = ([], [], [], [])
+                sums = []
+                for word in batch.column(0)[start : start + _WORDS].to_pylist():
+                    n, known, others = own.grams_in(word)
+                    if known:
+                        for column, value in zip(out, (word, n, len(known), None)):
+                            column.append(value)
+                        sums.append(own.table[known].sum(axis=0))
+                    for gram, times in Counter(others).items():
+                        for column, value in zip(out, (word, len(gram), times, gram)):
+                            column.append(value)
+                        sums.append(nothing)
+                sums = np.array(sums).reshape(len(sums), len(each))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())]
+                    + [pa.array(sums[:, i]) for i in each],
+                    ["word", "order", "n", "gram", *[f"s{i}" for i in each]],
+                )
+
+    nothing = np.zeros(len(each))
+    sums = [f"s{i}" for i in each]
+    pieces = words.mapInArrow(run, "word string, order int, n long, gram string, " + ", ".join(f"{c} double" for c in sums))
+    pieces = materialise(pieces, "language-pieces")
+    asked = pieces.where("gram IS NOT NULL").select("word", "order", "n", "gram")
+    found = asked.join(model.grams.withColumnRenamed("entry", "gram"), "gram")
+    whole = [F.element_at(F.array(*[F.lit(float(x)) for x in model.of_grams[:, i]]), F.col("order") + 1) for i in each]
+    found = found.select("word", "order", "n", *[(F.col("n") * F.log((F.col(f"n{i}") + _PRIOR) / whole[i])).alias(f"s{i}") for i in each])
+    found = pieces.where("gram IS NULL").drop("gram").unionByName(found)
+    found = found.groupBy("word", "order").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    longest = found.groupBy("word").agg(F.max_by(F.struct("n", *sums), "order").alias("found"))
+    return longest.select("word", *[(F.col(f"found.{c}") / F.col("found.n")).alias(c) for c in sums])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """``id_col``, the columns ``keep``, ``lang_pred`` and ``score`` (0 to 1) of each row of ``docs``, from its whole text alone.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text for a model that has
-    learned nothing. Repeated rows each give a row. The model's size is bounded, so it is broadcast. Map only.
+    The language with the highest sum over all words, the first by name of equals, and its share of the likelihoods. A
+    learned word counts with its log frequencies, any other with the mean of its longest learned n-grams. A
+    text that is null or has no letter is ``und`` with score 0, as is every text for a model that has
+    learned nothing. Repeated rows each give a row.
+
+    The most frequent words and n-grams are broadcast; the other words of a text, each once, meet their counts in a
+    join, and so do the n-grams of those never learned. Rows meet their predictions by a hash of id and text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *keep)
+    if not model.languages:
+        return docs.select(F.col(id_col), *keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    each = range(len(model.languages))
+    sums = [f"s{i}" for i in each]
+    shared = docs.sparkSession.sparkContext.broadcast(model.shared)
+    key = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key_a"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("_key_b")]
+    source = docs.select(F.col(text_col).cast("string").alias("text"), *key)
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            for part in slices(batch):
-                predicted = own.predict(part.column(1).to_pylist())
+            for part in slices(batch, 0):
+                found = list(own.totals_of(part.column(0).to_pylist()))
+                totals = np.array([f[1] for f in found]).reshape(len(found), len(each))
+                others = pa.StructArray.from_arrays(
+                    [
+                        pa.array([w for f in found for w in f[2]], pa.string()),
+                        pa.array([n for f in found for n in f[2].values()], pa.int64()),
+                    ],
+                    ["word", "n"],
+                )
+                ends = pa.array(np.cumsum([0] + [len(f[2]) for f in found]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *part.columns[2:], pa.array([p[0] for p in predicted], pa.string()), pa.array([p[1] for p in predicted], pa.float64())],
-                    [id_col, *keep, "lang_pred", "score"],
+                    [*part.columns[1:], pa.array([f[0] for f in found], pa.int64()), pa.ListArray.from_arrays(ends, others)]
+                    + [pa.array(totals[:, i]) for i in each],
+                    ["_key_a", "_key_b", "n_words", "rest", *sums],
                 )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text"]
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    schema = "_key_a long, _key_b long, n_words long, rest array<struct<word: string, n: long>>, " + ", ".join(f"{c} double" for c in sums)
+    rows = materialise(source.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "language-rows")
+
+    rest = rows.select("_row", F.inline("rest"))
+    looked_up = rest.select("word").distinct().join(model.words.withColumnRenamed("entry", "word"), "word", "left")
+    looked_up = materialise(looked_up, "language-rest")
+    learned = looked_up.where("n0 IS NOT NULL")
+    learned = learned.select("word", *[F.log((F.col(f"n{i}") + _PRIOR) / float(model.of_words[i])).alias(f"s{i}") for i in each])
+    unseen = _of_unseen(looked_up.where("n0 IS NULL").select("word"), model, shared)
+    scored = materialise(learned.unionByName(unseen), "language-scored")
+    added = rest.join(scored, "word").groupBy("_row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in sums])
+    empty = [F.lit(None).cast("long").alias(c) for c in ("_key_a", "_key_b", "n_words")]
+    totals = rows.drop("rest").unionByName(added.select("_row", *empty, *sums)).groupBy("_row").agg(
+        *[F.max(c).alias(c) for c in ("_key_a", "_key_b", "n_words")], F.array(*[F.sum(c) for c in sums]).alias("totals")
+    )
+    best, some = F.array_max("totals"), F.col("n_words") > 0
+    names = F.array(*[F.lit(lang) for lang in model.languages])
+    likelihoods = F.aggregate("totals", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("totals")))
+    predicted = totals.select(
+        "_key_a", "_key_b",
+        F.when(some, F.element_at(names, F.array_position("totals", best).cast("int"))).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(some, 1 / likelihoods).otherwise(0.0).alias("score"),
+    )
+    # rows with the same id and text have the same prediction
+    predicted = predicted.groupBy("_key_a", "_key_b").agg(F.first("lang_pred").alias("lang_pred"), F.first("score").alias("score"))
+    out = docs.select(F.col(id_col), *keep, *key).join(predicted, ["_key_a", "_key_b"])
+    return out.select(id_col, *keep, "lang_pred", "score")
 
 
 def is_accepted(lang: Column, score: Column, least: float = 0.5) -> Column:

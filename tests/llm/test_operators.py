@@ -280,6 +280,21 @@ def test_languages_by_known_words_then_by_grams(spark):
     assert [r.lang_pred for r in language_id.identify(docs_of(spark, [EN]), nothing).collect()] == ["und"]
 
 
+def test_languages_do_not_depend_on_what_is_broadcast(spark):
+    rng = random.Random(6)
+    made = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randrange(1, 7))) for _ in range(n))
+    texts = [made("abcdefgh", 30) if i % 2 else made("efghijkl", 30) for i in range(40)]
+    labelled = docs_of(spark, texts, lang=["en" if i % 2 else "fr" for i in range(40)])
+    ask = docs_of(spark, [*texts[:8], *(made("abcdefghijklmn", 4) for _ in range(30)), "zzz", None, "zzz"])
+    ask = ask.unionByName(ask.where("doc_id < 2")).unionByName(ask.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    found = []
+    for words, grams in ((1 << 17, 1 << 17), (40, 60), (0, 0)):
+        model = language_id.train(labelled, words=words, grams=grams)
+        rows = language_id.identify(ask, model, keep=["text"]).collect()
+        found.append(sorted((str(r.doc_id), str(r.text), r.lang_pred, round(r.score, 9)) for r in rows))
+    assert len(found[0]) == ask.count() and found[0] == found[1] == found[2]
+
+
 # ---------------------------------------------------------------- 8: licences
 
 
