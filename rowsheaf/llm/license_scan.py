@@ -82,24 +82,31 @@ RULES = [
     ("CC-BY-NC-4.0", ["CCBYNCRef"]),
     ("Proprietary", ["AllRights"]),
 ]
-# A text without any of these has no known sentence.
-_HINTS = ["licen", "permission", "warranty", "redistribut", "free software", "unencumbered", "rights reserved"]
-_BREAK = "\u0001"
+# A text without any of these has no known sentence. Single words, so that no line end comes between.
+_HINTS = ["licen", "permission", "warranty", "redistribut", "software", "reserved"]
+# Where a sentence may end, and where it must.
+_CUT, _BREAK = "\u0002", "\u0003"
 _STOP = "([.!?:;])[ \\t\\r\\n\\f]+"
 _BLANK_LINE = "\\n[ \\t\\r\\f]*\\n"
+# Known sentences between two places where one may end, the longest first; stops within them may be such places too.
+_EDGE = "[ .+-]*"
+_KNOWN = (
+    f"(?:^|[{_CUT}{_BREAK}]){_EDGE}("
+    + "|".join(s.replace(".", "\\.").replace("+", "\\+").replace(" ", f"[ {_CUT}]+") for s in sorted(SENTENCES, key=len, reverse=True))
+    + f")(?={_EDGE}(?:\\z|[{_CUT}{_BREAK}]))"
+)
 
 
-def normalise(sentence: Column) -> Column:
-    """Lower case; letters, digits and inner dots, pluses and hyphens, other runs as one space."""
-    plain = F.regexp_replace(F.lower(sentence), "[^a-z0-9.+-]+", " ")
-    return F.regexp_replace(plain, "^[ .+-]+|[ .+-]+$", "")
+def _marked(text: Column) -> tuple[Column, Column]:
+    """Lower case; letters, digits and inner dots, pluses and hyphens, other runs as one space, with marks where a
+    sentence may end: with a line or a stop, and, over line ends, with a stop or a blank line."""
+    plain = F.translate(text, _CUT + _BREAK, "  ")
 
+    def marked(cut: Column) -> Column:
+        return F.regexp_replace(F.lower(F.regexp_replace(cut, _STOP, "$1" + _CUT)), f"[^a-z0-9.+{_CUT}{_BREAK}-]+", " ")
 
-def _sentences(text: Column) -> tuple[Column, Column]:
-    """Sentences that end with a line or a stop, and those that run over line ends up to a stop or a blank line."""
-    by_line = F.split(F.regexp_replace(text, _STOP, "$1\n"), "\n")
-    joined = F.replace(F.regexp_replace(text, _BLANK_LINE, _BREAK), F.lit("\n"), F.lit(" "))
-    return by_line, F.split(F.regexp_replace(joined, _STOP, "$1" + _BREAK), _BREAK)
+    by_line = F.replace(F.regexp_replace(plain, _STOP, "$1" + _CUT), F.lit("\n"), F.lit(_BREAK))
+    return marked(by_line), marked(F.replace(F.regexp_replace(plain, _BLANK_LINE, _BREAK), F.lit("\n"), F.lit(" ")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,7 +114,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns one row per row of ``docs``: ``id_col``, ``sentence_ids`` (identifiers of the known sentences in order,
     joined by spaces), ``licenses`` (names of the matching rules in the order of :data:`RULES`, each once, joined by commas)
-    and ``unmatched`` (identifiers that no rule took). Sentences are looked for by line and over lines; the way
+    and ``unmatched`` (identifiers that no rule took). Sentences are looked for by line and over lines, whole, also
+    where stops within them look like their end; the way
     that knows more counts, by line if they know as many. Null and empty texts give empty strings. Repeated rows each give a
     row; other columns are not looked at. Map only: the sentences are a small fixed table.
     """
@@ -118,11 +126,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for hint in _HINTS:
         hinted = F.contains(low, F.lit(hint)) if hinted is None else hinted | F.contains(low, F.lit(hint))
 
-    def identified(sentences: Column) -> Column:
-        found = F.transform(sentences, lambda s: F.try_element_at(known, normalise(s)))
-        return F.filter(found, lambda i: i.isNotNull())
+    def identified(marked: Column) -> Column:
+        found = F.regexp_extract_all(marked, F.lit(_KNOWN), F.lit(1))
+        return F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, f"[ {_CUT}]+", " ")))
 
-    lines, over = _sentences(F.col("text"))
+    lines, over = _marked(F.col("text"))
     found = source.select(
         F.col(id_col), F.when(hinted, identified(lines)).alias("_lines"), F.when(hinted, identified(over)).alias("_over")
     )

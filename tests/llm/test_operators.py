@@ -311,6 +311,47 @@ def test_licenses_by_line_and_over_lines(spark):
     assert [got[i][0] for i in range(6)] == ["MIT,Proprietary", "MIT", "Apache-2.0", "", "", ""]
 
 
+# Sentences as they are really written, where they differ from the stored ones in more than their first letter and last stop.
+WORDINGS = {
+    "licensed under the apache license version 2.0": "Licensed under the Apache License, Version 2.0.",
+    "licensed under the apache license version 2.0 the license": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "you may obtain a copy of the license at http www.apache.org licenses license-2.0": "You may obtain a copy of the License at\n    http://www.apache.org/licenses/LICENSE-2.0",
+    "this program is free software": "This program is free software: you",
+    "this library is free software": "This library is free software; you",
+    "this source code form is subject to the terms of the mozilla public license v. 2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "spdx-license-identifier mit": "// SPDX-License-Identifier: MIT",
+    "spdx-license-identifier apache-2.0": "# SPDX-License-Identifier: Apache-2.0",
+    "spdx-license-identifier gpl-3.0-only": "/* SPDX-License-Identifier: GPL-3.0-only */",
+    "spdx-license-identifier gpl-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "all rights reserved": "All rights\nreserved.",
+}
+LATER = (
+    "This {} is free software{} you can redistribute it and/or\nmodify it under the terms of the GNU {}General Public\nLicense as published by"
+    " the Free Software Foundation{} either\nversion {} of the License, or (at your option) any later version.\n\nThis program is distributed"
+)
+HEADERS = {
+    LATER.format("program", ":", "", ",", "3"): "GPL-3.0-or-later",
+    LATER.format("program", ";", "", ";", "2"): "GPL-2.0-or-later",
+    LATER.format("library", ";", "Lesser ", ";", "2.1"): "LGPL-2.1-or-later",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not": "MPL-2.0",
+}
+
+
+def test_licenses_in_their_original_wording(spark):
+    sentences = [(WORDINGS.get(s, s.capitalize() + "."), i) for s, i in license_scan.SENTENCES.items()]
+    rules = []
+    for name, ids in license_scan.RULES:
+        own = [next(WORDINGS.get(s, s.capitalize() + ".") for s, i in license_scan.SENTENCES.items() if i == k) for k in ids]
+        rules.append(("\n".join(w.removesuffix(" you") for w in own), name))
+    texts = [t for t, _ in [*sentences, *rules, *HEADERS.items()]]
+    texts = [t.removesuffix(" you") for t in texts]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(spark, texts)).collect()}
+    n, m = len(sentences), len(sentences) + len(rules)
+    assert [got[i].sentence_ids for i in range(n)] == [i for _, i in sentences]
+    assert [got[i].licenses for i in range(n, len(texts))] == [name for _, name in [*rules, *HEADERS.items()]]
+    assert all(got[i].unmatched == "" for i in range(n, m))
+
+
 # ---------------------------------------------------------------- 9: chat formatting
 
 
