@@ -1,6 +1,7 @@
 """Licences recognised sentence by sentence: known sentences to identifiers, sequences of identifiers to rules.
 
-DataFrame functions only, so the same steps can be said in SQL (:func:`scan_sql`).
+DataFrame functions only, so the same steps can be said in SQL. :func:`scan_sql` cuts sentences at every stop and, for
+each document, either at line ends or not; texts without stops inside sentences and without both ways give the same.
 """
 
 from __future__ import annotations
@@ -97,16 +98,12 @@ _KNOWN = (
 )
 
 
-def _marked(text: Column) -> tuple[Column, Column]:
+def _marked(text: Column) -> Column:
     """Lower case; letters, digits and inner dots, pluses and hyphens, other runs as one space, with marks where a
-    sentence may end: with a line or a stop, and, over line ends, with a stop or a blank line."""
-    plain = F.translate(text, _CUT + _BREAK, "  ")
-
-    def marked(cut: Column) -> Column:
-        return F.regexp_replace(F.lower(F.regexp_replace(cut, _STOP, "$1" + _CUT)), f"[^a-z0-9.+{_CUT}{_BREAK}-]+", " ")
-
-    by_line = F.replace(F.regexp_replace(plain, _STOP, "$1" + _CUT), F.lit("\n"), F.lit(_BREAK))
-    return marked(by_line), marked(F.replace(F.regexp_replace(plain, _BLANK_LINE, _BREAK), F.lit("\n"), F.lit(" ")))
+    sentence may end, with a line or a stop, and where it must, with a paragraph."""
+    plain = F.regexp_replace(F.translate(text, _CUT + _BREAK, "  "), _BLANK_LINE, _BREAK)
+    cut = F.replace(F.regexp_replace(plain, _STOP, "$1" + _CUT), F.lit("\n"), F.lit(_CUT))
+    return F.regexp_replace(F.lower(cut), f"[^a-z0-9.+{_CUT}{_BREAK}-]+", " ")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,9 +111,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns one row per row of ``docs``: ``id_col``, ``sentence_ids`` (identifiers of the known sentences in order,
     joined by spaces), ``licenses`` (names of the matching rules in the order of :data:`RULES`, each once, joined by commas)
-    and ``unmatched`` (identifiers that no rule took). Sentences are looked for by line and over lines, whole, also
-    where stops within them look like their end; the way
-    that knows more counts, by line if they know as many. Null and empty texts give empty strings. Repeated rows each give a
+    and ``unmatched`` (identifiers that no rule took). A sentence may end with a line or a stop,
+    and may run over both, but not over a blank line; of those that start at a place the longest counts, and the
+    next is looked for behind it. Null and empty texts give empty strings. Repeated rows each give a
     row; other columns are not looked at. Map only: the sentences are a small fixed table.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
@@ -126,16 +123,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for hint in _HINTS:
         hinted = F.contains(low, F.lit(hint)) if hinted is None else hinted | F.contains(low, F.lit(hint))
 
-    def identified(marked: Column) -> Column:
-        found = F.regexp_extract_all(marked, F.lit(_KNOWN), F.lit(1))
-        return F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, f"[ {_CUT}]+", " ")))
-
-    lines, over = _marked(F.col("text"))
-    found = source.select(
-        F.col(id_col), F.when(hinted, identified(lines)).alias("_lines"), F.when(hinted, identified(over)).alias("_over")
-    )
-    ids = F.when(F.size("_over") > F.size("_lines"), F.col("_over")).otherwise(F.col("_lines"))
-    found = found.select(F.col(id_col), F.coalesce(F.array_join(ids, " "), F.lit("")).alias("sentence_ids"))
+    found = F.regexp_extract_all(_marked(F.col("text")), F.lit(_KNOWN), F.lit(1))
+    ids = F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, f"[ {_CUT}]+", " ")))
+    found = source.select(F.col(id_col), F.coalesce(F.array_join(F.when(hinted, ids), " "), F.lit("")).alias("sentence_ids"))
 
     rest = F.when(F.col("sentence_ids") != "", F.concat(F.lit(" "), F.replace("sentence_ids", F.lit(" "), F.lit("  ")), F.lit(" ")))
     taken = []

@@ -352,6 +352,21 @@ def test_licenses_in_their_original_wording(spark):
     assert all(got[i].unmatched == "" for i in range(n, m))
 
 
+def test_licenses_by_line_beside_wrapped_ones(spark):
+    wrapped = "This work is licensed under the GNU General\nPublic License, version 3."
+    texts = [
+        f"Licensed under the MIT License\nCopyright 2020 A\n\n{wrapped}",
+        f"{wrapped}\n\nLicensed under the MIT License\nUnlicensed things\nAll rights reserved\nLicensed under CC BY 4.0\n",
+        f"{wrapped}\r\nReleased under the MIT License\r\nAll rights\r\nreserved",
+        "This work is licensed under the GNU General\n\nPublic License, version 3.",
+    ]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in license_scan.scan_licenses(docs_of(spark, texts)).collect()}
+    assert got[0] == ("MITRef GPL3Ref", "GPL-3.0,MIT")
+    assert got[1] == ("GPL3Ref MITRef AllRights CCBYRef", "GPL-3.0,MIT,CC-BY-4.0,Proprietary")
+    assert got[2] == ("GPL3Ref MITRef AllRights", "GPL-3.0,MIT,Proprietary")
+    assert got[3] == ("", "")
+
+
 # ---------------------------------------------------------------- 9: chat formatting
 
 
