@@ -23,17 +23,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(language_id.is_accepted(F.col("lang_pred"), F.col("score"))).select(*COLUMNS)
 
 
+def near_copies(docs: DataFrame) -> DataFrame:
+    """Documents linked by five-word shingles with a similarity of 0.8 or more."""
+    return ngram_join.similar_components(docs, shingle_words=5, threshold=(4, 5))
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take boilerplate lines out of the texts; every document stays, and ``n_chars`` follows its text."""
-    cleaned = line_dedup.drop_boilerplate(docs)
+    """Take boilerplate lines out of the texts; ``n_chars`` follows its text. Documents of such lines only, all of which
+    stay where they come first, are dropped, and no others.
+
+    Lines that only copies of one document spread over many sources are none: the next stage needs them to find the copies.
+    """
+    cleaned = line_dedup.drop_boilerplate(docs, components=near_copies)
+    cleaned = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike("\\S"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a similarity of 0.8 or more, keep the one with the smallest id."""
-    found = ngram_join.similar_components(docs, shingle_words=5, threshold=(4, 5))
-    kept = found.where("component_id = doc_id").select("doc_id")
+    """Of documents that are near copies, keep the one with the smallest id."""
+    kept = near_copies(docs).where("component_id = doc_id").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 

@@ -7,6 +7,8 @@ but the first that has them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ def _hash(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select("_id", "site", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = docs.select("_id", "site", "key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     lines = lines.withColumn("line", _norm(F.col("line"))).where("line != ''")
-    return lines.select("_id", "site", "place", _hash(F.col("line")).alias("h"))
+    return lines.select("_id", "site", "key", "place", _hash(F.col("line")).alias("h"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -53,12 +55,30 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return materialise(sketched.where(F.col("sites") > high).select("h").unionByName(exact), "line-boilerplate")
 
 
+def _in_different_texts(found: DataFrame, lines: DataFrame, source: DataFrame, least: int, components: Callable) -> DataFrame:
+    """Of the lines ``found``, those in ``least`` texts or more that aren't near copies of each other.
+
+    Only distinct texts with such a line are compared; near copies that share a line are all among them.
+    """
+    held = materialise(lines.join(found, "h", "left_semi").select("h", "key").distinct(), "line-held")
+    # small whole numbers for the texts: the components' ids are added up
+    keys = materialise(held.select("key").distinct().withColumn("n", F.monotonically_increasing_id()), "line-texts")
+    task, place = F.shiftright("n", 33), F.col("n").bitwiseAND((1 << 33) - 1)
+    tasks = (keys.agg(F.max(task)).first()[0] or 0) + 1
+    keys = keys.select("key", (place * tasks + task).alias("n"))
+    texts = source.join(keys, "key").select(F.col("n").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    grouped = components(texts).join(keys, F.col("doc_id") == F.col("n")).select("key", "component_id")
+    counted = held.join(grouped, "key").select("h", "component_id").distinct().groupBy("h").count()
+    return materialise(counted.where(F.col("count") >= least).select("h"), "line-different")
+
+
 def drop_boilerplate(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
     id_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
+    components: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with boilerplate lines taken out of the text, and ``n_removed`` (long), how many.
 
@@ -69,11 +89,18 @@ def drop_boilerplate(
     null id give to the counts and keep their texts. The other columns stay as they are; one called
     ``n_removed`` is replaced.
 
+    With ``components``, which gives ``doc_id, component_id`` for texts (``doc_id, text``) with near copies in one
+    component, the line must also be in ``min_sites`` texts that aren't near copies. So a group of copies, spread
+    over however many sites, keeps its lines, and can still be recognised as one.
+
     Only hashes of lines are shuffled; the texts, once, only if the removals are too many to be broadcast.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
+    source = source.withColumn("key", F.xxhash64("text"))
     lines = _lines(source)
     found = boilerplate(lines.select("h", "site"), min_sites)
+    if components:
+        found = _in_different_texts(found, lines, source, min_sites, components)
     # the few lines that repeat so widely, where they are
     places = materialise(lines.where("_id IS NOT NULL").join(found, "h", "left_semi").select("h", "_id", "place"), "line-places")
     first = places.groupBy("h").agg(F.min(F.struct("_id", "place")).alias("first"))

@@ -33,3 +33,21 @@ def test_stages_drop_what_they_should_and_nothing_else(spark, tmp_path):
     assert set(kept["ngram_join"]) - set(kept["decontamination"]) == {31}
     assert set(kept["byte_bpe"]) == set(kept["decontamination"])
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept["byte_bpe"])
+
+
+def test_copies_over_many_sources_are_one_document(spark, tmp_path):
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choices("abcdefghijk", k=6)) for _ in range(12))
+    copied, near = [line() for _ in range(8)], [line() for _ in range(12)]
+    texts = ["\n".join([line(), "Accept all cookies", line()]) for _ in range(14)]
+    texts += ["\n".join(copied)] * 20
+    texts += ["\n".join([*near, f"own{i} end"]) for i in range(20)] + ["Accept all cookies"]
+    rows = [(i, t, "en", f"s{i % 12}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, line())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(found) == {*range(14), 14, 34}
+    cleaned = corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    cleaned = {r.doc_id: r.text for r in cleaned.collect()}
+    assert [i for i in range(14) if "cookies" in cleaned[i]] == [0]
+    assert all(cleaned[i] == texts[i] for i in range(14, 54)) and 54 not in cleaned
