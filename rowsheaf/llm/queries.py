@@ -19,6 +19,7 @@ from rowsheaf.llm import (
     nearest,
     ngram_join,
     pii,
+    resampling,
 )
 from rowsheaf.llm.text import held_out
 
@@ -85,6 +86,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -98,9 +104,11 @@ QUERIES: dict[str, Query] = {
         op8_license_scan,
         op9_chat_format,
         op10_pii,
+        op11_resampling,
     )
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.spread_sql(),
     "op8_license_scan": license_scan.scan_sql(),
+    "op11_resampling": resampling.resample_sql(),
 }
