@@ -199,7 +199,7 @@ def resample(
     ranked = with_row_numbers(order_rows(scored.where(drawn), order, unique=True))
     others = scored.where(~drawn).withColumn(ROW, F.lit(None).cast("long"))
     both = ranked.select(*others.columns).unionByName(others).withColumnRenamed(ROW, "rank")
-    return both.withColumnsRenamed({n: c for c, n in names.items()}).select(id_col, *keep, *results)
+    return both.select(*(F.col(n).alias(c) for c, n in names.items()), *results)
 
 
 def resample_sql(share: tuple[int, int] = SHARE, buckets: int = BUCKETS, min_words: int = MIN_WORDS, seed: int = SEED) -> str:
