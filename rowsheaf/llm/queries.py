@@ -20,6 +20,7 @@ from rowsheaf.llm import (
     ngram_join,
     pii,
     resampling,
+    spelling,
 )
 from rowsheaf.llm.text import held_out
 
@@ -91,6 +92,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.corpus_words(_table(spark, sf_dir, "documents"), drop_every=spelling.DROP_EVERY)
+    return spelling.variant_groups(words)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -105,10 +111,12 @@ QUERIES: dict[str, Query] = {
         op9_chat_format,
         op10_pii,
         op11_resampling,
+        op13_spelling,
     )
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.spread_sql(),
     "op8_license_scan": license_scan.scan_sql(),
     "op11_resampling": resampling.resample_sql(),
+    "op13_spelling": spelling.variants_sql(),
 }
