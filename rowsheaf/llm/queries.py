@@ -16,12 +16,14 @@ from rowsheaf.llm import (
     license_scan,
     line_dedup,
     lm_scoring,
+    minhash_dedup,
     nearest,
     ngram_join,
     pii,
     resampling,
     spelling,
 )
+from rowsheaf.llm.similarity_sql import components_sql
 from rowsheaf.llm.text import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -92,6 +94,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, threshold=(80, 100))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.corpus_words(_table(spark, sf_dir, "documents"), drop_every=spelling.DROP_EVERY)
     return spelling.variant_groups(words)
@@ -111,12 +117,15 @@ QUERIES: dict[str, Query] = {
         op9_chat_format,
         op10_pii,
         op11_resampling,
+        op12_minhash_dedup,
         op13_spelling,
     )
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.spread_sql(),
+    "op5_ngram_join": components_sql(4, (17, 20)),
     "op8_license_scan": license_scan.scan_sql(),
     "op11_resampling": resampling.resample_sql(),
+    "op12_minhash_dedup": components_sql(4, (80, 100), kept=True),
     "op13_spelling": spelling.variants_sql(),
 }

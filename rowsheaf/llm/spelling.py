@@ -4,8 +4,8 @@ The bigrams of a word are ordered, the rarest first, and its prefix is as many o
 Out of the prefix, dynamic programming chooses two that don't overlap and are rarest together: its pivots. One edit
 leaves one of the two as it is, so of two words one edit apart, the one whose prefix ends earlier in the order has a
 pivot in the other's prefix. There it can stand at few places: with the edit behind it, where it is, and with the edit
-before it, farther by as much as the word is longer; and what is on the other side of it is equal in both. Words that meet
-so are verified.
+before it, farther by as much as the word is longer. What is on its other side is equal in both words, and so is a half of
+the side with the edit. Words that meet so are verified.
 """
 
 from __future__ import annotations
@@ -109,19 +109,25 @@ def near_words(words: DataFrame) -> DataFrame:
     """
     grams = materialise(_grams(words), "variant-grams")
     word, p = F.col("word"), F.col("p")
-    left, right = word.substr(F.lit(1), p), word.substr(p + (GRAM + 1), F.length(word))
+    size, left, right = F.length(word), word.substr(F.lit(1), p), word.substr(p + (GRAM + 1), F.length(word))
+
+    def keys(by: int, side: int) -> list[Column]:
+        """What a word says at a gram and a word longer ``by`` so many says at its own, if the edit is on the other side."""
+        place = p if side == 0 else p + by  # in the other word, as all below
+        rest = size + by - place - GRAM if side == 0 else place
+        head = F.call_function("div", rest, F.lit(2)).cast("int")
+        tail = (rest - head).cast("int")
+        # of the side with the edit, one half is equal: the edit is behind the first or before the second
+        first = word.substr(p + (GRAM + 1), head) if side == 0 else word.substr(F.lit(1), head)
+        second = word.substr((size if side == 0 else p) - tail + 1, tail)
+        at = [word.substr(p + 1, F.lit(GRAM)), size + by, place, F.lit(side), left if side == 0 else right]
+        return [F.xxhash64(*at, F.lit(0), first), F.xxhash64(*at, F.lit(1), second)]
 
-    def key(length: Column, place: Column, side: int) -> Column:
-        part = left if side == 0 else right
-        return F.xxhash64(word.substr(p + 1, F.lit(GRAM)), length, place, F.lit(side), part)
-
-    size = F.length(word)
     here = grams.select("word", "last", F.explode("prefix").alias("p"))
-    here = here.select(F.col("word").alias("other"), F.col("last").alias("other_last"), F.explode(F.array(*(key(size, p, s) for s in (0, 1)))).alias("key"))
-    # the edit is behind the pivot (the left sides are equal) or before it; the other word is as long, or one longer or shorter
-    sought = [key(size + by, p if side == 0 else p + by, side) for by in (-1, 0, 1) for side in (0, 1)]
+    said = F.explode(F.array(*keys(0, 0), *keys(0, 1))).alias("key")
+    here = here.select(F.col("word").alias("other"), F.col("last").alias("other_last"), said)
     asks = grams.select("word", "last", F.explode("pivots").alias("p"))
-    asks = asks.select("word", "last", F.explode(F.array(*sought)).alias("key"))
+    asks = asks.select("word", "last", F.explode(F.array(*(k for by in (-1, 0, 1) for side in (0, 1) for k in keys(by, side)))).alias("key"))
     met = asks.join(here, "key").where((F.col("last") <= F.col("other_last")) & (F.col("word") != F.col("other")))
     pairs = met.where(F.levenshtein("word", "other") == 1)
     pairs = pairs.select(F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other")).distinct()
