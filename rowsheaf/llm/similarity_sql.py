@@ -25,9 +25,9 @@ def components_sql(shingle_words: int, threshold: tuple[int, int], kept: bool =
     ), ways AS (
       SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
     ), reached AS (
-      SELECT doc_id, doc_id AS at FROM documents
-      UNION SELECT reached.doc_id, ways.b FROM reached JOIN ways ON reached.at = ways.a
+      SELECT doc_id, doc_id AS node FROM documents
+      UNION SELECT reached.doc_id, ways.b FROM reached JOIN ways ON reached.node = ways.a
     ), found AS (
-      SELECT doc_id, min(at) AS component_id FROM reached GROUP BY doc_id
+      SELECT doc_id, min(node) AS component_id FROM reached GROUP BY doc_id
     )
     SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{more} FROM found LEFT JOIN sizes USING (doc_id)"""
