@@ -13,7 +13,7 @@ def components_sql(shingle_words: int, threshold: tuple[int, int], kept: bool =
         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
     ), shingles AS (
       SELECT DISTINCT doc_id, array_to_string(words[i:i + {shingle_words - 1}], ' ') AS shingle
-      FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - {shingle_words - 2}) + 1)) AS i FROM own WHERE len(words) > 0)
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - {shingle_words - 1}) + 1)) AS i FROM own WHERE len(words) > 0)
     ), sizes AS (
       SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
     ), shared AS (
