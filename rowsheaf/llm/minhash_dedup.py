@@ -153,42 +153,49 @@ def _sets_of(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def _blocks(members: DataFrame, key: str, weight: Column, bound: int) -> DataFrame:
     """``members`` once for every pair of blocks (``i`` up to ``j``) of their ``key`` that they are in, with their ``side``.
 
-    A key is cut into so many blocks that each has ``bound`` in weight, about.
+    A key is cut into so many blocks that each has ``bound`` in weight, about. Keys of a single block are brought together
+    by ``pack``, so that a task has groups of some size to work on.
     """
-    cut = members.groupBy(key).agg(F.ceil(F.sum(weight) / bound).cast("int").alias("cut"))
+    cut = members.groupBy(key).agg(F.sum(weight).alias("weight")).withColumn("cut", F.ceil(F.col("weight") / bound).cast("int"))
     cut = sized(materialise(cut, "copies-cuts"))
     placed = members.join(cut, key).withColumn("own_block", F.pmod(F.xxhash64("node"), "cut").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     i, j = F.least("own_block", "other"), F.greatest("own_block", "other")
-    return placed.withColumns({"i": i, "j": j, "side": F.col("own_block") != i}).drop("cut", "own_block", "other")
+    packs = (cut.where("cut = 1").agg(F.sum("weight")).first()[0] or 0) // bound * 4 + 1
+    # the packs' numbers and the hashes of large keys may meet, which costs time only
+    pack = F.when(F.col("cut") == 1, F.pmod(F.xxhash64(key), F.lit(packs))).otherwise(F.xxhash64(key))
+    added = {"i": i, "j": j, "side": F.col("own_block") != i, "pack": pack}
+    return placed.withColumns(added).drop("cut", "weight", "own_block", "other")
 
 
 def _screened(rows: pd.DataFrame, least: int, numerator: int, denominator: int) -> pd.DataFrame:
-    """Of the members of two blocks of a bucket, those with a likely partner in another component.
+    """Of the members of two blocks of a bucket, or of many small buckets, those with a likely partner in another component.
 
     A pair counts in the first band it shares only, so that it is looked at once.
     """
-    bucket, diagonal = int(rows["bucket"].iloc[0]), bool(rows["i"].iloc[0] == rows["j"].iloc[0])
-    sides = [rows, rows] if diagonal else [rows[~rows["side"]], rows[rows["side"]]]
-    nodes, own, n = ([s[c].to_numpy() for s in sides] for c in ("node", "own", "n"))
-    found = [np.zeros(len(s), bool) for s in sides]
-    if len(nodes[0]) and len(nodes[1]):
-        signature = [np.frombuffer(b"".join(s["signature"]), np.uint8).reshape(len(s), -1) for s in sides]
-        bands = [np.array(s["bands"].to_list(), np.int64) for s in sides]
-        for q in range(len(nodes[0])):
-            # pairs of a block with itself are met twice; once will do
-            start = q + 1 if diagonal else 0
-            fits = (n[1][start:] * denominator >= n[0][q] * numerator) & (n[0][q] * denominator >= n[1][start:] * numerator)
-            at = np.flatnonzero(fits & (own[1][start:] != own[0][q])) + start
-            at = at[np.count_nonzero(signature[1][at] == signature[0][q], axis=1) >= least]
+    rows = rows.sort_values(["bucket", "side"])
+    buckets, nodes, own, n = (rows[c].to_numpy() for c in ("bucket", "node", "own", "n"))
+    signature = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
+    bands = np.array(rows["bands"].to_list(), np.int64)
+    found = np.zeros(len(rows), bool)
+    side, diagonal = rows["side"].to_numpy(), bool((rows["i"] == rows["j"]).iloc[0])
+    starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+    for start, end in zip(starts, np.append(starts[1:], len(rows))):
+        # of a block with itself every pair is looked at from its first; else the one side looks at the other
+        asking = end if diagonal else start + int(np.count_nonzero(~side[start:end]))
+        for q in range(start, asking):
+            first = q + 1 if diagonal else asking
+            fits = (n[first:end] * denominator >= n[q] * numerator) & (n[q] * denominator >= n[first:end] * numerator)
+            at = np.flatnonzero(fits & (own[first:end] != own[q])) + first
             if len(at):
-                shared = bands[1][at] == bands[0][q]
-                at = at[bands[0][q][np.argmax(shared, axis=1)] == bucket]
+                at = at[np.count_nonzero(signature[at] == signature[q], axis=1) >= least]
             if len(at):
-                found[0][q] = True
-                found[1][at] = True
-    out = pd.DataFrame({c: np.concatenate([x[f] for x, f in zip(v, found)]) for c, v in (("node", nodes), ("own", own), ("n", n))})
-    return out.drop_duplicates("node").assign(bucket=bucket)[["bucket", "node", "own", "n"]]
+                shared = bands[at] == bands[q]
+                at = at[bands[q][np.argmax(shared, axis=1)] == buckets[q]]
+            if len(at):
+                found[q] = True
+                found[at] = True
+    return pd.DataFrame({"bucket": buckets[found], "node": nodes[found], "own": own[found], "n": n[found]})
 
 
 def _linked(rows: pd.DataFrame, numerator: int, denominator: int) -> pd.DataFrame:
@@ -294,12 +301,16 @@ def near_duplicates(
     open_rows = open_rows.join(materialise(several, "copies-several"), "bucket", "left_semi").join(heads, "node")
     ratio, coordinates = numerator / denominator, bands * rows
     least = math.ceil(coordinates * ratio - SURE * math.sqrt(coordinates * ratio * (1 - ratio)))
-    screened = _blocks(materialise(open_rows, "copies-open"), "bucket", F.lit(1), BLOCK).groupBy("bucket", "i", "j").applyInPandas(
+    screened = _blocks(materialise(open_rows, "copies-open"), "bucket", F.lit(1), BLOCK).groupBy("pack", "i", "j").applyInPandas(
         lambda rows: _screened(rows, least, numerator, denominator), "bucket long, node long, own long, n long"
     )
     likely = materialise(materialise(screened, "copies-screened").distinct(), "copies-likely")
-    compared = _blocks(likely, "bucket", F.col("n"), BLOCK_TOKENS).join(sets, "node").groupBy("bucket", "i", "j")
-    found = compared.applyInPandas(lambda rows: _linked(rows, numerator, denominator), "src long, dst long")
+    compared = _blocks(likely, "bucket", F.col("n"), BLOCK_TOKENS).join(sets, "node").groupBy("pack", "i", "j")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([_linked(own, numerator, denominator) for _, own in rows.groupby("bucket")], ignore_index=True)
+
+    found = compared.applyInPandas(compare, "src long, dst long")
     merged = connected(stars.unionByName(materialise(found, "copies-links")), "copies-components")
 
     placed = classes.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
