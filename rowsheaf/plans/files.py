@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _PATTERN_CHARACTERS = r"[\\*?\[\]{}]"
@@ -106,13 +111,40 @@ def _scratch_root(spark: SparkSession) -> str:
     return os.path.join(base, "rowsheaf", spark.sparkContext.applicationId)
 
 
+# The folder that the scratch tables of the step in hand go into.
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, label: str) -> Iterator[str]:
+    """Put the scratch tables made inside into a folder of their own, for :func:`release` to drop together."""
+    inner = os.path.join(_SCOPE.get(), f"{label}-{uuid.uuid4().hex}")
+    token = _SCOPE.set(inner)
+    try:
+        yield os.path.join(_scratch_root(spark), inner)
+    finally:
+        _SCOPE.reset(token)
+
+
+def release(spark: SparkSession, *folders: str) -> None:
+    """Drop folders of scratch tables that nothing reads any more, and let Spark drop the shuffles behind them.
+
+    Spark drops a shuffle's files once nothing on the driver refers to it and the driver has collected its garbage, which
+    on a driver with memory to spare may be long after.
+    """
+    for folder in folders:
+        delete_tree(spark, folder)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder for this application under the cluster's shared checkpoint folder.
 
     The place comes from ``spark.checkpoint.dir``. Only a local session without that setting
     falls back to a temporary folder; on a cluster this would not be shared, so it raises.
     """
-    return os.path.join(_scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(_scratch_root(spark), _SCOPE.get(), f"{label}-{uuid.uuid4().hex}")
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -127,6 +159,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_ids(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a whole number per row, called ``name``: its file's place among the files of ``df``, then its place there.
+
+    For a table that is read from Parquet, the numbers are the same whenever and however it is read. Any other table
+    is written first. The list of files, a row each, is broadcast; the rows aren't shuffled.
+    """
+    spark = df.sparkSession
+    try:
+        source = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias(name))
+    except AnalysisException:
+        return with_row_ids(materialise(df, "numbered"), name)
+    files = sorted(comparable_uri(f) for f in df.inputFiles())
+    numbers = spark.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_uri string, _base long")
+    uri = F.regexp_replace("_path", "^file:/+", "file:///")
+    found = source.join(F.broadcast(numbers), uri == F.col("_uri"), "left")
+    number = F.coalesce(F.col("_base"), F.raise_error(F.lit("a file isn't in the table's list")).cast("long")) + F.col(name)
+    return found.withColumn(name, number).drop("_path", "_uri", "_base")
+
+
 def move_files(spark: SparkSession, staged: str, out: str, name_of: Callable[[str], str]) -> None:
     """Move the one file of each ``key=value`` folder of ``staged`` to ``out/name_of(value)``; metadata only.
 
