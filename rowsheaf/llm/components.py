@@ -11,7 +11,7 @@ from rowsheaf.plans.files import materialise
 def _digest(links: DataFrame) -> tuple:
     """Tells one set of links from another."""
     own = F.xxhash64("src", "dst").cast("decimal(38,0)")
-    return tuple(links.agg(F.count("*"), F.sum(own), F.sum("dst")).first())
+    return tuple(links.agg(F.count("*"), F.sum(own), F.sum(F.col("dst").cast("decimal(38,0)"))).first())
 
 
 def connected(links: DataFrame, label: str) -> DataFrame:

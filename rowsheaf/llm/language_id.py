@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsheaf.llm.text import frequent, slices
+from rowsheaf.llm.text import frequent, sized, slices
 from rowsheaf.plans.files import materialise
 
 UNDETERMINED = "und"
@@ -29,13 +29,18 @@ _CHUNK_CHARACTERS = 1 << 20
 _WORDS = 10_000
 # Added to every count.
 _PRIOR = 0.5
+# The share of the likelihood that a document's language has at least, if it is taken as known.
+LEAST = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """The runs of letters, in lower case."""
-    return _WORD.findall(text.lower())
+    """The runs of letters, in lower case. Numbers that aren't digits, such as fractions, are no letters."""
+    words = _WORD.findall(text.lower())
+    if not all(map(str.isalpha, words)):
+        words = [w for word in words for w in "".join(c if c.isalpha() else " " for c in word).split()]
+    return words
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -257,11 +262,35 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """
     if not model.languages:
         return docs.select(F.col(id_col), *keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    key = _row_key(id_col, text_col)
+    out = docs.select(F.col(id_col), *keep, *key).join(predictions(docs, model, id_col, text_col), ["_key_a", "_key_b"])
+    return out.select(id_col, *keep, "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` whose language is known (:func:`is_accepted`), with all their columns.
+
+    Only the keys of the others meet the texts, in a broadcast if they are few enough, else in a shuffle.
+    """
+    if not model.languages:
+        return docs.where(F.lit(False))
+    rejected = predictions(docs, model, id_col, text_col).where(~is_accepted(F.col("lang_pred"), F.col("score"), least))
+    rejected = sized(materialise(rejected.select("_key_a", "_key_b"), "language-rejected"))
+    return docs.select("*", *_row_key(id_col, text_col)).join(rejected, ["_key_a", "_key_b"], "left_anti").select(*docs.columns)
+
+
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of id and text."""
+    a, b = F.col(id_col), F.col(text_col)
+    return [F.xxhash64(a, b).alias("_key_a"), F.xxhash64(F.lit(1), b, a).alias("_key_b")]
+
+
+def predictions(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_key_a, _key_b, lang_pred, score``, once for rows with the same id and text; the texts are not shuffled."""
     each = range(len(model.languages))
     sums = [f"s{i}" for i in each]
     shared = docs.sparkSession.sparkContext.broadcast(model.shared)
-    key = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key_a"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("_key_b")]
-    source = docs.select(F.col(text_col).cast("string").alias("text"), *key)
+    source = docs.select(F.col(text_col).cast("string").alias("text"), *_row_key(id_col, text_col))
 
     def run(batches):
         own = shared.value
@@ -307,11 +336,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         F.when(some, 1 / likelihoods).otherwise(0.0).alias("score"),
     )
     # rows with the same id and text have the same prediction
-    predicted = predicted.groupBy("_key_a", "_key_b").agg(F.first("lang_pred").alias("lang_pred"), F.first("score").alias("score"))
-    out = docs.select(F.col(id_col), *keep, *key).join(predicted, ["_key_a", "_key_b"])
-    return out.select(id_col, *keep, "lang_pred", "score")
+    return predicted.groupBy("_key_a", "_key_b").agg(F.first("lang_pred").alias("lang_pred"), F.first("score").alias("score"))
 
 
-def is_accepted(lang: Column, score: Column, least: float = 0.5) -> Column:
+def is_accepted(lang: Column, score: Column, least: float = LEAST) -> Column:
     """Whether a document's language is known: not ``und``, and at least ``least`` of the likelihood."""
     return (lang != UNDETERMINED) & (score >= least)

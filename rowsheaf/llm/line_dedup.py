@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowsheaf.llm.text import BROADCAST_ROWS
+from rowsheaf.llm.text import BROADCAST_ROWS, sized
 from rowsheaf.plans.files import materialise
 
 MIN_SITES = 10
@@ -27,15 +31,10 @@ def _norm(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, "[ \\t\\r\\f\\x0B]+", " ")))
 
 
-def _hash(line: Column) -> Column:
-    """96 bits of a normalised line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select("_id", "site", "key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = lines.withColumn("line", _norm(F.col("line"))).where("line != ''")
-    return lines.select("_id", "site", "key", "place", _hash(F.col("line")).alias("h"))
+def _hashes(text: Column) -> Column:
+    """96 bits of each normalised line of a text; null for blank lines."""
+    both = lambda n: F.when(n != "", F.struct(F.xxhash64(n).alias("a"), F.hash(n).alias("b")))
+    return F.transform(F.transform(F.split(text, "\n"), _norm), both)
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -50,28 +49,79 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     low, high = int(min_sites * (1 - error)), min_sites * (1 + error)
     sketched = materialise(sketched.where(F.col("sites") >= min(low, min_sites - 1)), "line-sites")
     near = sketched.where(F.col("sites") <= high).select("h")
-    exact = lines.join(near, "h", "left_semi").where("site IS NOT NULL").select("h", "site").distinct()
+    exact = lines.join(sized(near), "h", "left_semi").where("site IS NOT NULL").select("h", "site").distinct()
     exact = exact.groupBy("h").count().where(F.col("count") >= min_sites).select("h")
     return materialise(sketched.where(F.col("sites") > high).select("h").unionByName(exact), "line-boilerplate")
 
 
 def _in_different_texts(found: DataFrame, lines: DataFrame, source: DataFrame, least: int, components: Callable) -> DataFrame:
-    """Of the lines ``found``, those in ``least`` texts or more that aren't near copies of each other.
-
-    Only distinct texts with such a line are compared; near copies that share a line are all among them.
-    """
-    held = materialise(lines.join(found, "h", "left_semi").select("h", "key").distinct(), "line-held")
-    # small whole numbers for the texts: the components' ids are added up
-    keys = materialise(held.select("key").distinct().withColumn("n", F.monotonically_increasing_id()), "line-texts")
-    task, place = F.shiftright("n", 33), F.col("n").bitwiseAND((1 << 33) - 1)
-    tasks = (keys.agg(F.max(task)).first()[0] or 0) + 1
-    keys = keys.select("key", (place * tasks + task).alias("n"))
-    texts = source.join(keys, "key").select(F.col("n").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    grouped = components(texts).join(keys, F.col("doc_id") == F.col("n")).select("key", "component_id")
+    """Of the lines ``found``, those in ``least`` texts or more that aren't near copies of each other."""
+    held = materialise(lines.join(sized(found), "h", "left_semi").select("h", "key").distinct(), "line-held")
+    grouped = components(source.select(F.col("key").alias("doc_id"), "text"))
+    grouped = grouped.select(F.col("doc_id").alias("key"), "component_id").distinct()
     counted = held.join(grouped, "key").select("h", "component_id").distinct().groupBy("h").count()
     return materialise(counted.where(F.col("count") >= least).select("h"), "line-different")
 
 
+def _without(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the lines of ``first`` (``h``, and the id and place ``first`` where it stays) taken out, and ``n_removed``.
+
+    ``first`` goes to every task, and the texts stay where they are.
+    """
+    rows = first.select("h.a", "h.b", "first._id", "first.place").toPandas()
+    known = {(a, b): (i, p) for a, b, i, p in zip(rows["a"].tolist(), rows["b"].tolist(), rows["_id"].tolist(), rows["place"].tolist())}
+    shared = docs.sparkSession.sparkContext.broadcast((np.sort(rows["a"].to_numpy(np.int64)), known))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    plain = docs.toDF(*names)
+    hashed = plain.withColumn("h", _hashes(F.when(F.col(names[at]).isNotNull(), F.col(names[text_at]))))
+
+    def run(batches):
+        likely, known = shared.value
+        for batch in batches:
+            ids, texts, hashes = batch.column(at), batch.column(text_at), batch.column(len(names))
+            flat = hashes.flatten()
+            owners = pc.list_parent_indices(hashes).to_numpy()
+            a = pc.fill_null(flat.field("a"), 0).to_numpy(zero_copy_only=False)
+            inside = np.searchsorted(likely, a).clip(max=max(len(likely) - 1, 0))
+            hits = np.flatnonzero((likely[inside] == a) & flat.is_valid().to_numpy(zero_copy_only=False)) if len(likely) else np.zeros(0, int)
+            starts = np.searchsorted(owners, np.arange(batch.num_rows))
+            gone: dict[int, set] = {}
+            for i, b in zip(hits.tolist(), flat.field("b").take(pa.array(hits)).to_pylist()):
+                stays = known.get((int(a[i]), b))
+                row = int(owners[i])
+                place = i - int(starts[row])
+                if stays is not None and stays != (ids[row].as_py(), place):
+                    gone.setdefault(row, set()).add(place)
+            n_removed = np.zeros(batch.num_rows, np.int64)
+            if gone:
+                changed = texts.to_pylist()
+                for row, places in gone.items():
+                    n_removed[row] = len(places)
+                    changed[row] = "\n".join(line for place, line in enumerate(changed[row].split("\n")) if place not in places)
+                texts = pa.array(changed, texts.type)
+            columns = [texts if i == text_at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_removed)], [*names, "n_removed"])
+
+    schema = T.StructType([*plain.schema.fields, T.StructField("n_removed", T.LongType())])
+    return hashed.mapInArrow(run, schema).toDF(*docs.columns, "n_removed")
+
+
+def _without_many(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same for more lines than go to every task: removals are listed by id, and the texts meet them in a shuffle."""
+    places = lines.where("_id IS NOT NULL").join(first, "h").where(F.struct("_id", "place") != F.col("first"))
+    gone = places.groupBy("_id").agg(F.collect_set(F.struct("place", "h")).alias("_gone")).withColumnRenamed("_id", "_gone_id")
+    gone = materialise(gone, "line-removals")
+    hashes = _hashes(F.col(text_col))
+    listed = F.transform(hashes, lambda h, i: F.coalesce(F.array_contains("_gone", F.struct(i.alias("place"), h.alias("h"))) & h.isNotNull(), F.lit(False)))
+    joined = docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left").withColumn("_listed", listed)
+    kept = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.get("_listed", i))
+    some = F.col("_gone").isNotNull() & F.col(text_col).isNotNull()
+    n_removed = F.when(some, F.size(F.filter("_listed", lambda x: x))).otherwise(0).cast("long").alias("n_removed")
+    others = {c: F.col(c) for c in docs.columns} | {text_col: F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text_col)).alias(text_col)}
+    return joined.select(*others.values(), n_removed)
+
+
 def drop_boilerplate(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
@@ -79,44 +129,37 @@ def drop_boilerplate(
     text_col: str = "text",
     site_col: str = "source",
     components: Callable[[DataFrame], DataFrame] | None = None,
+    most: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with boilerplate lines taken out of the text, and ``n_removed`` (long), how many.
 
     A line found at ``min_sites`` distinct sites or more stays only where it comes first: in the document with
     the smallest id, at its first place there, so that no content is lost. Blank lines are no lines and stay.
     A null text stays null and an empty one empty. A document that loses all its lines has the empty text. Rows
-    that repeat an id are one document: each loses the lines that any of them loses at that place. Rows with a
-    null id give to the counts and keep their texts. The other columns stay as they are; one called
+    that repeat an id are each looked at by themselves; where they have the first place of a line in common, each keeps it.
+    Rows with a null id give to the counts and keep their texts. The other columns stay as they are; one called
     ``n_removed`` is replaced.
 
     With ``components``, which gives ``doc_id, component_id`` for texts (``doc_id, text``) with near copies in one
     component, the line must also be in ``min_sites`` texts that aren't near copies. So a group of copies, spread
     over however many sites, keeps its lines, and can still be recognised as one.
 
-    Only hashes of lines are shuffled; the texts, once, only if the removals are too many to be broadcast.
+    Only hashes of lines are shuffled; the texts, once, only if the boilerplate lines themselves are more than ``most``.
     """
-    source = docs.select(F.col(id_col).alias("_id"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
+    docs = docs.drop("n_removed")
+    source = docs.select(F.col(id_col).alias("_id"), F.col(site_col).cast("string").alias("site"), F.col(text_col).cast("string").alias("text"))
     source = source.withColumn("key", F.xxhash64("text"))
-    lines = _lines(source)
+    hashed = materialise(source.select("_id", "site", "key", _hashes(F.col("text")).alias("hashes")), "line-hashes")
+    lines = hashed.select("_id", "site", "key", F.posexplode("hashes").alias("place", "h")).where("h IS NOT NULL")
     found = boilerplate(lines.select("h", "site"), min_sites)
     if components:
         found = _in_different_texts(found, lines, source, min_sites, components)
-    # the few lines that repeat so widely, where they are
-    places = materialise(lines.where("_id IS NOT NULL").join(found, "h", "left_semi").select("h", "_id", "place"), "line-places")
-    first = places.groupBy("h").agg(F.min(F.struct("_id", "place")).alias("first"))
-    extra = places.join(first, "h").where(F.struct("_id", "place") != F.col("first"))
-    extra = extra.groupBy("_id").agg(F.collect_set("place").alias("_gone"))
-    kept = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    # removals that fit a broadcast leave the texts where they are
-    extra = materialise(extra, "line-removals")
-    extra = F.broadcast(extra) if places.count() <= BROADCAST_ROWS else extra
-    joined = docs.drop("n_removed").join(extra.withColumnRenamed("_id", id_col), id_col, "left")
-    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    n_removed = F.when(F.col("_gone").isNull() | F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_removed)
-    others = [c for c in docs.columns if c not in ("n_removed", text_col)]
-    order = [c for c in docs.columns if c != "n_removed"]
-    return joined.select(*others, text.alias(text_col), n_removed.alias("n_removed")).select(*order, "n_removed")
+    # where each of them comes first: a smallest place per task, then one row a line
+    first = lines.where("_id IS NOT NULL").join(sized(found), "h", "left_semi").groupBy("h").agg(F.min(F.struct("_id", "place")).alias("first"))
+    first = materialise(first, "line-first")
+    if first.count() <= most:
+        return _without(docs, first, id_col, text_col)
+    return _without_many(docs, lines, first, id_col, text_col)
 
 
 def spread_sql(min_sites: int = MIN_SITES) -> str:
