@@ -51,3 +51,23 @@ def test_copies_over_many_sources_are_one_document(spark, tmp_path):
     cleaned = {r.doc_id: r.text for r in cleaned.collect()}
     assert [i for i in range(14) if "cookies" in cleaned[i]] == [0]
     assert all(cleaned[i] == texts[i] for i in range(14, 54)) and 54 not in cleaned
+
+
+def test_null_and_repeated_ids_and_empty_tables(spark, tmp_path):
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijk", k=6)) for _ in range(n))
+    passage, shared = prose(40), prose(60)
+    texts = [(None, prose(50)), (7, shared), (7, shared), (7, prose(30)), (None, shared), (8, passage), (8, prose(45)), (None, passage), (9, prose(40))]
+    rows = [(i, t, "en", f"s{i}", len(t)) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
+    assert len(kept) == 6 and kept.count((7, shared)) == 1 and (None, texts[0][1]) in kept and (7, texts[3][1]) in kept
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_benchmark_text(spark, docs, str(tmp_path)).collect()]
+    assert len(kept) == 7 and (8, texts[6][1]) in kept and (None, passage) not in kept
+    found = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(found, key=str) == [7, 7, 8, 9, None]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
