@@ -27,6 +27,9 @@ CONFIDENCE = 0.97
 # Vectors in a cell, about, and in a leaf of a cell's tree.
 CELL = 4096
 LEAF = 64
+# Queries that a task searches a cell for at a time, and cells besides its own that a query searches before the others.
+ASKING = 1024
+NEAR = 4
 # Projected vectors that the cuts of the top are fitted on.
 SAMPLE = 50_000
 SEED = 7
@@ -52,47 +55,64 @@ def chi_square_quantile(p: float, degrees: int) -> float:
 
 
 class Cells:
-    """The top of the kd-tree: cuts at medians of a sample, in turn along the widest side, to ``count`` cells."""
+    """The top of the kd-tree: cuts at medians of a sample, in turn along the widest side, to ``count`` cells.
+
+    Nodes are numbered as they are made; a node without a cut is a cell.
+    """
 
     def __init__(self, sample: np.ndarray, count: int):
-        dims = sample.shape[1]
-        self.dims, self.cuts, self.left, self.right = [], [], [], []
-        self.low, self.high = [], []
-        self.root = self._grow(sample, count, np.full(dims, -np.inf), np.full(dims, np.inf))
-
-    def _grow(self, sample: np.ndarray, count: int, low: np.ndarray, high: np.ndarray) -> int:
-        if count < 2 or len(sample) < 2 or np.ptp(sample, axis=0).max() == 0:
-            self.low.append(low)
-            self.high.append(high)
-            return -len(self.low)  # cell number, less one, as a negative
-        axis = int(np.argmax(np.ptp(sample, axis=0)))
-        values = np.sort(sample[:, axis])
-        cut = values[int(len(values) * (count // 2) / count)]
-        if cut == values[0]:
-            cut = values[np.searchsorted(values, cut, side="right")]
-        at = len(self.cuts)
-        for own, value in ((self.dims, axis), (self.cuts, cut), (self.left, 0), (self.right, 0)):
-            own.append(value)
-        under, below, above = sample[:, axis] < cut, high.copy(), low.copy()
-        below[axis] = above[axis] = cut
-        self.left[at] = self._grow(sample[under], count // 2, low, below)
-        self.right[at] = self._grow(sample[~under], count - count // 2, above, high)
-        return at
+        sides = sample.shape[1]
+        rows = []  # axis, cut, left, right of each node; the axis of a cell is -1
+        boxes = [(np.full(sides, -np.inf), np.full(sides, np.inf))]
+        stack = [(0, sample, count)]
+        rows.append([-1, 0.0, 0, 0])
+        while stack:
+            node, own, count = stack.pop()
+            spread = np.ptp(own, axis=0) if len(own) > 1 else np.zeros(sides)
+            if count < 2 or spread.max() == 0:
+                continue
+            axis = int(np.argmax(spread))
+            values = np.sort(own[:, axis])
+            cut = values[int(len(values) * (count // 2) / count)]
+            if cut == values[0]:
+                cut = values[np.searchsorted(values, cut, side="right")]
+            low, high = boxes[node]
+            below, above = high.copy(), low.copy()
+            below[axis] = above[axis] = cut
+            under = own[:, axis] < cut
+            rows[node] = [axis, cut, len(rows), len(rows) + 1]
+            stack += [(len(rows), own[under], count // 2), (len(rows) + 1, own[~under], count - count // 2)]
+            rows += [[-1, 0.0, 0, 0], [-1, 0.0, 0, 0]]
+            boxes += [(low, below), (above, high)]
+        axis, cut, left, right = zip(*rows)
+        self.axis, self.cut, self.left, self.right = np.array(axis), np.array(cut), np.array(left), np.array(right)
+        self.low, self.high = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
 
     def of(self, points: np.ndarray) -> np.ndarray:
-        at = np.full(len(points), self.root)
-        dims, cuts, left, right = map(np.array, (self.dims, self.cuts, self.left, self.right))
-        while (inner := at >= 0).any():
+        """The cell of each point."""
+        at = np.zeros(len(points), np.int64)
+        while (inner := np.flatnonzero(self.axis[at] >= 0)).size:
             node = at[inner]
-            under = points[inner, dims[node]] < cuts[node]
-            at[inner] = np.where(under, left[node], right[node])
-        return -at - 1
+            under = points[inner, self.axis[node]] < self.cut[node]
+            at[inner] = np.where(under, self.left[node], self.right[node])
+        return at
 
-    def within(self, point: np.ndarray, radius: float) -> np.ndarray:
-        """The cells that a ball meets."""
-        low, high = np.array(self.low), np.array(self.high)
-        gap = np.maximum(np.maximum(low - point, point - high), 0)
-        return np.flatnonzero((gap * gap).sum(axis=1) <= radius * radius)
+    def within(self, points: np.ndarray, radii: np.ndarray) -> list[np.ndarray]:
+        """The cells that the ball around each point meets, the nearest first: one way down the tree for all points."""
+        point, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+        met = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        while len(point):
+            gap = np.maximum(np.maximum(self.low[node] - points[point], points[point] - self.high[node]), 0)
+            squared = (gap * gap).sum(axis=1)
+            inside = squared <= radii[point] ** 2
+            point, node, squared = point[inside], node[inside], squared[inside]
+            cell = self.axis[node] < 0
+            met.append((point[cell], node[cell], squared[cell]))
+            point, node = point[~cell], node[~cell]
+            point, node = np.concatenate([point, point]), np.concatenate([self.left[node], self.right[node]])
+        point, node, squared = (np.concatenate(x) for x in zip(*met))
+        order = np.lexsort((node, squared, point))
+        return np.split(node[order], np.searchsorted(point[order], np.arange(1, len(points))))
 
 
 class Tree:
@@ -114,38 +134,60 @@ class Tree:
         self.low = np.array([projected[x].min(axis=0) for x in self.leaves])
         self.high = np.array([projected[x].max(axis=0) for x in self.leaves])
 
-    def nearest_first(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The leaves by squared distance, and those distances."""
-        gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
-        squared = (gap * gap).sum(axis=1)
-        order = np.argsort(squared, kind="stable")
-        return order, squared[order]
+    def squared(self, points: np.ndarray) -> np.ndarray:
+        """The squared distance of each point from each leaf."""
+        gap = np.maximum(np.maximum(self.low - points[:, None], points[:, None] - self.high), 0)
+        return (gap * gap).sum(axis=2)
 
 
 def _search(members: pd.DataFrame, queries: pd.DataFrame, k: int, quantile: float, norm: float) -> pd.DataFrame:
-    """The best ``k`` members (``vec``, ``score``) found in a cell for each query (``query``, its ``bound`` so far)."""
-    columns = {"query": [], "vec": [], "score": []}
-    if len(members) and len(queries):
-        vectors = np.stack(members["embedding"]).astype(np.float64)
-        projected, ids = np.stack(members["projected"]), members["vec"].to_numpy()
-        tree = Tree(projected)
-        for query, vector, point, bound in zip(queries["query"], queries["embedding"], queries["projected"], queries["bound"]):
-            vector, length = np.asarray(vector, np.float64), float(np.dot(vector, vector)) + norm * norm
-            best, found = np.zeros(0), np.zeros(0, np.int64)
-            for leaf, squared in zip(*tree.nearest_first(np.asarray(point))):
-                # squared distance of the k-th nearest so far, from its inner product
-                kth = max(bound, best[k - 1] if len(best) >= k else -np.inf)
-                if squared > quantile * max(length - 2 * kth, 0.0):
-                    break
-                own = tree.leaves[leaf]
-                best = np.concatenate([best, (vectors[own] * vector).sum(axis=1)])
-                found = np.concatenate([found, ids[own]])
-                order = np.lexsort((found, -best))[:k]
-                best, found = best[order], found[order]
-            columns["query"] += [query] * len(found)
-            columns["vec"] += found.tolist()
-            columns["score"] += best.tolist()
-    return pd.DataFrame(columns).astype({"query": "int64", "vec": "int64", "score": "float64"})
+    """The best ``k`` members (``vec``, ``score``) found for each query (``query``, its ``bound`` so far).
+
+    Leaves come by projected distance, those nearest to any of the queries first. Each is verified for all queries at once
+    whose stopping test doesn't hold yet.
+    """
+    if not len(members) or not len(queries):
+        return pd.DataFrame({"query": [], "vec": [], "score": []}).astype({"query": "int64", "vec": "int64", "score": "float64"})
+    vectors, asked = (np.stack(x["embedding"]).astype(np.float64) for x in (members, queries))
+    tree, points = Tree(np.stack(members["projected"])), np.stack(queries["projected"])
+    length, bound = (asked * asked).sum(axis=1) + norm * norm, queries["bound"].to_numpy()
+    squared = tree.squared(points)
+    best, found = np.full((len(asked), k), -np.inf), np.zeros((len(asked), k), np.int64)
+    kth = bound.copy()
+    for leaf in np.argsort(squared.min(axis=0), kind="stable"):
+        # squared distance of the k-th nearest so far, from its inner product
+        open_ = np.flatnonzero(squared[:, leaf] <= quantile * np.maximum(length - 2 * kth, 0))
+        if len(open_):
+            own = tree.leaves[leaf]
+            scores = np.concatenate([best[open_], asked[open_] @ vectors[own].T], axis=1)
+            at = np.concatenate([found[open_], np.broadcast_to(own, (len(open_), len(own)))], axis=1)
+            top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            best[open_], found[open_] = np.take_along_axis(scores, top, 1), np.take_along_axis(at, top, 1)
+            kth[open_] = np.maximum(bound[open_], best[open_].min(axis=1))
+    query, place = np.nonzero(best > -np.inf)
+    at = found[query, place]
+    scores = np.concatenate([(vectors[a] * asked[q]).sum(axis=1) for a, q in zip(_cut(at), _cut(query))] or [np.zeros(0)])
+    return pd.DataFrame({"query": queries["query"].to_numpy()[query], "vec": members["vec"].to_numpy()[at], "score": scores})
+
+
+def _cut(rows: np.ndarray) -> list[np.ndarray]:
+    return [rows[i : i + CELL] for i in range(0, len(rows), CELL)]
+
+
+def _met(members: DataFrame, sizes: DataFrame, asked: DataFrame, search) -> DataFrame:
+    """``query, vec, score`` that ``search`` finds in the cells (``cell``) of ``asked``.
+
+    A cell's vectors are cut into parts and its queries into blocks of bounded size, and each part meets each block.
+    """
+    blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("blocks"))
+    cuts = F.broadcast(materialise(sizes.join(blocks, "cell"), "nearest-cuts"))  # a row per cell; cells are at most SAMPLE
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    own = members.join(cuts, "cell").withColumn("part", place("vec", "parts")).withColumn("block", every("blocks")).drop("parts", "blocks")
+    other = asked.join(cuts, "cell").withColumn("block", place("query", "blocks")).withColumn("part", every("parts")).drop("parts", "blocks")
+    unit = ["cell", "part", "block"]
+    met = own.groupBy(*unit).cogroup(other.groupBy(*unit)).applyInPandas(search, "query long, vec long, score double")
+    return materialise(met, "nearest-met")
 
 
 def _normal(rows: int, seed: int) -> np.ndarray:
@@ -224,29 +266,33 @@ def nearest(
 
     @F.pandas_udf("array<int>")
     def cells_within(values: pd.Series, radius: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.within(np.asarray(p), r).tolist() for p, r in zip(values, radius)])
+        points = np.stack(values.to_list()) if len(values) else np.zeros((0, DIMENSIONS))
+        return pd.Series([c.tolist() for c in shared.value.within(points, radius.to_numpy())][: len(values)])
 
     members = materialise(entries.withColumn("cell", cell_of("projected")).select("cell", "vec", "embedding", "projected"), "nearest-cells")
-    by_cell = members.groupBy("cell")
-    result = "query long, vec long, score double"
-    # k + 1, as the query's own vector may be one of them
-    home = searched.withColumn("cell", cell_of("projected")).withColumn("bound", F.lit(float("-inf")))
+    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL)).cast("int").alias("parts"))
+    sizes = materialise(sizes, "nearest-parts")
+    home = searched.withColumn("cell", cell_of("projected"))
 
     def search(_, own, other):
+        # k + 1, as the query's own vector may be one of them
         return _search(own, other, k + 1, quantile, norm)
 
-    found = materialise(by_cell.cogroup(home.groupBy("cell")).applyInPandas(search, result), "nearest-home")
-    # the bound may count only as many entries as k + 1 inner products need
-    kth = found.groupBy("query").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    bound = F.when(F.col("n") > k, F.col("least")).otherwise(float("-inf"))
+    never = F.lit(float("-inf"))
+    found = _met(members, sizes, home.withColumn("bound", never), search)
     squared_q = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    reach = F.sqrt(F.lit(quantile) * F.greatest(squared_q + norm * norm - 2 * F.col("bound"), F.lit(0.0)))
-    rest = home.drop("bound").join(kth, "query", "left").withColumn("bound", F.coalesce(bound, F.lit(float("-inf"))))
-    rest = rest.withColumn("others", cells_within("projected", reach))
-    rest = rest.select("query", "embedding", "projected", "bound", F.col("cell").alias("home"), F.explode("others").alias("cell"))
-    rest = rest.where("cell != home").drop("home")
-    further = by_cell.cogroup(rest.groupBy("cell")).applyInPandas(search, result)
-    found = materialise(found.unionByName(further), "nearest-found")
+    # first the cells nearest to a query, then all that the radius they leave still meets
+    for start, end in ((0, NEAR), (NEAR, None)):
+        # the bound may count only as many entries as k + 1 inner products need
+        kth = found.groupBy("query").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).alias("kth"))
+        rest = home.join(kth, "query", "left").withColumn("bound", F.coalesce("kth", never))
+        reach = F.sqrt(F.lit(quantile) * F.greatest(squared_q + norm * norm - 2 * F.col("bound"), F.lit(0.0)))
+        # nearest first, so a smaller radius leaves the first of them as they are
+        others = F.array_remove(cells_within("projected", reach), F.col("cell"))
+        others = F.slice(others, start + 1, F.lit(end - start) if end else F.greatest(F.size(others) - start, F.lit(0)))
+        rest = rest.select("query", "embedding", "projected", "bound", F.explode(others).alias("cell"))
+        found = found.unionByName(_met(members, sizes, materialise(rest, "nearest-rest"), search))
+    found = materialise(found, "nearest-found")
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec")
     found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
