@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsheaf.llm.text import frequent, sized, slices
+from rowsheaf.llm.text import frequent, sized, slices, trimmed
 from rowsheaf.plans.files import materialise
 
 UNDETERMINED = "und"
@@ -184,13 +184,13 @@ def train(
     """
     source = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     source = source.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = _summed(source.mapInArrow(_count_words, "lang string, entry string, n long"))
+    counted = _summed(source.mapInArrow(trimmed(_count_words), "lang string, entry string, n long"))
     counted = materialise(counted, "language-words")
     of_words = {r["lang"]: (r["n"], r["distinct"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
     languages = sorted(of_words)
     if not languages:
         return LanguageModel([])
-    gram_counts = materialise(_summed(counted.mapInArrow(_count_grams, "lang string, entry string, n long")), "language-grams")
+    gram_counts = materialise(_summed(counted.mapInArrow(trimmed(_count_grams), "lang string, entry string, n long")), "language-grams")
     orders = gram_counts.groupBy("lang", F.length("entry").alias("order")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
     of_grams = {(r["lang"], r["order"]): (r["n"], r["distinct"]) for r in orders.collect()}
 
@@ -237,7 +237,7 @@ def _of_unseen(words: DataFrame, model: LanguageModel, shared) -> DataFrame:
 
     nothing = np.zeros(len(each))
     sums = [f"s{i}" for i in each]
-    pieces = words.mapInArrow(run, "word string, order int, n long, gram string, " + ", ".join(f"{c} double" for c in sums))
+    pieces = words.mapInArrow(trimmed(run), "word string, order int, n long, gram string, " + ", ".join(f"{c} double" for c in sums))
     pieces = materialise(pieces, "language-pieces")
     asked = pieces.where("gram IS NOT NULL").select("word", "order", "n", "gram")
     found = asked.join(model.grams.withColumnRenamed("entry", "gram"), "gram")
@@ -313,7 +313,7 @@ def predictions(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
                 )
 
     schema = "_key_a long, _key_b long, n_words long, rest array<struct<word: string, n: long>>, " + ", ".join(f"{c} double" for c in sums)
-    rows = materialise(source.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "language-rows")
+    rows = materialise(source.mapInArrow(trimmed(run), schema).withColumn("_row", F.monotonically_increasing_id()), "language-rows")
 
     rest = rows.select("_row", F.inline("rest"))
     looked_up = rest.select("word").distinct().join(model.words.withColumnRenamed("entry", "word"), "word", "left")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsheaf.llm.text import BROADCAST_ROWS, sized
+from rowsheaf.llm.text import BROADCAST_ROWS, sized, trimmed
 from rowsheaf.plans.files import materialise
 
 MIN_SITES = 10
@@ -104,7 +104,7 @@ def _without(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> D
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_removed)], [*names, "n_removed"])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("n_removed", T.LongType())])
-    return hashed.mapInArrow(run, schema).toDF(*docs.columns, "n_removed")
+    return hashed.mapInArrow(trimmed(run), schema).toDF(*docs.columns, "n_removed")
 
 
 def _without_many(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsheaf.llm.components import connected
-from rowsheaf.llm.text import WHITE_SPACE, WordHasher, frequent, rolling, sized, slices, utf8_buffer
+from rowsheaf.llm.text import WHITE_SPACE, frequent, rolling, sized, slices, trimmed, utf8_buffer, WordHasher
 from rowsheaf.plans.files import materialise
 
 # Prefix tokens that two linked sets must share: so many, and one more for each so many tokens of a set.
@@ -44,7 +44,7 @@ ASKING = 1024
 # Documents of a component that makes a group of its own.
 LARGE = 64
 # Tokens a task counts at a time.
-_CHUNK_TOKENS = 4 << 20
+_CHUNK_TOKENS = 2 << 20
 
 
 def token_sets(part: pa.RecordBatch, hasher: WordHasher, k: int, text: int = 1) -> Iterator[np.ndarray]:
@@ -98,7 +98,7 @@ def _common_tokens(source: DataFrame, k: int, bound: int) -> tuple[np.ndarray, n
         if held:
             yield counted()
 
-    counts = source.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(trimmed(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = materialise(counts.where(F.col("n") >= COMMON_LEAST), "join-common")
     found = frequent(counts, "n", bound).toPandas()
     tokens, n = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
@@ -160,7 +160,7 @@ def _profiles(source: DataFrame, k: int, numerator: int, denominator: int, bound
                     ["doc_id", "n", "key_a", "key_b", "prefix"],
                 )
 
-    return source.mapInArrow(run, "doc_id long, n long, key_a long, key_b long, prefix array<long>")
+    return source.mapInArrow(trimmed(run), "doc_id long, n long, key_a long, key_b long, prefix array<long>")
 
 
 def _sets_of(source: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _sets_of(source: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     # ids that fit a broadcast keep the texts where they are
     ids = sized(materialise(ids, "join-wanted"))
-    return source.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens array<long>")
+    return source.join(ids, "doc_id", "left_semi").mapInArrow(trimmed(run), "doc_id long, tokens array<long>")
 
 
 def _linked(a: pd.Series, b: pd.Series, numerator: int, denominator: int) -> pd.Series:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bytes of text that a task turns into arrays at a time; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _U64 = np.uint64
@@ -27,6 +29,22 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus) == remainder
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` over a task's batches, after which what it held goes back to the system.
+
+    A Python worker goes on to other tasks, and would keep the memory of its largest one.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose texts make up :data:`SLICE_BYTES` or a single row; null texts become empty."""
     column = pc.fill_null(batch.column(text), "")
