@@ -19,10 +19,10 @@ from rowsheaf.plans.files import materialise
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
 # Entries that go to every Python worker, the most frequent; the others are looked up in written tables.
-MODEL_WORDS = 1 << 17
-MODEL_GRAMS = 1 << 17
+MODEL_WORDS = 1 << 16
+MODEL_GRAMS = 1 << 16
 # Entries a task counts before it passes them on.
-_FLUSH = 300_000
+_FLUSH = 150_000
 # Characters of words whose n-grams a task counts at a time.
 _CHUNK_CHARACTERS = 1 << 20
 # Words whose n-grams a task takes out at a time.

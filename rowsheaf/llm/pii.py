@@ -30,13 +30,14 @@ EM_ROUNDS = 50
 # The base patterns.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A run of digits is tried from its start only: where that fails, so does every later start.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Candidates beyond them.
 _AT = r"[\x20]?(?:\[at\]|\(at\)|\{at\}|[\x20]at[\x20])[\x20]?"
 _DOT = r"[\x20]?(?:\[dot\]|\(dot\)|\{dot\}|[\x20]dot[\x20]|\.)[\x20]?"
-_SPELLED = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
 _HAS_AT = re.compile(r"[\[({]at[\])}]|[\x20]at[\x20][A-Za-z0-9-]+[\x20]dot[\x20]")
 _NATIONAL = re.compile(r"\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _LONG_IP = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}")
@@ -89,7 +90,7 @@ def _emails(text: str):
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the strict patterns, by kind and start; places are code points."""
     spans = [(0, *s) for s in _emails(text)]
-    spans += [(1, *m.span()) for m in _IP.finditer(text) if max(len(p.lstrip("0")) for p in m[0].split(".")) < 4 and all(int(p) <= 255 for p in m[0].split("."))]
+    spans += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p) < 4 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split(".")))]
     for m in _CARD.finditer(text):
         if 16 <= m.end() - m.start() and 16 <= len(digits := _digits(m[0])) <= 19 and _luhn(digits):
             spans.append((2, *m.span()))
