@@ -53,7 +53,8 @@ from rowsheaf.operators.counter import count_events, upsert
 from rowsheaf.plans.files import materialise, scratch_dir
 from rowsheaf.streaming import metrics as live
 from rowsheaf.streaming.counter import counter_table, follow_counter
-from rowsheaf.streaming.tables import VersionedTable
+from rowsheaf.streaming.running import RunningMetrics, follow_changes, follow_clock
+from rowsheaf.streaming.tables import SummedTable, VersionedTable
 
 AS_OF = "2024-01-30 12:30:00"
 TESTDATA = "/root/testdata/sf0.001"
@@ -573,10 +574,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.read_events(spark, sf_dir, schema, pattern="events.parquet")
 
 
-def _follow_windows(spark: SparkSession, windows: DataFrame, label: str) -> DataFrame:
+def _follow_windows(spark: SparkSession, sf_dir: str, windows, label: str) -> DataFrame:
     out = scratch_dir(spark, label)
-    table = VersionedTable(spark, f"{out}/table")
-    table.follow(windows, f"{out}/checkpoint", "complete").awaitTermination()
+    table = SummedTable(spark, f"{out}/table", ["window_start"])
+    live.follow_windows(_stream(spark, sf_dir), windows, table, f"{out}/checkpoint", "ts").awaitTermination()
     return table.read()
 
 
@@ -585,42 +586,54 @@ def _follow_windows(spark: SparkSession, windows: DataFrame, label: str) -> Data
     FOR i IN range(5)]) AS m FROM events) GROUP BY 1"""
 )
 def stream_rate_5m(spark, sf_dir):
-    return _follow_windows(spark, live.moving_rate(_stream(spark, sf_dir), "ts"), "rate")
+    return _follow_windows(spark, sf_dir, live.moving_rate, "rate")
 
 
 @_query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1")
 def stream_hourly(spark, sf_dir):
-    return _follow_windows(spark, live.hourly(_stream(spark, sf_dir), "ts"), "hourly")
+    return _follow_windows(spark, sf_dir, live.hourly, "hourly")
 
 
 @_query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, count(*) AS n FROM events GROUP BY 1")
 def stream_daily(spark, sf_dir):
-    return _follow_windows(spark, live.daily(_stream(spark, sf_dir), "ts"), "daily")
+    return _follow_windows(spark, sf_dir, live.daily, "daily")
 
 
 @_query(CORE_SQL)
 def stream_metrics(spark, sf_dir):
+    """The core metrics from maintained counts; the event table is read as a stream only."""
     out = scratch_dir(spark, "metrics")
-    tables = live.MetricTables(spark, out)
-    live.follow_metrics(
-        _stream(spark, sf_dir),
-        lambda: _table(spark, sf_dir, "events"),
-        tables,
-        f"{out}/checkpoint",
-        lambda: AS_OF,
-        ts="ts",
-        key="event_id",
-    ).awaitTermination()
-    return tables.core.read()
+    running = RunningMetrics(spark, out, "ts", "event_id")
+    follow_changes(_stream(spark, sf_dir), running, f"{out}/checkpoint", lambda: AS_OF).awaitTermination()
+    return running.core.read()
+
+
+@_query(
+    f"""WITH now_there AS (SELECT event_id, CASE WHEN event_type = 'view' THEN ts + INTERVAL 1 HOUR ELSE ts END AS ts
+    FROM events WHERE event_type IS NULL OR event_type != 'error')
+    SELECT event_id, ts FROM now_there ORDER BY ts DESC, event_id DESC LIMIT {metrics.LATEST_ROWS}"""
+)
+def stream_changed_latest(spark, sf_dir):
+    """The newest rows after a log of changes: all events come, those of one type an hour late, those of another go again."""
+    out = scratch_dir(spark, "changed")
+    events = _table(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.lit(1).alias("sign"))
+    moved = events.where("event_type = 'view'")
+    later = moved.withColumn("ts", F.col("ts") + F.expr("INTERVAL '1' HOUR"))
+    gone = events.where("event_type = 'error'").unionByName(moved).withColumn("sign", F.lit(-1))
+    running = RunningMetrics(spark, out, "ts", "event_id")
+    there = events.where("event_type IS NULL OR event_type NOT IN ('view', 'error')").unionByName(later)
+    for i, changes in enumerate([events, gone.unionByName(later)]):
+        running.add(changes, i, AS_OF, lambda: there)
+    return running.latest.read()
 
 
 @_query(CORE_SQL)
 def stream_timed_core(spark, sf_dir):
-    """The core metrics as the timer left them, without a new event."""
+    """The core metrics as the timer left them, from the maintained counts and without a new event."""
     out = scratch_dir(spark, "timed")
-    table = VersionedTable(spark, f"{out}/table")
-    events = _table(spark, sf_dir, "events")
-    query = live.refresh_on_timer(spark, lambda: events, table, f"{out}/checkpoint", lambda: AS_OF, "ts", "1 second")
+    running, table = RunningMetrics(spark, f"{out}/running", "ts", "event_id"), VersionedTable(spark, f"{out}/table")
+    follow_changes(_stream(spark, sf_dir), running, f"{out}/checkpoint", lambda: AS_OF).awaitTermination()
+    query = follow_clock(spark, running, table, f"{out}/clock", lambda: AS_OF, "1 second")
     while query.isActive and not table.batches():
         query.awaitTermination(0.2)
     query.stop()

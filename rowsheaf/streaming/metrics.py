@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rowsheaf.operators import metrics
-from rowsheaf.streaming.tables import VersionedTable, start
+from rowsheaf.streaming.tables import SummedTable, VersionedTable, start
 
 # Fixed values
 LIVE_REFRESH = "30 seconds"
@@ -56,6 +56,19 @@ def daily(events: DataFrame, ts: str = "created_at", lateness: str | None = None
     return _windowed(events, ts, "1 day", None, lateness)
 
 
+def follow_windows(events: DataFrame, windows, table: SummedTable, checkpoint: str, ts: str = "created_at", every: str | None = None) -> StreamingQuery:
+    """Add the window counts of each batch to ``table``; ``windows`` is one of the three functions above.
+
+    Counts are sums, so the stream keeps no state: a window that is long over costs nothing, and a late row is added
+    to it all the same. What grows is the table, by one row per window once its batches are folded.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        table.write(windows(batch, ts), batch_id)
+
+    return start(events.writeStream.foreachBatch(on_batch), checkpoint, every)
+
+
 def refresh_on_timer(
     spark: SparkSession, event_table, table: VersionedTable, checkpoint: str, as_of, ts: str = "created_at", every: str = LIVE_REFRESH
 ) -> StreamingQuery:

@@ -41,21 +41,37 @@ class VersionedTable:
         whole = self._complete(SNAPSHOT)
         return [n for n in self._complete(BATCH) if not whole or n > whole[-1]]
 
+    def before(self, batch_id: int) -> DataFrame | None:
+        """The whole result before ``batch_id``, also while that batch is repeated; None if it is the first."""
+        earlier = [n for n in self.batches() if n < batch_id]
+        return self.spark.read.parquet(f"{self.path}/{BATCH}={earlier[-1]}") if earlier else None
+
     def read(self) -> DataFrame:
-        batches, whole = self.batches(), self._complete(SNAPSHOT)[-1:]
-        if not batches and not whole:
-            raise FileNotFoundError(f"no batch in {self.path}")
         if self.keys is None:
+            batches = self.batches()
+            if not batches:
+                raise FileNotFoundError(f"no batch in {self.path}")
             return self.spark.read.parquet(f"{self.path}/{BATCH}={batches[-1]}")
-        folders = [(n, SNAPSHOT) for n in whole] + [(n, BATCH) for n in batches]
-        schema = self.spark.read.parquet(f"{self.path}/{folders[-1][1]}={folders[-1][0]}").schema
-        log = self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}={n}" for n, kind in folders])
+        log = self._log()
         version = F.regexp_extract(F.col("_metadata.file_path"), f"(?:{BATCH}|{SNAPSHOT})=([0-9]+)/[^/]*$", 1)
-        values = [c for c in schema.names if c not in self.keys]
+        values = [c for c in log.columns if c not in self.keys]
         newest = log.withColumn("_version", version.cast("long")).groupBy(*self.keys)
         newest = newest.agg(F.max_by(F.struct(*values), "_version").alias("_v"))
         return newest.select(*self.keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
+    def _log(self) -> DataFrame:
+        """The rows of the snapshot and of the batches since."""
+        batches, whole = self.batches(), self._complete(SNAPSHOT)[-1:]
+        if not batches and not whole:
+            raise FileNotFoundError(f"no batch in {self.path}")
+        folders = [(n, SNAPSHOT) for n in whole] + [(n, BATCH) for n in batches]
+        schema = self.spark.read.parquet(f"{self.path}/{folders[-1][1]}={folders[-1][0]}").schema
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}={n}" for n, kind in folders])
+
+    def _whole(self) -> DataFrame:
+        """What a snapshot holds."""
+        return self.read()
+
     def compact(self) -> None:
         """Fold the batches into a snapshot (or keep only the newest whole result), then drop them.
 
@@ -66,11 +82,11 @@ class VersionedTable:
             return
         last = batches[-1]
         if self.keys is not None:
-            self.read().write.mode("overwrite").parquet(f"{self.path}/{SNAPSHOT}={last}")
+            self._whole().write.mode("overwrite").parquet(f"{self.path}/{SNAPSHOT}={last}")
             outdated = [(BATCH, n) for n in self._complete(BATCH) if n <= last]
             outdated += [(SNAPSHOT, n) for n in self._complete(SNAPSHOT) if n < last]
         else:
-            outdated = [(BATCH, n) for n in batches[:-1]]
+            outdated = [(BATCH, n) for n in batches[:-2]]  # a batch that is repeated needs the one before
         for kind, n in outdated:
             delete_tree(self.spark, f"{self.path}/{kind}={n}")
 
@@ -81,6 +97,27 @@ class VersionedTable:
         return start(stream.writeStream.outputMode(mode).foreachBatch(self.write), checkpoint, every)
 
 
+class SummedTable(VersionedTable):
+    """A table of numbers by key to which every batch adds, or from which it takes: the sum of all batches counts.
+
+    A stream that writes here has no state of its own, so a key may come back however late. ``fold`` changes keys
+    when batches become a snapshot, such as old instants to their days; the numbers of equal keys are added up.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], n: str = "n", keep: int = 100, fold=None):
+        super().__init__(spark, path, keys, keep)
+        self.n, self.fold = n, fold
+
+    def _summed(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(F.sum(self.n).alias(self.n)).where(F.col(self.n) != 0)
+
+    def read(self) -> DataFrame:
+        return self._summed(self._log())
+
+    def _whole(self) -> DataFrame:
+        return self._summed(self.fold(self._log())) if self.fold else self.read()
+
+
 def start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
