@@ -31,6 +31,7 @@ from rowsheaf import (
     read_export,
     sample_values,
     scan_csv,
+    scan_csv_records,
     scan_encoded,
     scan_lines,
     split_file,
@@ -566,6 +567,15 @@ def counter_upsert(spark, sf_dir):
     return upsert(kept, count_events(events.where(F.col("ts") >= middle), "event_type", "ts"))
 
 
+@_query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_records(spark, sf_dir):
+    """Texts with line ends, exported and read again over file splits that cut through them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    out = scratch_dir(spark, "records")
+    write_csv(docs, out)
+    return scan_csv_records(spark, out, docs.schema, split_bytes=256 << 10)
+
+
 # ---------------------------------------------------------------- event stream
 
 

@@ -28,6 +28,7 @@ from rowsheaf.sinks.csv import read_export, write_csv
 from rowsheaf.sources.encoding import encoding_profile, group_by_encoding, scan_encoded
 from rowsheaf.sources.inventory import file_inventory
 from rowsheaf.sources.lines import count_lines, scan_lines
+from rowsheaf.sources.records import scan_csv_records, scan_records
 from rowsheaf.sources.tables import count_rows, infer_types, preview, scan_csv
 
 __all__ = [
@@ -58,8 +59,10 @@ __all__ = [
     "read_export",
     "sample_values",
     "scan_csv",
+    "scan_csv_records",
     "scan_encoded",
     "scan_lines",
+    "scan_records",
     "split_file",
     "split_lines",
     "split_table",

@@ -15,14 +15,13 @@ other text          anything else          normalised text equals the text
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsheaf.functions.scalars import normalised_text
+from rowsheaf.functions.scalars import DROPPED, normalised_text
 
 # Fixed values
 TOLERANCE = 0.000001
@@ -35,8 +34,11 @@ NUMBER_TEXT = rf"^\s*[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][
 
 
 def clean_search_value(value: object) -> str:
-    """The searched value without tabs and line ends, stripped; ``None`` is blank."""
-    return "" if value is None else re.sub(r"[\t\r\n]", "", str(value)).strip()
+    """The searched value without :data:`DROPPED`, and without white space at its ends; ``None`` is blank."""
+    if value is None:
+        return ""
+    kept = (c for c in str(value) if c not in DROPPED)
+    return "".join(kept).strip()
 
 
 def parse_number(text: str) -> float | None:

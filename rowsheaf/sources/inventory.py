@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowsheaf.functions.scalars import format_file_size
+from rowsheaf.plans.files import list_inputs
 
 
 def file_inventory(spark: SparkSession, paths: list[str], pattern: str | None = None) -> DataFrame:
     """``path, name, folder, size, size_text, modified`` of every file under ``paths``.
 
-    The content column is pruned, so only the listing is touched.
+    The content column is pruned, so only the listing is touched. A file that Spark would leave out for its name
+    (``_x.csv``) raises, unless ``pattern`` leaves it out as well.
     """
+    if not pattern:
+        list_inputs(spark, paths)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

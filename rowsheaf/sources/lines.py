@@ -31,7 +31,7 @@ def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.option("lineSep", LINE_END).text([paths] if isinstance(paths, str) else paths)
 
 
-def _one_split_per_task(spark: SparkSession, files: list[str]) -> SparkSession:
+def _one_split_per_task(spark: SparkSession, files: list[str], split_bytes: int | None = None) -> SparkSession:
     """A session like ``spark`` whose scans give each file split a task of its own, cut at a fixed size.
 
     A scan keeps the settings of the session it was made in, so every pass over the same lines sees the
@@ -44,20 +44,22 @@ def _one_split_per_task(spark: SparkSession, files: list[str]) -> SparkSession:
     largest = size_setting(spark, "spark.sql.files.maxPartitionBytes")
     even = estimated_bytes(raw_lines(spark, files)) // (spark.sparkContext.defaultParallelism * TASKS_PER_CORE)
     size = max(min(largest, even), min(MIN_SPLIT_BYTES, largest), START_UNIT) // START_UNIT * START_UNIT
+    size = split_bytes or size
     session.conf.set("spark.sql.files.maxPartitionBytes", str(size))
     session.conf.set("spark.sql.files.openCostInBytes", str(size + 1))
     session.conf.unset("spark.sql.files.maxPartitionNum")
     return session
 
 
-def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def scan_lines(spark: SparkSession, paths: list[str], split_bytes: int | None = None) -> DataFrame:
     """All lines of the files with their place.
 
     Columns: ``task`` (number of the task, which has one file split), ``file`` and ``block_start`` (that
     split), ``line_no`` (0-based place of the line in it), ``is_header`` (first line of a file), ``value``.
+    ``split_bytes``, whole KB, sets the size of a split.
     """
     files = list_inputs(spark, paths)
-    lines = raw_lines(_one_split_per_task(spark, files), files).select(
+    lines = raw_lines(_one_split_per_task(spark, files, split_bytes), files).select(
         F.spark_partition_id().cast("long").alias("task"),
         F.input_file_name().alias("file"),
         F.input_file_block_start().alias("block_start"),

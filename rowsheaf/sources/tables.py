@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowsheaf.plans.files import list_inputs
+
 BOM = "\ufeff"
 
 # Tried in this order; a column takes the first type all its sampled values have.
@@ -76,8 +78,10 @@ def scan_csv(
     """CSV table. Without a schema the types come from all rows, or the first ``sample_rows``.
 
     A later row that does not fit the schema raises; it is never read as NULL. ``multi_line`` keeps
-    records with quoted line ends whole, at the price that a file is not split between tasks.
+    records with quoted line ends whole, at the price that a file is not split between tasks; ``scan_csv_records`` splits it.
+    A file that Spark would leave out for its name (``_x.csv``) raises.
     """
+    list_inputs(spark, [path] if isinstance(path, str) else path)
     reader = _reader(spark, sep, header, multi_line, encoding)
     if schema is None:
         names = header_names(spark, path, sep, encoding, multi_line)
