@@ -36,46 +36,57 @@ def _escaped_role(role: Column) -> Column:
 def reply_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     """All paths from a root to a leaf of every tree, ranked, with the nodes of the chosen ones.
 
-    ``nodes``: ``tree_id``, ``node_id`` (unique in its tree), ``parent_id`` (null for a root), ``score`` (double,
-    null as 0); other columns are dropped. Returns ``tree_id, leaf_id, path_rank, depth, node_id`` for the ``top``
-    paths of each tree (all, if None): highest mean score first, ties to the smaller leaf. ``depth`` is 0 at the root.
+    ``nodes``: ``tree_id``, ``node_id``, ``parent_id`` (null for a root), ``score`` (double, null as 0); other
+    columns are dropped. Returns ``tree_id, leaf_id, path_rank, depth, node_id`` for the ``top`` paths of each tree
+    (all, if None): highest mean score first, ties to the smaller leaf. ``depth`` is 0 at the root.
 
-    Ancestors are found by joining the table of (node, ancestor at distance d) with itself, which doubles d:
-    a tree of depth n takes log2(n) joins. A node whose parent is missing is the root of its own paths. A cycle
-    raises.
+    A null ``tree_id`` is a tree like any other, a null ``node_id`` a node that nothing can reply to. Rows that
+    repeat a node's id are one node, with the smallest of their parents and the largest of their scores. A node whose
+    parent is missing is the root of its own paths. A cycle raises.
+
+    Each node knows an ancestor, and the sum and number of the scores from itself up to there, and takes over what
+    that ancestor knows: the table is joined with itself, and the distance doubles, until all know their root. So a
+    tree of depth n takes log2(n) joins. Only the chosen leaves are then led back up, over the ancestors of every doubling.
     """
-    n = nodes.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    n = materialise(n.where("tree_id IS NOT NULL AND node_id IS NOT NULL"), "reply-nodes")
-    known = n.select("tree_id", F.col("node_id").alias("parent_id"))
-    edges = n.select("tree_id", "node_id", "parent_id").join(known, ["tree_id", "parent_id"], "left_semi")
-    # hop: each node's ancestor at distance 2^k. near: each node's ancestors at distances below 2^k, itself included.
-    leaves = n.select("tree_id", "node_id").join(
-        edges.select("tree_id", F.col("parent_id").alias("node_id")), ["tree_id", "node_id"], "left_anti"
+    n = nodes.groupBy("tree_id", "node_id").agg(
+        F.min("parent_id").alias("parent_id"), F.max(F.coalesce("score", F.lit(0.0))).alias("score")
     )
-    near = leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("up"))
-    hop = materialise(edges.select("tree_id", "node_id", F.col("parent_id").alias("far")), "reply-hop")
-    step = 1
-    while not hop.isEmpty():
-        further = near.join(hop, ["tree_id", "node_id"]).select(
-            "tree_id", "leaf_id", F.col("far").alias("node_id"), (F.col("up") + step).alias("up")
-        )
-        near = materialise(near.unionByName(further), "reply-paths")
-        again = hop.select("tree_id", F.col("node_id").alias("far"), F.col("far").alias("further"))
-        hop = hop.join(again, ["tree_id", "far"]).select("tree_id", "node_id", F.col("further").alias("far"))
-        # only hops that some path can still take: those of nodes on paths
-        hop = materialise(hop.where(F.col("far") != F.col("node_id")), "reply-hop")
-        step *= 2
-        if step > 1 << 40:
+    # two structs are equal also where both hold a null
+    key = lambda c: F.struct("tree_id", F.col(c).alias("id"))
+    n = n.select(key("node_id").alias("node"), F.when(F.col("parent_id").isNotNull(), key("parent_id")).alias("far"), "score")
+    n = materialise(n, "reply-nodes")
+    known = n.select(F.col("node").alias("far"), F.lit(True).alias("is_there"))
+    paths = n.join(known, "far", "left").select(
+        "node", F.when(F.col("is_there"), F.col("far")).alias("far"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n")
+    )
+    paths = materialise(paths, "reply-paths")
+    leaves = n.select("node").join(paths.select(F.col("far").alias("node")), "node", "left_anti")
+    largest = n.groupBy("node.tree_id").count().agg(F.max("count")).first()[0] or 0
+
+    hops = []  # every node's ancestor at distance 1, 2, 4, ...
+    while True:
+        open_ends = paths.where("far IS NOT NULL")
+        if open_ends.isEmpty():
+            break
+        if 1 << len(hops) >= largest:
             raise ValueError("the replies of a tree form a cycle")
-    scored = near.join(n.select("tree_id", "node_id", "score"), ["tree_id", "node_id"])
-    paths = scored.groupBy("tree_id", "leaf_id").agg(F.avg("score").alias("path_score"), F.max("up").alias("longest"))
-    by_score = Window.partitionBy("tree_id").orderBy(F.desc("path_score"), "leaf_id")
-    paths = paths.withColumn("path_rank", F.row_number().over(by_score))
+        hops.append(open_ends.select("node", "far"))
+        above = paths.select(F.col("node").alias("far"), F.col("far").alias("next"), F.col("total").alias("more"), F.col("n").alias("longer"))
+        longer = open_ends.join(above, "far").select(
+            "node", F.col("next").alias("far"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("longer")).alias("n")
+        )
+        paths = materialise(paths.where("far IS NULL").unionByName(longer), "reply-paths")
+
+    by_score = Window.partitionBy("node.tree_id").orderBy(F.desc(F.col("total") / F.col("n")), "node.id")
+    ranked = paths.join(leaves, "node").withColumn("path_rank", F.row_number().over(by_score))
     if top is not None:
-        paths = paths.where(F.col("path_rank") <= top)
-    chosen = paths.select("tree_id", "leaf_id", "path_rank", "longest")
-    out = near.join(chosen, ["tree_id", "leaf_id"])
-    return out.select("tree_id", "leaf_id", "path_rank", (F.col("longest") - F.col("up")).alias("depth"), "node_id")
+        ranked = ranked.where(F.col("path_rank") <= top)
+    out = ranked.select(F.col("node.id").alias("leaf_id"), "path_rank", "node", (F.col("n") - 1).alias("depth"))
+    out = materialise(out, "reply-chosen")
+    for level, hop in enumerate(hops):
+        further = out.join(hop, "node").select("leaf_id", "path_rank", F.col("far").alias("node"), (F.col("depth") - (1 << level)).alias("depth"))
+        out = materialise(out.unionByName(further), "reply-chosen")
+    return out.select("node.tree_id", "leaf_id", "path_rank", "depth", F.col("node.id").alias("node_id"))
 
 
 def format_turns(turns: DataFrame, keys: list[str], loss_role: str = "assistant") -> DataFrame:
@@ -136,22 +147,24 @@ def read_turns(formatted: DataFrame, keys: list[str]) -> DataFrame:
 
 def read_digests(formatted: DataFrame, keys: list[str]) -> DataFrame:
     """What is read back from formatted conversations, as digests: ``keys, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars``. A turn counts as loss where the mask has its very span."""
-    turns = read_turns(formatted, keys)
-    mask = formatted.select(*keys, F.explode("loss_mask").alias("_span"))
-    mask = mask.select(*keys, F.col("_span.start").alias("start"), F.col("_span.end").alias("end"), F.lit(True).alias("_loss"))
-    mask = mask.dropDuplicates([*keys, "start", "end"])
-    turns = turns.join(mask, [*keys, "start", "end"], "left")
+    formatted_chars``. A turn counts as loss where the mask has its very span. Keys may be null."""
+    # two structs are equal also where both hold a null
+    formatted = formatted.select(F.struct(*keys).alias("_key"), "formatted", "loss_mask")
+    turns = read_turns(formatted, ["_key"])
+    mask = formatted.select("_key", F.explode("loss_mask").alias("_span"))
+    mask = mask.select("_key", F.col("_span.start").alias("start"), F.col("_span.end").alias("end"), F.lit(True).alias("_loss"))
+    mask = mask.dropDuplicates(["_key", "start", "end"])
+    turns = turns.join(mask, ["_key", "start", "end"], "left")
     line = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
     ordered = lambda value: F.array_join(F.sort_array(F.collect_list(value)).getField("v"), "")
-    read = turns.groupBy(*keys).agg(
+    read = turns.groupBy("_key").agg(
         F.count("*").alias("n_turns"),
         F.sha2(ordered(F.struct("position", line.alias("v"))), 256).alias("turns_sha256"),
         ordered(F.when(F.col("_loss"), F.struct("position", F.col("text").alias("v")))).alias("_lost"),
     )
-    size = formatted.select(*keys, F.length("formatted").cast(T.LongType()).alias("formatted_chars"))
-    return read.join(size, keys).select(
-        *keys, "n_turns", "turns_sha256", F.length("_lost").cast("long").alias("loss_chars"),
+    size = formatted.select("_key", F.length("formatted").cast(T.LongType()).alias("formatted_chars"))
+    return read.join(size, "_key").select(
+        "_key.*", "n_turns", "turns_sha256", F.length("_lost").cast("long").alias("loss_chars"),
         F.sha2("_lost", 256).alias("loss_sha256"), "formatted_chars",
     )
 
@@ -160,18 +173,20 @@ def format_reply_trees(nodes: DataFrame, top: int | None = 1, loss_role: str = "
     """The chosen paths of :func:`reply_paths`, each formatted as one conversation.
 
     ``nodes`` also holds ``role`` and ``text``. Returns ``tree_id, leaf_id, path_rank, n_turns, formatted, loss_mask``.
-    An empty table gives no rows.
+    Rows that repeat a node's id are turns after one another, by role, then text. An empty table gives no rows.
     """
-    paths = reply_paths(nodes, top)
-    texts = nodes.select("tree_id", "node_id", "role", "text")
-    turns = paths.withColumnRenamed("depth", "position").join(texts, ["tree_id", "node_id"])
+    node = F.struct("tree_id", "node_id").alias("_node")
+    paths = reply_paths(nodes, top).select(node, "leaf_id", "path_rank", F.col("depth").alias("position"))
+    turns = paths.join(nodes.select(node, "role", "text"), "_node")
+    turns = turns.select("_node.tree_id", "leaf_id", "path_rank", "position", "role", "text")
     return format_turns(turns, ["tree_id", "leaf_id", "path_rank"], loss_role)
 
 
 def conversation_nodes(conversations: DataFrame) -> DataFrame:
     """``conversations`` (``conv_id, turn, role, text``) as reply trees: each row replies to the one before it.
 
-    Rows of a conversation are taken by turn; equal turns by role, then text, so repeated rows follow each other.
+    Rows of a conversation are taken by turn; equal turns by role, then text, so repeated rows follow each other. The
+    rows without a ``conv_id`` are one conversation.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("node_id"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 from functools import cache
@@ -48,82 +49,94 @@ def _tokenizer(rank_file: str, pattern: str) -> tiktoken.Encoding:
 
 
 class Lattice:
-    """All segmentations of a string into entries with log probabilities ``scores`` (by bytes)."""
+    """All segmentations of a string into entries with log probabilities ``scores`` (by bytes).
+
+    Both directions keep no edges but those of a window as long as the longest entry, so a string of many MB needs
+    no more than a number a byte.
+    """
 
     _SCORE = -1  # the key of a node's own score; the others are bytes
 
     def __init__(self, scores: dict[bytes, float]):
         self.root: dict = {}
+        self.reach = max(map(len, scores), default=0)
         for entry, score in scores.items():
             node = self.root
             for byte in entry:
                 node = node.setdefault(byte, {})
             node[self._SCORE] = score
 
-    def edges(self, word: bytes) -> list[list[tuple[int, float]]]:
-        """For each end, the (start, log probability) of the entries that end there."""
-        root, own = self.root, self._SCORE
-        into: list[list[tuple[int, float]]] = [[] for _ in range(len(word) + 1)]
-        for i in range(len(word)):
+    def _forward(self, word: bytes):
+        """Log of the summed probability of all ways to reach each place, place after place."""
+        root, own, reach = self.root, self._SCORE, self.reach
+        exp, log, never = math.exp, math.log, -math.inf
+        # the terms of the places that an entry can reach from here; a ring, as no entry is longer
+        ring: list[list[float]] = [[] for _ in range(reach + 1)]
+        ring[0].append(0.0)
+        size = reach + 1
+        for i in range(len(word) + 1):
+            terms = ring[i % size]
+            if not terms:
+                yield never
+                continue
+            if len(terms) == 1:
+                at = terms[0]
+            else:
+                high = max(terms)
+                at = high + log(sum([exp(t - high) for t in terms])) if high > never else high
+            terms.clear()
+            yield at
             node, j = root, i
-            for byte in word[i:]:
+            for byte in word[i : i + reach]:
                 node = node.get(byte)
                 if node is None:
                     break
                 j += 1
                 if own in node:
-                    into[j].append((i, node[own]))
-        return into
-
-    @staticmethod
-    def forward(into: list[list[tuple[int, float]]]) -> list[float]:
-        """Log of the summed probability of all ways to reach each place."""
-        exp, log = math.exp, math.log
-        alpha = [0.0]
-        for edges in into[1:]:
-            if len(edges) == 1:
-                i, s = edges[0]
-                alpha.append(alpha[i] + s)
-            elif edges:
-                terms = [alpha[i] + s for i, s in edges]
-                high = max(terms)
-                alpha.append(high + log(sum([exp(t - high) for t in terms])) if high > -math.inf else high)
-            else:
-                alpha.append(-math.inf)
-        return alpha
+                    ring[j % size].append(at + node[own])
 
     def log_probability(self, word: bytes, own: float = 0.0) -> float:
         """Over all segmentations; ``own`` is the probability of the whole as one more entry."""
-        into = self.edges(word)
-        if own > 0:
-            into[-1].append((0, math.log(own)))
-        return self.forward(into)[-1]
+        last = 0.0
+        for last in self._forward(word):  # noqa: B007
+            pass
+        return float(np.logaddexp(last, math.log(own))) if own > 0 else last
 
-    def expected(self, word: bytes) -> list[tuple[bytes, float]]:
-        """How often each entry is expected in a segmentation of ``word``.
+    def expected(self, word: bytes):
+        """How often each entry is expected in a segmentation of ``word``, as (entry, share); an entry may come again.
 
-        Backwards from the end, an edge's share is its end's share times its part of what reaches that end.
+        Backwards, each place's probability of reaching the end follows from those after it. An edge's share is its
+        own probability, times that of reaching its start, times that from its end on, in the whole.
         """
-        exp = math.exp
-        into = self.edges(word)
-        alpha = self.forward(into)
-        share = [0.0] * len(word) + [1.0]
-        out = []
-        for j in range(len(word), 0, -1):
-            at = share[j]
-            if at:
-                edges = into[j]
-                if len(edges) == 1:
-                    i = edges[0][0]
-                    share[i] += at
-                    out.append((word[i:j], at))
-                else:
-                    total = alpha[j]
-                    for i, s in edges:
-                        part = at * exp(alpha[i] + s - total)
-                        share[i] += part
-                        out.append((word[i:j], part))
-        return out
+        root, own, reach = self.root, self._SCORE, self.reach
+        exp, log, never = math.exp, math.log, -math.inf
+        alpha = array("d", self._forward(word))
+        total = alpha[-1]
+        if total == never:
+            return
+        size = reach + 1
+        beta = [never] * size
+        beta[len(word) % size] = 0.0
+        for i in range(len(word) - 1, -1, -1):
+            here, terms = alpha[i] - total, []
+            node, j = root, i
+            for byte in word[i : i + reach]:
+                node = node.get(byte)
+                if node is None:
+                    break
+                j += 1
+                if own in node:
+                    rest = beta[j % size]
+                    if rest > never:
+                        rest += node[own]
+                        terms.append(rest)
+                        if here > never:
+                            yield word[i:j], exp(here + rest)
+            if len(terms) > 1:
+                high = max(terms)
+                beta[i % size] = high + log(sum([exp(t - high) for t in terms])) if high > never else high
+            else:
+                beta[i % size] = terms[0] if terms else never
 
 
 def _word_counts(batches):

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -114,7 +115,29 @@ def test_lattice_sums_all_segmentations():
     for entry, share in lattice.expected(word):
         expected[entry] += share
     assert {k: v for k, v in expected.items() if v} == pytest.approx({k: v / total for k, v in uses.items()})
-    assert lattice.log_probability(b"c") == -math.inf
+    assert lattice.log_probability(b"c") == -math.inf and list(lattice.expected(b"c")) == []
+    assert lattice.log_probability(word, 0.5) == pytest.approx(math.log(total + 0.5))
+    assert lattice.log_probability(b"") == 0.0
+
+
+def test_lattice_of_a_very_long_word_keeps_a_window_only():
+    scores = {e: math.log(p) for e, p in [(b"a", 0.5), (b"b", 0.125), (b"ab", 0.25), (b"abab", 0.125)]}
+    lattice = lm_scoring.Lattice(scores)
+    word = b"ab" * 500_000
+    tracemalloc.start()
+    found = lattice.log_probability(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # by the recurrence of a pair: p(n) = (0.5 * 0.125 + 0.25) p(n - 1) + 0.125 p(n - 2)
+    pair, growth = 0.5 * 0.125 + 0.25, (0.3125 + math.sqrt(0.3125**2 + 0.5)) / 2
+    low = pair - growth
+    assert found == pytest.approx(500_001 * math.log(growth) - math.log(growth - low), rel=1e-9)
+    assert peak < 1 << 20
+    short = word[:2000]
+    uses = Counter()
+    for entry, share in lattice.expected(short):
+        uses[entry] += share
+    assert sum(len(e) * n for e, n in uses.items()) == pytest.approx(len(short))
 
 
 # ---------------------------------------------------------------- 2: decontamination
@@ -400,6 +423,66 @@ def test_long_conversation_and_python_free_plan(spark):
     assert "Python" not in out._jdf.queryExecution().toString() and "Pandas" not in out._jdf.queryExecution().toString()
 
 
+def test_nodes_without_ids_and_repeated_nodes(spark):
+    nodes = [
+        (None, 1, None, 1.0, "user", "q"), (None, 2, 1, 2.0, "assistant", "a"), (None, None, 1, 0.0, "assistant", "b"),
+        (4, 1, None, 0.0, "user", "u"), (4, 1, None, 3.0, "user", "v"), (4, 2, 1, 0.0, "assistant", "w"), (4, 2, 1, 0.0, "assistant", "w"),
+    ]
+    df = spark.createDataFrame(nodes, "tree_id long, node_id long, parent_id long, score double, role string, text string")
+    paths = chat_format.format_reply_trees(df.withColumn("leaf_id", F.lit(1)).withColumn("far", F.lit(1)), top=None)
+    read = {(r.tree_id, r.leaf_id): (r.path_rank, r.formatted) for r in paths.collect()}
+    assert read == {
+        (None, 2): (1, "### user: q</turn>\n### assistant: a</turn>\n"),
+        (None, None): (2, "### user: q</turn>\n### assistant: b</turn>\n"),
+        (4, 2): (1, "### user: u</turn>\n### user: v</turn>\n### assistant: w</turn>\n### assistant: w</turn>\n"),
+    }
+
+
+@pytest.mark.parametrize("parents", [{1: 1}, {1: 2, 2: 1}, {1: 2, 2: 1, 3: 2}, {1: 3, 2: 1, 3: 2, 4: 1, 5: 4, 6: None}])
+def test_a_cycle_of_replies_raises(spark, parents):
+    rows = [(1, k, p, 0.0) for k, p in parents.items()]
+    with pytest.raises(ValueError, match="cycle"):
+        chat_format.reply_paths(spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, score double"))
+
+
+def test_paths_equal_a_walk_from_every_leaf(spark):
+    rng = random.Random(9)
+    rows = [(t, k, rng.choice([None, *range(k)]) if k else None, rng.choice([None, 0.25, 1.0, 4.0])) for t in range(12) for k in range(rng.randrange(1, 40))]
+    rows += [(99, k, k - 1 if k else None, 0.5) for k in range(130)]
+    df = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, score double").repartition(3)
+    tree = {(t, k): (p, s or 0.0) for t, k, p, s in rows}
+    parents = {(t, p) for (t, _), (p, _) in tree.items()}
+    expected = set()
+    for t in {r[0] for r in rows}:
+        walks = []
+        for t2, k in tree:
+            if t2 == t and (t, k) not in parents:
+                walk, at = [], k
+                while at is not None:
+                    walk.append(at)
+                    at = tree[t, at][0]
+                walks.append((-sum(tree[t, n][1] for n in walk) / len(walk), k, walk[::-1]))
+        for rank, (_, leaf, walk) in enumerate(sorted(walks)[:2], 1):
+            expected |= {(t, leaf, rank, d, n) for d, n in enumerate(walk)}
+    assert {tuple(r) for r in chat_format.reply_paths(df, top=2).collect()} == expected
+
+
+def test_rows_without_a_conversation_are_one_conversation(spark):
+    rows = [(None, 1, "assistant", "b"), (None, 0, "user", None), (3, 0, "user", "x"), (3, 0, "assistant", "y"), (3, 0, "assistant", "y"), (5, 0, None, "z" * 300_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node_id", F.lit(1))
+    formatted = chat_format.format_reply_trees(chat_format.conversation_nodes(table)).withColumnRenamed("tree_id", "conv_id")
+    got = {r.conv_id: r for r in chat_format.read_digests(formatted, ["conv_id"]).collect()}
+    turns = {None: [("user", ""), ("assistant", "b")], 3: [("assistant", "y"), ("assistant", "y"), ("user", "x")], 5: [("", "z" * 300_000)]}
+    assert got.keys() == turns.keys()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for key, listed in turns.items():
+        lost = "".join(t for r, t in listed if r == "assistant")
+        size = sum(len(f"### {r}: {t}</turn>\n") for r, t in listed)
+        r = got[key]
+        assert (r.n_turns, r.turns_sha256) == (len(listed), sha("".join(f"{a}\n{b}\n" for a, b in listed)))
+        assert (r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(lost), sha(lost), size)
+
+
 # ---------------------------------------------------------------- 10: personal data
 
 
