@@ -98,6 +98,21 @@ class _Benchmark:
         self.seeds, self.owners, self.places = self.seeds[order], self.owners[order], self.places[order]
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
+        # items shorter than a seed, by their length: their whole sequences in order, and whose they are
+        self.short = {}
+        for size in range(1, min_match):
+            owners = np.array([k for k, w in enumerate(self.words) if len(w) == size], np.int64)
+            if len(owners):
+                whole = np.concatenate([rolling(self.words[k], size) for k in owners])
+                order = np.argsort(whole, kind="stable")
+                self.short[size] = whole[order], owners[order]
+
+    def short_in(self, doc: np.ndarray):
+        """(item, words, covered, tiles, longest) of each item shorter than a seed of which ``doc`` has all words in a row."""
+        for size, (whole, owners) in self.short.items():
+            if len(doc) >= size:
+                for k in owners[np.isin(whole, rolling(doc, size))]:
+                    yield self.ids[k], size, size, 1, size
 
     def found_in(self, doc: np.ndarray, coverage: float):
         """(item, words, covered, tiles, longest) for each item of which ``doc`` covers enough."""
@@ -146,24 +161,26 @@ def contaminated(
 ) -> DataFrame:
     """The benchmark items (``item_id, text``) found in each document.
 
-    Returns ``id_col, item_id, item_words, covered_words, n_tiles, longest_tile`` (long) and ``coverage`` (double),
-    one row for each row of ``docs`` and item of which tiles of at least ``min_match`` words cover the share
-    ``coverage``. Null and empty texts, and items of fewer than ``min_match`` words, which are too short to tell,
-    match nothing. Repeated documents or items each give their rows. Other columns are not looked at.
+    Returns ``id_col, item_id, item_words, covered_words, n_tiles, longest_tile, doc_words`` (long) and ``coverage`` (double);
+    an id column with the name of another of these comes as ``doc_<name>``. There is one row for each row of ``docs`` and item of which tiles of at least ``min_match`` words cover the share
+    ``coverage``. An item of fewer than ``min_match`` words is one seed by itself: it is found where all its words follow each
+    other, also inside a longer text, which for one or two words may mean little; ``item_words`` and ``doc_words`` tell. Null and empty texts
+    and items match nothing. Repeated documents or items each give their rows. Other columns are not looked at.
 
     The documents are not shuffled. The benchmark goes to every task in blocks of about ``BLOCK_BYTES``, each in a
     pass of its own over the documents.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    # names of its own inside, as the id may be called like any of the others
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     kind, item_kind = (f.schema[0].dataType.simpleString() for f in (source, items))
-    names = [id_col, "item_id", "item_words", "covered_words", "n_tiles", "longest_tile", "coverage"]
+    names = ["_id", "item_id", "item_words", "covered_words", "n_tiles", "longest_tile", "doc_words", "coverage"]
     schema = (
-        f"`{id_col}` {kind}, item_id {item_kind}, item_words long, covered_words long, n_tiles long, longest_tile long,"
-        " coverage double"
+        f"_id {kind}, item_id {item_kind}, item_words long, covered_words long, n_tiles long, longest_tile long,"
+        " doc_words long, coverage double"
     )
     out = None
     for block in range(blocks):
@@ -182,15 +199,17 @@ def contaminated(
                     runs = rolling(hashes, known.min_match)
                     # rows with a seed at all; the filter also passes runs over two rows, which do no harm
                     at = np.flatnonzero(known.maybe[runs >> np.uint64(64 - _FILTER_BITS)])
-                    for r in np.unique(rows[at]):
-                        for hit in known.found_in(hashes[bounds[r] : bounds[r + 1]], coverage):
-                            found.append((part.column(0)[int(r)].as_py(), *hit, hit[2] / hit[1]))
+                    seeded = np.unique(rows[at])
+                    for r in np.unique(rows) if known.short else seeded:
+                        doc = hashes[bounds[r] : bounds[r + 1]]
+                        for hit in [*known.found_in(doc, coverage), *known.short_in(doc)]:
+                            found.append((part.column(0)[int(r)].as_py(), *hit, len(doc), hit[2] / hit[1]))
                 columns = list(zip(*found)) if found else [[] for _ in names]
-                types = [id_type, None, *[pa.int64()] * 4, pa.float64()]
+                types = [id_type, None, *[pa.int64()] * 5, pa.float64()]
                 arrays = [pa.array(c, t) if t else pa.array(c) for c, t in zip(columns, types)]
                 if found:
                     yield pa.RecordBatch.from_arrays(arrays, names)
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.toDF(f"doc_{id_col}" if id_col in names else id_col, *names[1:])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rowsheaf.llm.components import connected
 from rowsheaf.llm.text import WHITE_SPACE, frequent, rolling, sized, slices, trimmed, utf8_buffer, WordHasher
-from rowsheaf.plans.files import materialise
+from rowsheaf.plans.files import materialise, with_row_ids
 
 # Prefix tokens that two linked sets must share: so many, and one more for each so many tokens of a set.
 SHARED = 3
@@ -230,22 +230,39 @@ def similar_components(
     id_col: str = "doc_id",
     text_col: str = "text",
     common_tokens: int = COMMON_TOKENS,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of at least ``threshold`` (numerator, denominator).
 
     Returns ``id_col, n_shingles, component_id`` (all long) for each row of ``docs``; a component's id is the
     smallest id in it. Words are ASCII lower case, between ASCII white space, of the whole text. A text of fewer
     than ``shingle_words`` words is one shingle; without words or null it has none and links with nothing. Ids
-    are whole numbers and unique; a row with a null id is returned with a null component and links with nothing.
-    Equal texts are one class, whatever their number, and copies are never paired. Other columns are not looked at.
+    are whole numbers. Rows are told apart by where they stand, so rows that repeat an id may be in different
+    components; a row with a null id links others like any row, and a component of such rows only has a null id.
+    ``unique_ids`` says that no id is null or stands for two texts, which saves the numbering. Equal texts are one class, whatever
+    their number, and copies are never paired. Other columns are not looked at.
     """
     numerator, denominator = threshold
     # with less, sets of fewer than SHARED tokens could be linked without being equal
     if not 0.75 <= numerator / denominator <= 1:
         raise ValueError("the threshold must be from 3/4 to 1")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if unique_ids:
+        return _components(source, shingle_words, numerator, denominator, common_tokens).toDF(id_col, "n_shingles", "component_id")
+    numbered = with_row_ids(source.withColumnRenamed("doc_id", "id"), "doc_id")
+    found = _components(numbered.select("doc_id", "text"), shingle_words, numerator, denominator, common_tokens)
+    found = materialise(found.join(numbered.select("doc_id", "id"), "doc_id"), "join-numbered")
+    named = found.groupBy("component_id").agg(F.min("id").alias("smallest"), F.count("*").alias("rows"))
+    named = sized(materialise(named.where("rows > 1").select("component_id", "smallest", F.lit(True).alias("several")), "join-names"))
+    out = found.join(named, "component_id", "left")
+    component = F.when(F.col("several"), F.col("smallest")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n_shingles"), component.alias("component_id"))
+
+
+def _components(source: DataFrame, shingle_words: int, numerator: int, denominator: int, common_tokens: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of ``source`` (``doc_id``, unique and not null, and ``text``)."""
     profiles = materialise(_profiles(source, shingle_words, numerator, denominator, common_tokens), "join-profiles")
-    with_words = profiles.where("n > 0 AND doc_id IS NOT NULL")
+    with_words = profiles.where("n > 0")
     classes = with_words.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialise(classes, "join-classes")
 
@@ -269,8 +286,8 @@ def similar_components(
     classes = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("key_a", "key_b", F.coalesce("component", "rep").alias("component"))
     out = keyed.join(classes, ["key_a", "key_b"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def _groups(tokens: DataFrame) -> DataFrame:

@@ -166,6 +166,61 @@ def test_long_repetitions_hold_each_seed_once(spark):
     assert {(r.doc_id, r.item_id, r.item_words, r.covered_words) for r in rows} == {(0, i, 6 if i % 2 else 8, 6) for i in range(40)}
 
 
+def test_short_items_are_found_whole(spark):
+    texts = ["Who wrote Hamlet, then?", "who wrote it", "before WHO WROTE HAMLET THEN after", "who wrote hamlet", None, "", "yes", "hamlet " * 5]
+    items = [(1, "Who wrote Hamlet then"), (2, "yes"), (3, "yes"), (4, ""), (5, None), (6, "hamlet hamlet")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontamination.contaminated(docs_of(spark, texts).withColumnRenamed("doc_id", "item_id"), bench, id_col="item_id").collect()
+    assert {(r.doc_item_id, r.item_id, r.item_words, r.covered_words, r.doc_words) for r in rows} == {
+        (0, 1, 4, 4, 4), (2, 1, 4, 4, 6), (6, 2, 1, 1, 1), (6, 3, 1, 1, 1), (7, 6, 2, 2, 5)
+    }
+
+
+def _covered_one_by_one(doc, item, least):
+    """Greedy tiling as first written down: the longest common run of unmarked words, one after the other."""
+    free_d, free_i, covered = [True] * len(doc), [True] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and free_d[i + n] and free_i[j + n] and doc[i + n] == item[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return covered
+        for k in range(n):
+            free_d[i + k] = free_i[j + k] = False
+        covered += n
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    items = [[rng.choice(words) for _ in range(rng.randrange(2, 40))] for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            item = rng.choice(items)
+            at = rng.randrange(len(item))
+            text += item[at : at + rng.randrange(1, 30)] + [rng.choice(words) for _ in range(rng.randrange(6))]
+        texts.append(text)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = decontamination.contaminated(docs_of(spark, [" ".join(t) for t in texts]), bench).collect()
+    expected = set()
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            if len(item) < decontamination.MIN_MATCH:
+                if any(text[a : a + len(item)] == item for a in range(len(text))):
+                    expected.add((d, k, len(item)))
+            elif (n := _covered_one_by_one(text, item, decontamination.MIN_MATCH)) >= decontamination.COVERAGE * len(item):
+                expected.add((d, k, n))
+    assert {(r.doc_id, r.item_id, r.covered_words) for r in got} == expected and len(expected) > 30
+
+
 def test_tiles_are_greedy_and_do_not_overlap():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -272,6 +327,21 @@ def test_similarity_join_of_nothing(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == [(0, 0, 0), (1, 0, 1)]
 
 
+def test_join_tells_rows_with_one_id_apart(spark):
+    a, b = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a), (None, "alone here and nowhere else at all"), (None, None), (9, ""), (9, "x" * 2_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(0)).withColumn("id", F.lit("x"))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs).collect())
+    assert got == Counter(
+        [(1, 26, 1), (1, 26, 1), (2, 26, 1), (3, 26, 1), (None, 26, 1), (None, 3, None), (None, 0, None), (9, 0, 9), (9, 1, 9)]
+    )
+    c = " ".join(f"c{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, a), (1, b), (5, b), (0, a), (7, c)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in ngram_join.similar_components(docs).collect()}
+    assert got == {(1, 0), (1, 1), (5, 1), (0, 0), (7, 7)}
+
+
+
 # ---------------------------------------------------------------- 6: byte-level BPE
 
 
