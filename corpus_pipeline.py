@@ -44,8 +44,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents linked by five-word shingles with a similarity of 0.8 or more."""
-    return ngram_join.similar_components(docs, shingle_words=5, threshold=(4, 5), id_col=id_col)
+    """Documents linked by five-word shingles with a similarity of 0.8 or more. Ids are unique here."""
+    return ngram_join.similar_components(docs, shingle_words=5, threshold=(4, 5), id_col=id_col, unique_ids=True)
 
 
 @_stage
@@ -80,10 +80,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_stage
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop rows that hold half of a benchmark item or more, in whatever order."""
+    """Drop rows that hold half of a benchmark item or more, in whatever order. An item too short for a seed of five words
+    must itself be half of the row's text, as a word or two in a long text come there by chance."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     numbered = with_row_ids(docs.select(*COLUMNS), "_row")
-    found = decontamination.contaminated(numbered, benchmark, id_col="_row").select("_row").distinct()
+    found = decontamination.contaminated(numbered, benchmark, id_col="_row")
+    tells = (F.col("item_words") >= decontamination.MIN_MATCH) | (2 * F.col("item_words") >= F.col("doc_words"))
+    found = found.where(tells).select("_row").distinct()
     return numbered.join(sized(materialise(found, "benchmark-rows")), "_row", "left_anti").select(*COLUMNS)
 
 
