@@ -295,6 +295,22 @@ def split_bytes(spark, sf_dir):
     return manifest(split).select("part", F.col("rows").alias("n"), "bytes")
 
 
+@_query(
+    """WITH RECURSIVE l AS (SELECT o_orderkey AS k, strlen(o_orderkey || ',' || o_orderpriority) + 1 AS b FROM orders),
+    s AS (SELECT b, sum(b) OVER (ORDER BY k) AS e FROM l), t AS (SELECT sum(b) AS total FROM l),
+    c AS (SELECT 0 AS part, 0::HUGEINT AS lo, 0::HUGEINT AS hi UNION ALL
+      SELECT part + 1, hi, (SELECT CASE WHEN c.hi + 65536 >= t.total THEN t.total ELSE coalesce((SELECT min(e) FROM s
+        WHERE e > c.hi + 65536 - 1024 AND e <= c.hi + 65536 + 1048576), t.total) END FROM t) FROM c
+      WHERE hi < (SELECT total FROM t))
+    SELECT CAST(part AS INT) AS part, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes
+    FROM c JOIN s ON e > lo AND e <= hi GROUP BY 1"""
+)
+def split_bytes_greedy(spark, sf_dir):
+    """Each part measured from its own first byte, one after the other."""
+    split = split_table(_order_lines(spark, sf_dir), "bytes", 65536, ["o_orderkey"], unique=True, cut="greedy")
+    return manifest(split).select("part", F.col("rows").alias("n"), "bytes")
+
+
 @_query("SELECT CAST(1 AS INT) AS part, count(*) AS n FROM region")
 def split_single(spark, sf_dir):
     split = split_table(_table(spark, sf_dir, "region"), "rows", 4000, ["r_regionkey"])

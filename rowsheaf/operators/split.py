@@ -21,6 +21,7 @@ from rowsheaf.plans.numbering import (
     order_rows,
     refuse_names,
     whole,
+    with_greedy_parts,
     with_grid_parts,
     with_row_numbers,
 )
@@ -37,6 +38,7 @@ PART_COUNT = 10
 BYTES_PER_PART = 100 * 1024 * 1024
 
 METHODS = ("rows", "count", "bytes")
+CUTS = ("grid", "greedy")
 
 # Named files of fewer rows than this share a task.
 ROWS_PER_TASK = 1_000_000
@@ -65,20 +67,28 @@ class SplitResult:
     layout: str  # "files" or "folders"
 
 
-def assign_parts(ordered: Ordered, by: str, n: int) -> Split:
+def assign_parts(ordered: Ordered, by: str, n: int, cut: str = "grid") -> Split:
     """Give every row its part. ``n`` is rows per part, number of parts, or bytes per part.
 
     By bytes the cuts lie on a fixed grid: a row belongs to the part its first byte falls in, so a
-    part exceeds the target by less than one row, and every row finds its part on its own.
+    part exceeds the target by less than one row, and every row finds its part on its own. With ``cut="greedy"`` each
+    part is measured from its own first byte and ends with the first row that ends at ``n`` less 1,024 bytes or later; if none
+    does up to 1 MiB after ``n`` bytes, the part takes all the rest.
     """
     if by not in METHODS:
         raise ValueError(f"unknown split method: {by}")
     if n < 1:
         raise ValueError("a split needs a positive number")
+    if cut not in CUTS or (cut == "greedy" and by != "bytes"):
+        raise ValueError(f"unknown cut for a split by {by}: {cut}")
     total = ordered.total_rows
     if by == "bytes":
         if not ordered.measured:
             raise ValueError("rows were ordered without their bytes")
+        if cut == "greedy":
+            rows, sizes = with_greedy_parts(ordered, n)
+            sizes = materialise(sizes, "greedy-sizes")
+            return Split(rows, sizes, max(sizes.count(), 1), total, ordered.total_bytes)
         rows, sizes = with_grid_parts(ordered, n)
         return Split(rows, sizes, max(-(-ordered.total_bytes // n), 1), total, ordered.total_bytes, gaps=True)
     per_part = n if by == "rows" else max(-(-total // n), 1)
@@ -91,14 +101,20 @@ def assign_parts(ordered: Ordered, by: str, n: int) -> Split:
     return Split(rows, sizes, n_parts, total, ordered.total_bytes)
 
 
-def split_lines(spark: SparkSession, path: str | list[str], by: str, n: int) -> Split:
+def split_lines(spark: SparkSession, path: str | list[str], by: str, n: int, cut: str = "grid") -> Split:
     """Split the physical lines of a CSV file; quoted line ends are not recognised."""
     paths = [path] if isinstance(path, str) else path
-    return assign_parts(order_lines(spark, paths, measured=by == "bytes"), by, n)
+    return assign_parts(order_lines(spark, paths, measured=by == "bytes"), by, n, cut)
 
 
 def split_table(
-    df: DataFrame, by: str, n: int, order_by: list[str | Column], line: Column | None = None, unique: bool = False
+    df: DataFrame,
+    by: str,
+    n: int,
+    order_by: list[str | Column],
+    line: Column | None = None,
+    unique: bool = False,
+    cut: str = "grid",
 ) -> Split:
     """Split the rows of ``df`` in the order of ``order_by``; records stay whole.
 
@@ -107,7 +123,7 @@ def split_table(
     """
     refuse_names(df, {"part"})
     measure = (csv_line(df) if line is None else line) if by == "bytes" else None
-    return assign_parts(order_rows(df, order_by, measure, unique), by, n)
+    return assign_parts(order_rows(df, order_by, measure, unique), by, n, cut)
 
 
 def part_file(prefix: str, part: Column) -> Column:
@@ -212,10 +228,17 @@ def _written(sizes: DataFrame, rows: DataFrame, out: str, prefix: str, layout: s
 
 
 def split_file(
-    spark: SparkSession, path: str, out: str, by: str, n: int, prefix: str = PREFIX, layout: str = "folders"
+    spark: SparkSession,
+    path: str,
+    out: str,
+    by: str,
+    n: int,
+    prefix: str = PREFIX,
+    layout: str = "folders",
+    cut: str = "grid",
 ) -> SplitResult:
     """Split one CSV file by lines into parts that each start with its header."""
-    return write_parts(split_lines(spark, path, by, n), out, header_line(spark, path), prefix, layout=layout)
+    return write_parts(split_lines(spark, path, by, n, cut), out, header_line(spark, path), prefix, layout=layout)
 
 
 def split_table_to_csv(
@@ -227,6 +250,7 @@ def split_table_to_csv(
     prefix: str = PREFIX,
     layout: str = "folders",
     unique: bool = False,
+    cut: str = "grid",
 ) -> SplitResult:
     """Split a table into CSV parts; a record with quoted line ends is never cut."""
     # The line says all about a row; beside it only the order's own columns have to be staged.
@@ -236,5 +260,5 @@ def split_table_to_csv(
         order_by = lines.columns[:-1]
     else:
         lines = df.withColumn("_line", csv_line(df))
-    split = split_table(lines, by, n, order_by, F.col("_line"), unique)
+    split = split_table(lines, by, n, order_by, F.col("_line"), unique, cut)
     return write_parts(split, out, header_text(df.columns), prefix, value="_line", layout=layout)

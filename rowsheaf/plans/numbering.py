@@ -12,6 +12,8 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ START_UNIT = 1024
 
 # Rows of a chunk (as a power of two) whose sizes are summed together; only blocks holding a cut are looked into.
 BLOCK_BITS = 11
+# How much shorter and longer than its target a part may be that is cut greedily, in bytes.
+EARLY = 1024
+LATE = 1024 * 1024
 # Beyond this many parts per chunk on average, every row's offset is worked out instead.
 CUTS_PER_CHUNK = 512
 
@@ -182,7 +187,6 @@ def with_grid_parts(ordered: Ordered, target: int) -> tuple[DataFrame, DataFrame
 
     blocks = _block_offsets(ordered)
     chunks = ordered.starts.drop("start_row", "start_bytes")
-    n_rows = F.sum("rows").alias("rows")
     if ordered.total_bytes > target * CUTS_PER_CHUNK * max(ordered.n_chunks, 1):
         found = _find(ordered.rows, ordered, chunks, ordered.n_chunks, [CHUNK])
         rows = _row_offsets(found, blocks).withColumn("part", cell(F.col("_row_offset"))).drop("_row_offset", KEY)
@@ -195,6 +199,15 @@ def with_grid_parts(ordered: Ordered, target: int) -> tuple[DataFrame, DataFrame
     inside = inside.select(KEY, PLACE, cell(F.col("_row_offset")).alias("part"))
     heads = blocks.select(KEY, F.shiftleft(_BLOCK, BLOCK_BITS).alias(PLACE), first.alias("part"))
     part_starts = heads.unionByName(inside).groupBy(KEY, "part").agg(F.min(PLACE).alias("at"))
+    return _parts_from(ordered, part_starts, n_parts)
+
+
+def _parts_from(ordered: Ordered, part_starts: DataFrame, n_parts: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with :data:`CHUNK` and ``part``, and ``part, rows`` per part.
+
+    ``part_starts`` (``KEY, part, at``): the place of each part's first row in each chunk that it has rows in.
+    """
+    chunks = ordered.starts.drop("start_row", "start_bytes")
     cuts = part_starts.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("_cuts"))
     cuts = materialise(chunks.join(cuts, KEY), "cuts")
     found = _find(ordered.rows, ordered, cuts, ordered.n_chunks + n_parts, [CHUNK, "_cuts"])
@@ -203,10 +216,112 @@ def with_grid_parts(ordered: Ordered, target: int) -> tuple[DataFrame, DataFrame
 
     ends = F.concat(F.slice("_cuts.at", F.lit(2), F.size("_cuts")), F.array("n_rows"))
     lengths = F.transform("_cuts", lambda cut, i: F.struct(cut["part"], (F.get(ends, i) - cut["at"]).alias("rows")))
-    sizes = cuts.select(F.inline(lengths)).groupBy("part").agg(n_rows)
+    sizes = cuts.select(F.inline(lengths)).groupBy("part").agg(F.sum("rows").alias("rows"))
     return rows, sizes
 
 
+def _next_cuts(starts: np.ndarray, at: np.ndarray, target: int, early: int, late: int, total: int) -> np.ndarray:
+    """Where the part that begins at each of ``at`` ends, given the ``starts`` of rows as far as a part can reach."""
+    least = at + max(target - early, 0) + 1
+    places = np.searchsorted(starts, least)
+    found = np.append(starts, total)[places]
+    return np.where((at + target >= total) | (found > at + target + late), total, found)
+
+
+def _number_cells(counts: DataFrame) -> DataFrame:
+    """``_cell, before`` of ``_cell, n``: the sum of ``n`` over all cells before it, within blocks of cells first."""
+    blocked = counts.withColumn("_of", whole(F.col("_cell"), 4096))
+    seen, starts = 0, []
+    for block, n in sorted(blocked.groupBy("_of").agg(F.sum("n")).collect()):
+        starts.append((block, seen))
+        seen += n
+    start = counts.sparkSession.createDataFrame(starts, "_of long, _seen long")
+    before = Window.partitionBy("_of").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("n").over(before), F.lit(0))
+    return blocked.withColumn("_inside", inside).join(F.broadcast(start), "_of").select(
+        "_cell", (F.col("_seen") + F.col("_inside")).alias("before")
+    )
+
+
+def with_greedy_parts(ordered: Ordered, target: int, early: int = EARLY, late: int = LATE) -> tuple[DataFrame, DataFrame]:
+    """Cut one part after the other: at the first line end from ``target - early`` bytes on, counted from the part's own
+    first byte. If none comes up to ``target + late`` bytes, the rest of the rows is one part.
+
+    Gives ``rows`` with :data:`CHUNK` and the 1-based ``part``, and ``part, rows`` per part.
+
+    Each cut depends on the one before, yet none is sought one after the other. Bytes are put into cells as wide as the
+    longest step, so that whatever the cuts before are, the first cut in a run of cells is in its first cell. A
+    task that has a cell and the next says for each row of the cell where a cut there leads to in the next cell. For two
+    runs of cells the one's answers lead into the other's, so joining them gives those of a run twice as long, for half as many
+    rows: all rounds together handle as many as the first. Then the same tables are gone down again, from the cut at 0 to the
+    first cut of every cell. A task holds the rows' starts of two cells, 8 bytes each.
+    """
+    total, width = ordered.total_bytes, target + late
+    starts = _row_offsets(ordered.rows.select(KEY, PLACE, SIZE), _block_offsets(ordered).where("n_bytes > 0"))
+    starts = starts.select(KEY, PLACE, F.col("_row_offset").alias("_at"))
+    starts = materialise(starts.withColumn("_cell", whole(F.col("_at"), width)), "greedy-starts")
+    # the cell itself, and the one before it, which looks ahead
+    seen = starts.select("_at", F.explode(F.array("_cell", F.col("_cell") - 1)).alias("_cell")).where("_cell >= 0")
+
+    def leads(rows: pd.DataFrame) -> pd.DataFrame:
+        cell = int(rows["_cell"].iloc[0])
+        every = np.sort(rows["_at"].to_numpy())
+        own = every[every < (cell + 1) * width]
+        after = _next_cuts(every, own, target, early, late, total)
+        while len(inside := np.flatnonzero(after < min((cell + 1) * width, total))):
+            after[inside] = after[np.searchsorted(own, after[inside])]  # twice as far each time
+        return pd.DataFrame({"_cell": cell, "_at": own, "_to": after})
+
+    first = seen.groupBy("_cell").applyInPandas(leads, "_cell long, _at long, _to long")
+    levels = [materialise(first, "greedy-leads")]
+    n_cells = -(-total // width)
+    while 1 << len(levels) < n_cells:
+        known, run = levels[-1], 1 << (len(levels) - 1)
+        odd = whole(F.col("_cell"), run) % 2 == 1
+        on = known.where(odd).select(F.col("_at").alias("_to"), F.col("_to").alias("_further"))
+        wider = known.where(~odd).join(on, "_to", "left")
+        levels.append(materialise(wider.select("_cell", "_at", F.coalesce("_further", "_to").alias("_to")), "greedy-leads"))
+
+    spark = ordered.rows.sparkSession
+    entries = spark.createDataFrame([(0, 0)] if total else [], "_cell long, _at long")
+    for level in range(len(levels) - 1, -1, -1):
+        halfway = entries.join(levels[level].select("_at", "_to"), "_at").where(F.col("_to") < total)
+        halfway = halfway.select(whole(F.col("_to"), width).alias("_cell"), F.col("_to").alias("_at"))
+        entries = materialise(entries.select("_cell", "_at").unionByName(halfway), "greedy-entries")
+
+    def cut(key, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(entry) and len(rows):
+            rows = rows.sort_values("_at", ignore_index=True)
+            own = rows["_at"].to_numpy()
+            after, at = _next_cuts(own, own, target, early, late, total), int(entry["_at"].iloc[0])
+            while True:
+                place = int(np.searchsorted(own, at))
+                if place == len(own) or own[place] != at:
+                    break
+                found.append(place)
+                at = int(after[place])
+        out = rows.iloc[found][[KEY, PLACE, "_at", "_cell"]].astype("int64")
+        return out.assign(_nth=np.arange(len(out)))
+
+    cuts = starts.groupBy("_cell").cogroup(entries.groupBy("_cell"))
+    cuts = materialise(cuts.applyInPandas(cut, f"{KEY} long, {PLACE} long, _at long, _cell long, _nth long"), "greedy-cuts")
+    n_parts = cuts.count()
+    before = _number_cells(cuts.groupBy("_cell").agg(F.count("*").alias("n")))
+    part = (F.col("before") + F.col("_nth") + 1).cast("int")
+    cuts = materialise(cuts.join(before, "_cell").select(KEY, PLACE, "_at", "_cell", part.alias("part")), "greedy-parts")
+    # a chunk begins in the part of the last cut up to there: of its own cell or, as every cell up to the last cut has
+    # one, of the cell before; beyond, in the last part
+    heads = ordered.starts.select(KEY, "start_bytes").withColumn("_own", whole(F.col("start_bytes"), width))
+    heads = heads.withColumn("_cell", F.explode(F.array("_own", F.col("_own") - 1)))
+    heads = heads.join(cuts.select("_cell", "_at", "part"), "_cell", "left")
+    reached = F.max(F.when(F.col("_at") <= F.col("start_bytes"), F.col("part")))
+    heads = heads.groupBy(KEY).agg(F.coalesce(reached, F.lit(n_parts).cast("int")).alias("part"))
+    heads = heads.select(KEY, F.lit(0).cast("long").alias(PLACE), "part")
+    part_starts = heads.unionByName(cuts.select(KEY, PLACE, "part")).groupBy(KEY, "part").agg(F.min(PLACE).alias("at"))
+    return _parts_from(ordered, part_starts, n_parts)
+
+
 def range_partitions(df: DataFrame) -> int:
     """Enough range partitions to keep one near :data:`RANGE_PARTITION_BYTES`."""
     wanted = math.ceil(estimated_bytes(df) / RANGE_PARTITION_BYTES)

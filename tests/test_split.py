@@ -1,6 +1,8 @@
 import dataclasses
+import itertools
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from conftest import files_in_order
 from rowsheaf import manifest, scan_csv, split_file, split_lines, split_table, split_table_to_csv, write_merged_lines
 from rowsheaf.operators.split import assign_parts
 from rowsheaf.plans import numbering
+from rowsheaf.plans.numbering import with_greedy_parts
 from rowsheaf.sources.lines import order_lines
 
 
@@ -202,3 +205,59 @@ def test_numbers_follow_the_order(spark):
     assert rows.where(F.col("k") + 1 != F.col(numbering.ROW)).count() == 0
     rows = numbering.with_row_numbers(numbering.order_rows(df, [F.col("k").desc()]))
     assert rows.where(3000 - F.col("k") != F.col(numbering.ROW)).count() == 0
+
+
+def _greedy(lines, target, early, late):
+    """Part of each line, by going through the bytes once."""
+    total, at, parts = sum(len(x) + 1 for x in lines), 0, []
+    ends = list(itertools.accumulate(len(x) + 1 for x in lines))
+    cuts = []
+    while at < total:
+        stop = total
+        if at + target < total:
+            stop = next((e for e in ends if e > at + max(target - early, 0)), total)
+            stop = stop if stop <= at + target + late else total
+        cuts.append(stop)
+        at = stop
+    for e in ends:
+        parts.append(next(k for k, c in enumerate(cuts, 1) if e <= c))
+    return parts
+
+
+@pytest.mark.parametrize(("target", "early", "late"), [(1, 4, 30), (64, 4, 30), (13, 0, 9), (1500, 1024, 1 << 20)])
+def test_greedy_cuts_against_plain_python(spark, write, target, early, late):
+    rng = random.Random(early)
+    lines = ["x" * rng.choice([0, 1, 2, 5, 9, 25]) for _ in range(150)]
+    for kind in (lines, [*lines[:100], "y" * 170, *lines[100:]], ["ab"] * 80):
+        path = write(f"g{len(kind)}.csv", "h\n" + "".join(x + "\n" for x in kind))
+        rows, sizes = with_greedy_parts(order_lines(spark, [path], measured=True), target, early, late)
+        expected = Counter(_greedy(kind, target, early, late))
+        assert {r["part"]: r["rows"] for r in sizes.collect()} == expected
+        assert Counter(r["part"] for r in rows.select("part").collect()) == expected
+
+
+def test_greedy_split_of_many_chunks(spark, write, tmp_path):
+    rng = random.Random(5)
+    lines = [f"{i}," + "é" * rng.choice([3, 40, 400]) for i in range(9000)]
+    path = write("many.csv", "h,v\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(300_000))
+    try:
+        split = split_lines(spark, path, "bytes", 200_000, cut="greedy")
+        result = split_file(spark, path, str(tmp_path / "o"), "bytes", 200_000, layout="files", cut="greedy")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    parts = _greedy([x.encode() for x in lines], 200_000, 1024, 1 << 20)
+    expected = Counter(parts)
+    assert len(expected) > 10 and {r["part"]: r["rows"] for r in manifest(split).collect()} == expected
+    texts = files_in_order(result.path)
+    by_part = [[x for x, p in zip(lines, parts) if p == k] for k in sorted(expected)]
+    assert texts == ["h,v\n" + "".join(x + "\n" for x in own) for own in by_part]
+
+
+def test_greedy_cut_of_an_empty_file_and_of_rows(spark, write):
+    empty = write("none.csv", "h\n")
+    assert split_lines(spark, empty, "bytes", 100, cut="greedy").rows.count() == 0
+    for by, cut in (("rows", "greedy"), ("bytes", "other")):
+        with pytest.raises(ValueError, match="cut"):
+            split_lines(spark, empty, by, 5, cut=cut)
