@@ -51,92 +51,91 @@ def _tokenizer(rank_file: str, pattern: str) -> tiktoken.Encoding:
 class Lattice:
     """All segmentations of a string into entries with log probabilities ``scores`` (by bytes).
 
-    Both directions keep no edges but those of a window as long as the longest entry, so a string of many MB needs
-    no more than a number a byte.
+    The entries that end at a place are found by going back from it, so edges needn't be kept: a probability needs a
+    window as long as the longest entry, expected uses two numbers a byte and the edges of ``_KEPT`` bytes at most.
     """
 
+    _KEPT = 4096
+
     _SCORE = -1  # the key of a node's own score; the others are bytes
 
     def __init__(self, scores: dict[bytes, float]):
-        self.root: dict = {}
+        self.root: dict = {}  # entries from their last byte on
         self.reach = max(map(len, scores), default=0)
         for entry, score in scores.items():
             node = self.root
-            for byte in entry:
+            for byte in reversed(entry):
                 node = node.setdefault(byte, {})
             node[self._SCORE] = score
 
-    def _forward(self, word: bytes):
-        """Log of the summed probability of all ways to reach each place, place after place."""
-        root, own, reach = self.root, self._SCORE, self.reach
-        exp, log, never = math.exp, math.log, -math.inf
-        # the terms of the places that an entry can reach from here; a ring, as no entry is longer
-        ring: list[list[float]] = [[] for _ in range(reach + 1)]
-        ring[0].append(0.0)
-        size = reach + 1
-        for i in range(len(word) + 1):
-            terms = ring[i % size]
-            if not terms:
-                yield never
-                continue
-            if len(terms) == 1:
-                at = terms[0]
-            else:
+    def _into(self, word: bytes, j: int) -> list[tuple[int, float]]:
+        """The (start, log probability) of the entries that end at ``j``."""
+        node, own, i, reach = self.root, self._SCORE, j, self.reach
+        edges = []
+        for byte in reversed(word[j - reach if j > reach else 0 : j]):
+            node = node.get(byte)
+            if node is None:
+                break
+            i -= 1
+            if own in node:
+                edges.append((i, node[own]))
+        return edges
+
+    def _forward(self, word: bytes, size: int, found: list | None = None) -> array:
+        """Log of the summed probability of all ways to reach each place, of which the last ``size`` are kept: by place, modulo.
+        ``found`` gets the edges into each place."""
+        exp, log, never, into = math.exp, math.log, -math.inf, self._into
+        alpha = array("d", [0.0]) * size
+        for j in range(1, len(word) + 1):
+            edges = into(word, j)
+            if found is not None:
+                found.append(edges)
+            if len(edges) == 1:
+                i, s = edges[0]
+                alpha[j % size] = alpha[i % size] + s
+            elif edges:
+                terms = [alpha[i % size] + s for i, s in edges]
                 high = max(terms)
-                at = high + log(sum([exp(t - high) for t in terms])) if high > never else high
-            terms.clear()
-            yield at
-            node, j = root, i
-            for byte in word[i : i + reach]:
-                node = node.get(byte)
-                if node is None:
-                    break
-                j += 1
-                if own in node:
-                    ring[j % size].append(at + node[own])
+                alpha[j % size] = high + log(sum([exp(t - high) for t in terms])) if high > never else high
+            else:
+                alpha[j % size] = never
+        return alpha
 
     def log_probability(self, word: bytes, own: float = 0.0) -> float:
         """Over all segmentations; ``own`` is the probability of the whole as one more entry."""
-        last = 0.0
-        for last in self._forward(word):  # noqa: B007
-            pass
-        return float(np.logaddexp(last, math.log(own))) if own > 0 else last
+        size = min(self.reach, len(word)) + 1
+        found = self._forward(word, size)[len(word) % size]
+        if own <= 0:
+            return found
+        low, high = sorted((found, math.log(own)))
+        return high + math.log1p(math.exp(low - high))
 
     def expected(self, word: bytes):
         """How often each entry is expected in a segmentation of ``word``, as (entry, share); an entry may come again.
 
-        Backwards, each place's probability of reaching the end follows from those after it. An edge's share is its
-        own probability, times that of reaching its start, times that from its end on, in the whole.
+        Backwards from the end, an edge's share is its end's share times its part of what reaches that end.
         """
-        root, own, reach = self.root, self._SCORE, self.reach
-        exp, log, never = math.exp, math.log, -math.inf
-        alpha = array("d", self._forward(word))
-        total = alpha[-1]
-        if total == never:
+        exp = math.exp
+        kept = [] if len(word) <= self._KEPT else None
+        alpha = self._forward(word, len(word) + 1, kept)
+        if alpha[-1] == -math.inf:
             return
-        size = reach + 1
-        beta = [never] * size
-        beta[len(word) % size] = 0.0
-        for i in range(len(word) - 1, -1, -1):
-            here, terms = alpha[i] - total, []
-            node, j = root, i
-            for byte in word[i : i + reach]:
-                node = node.get(byte)
-                if node is None:
-                    break
-                j += 1
-                if own in node:
-                    rest = beta[j % size]
-                    if rest > never:
-                        rest += node[own]
-                        terms.append(rest)
-                        if here > never:
-                            yield word[i:j], exp(here + rest)
-            if len(terms) > 1:
-                high = max(terms)
-                beta[i % size] = high + log(sum([exp(t - high) for t in terms])) if high > never else high
-            else:
-                beta[i % size] = terms[0] if terms else never
+        share = array("d", [0.0]) * (len(word) + 1)
+        share[-1] = 1.0
+        for j in range(len(word), 0, -1):
+            at = share[j]
+            if at:
+                edges = kept[j - 1] if kept else self._into(word, j)  # in a longer word they are found again
+                if len(edges) == 1:
+                    i = edges[0][0]
+                    share[i] += at
+                    yield word[i:j], at
+                else:
+                    total = alpha[j]
+                    for i, s in edges:
+                        part = at * exp(alpha[i] + s - total)
+                        share[i] += part
+                        yield word[i:j], part
 
 
 def _word_counts(batches):

@@ -138,6 +138,11 @@ def test_lattice_of_a_very_long_word_keeps_a_window_only():
     for entry, share in lattice.expected(short):
         uses[entry] += share
     assert sum(len(e) * n for e, n in uses.items()) == pytest.approx(len(short))
+    again = Counter()
+    lattice._KEPT = 10
+    for entry, share in lattice.expected(short):
+        again[entry] += share
+    assert again == pytest.approx(uses)
 
 
 # ---------------------------------------------------------------- 2: decontamination
