@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ from rowsheaf import (
     merge_manifest,
     merge_ordered,
     merge_tables,
+    numbered_inventory,
     preview,
     read_export,
     sample_values,
@@ -38,6 +39,7 @@ from rowsheaf import (
     split_lines,
     split_table,
     split_table_to_csv,
+    total_size,
     write_csv,
     write_merged_lines,
     write_merged_table,
@@ -61,7 +63,6 @@ AS_OF = "2024-01-30 12:30:00"
 TESTDATA = "/root/testdata/sf0.001"
 FLAGSHIP = ("o_orderpriority", "2-HIGH")
 EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value"]
-STATUSES = ["P", "F", "O"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -101,12 +102,18 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders_by_status(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Orders as one CSV folder per status, in key order within each."""
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    """Orders as one CSV folder per status (a missing one is blank), in key order within each; the last status comes first."""
+    status = F.concat(F.lit("s"), F.coalesce("o_orderstatus", F.lit("")))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", status.alias("status"))
     out = scratch_dir(spark, "by-status")
-    ordered = orders.repartitionByRange("o_orderstatus", "o_orderkey").sortWithinPartitions("o_orderstatus", "o_orderkey")
-    ordered.write.partitionBy("o_orderstatus").option("header", True).csv(out)
-    return [f"{out}/o_orderstatus={s}" for s in STATUSES]
+    ordered = orders.repartitionByRange("status", "o_orderkey").sortWithinPartitions("status", "o_orderkey")
+    ordered.write.partitionBy("status").option("header", True).csv(out)
+    found = orders.select("status").distinct().orderBy(F.desc("status")).collect()
+    return [f"{out}/status={r['status']}" for r in found]
+
+
+def _status_of(folder: str) -> Column:
+    return F.regexp_replace(folder, "^status=s", "")
 
 
 ROUNDTRIP_SQL = "SELECT event_id, user_id, event_type, value FROM events"
@@ -139,31 +146,54 @@ def row_count(spark, sf_dir):
 
 
 @_query(
-    """SELECT o_orderstatus AS status, CAST(sum(strlen(o_orderkey || ',' || o_orderpriority) + 1) AS BIGINT) AS bytes
-    FROM orders GROUP BY 1""",
+    """SELECT coalesce(o_orderstatus, '') AS status, CAST(sum(strlen(o_orderkey || ',' || o_orderpriority) + 1) AS BIGINT)
+    AS bytes FROM orders GROUP BY 1""",
     name="file_inventory",
 )
 def file_inventory_bytes(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
     line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority")
+    status = F.concat(F.lit("s"), F.coalesce("o_orderstatus", F.lit("")))
     out = scratch_dir(spark, "inventory")
-    orders.select("o_orderstatus", line.alias("line")).write.partitionBy("o_orderstatus").text(out)
-    status = F.regexp_replace("folder", "^o_orderstatus=", "")
-    return file_inventory(spark, [out]).groupBy(status.alias("status")).agg(F.sum("size").alias("bytes"))
+    orders.select(status.alias("status"), line.alias("line")).write.partitionBy("status").text(out)
+    return file_inventory(spark, [out]).groupBy(_status_of("folder").alias("status")).agg(F.sum("size").alias("bytes"))
+
+
+@_query(
+    """WITH f AS (SELECT coalesce(o_orderstatus, '') AS status,
+    CAST(sum(strlen(o_orderkey || ',' || o_orderpriority) + 1) AS BIGINT) AS bytes FROM orders GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY status DESC) AS index, status, bytes FROM f
+    UNION ALL SELECT count(*), 'total', CAST(sum(bytes) AS BIGINT) FROM f"""
+)
+def file_inventory_order(spark, sf_dir):
+    """Files numbered in list order, one per status, and a row for all of them."""
+    status = F.concat(F.lit("s"), F.coalesce("o_orderstatus", F.lit("")))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority")
+    orders = _table(spark, sf_dir, "orders").select(status.alias("status"), line.alias("line"))
+    out = scratch_dir(spark, "inventory-order")
+    orders.repartition("status").write.partitionBy("status").text(out)
+    found = orders.select("status").distinct().orderBy(F.desc("status")).collect()
+    listed = numbered_inventory(spark, [f"{out}/status={r['status']}" for r in found])
+    totals = total_size(listed).select("n_files", F.lit("total"), "total_bytes")
+    return listed.select("index", _status_of("folder").alias("status"), F.col("size").alias("bytes")).union(totals)
 
 
 _ENCODINGS = {"click": "utf-8", "error": "gbk", "purchase": "gb18030", "signup": "utf-16-le", "view": "utf-8-sig"}
 _MARKS = {"click": "编号", "error": "编号", "purchase": "编号🙂", "signup": "编号", "view": "编号"}
+# What other and missing types go with.
+_OTHER_KINDS = "view"
 
 
 def _encoded_events(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Events as one CSV folder per type, each in its own encoding, with a text no ASCII file could hold."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     events = _events(spark, sf_dir)
+    known = F.col("event_type").isin(*[k for k in _ENCODINGS if k != _OTHER_KINDS])
     folders = {}
     for kind, encoding in _ENCODINGS.items():
         charset = {"utf-16-le": "UTF-16LE", "utf-8-sig": "UTF-8"}.get(encoding, encoding.upper())
-        part = events.where(F.col("event_type") == kind).withColumn("mark", F.lit(_MARKS[kind]))
+        inside = ~F.coalesce(known, F.lit(False)) if kind == _OTHER_KINDS else F.col("event_type") == kind
+        part = events.where(inside).withColumn("mark", F.lit(_MARKS[kind]))
         name = "\ufeffevent_id" if encoding in ("utf-8-sig", "utf-16-le") else "event_id"
         folders[kind] = scratch_dir(spark, f"encoded-{kind}")
         writer = part.withColumnRenamed("event_id", name).write.option("encoding", charset).option("header", True)
@@ -172,8 +202,9 @@ def _encoded_events(spark: SparkSession, sf_dir: str) -> dict[str, str]:
 
 
 @_query(
-    """SELECT event_type, CASE event_type WHEN 'click' THEN 'utf-8' WHEN 'error' THEN 'gbk' WHEN 'purchase'
-    THEN 'gb18030' WHEN 'signup' THEN 'utf-16-le' ELSE 'utf-8-sig' END AS encoding FROM events GROUP BY 1""",
+    """SELECT CASE WHEN event_type IN ('click', 'error', 'purchase', 'signup') THEN event_type ELSE 'view' END AS event_type,
+    CASE event_type WHEN 'click' THEN 'utf-8' WHEN 'error' THEN 'gbk' WHEN 'purchase' THEN 'gb18030'
+    WHEN 'signup' THEN 'utf-16-le' ELSE 'utf-8-sig' END AS encoding FROM events GROUP BY 1, 2""",
     name="encoding_profile",
 )
 def encoding_profile_kinds(spark, sf_dir):
@@ -194,6 +225,28 @@ def transcode_gbk(spark, sf_dir):
     return read_export(spark, utf8, schema)
 
 
+@_query(
+    """SELECT event_id || ',' || user_id || ',' || CASE event_type WHEN 'purchase' THEN '编号🙂' ELSE '编号' END AS line,
+    count(*) AS n FROM events GROUP BY 1"""
+)
+def merge_lines_encoded(spark, sf_dir):
+    """Lines of files in five encodings, merged into UTF-8 and cut at the line end of each."""
+    out = scratch_dir(spark, "merged-encoded")
+    write_merged_lines(spark, list(_encoded_events(spark, sf_dir).values()), out, header="none", detect_encoding=True)
+    lines = scan_lines(spark, [out]).select(F.split("value", ",").alias("f"))
+    line = F.concat_ws(",", F.col("f")[0], F.col("f")[1], F.element_at("f", -1))
+    return lines.groupBy(line.alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT CAST(i + 1 AS INT) AS part, least(4000, (SELECT count(*) FROM events) - i * 4000) AS n"
+        " FROM range((SELECT CAST(ceil(count(*) / 4000.0) AS BIGINT) FROM events)) t(i)")
+def split_lines_encoded(spark, sf_dir):
+    """Rows per part over the lines of files in five encodings."""
+    folders = list(_encoded_events(spark, sf_dir).values())
+    split = split_lines(spark, folders, "rows", 4000, encodings=encoding_profile(spark, folders))
+    return split.rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- merge
 
 
@@ -204,7 +257,7 @@ def _events_in_three(spark: SparkSession, sf_dir: str) -> list[str]:
     return [
         _export(events.where("event_type = 'click'"), "merge-a"),
         _export(other_names.where("what IN ('error', 'view')"), "merge-b"),
-        _export(other_names.where("what NOT IN ('click', 'error', 'view')"), "merge-c"),
+        _export(other_names.where("what IS NULL OR what NOT IN ('click', 'error', 'view')"), "merge-c"),
     ]
 
 
@@ -236,7 +289,7 @@ def merge_lines_header(spark, sf_dir):
 
 
 @_query(
-    """SELECT row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, o_orderkey)
+    """SELECT row_number() OVER (ORDER BY coalesce(o_orderstatus, '') DESC, o_orderkey)
     AS row_no, o_orderkey || ',' || o_orderpriority AS line FROM orders""",
     name="merge_ordered",
 )
@@ -245,14 +298,13 @@ def merge_ordered_lines(spark, sf_dir):
 
 
 @_query(
-    """SELECT o_orderstatus AS status, count(*) AS rows,
+    """SELECT coalesce(o_orderstatus, '') AS status, count(*) AS rows,
     CAST(sum(strlen(o_orderkey || ',' || o_orderpriority) + 1) AS BIGINT) AS bytes FROM orders GROUP BY 1""",
     name="merge_manifest",
 )
 def merge_manifest_rows(spark, sf_dir):
     per_file = merge_manifest(spark, _orders_by_status(spark, sf_dir))
-    status = F.regexp_replace("folder", "^o_orderstatus=", "")
-    return per_file.groupBy(status.alias("status")).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    return per_file.groupBy(_status_of("folder").alias("status")).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
 
 
 # ---------------------------------------------------------------- split
@@ -332,14 +384,18 @@ def split_roundtrip(spark, sf_dir):
     return scan_csv(spark, out).select(*EVENT_COLUMNS)
 
 
-@_query("SELECT o_orderkey || ',' || o_orderpriority AS line FROM orders")
+@_query(
+    """WITH l AS (SELECT o_orderkey AS k, o_orderkey || ',' || o_orderpriority AS line FROM orders),
+    s AS (SELECT line, sum(strlen(line) + 1) OVER (ORDER BY k) - strlen(line) - 1 AS off FROM l),
+    p AS (SELECT line, CAST(dense_rank() OVER (ORDER BY off // 65536) AS INT) AS part FROM s)
+    SELECT part, line FROM p UNION ALL SELECT DISTINCT part, 'o_orderkey,o_orderpriority' FROM p"""
+)
 def split_folders(spark, sf_dir):
     """The layout without a shuffle: each part's folder has its header once, in its first file."""
     out = scratch_dir(spark, "folders")
-    path = _export(_order_lines(spark, sf_dir), "to-split")
+    path = _export(_order_lines(spark, sf_dir).orderBy("o_orderkey"), "to-split")
     split_file(spark, path, out, "bytes", 65536, layout="folders")
-    lines = spark.read.option("recursiveFileLookup", True).text(out)
-    return lines.where("value <> 'o_orderkey,o_orderpriority'").select(F.col("value").alias("line"))
+    return spark.read.option("lineSep", "\n").text(out).select("part", F.col("value").alias("line"))
 
 
 @_query(
@@ -358,10 +414,9 @@ def split_records(spark, sf_dir):
 
 
 @_query(
-    """WITH l AS (SELECT o_orderkey, o_orderstatus, o_orderpriority,
-    CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS f,
+    """WITH l AS (SELECT o_orderkey, coalesce(o_orderstatus, '') AS f,
     strlen(o_orderkey || ',' || o_orderpriority) + 1 AS b FROM orders),
-    s AS (SELECT b, sum(b) OVER (ORDER BY f, o_orderkey) - b AS off FROM l)
+    s AS (SELECT b, sum(b) OVER (ORDER BY f DESC, o_orderkey) - b AS off FROM l)
     SELECT CAST(off // 65536 + 1 AS INT) AS part, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM s GROUP BY 1"""
 )
 def split_lines_bytes(spark, sf_dir):

@@ -26,7 +26,7 @@ from rowsheaf.plans.files import drop_scratch
 from rowsheaf.session import build_session
 from rowsheaf.sinks.csv import read_export, write_csv
 from rowsheaf.sources.encoding import encoding_profile, group_by_encoding, scan_encoded
-from rowsheaf.sources.inventory import file_inventory
+from rowsheaf.sources.inventory import file_inventory, numbered_inventory, total_size
 from rowsheaf.sources.lines import count_lines, scan_lines
 from rowsheaf.sources.records import scan_csv_records, scan_records
 from rowsheaf.sources.tables import count_rows, infer_types, preview, scan_csv
@@ -55,6 +55,7 @@ __all__ = [
     "merge_ordered",
     "merge_tables",
     "name_mapping",
+    "numbered_inventory",
     "preview",
     "read_export",
     "sample_values",
@@ -67,6 +68,7 @@ __all__ = [
     "split_lines",
     "split_table",
     "split_table_to_csv",
+    "total_size",
     "write_csv",
     "write_merged_lines",
     "write_merged_table",

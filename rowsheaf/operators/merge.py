@@ -21,7 +21,8 @@ from rowsheaf.plans.files import (
 )
 from rowsheaf.plans.numbering import BROADCAST_ROWS, CHUNK, CHUNK_BASE, ROW, place_in_task, with_row_numbers
 from rowsheaf.sinks.csv import write_csv
-from rowsheaf.sources.encoding import SPARK_CHARSETS, encoding_profile, group_by_encoding, scan_encoded
+from rowsheaf.sources.charsets import SPARK_CHARSETS
+from rowsheaf.sources.encoding import encoding_profile, group_by_encoding, scan_encoded
 from rowsheaf.sources.lines import (
     file_key,
     first_data_line,
@@ -73,21 +74,29 @@ def merge_tables(
     return scan_encoded(spark, groups, schema, sep=sep, header=header)
 
 
-def merge_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All lines of the files but their headers, byte for byte, with their place in the input order."""
-    return scan_lines(spark, paths).where(~F.col("is_header"))
+def merge_lines(spark: SparkSession, paths: list[str], detect_encoding: bool = False) -> DataFrame:
+    """All lines of the files but their headers, with their place in the input order.
+
+    Byte for byte, cut at 0x0A, or, with ``detect_encoding``, cut and decoded by the encoding found for each file.
+    """
+    return _data_lines(spark, paths, encoding_profile(spark, paths) if detect_encoding else None)
+
+
+def _data_lines(spark: SparkSession, paths: list[str], encodings: DataFrame | None) -> DataFrame:
+    return scan_lines(spark, paths, encodings=encodings).where(~F.col("is_header"))
 
 
-def merge_ordered(spark: SparkSession, paths: list[str]) -> DataFrame:
+def merge_ordered(spark: SparkSession, paths: list[str], detect_encoding: bool = False) -> DataFrame:
     """``row_no, value``: the data lines with their global number, list order, then file order."""
-    rows = with_row_numbers(order_lines(spark, paths, measured=False))
+    encodings = encoding_profile(spark, paths) if detect_encoding else None
+    rows = with_row_numbers(order_lines(spark, paths, measured=False, encodings=encodings))
     return rows.select(F.col(ROW).alias("row_no"), "value")
 
 
-def merge_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file_idx, folder, name, rows, bytes`` per input file, header line not counted."""
+def merge_manifest(spark: SparkSession, paths: list[str], detect_encoding: bool = False) -> DataFrame:
+    """``file_idx, folder, name, rows, bytes`` per input file, header line not counted; bytes are those of the merged lines."""
     listed = list_inputs(spark, paths)
-    per_file = merge_lines(spark, listed).groupBy("file").agg(
+    per_file = merge_lines(spark, listed, detect_encoding).groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value") + 1).alias("bytes")
     )
     named = [(i, file_uri(spark, f), plain_path(f)) for i, f in enumerate(listed)]
@@ -110,7 +119,13 @@ def _refuse_own_input(spark: SparkSession, files: list[str], out: str) -> None:
 
 
 def write_merged_lines(
-    spark: SparkSession, paths: list[str], out: str, header: str = "each", ordered: bool = True, compact: bool = False
+    spark: SparkSession,
+    paths: list[str],
+    out: str,
+    header: str = "each",
+    ordered: bool = True,
+    compact: bool = False,
+    detect_encoding: bool = False,
 ) -> MergeResult:
     """Merge line by line into a folder whose files, taken by path, are in input order.
 
@@ -119,15 +134,17 @@ def write_merged_lines(
     such folders, and no order. With ``compact``, for many small files, lines are brought together by a
     range shuffle over their places into ordered files of the usual size. ``header="each"`` starts every
     file with the first input's header, so that the folder reads as CSV; ``"first"`` has it once, so that
-    the concatenated files are the merged file; ``"none"`` drops it.
+    the concatenated files are the merged file; ``"none"`` drops it. With ``detect_encoding`` the output is UTF-8, whatever
+    each input is in; without, bytes are kept, and files in UTF-16 must not be given.
     """
     if header not in HEADERS:
         raise ValueError(f"unknown header mode: {header}")
     started = time.monotonic()
     files = list_inputs(spark, paths)
     _refuse_own_input(spark, files, out)
-    head = header_line(spark, files[0]) if header != "none" else None
-    rows = merge_lines(spark, files)
+    encodings = encoding_profile(spark, files) if detect_encoding else None
+    head = header_line(spark, files[0], encodings) if header != "none" else None
+    rows = _data_lines(spark, files, encodings)
     # The first data line of a split; one split is one output file.
     first = F.col("line_no") == first_data_line()
     if ordered or compact:

@@ -26,6 +26,7 @@ from rowsheaf.plans.numbering import (
     with_row_numbers,
 )
 from rowsheaf.sinks.csv import csv_line, header_text
+from rowsheaf.sources.encoding import encoding_profile
 from rowsheaf.sources.inventory import file_inventory
 from rowsheaf.sources.lines import header_line, order_lines
 from rowsheaf.sources.tables import quoted
@@ -101,10 +102,12 @@ def assign_parts(ordered: Ordered, by: str, n: int, cut: str = "grid") -> Split:
     return Split(rows, sizes, n_parts, total, ordered.total_bytes)
 
 
-def split_lines(spark: SparkSession, path: str | list[str], by: str, n: int, cut: str = "grid") -> Split:
-    """Split the physical lines of a CSV file; quoted line ends are not recognised."""
+def split_lines(
+    spark: SparkSession, path: str | list[str], by: str, n: int, cut: str = "grid", encodings: DataFrame | None = None
+) -> Split:
+    """Split the physical lines of a CSV file; quoted line ends are not recognised. ``encodings`` is as in ``scan_lines``."""
     paths = [path] if isinstance(path, str) else path
-    return assign_parts(order_lines(spark, paths, measured=by == "bytes"), by, n, cut)
+    return assign_parts(order_lines(spark, paths, by == "bytes", encodings), by, n, cut)
 
 
 def split_table(
@@ -236,9 +239,15 @@ def split_file(
     prefix: str = PREFIX,
     layout: str = "folders",
     cut: str = "grid",
+    detect_encoding: bool = False,
 ) -> SplitResult:
-    """Split one CSV file by lines into parts that each start with its header."""
-    return write_parts(split_lines(spark, path, by, n, cut), out, header_line(spark, path), prefix, layout=layout)
+    """Split one CSV file by lines into parts that each start with its header.
+
+    Parts have the bytes of the input, or, with ``detect_encoding``, are UTF-8 whatever the input is in, and measured so.
+    """
+    encodings = encoding_profile(spark, [path]) if detect_encoding else None
+    split = split_lines(spark, path, by, n, cut, encodings)
+    return write_parts(split, out, header_line(spark, path, encodings), prefix, layout=layout)
 
 
 def split_table_to_csv(

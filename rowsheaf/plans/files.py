@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,17 @@ def hadoop_path(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jvm_path
 
 
+def private_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session like ``spark`` with ``settings`` of its own; tables made in either can be joined."""
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            session.conf.set(key, value)
+    for key, value in settings.items():
+        session.conf.set(key, value)
+    return session
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = hadoop_path(spark, path)
     return fs.exists(p)
@@ -52,6 +63,11 @@ def comparable_uri(path: str) -> str:
     return "file:///" + path[len("file:") :].lstrip("/") if path.startswith("file:/") else path
 
 
+def spark_uri(file: Column) -> Column:
+    """A file's name as a scan gives it, spelt as by :func:`file_uri`."""
+    return F.regexp_replace(file, "^file:/+", "file:///")
+
+
 def _literal(path: str) -> str:
     return re.sub(_PATTERN_CHARACTERS, r"\\\g<0>", path)
 
@@ -172,8 +188,7 @@ def with_row_ids(df: DataFrame, name: str) -> DataFrame:
         return with_row_ids(materialise(df, "numbered"), name)
     files = sorted(comparable_uri(f) for f in df.inputFiles())
     numbers = spark.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_uri string, _base long")
-    uri = F.regexp_replace("_path", "^file:/+", "file:///")
-    found = source.join(F.broadcast(numbers), uri == F.col("_uri"), "left")
+    found = source.join(F.broadcast(numbers), spark_uri(F.col("_path")) == F.col("_uri"), "left")
     number = F.coalesce(F.col("_base"), F.raise_error(F.lit("a file isn't in the table's list")).cast("long")) + F.col(name)
     return found.withColumn(name, number).drop("_path", "_uri", "_base")
 

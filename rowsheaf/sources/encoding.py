@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsheaf.plans.files import file_uri, list_inputs, materialise
+from rowsheaf.plans.files import file_uri, list_inputs, materialise, spark_uri
+from rowsheaf.sources.charsets import SPARK_CHARSETS, coding_session, fits
 from rowsheaf.sources.lines import raw_lines
 from rowsheaf.sources.tables import scan_csv
 
@@ -24,49 +24,32 @@ UTF8_BOM_BYTES = 3
 STRICT_ENCODINGS = ["utf-8", "gbk", "gb18030", "latin-1"]
 
 COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
-
-SPARK_CHARSETS = {
-    "utf-8": "UTF-8",
-    "utf-8-sig": "UTF-8",
-    "utf-16-le": "UTF-16LE",
-    "utf-16-be": "UTF-16BE",
-    "gbk": "GBK",
-    "gb18030": "GB18030",
-    "latin-1": "ISO-8859-1",
-}
-
-
-def _decodes(encoding: str):
-    @F.pandas_udf("boolean")
-    def fits(lines: pd.Series) -> pd.Series:
-        def strict(raw: bytes) -> bool:
-            try:
-                raw.decode(encoding)
-            except UnicodeDecodeError:
-                return False
-            return True
-
-        return lines.map(strict)
-
-    return fits
+# A bit for each but the last, in their order.
+UTF8_BIT, GBK_BIT, GB18030_BIT = 1, 2, 4
 
 
 def encoding_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, encoding`` of every file.
+    """``path, encoding`` of every file, by one pass over all files and one row per file after it.
 
-    One JVM-only pass settles byte order marks and UTF-8. Only files that are neither are read again
-    for the multi-byte decoders, and only their lines beyond ASCII are handed to Python.
+    A line says which encodings it fits, as the bits of a number; a file's are those that all its lines have. Lines of
+    ASCII fit all, so that only the others are decoded.
     """
     files = list_inputs(spark, paths)
-    uri = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///").alias("uri")
+    session = coding_session(spark)
+    uri = spark_uri(F.col("_metadata.file_path")).alias("uri")
     raw = F.col("value").cast("binary")
     head = F.lower(F.hex(F.substring(raw, 1, 3)))
     marked = F.lit(None).cast("string")
     for mark, encoding in reversed(BOM_ENCODINGS):
         marked = F.when(head.startswith(mark), encoding).otherwise(marked)
-    lines = raw_lines(spark, files).select(
+    utf8 = F.is_valid_utf8("value")
+    ascii_only = utf8 & (F.octet_length("value") == F.char_length("value"))
+    # What fits GBK also fits GB18030.
+    gb = F.when(fits(raw, "GBK"), GBK_BIT | GB18030_BIT).when(fits(raw, "GB18030"), GB18030_BIT).otherwise(0)
+    bits = F.when(utf8, UTF8_BIT).otherwise(0).bitwiseOR(gb)
+    lines = raw_lines(session, files).select(
         uri,
-        F.is_valid_utf8("value").alias("utf8"),
+        F.when(ascii_only, UTF8_BIT | GBK_BIT | GB18030_BIT).otherwise(bits).alias("bits"),
         (F.octet_length("value") + F.lit(1)).cast("long").alias("n_bytes"),
         F.col("_metadata.file_size").alias("size"),
         # A mark counts only at the very start of a file: the first line of its first split.
@@ -75,7 +58,7 @@ def encoding_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
         (F.col("_metadata.file_block_start") == 0).alias("first_split"),
     )
     first = lines.groupBy("uri").agg(
-        F.bool_and("utf8").alias("utf8"),
+        F.bit_and("bits").alias("bits"),
         (F.max("size") - F.sum("n_bytes")).alias("unread"),
         F.min(F.when(F.col("first_split"), F.struct("pos", "mark"))).alias("top"),
     )
@@ -83,25 +66,14 @@ def encoding_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
     # line without its end counts one byte too many.
     plain = ~F.col("path").rlike(COMPRESSED)
     skipped_mark = plain & F.col("unread").isin(UTF8_BOM_BYTES, UTF8_BOM_BYTES - 1)
-    found = F.coalesce(F.when(skipped_mark, "utf-8-sig"), F.col("top.mark"), F.when(F.coalesce("utf8", F.lit(True)), "utf-8"))
-    listed = spark.createDataFrame([(f, file_uri(spark, f)) for f in files], "path string, uri string")
+    found = F.when(skipped_mark, "utf-8-sig").when(F.col("top.mark").isNotNull(), F.col("top.mark"))
     # An empty file has no line to judge by; it counts as UTF-8.
-    settled = materialise(listed.join(first, "uri", "left").select("path", "uri", found.alias("encoding")), "encodings")
-    # The driver already holds the list of files; this is the part of it still open.
-    open_files = [r["path"] for r in settled.where("encoding IS NULL").select("path").collect()]
-    done = settled.where("encoding IS NOT NULL").select("path", "encoding")
-    if not open_files:
-        return done
-    beyond_ascii = raw_lines(spark, open_files).where(~F.is_valid_utf8("value") | F.col("value").rlike(r"[^\x00-\x7f]"))
-    tests = beyond_ascii.select(
-        uri, *[_decodes(e)(F.col("value").cast("binary")).alias(e) for e in STRICT_ENCODINGS[1:-1]]
-    )
-    fits = tests.groupBy("uri").agg(*[F.bool_and(F.col(f"`{e}`")).alias(e) for e in STRICT_ENCODINGS[1:-1]])
-    choice = F.lit(STRICT_ENCODINGS[-1])  # accepts every byte
-    for e in reversed(STRICT_ENCODINGS[1:-1]):
-        choice = F.when(F.col(f"`{e}`"), e).otherwise(choice)
-    decided = settled.where("encoding IS NULL").drop("encoding").join(fits.withColumn("encoding", choice), "uri")
-    return done.unionByName(decided.select("path", "encoding"))
+    found = found.when(F.col("bits").isNull(), STRICT_ENCODINGS[0])
+    for i, encoding in enumerate(STRICT_ENCODINGS[:-1]):
+        found = found.when(F.col("bits").bitwiseAND(1 << i) != 0, encoding)
+    listed = session.createDataFrame([(f, file_uri(spark, f)) for f in files], "path string, uri string")
+    encoding = found.otherwise(STRICT_ENCODINGS[-1])  # accepts every byte
+    return materialise(listed.join(first, "uri", "left").select("path", encoding.alias("encoding")), "encodings")
 
 
 def scan_encoded(

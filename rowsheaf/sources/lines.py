@@ -1,11 +1,13 @@
-"""Physical-line scan: every line feed ends a row, no field is parsed, bytes are kept as they are."""
+"""Physical-line scan: every line feed ends a row, no field is parsed, bytes are kept as they are unless an encoding is given."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsheaf.plans.files import estimated_bytes, file_uri, list_inputs, size_setting
+from rowsheaf.plans.files import estimated_bytes, file_uri, list_inputs, private_session, size_setting, spark_uri
 from rowsheaf.plans.numbering import (
     CHUNK,
     CHUNK_BASE,
@@ -20,15 +22,25 @@ from rowsheaf.plans.numbering import (
     place_in_task,
     whole,
 )
+from rowsheaf.sources.charsets import CODING_SETTINGS, SPARK_CHARSETS, WIDE, charset_of, decoded
+from rowsheaf.sources.tables import BOM
 
 LINE_END = "\n"
 MIN_SPLIT_BYTES = 4 << 20
 TASKS_PER_CORE = 2
+# Tasks of several scans of one table are told apart by their scan's number times this.
+TASKS_PER_SCAN = 1 << 40
+
 
+def raw_lines(spark: SparkSession, paths: str | list[str], charset: str | None = None) -> DataFrame:
+    """One ``value`` per physical line; a carriage return stays in the value.
 
-def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One ``value`` per physical line; a carriage return stays in the value."""
-    return spark.read.option("lineSep", LINE_END).text([paths] if isinstance(paths, str) else paths)
+    Lines are cut at the line feed of ``charset``, but the value is the line's bytes as they are.
+    """
+    reader = spark.read.option("lineSep", LINE_END)
+    if charset:
+        reader = reader.option("encoding", charset)
+    return reader.text([paths] if isinstance(paths, str) else paths)
 
 
 def _one_split_per_task(spark: SparkSession, files: list[str], split_bytes: int | None = None) -> SparkSession:
@@ -37,10 +49,7 @@ def _one_split_per_task(spark: SparkSession, files: list[str], split_bytes: int
     A scan keeps the settings of the session it was made in, so every pass over the same lines sees the
     same splits even if cores come and go, and a row's place in its task is its place in its split.
     """
-    session = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
-            session.conf.set(key, value)
+    session = private_session(spark, CODING_SETTINGS)
     largest = size_setting(spark, "spark.sql.files.maxPartitionBytes")
     even = estimated_bytes(raw_lines(spark, files)) // (spark.sparkContext.defaultParallelism * TASKS_PER_CORE)
     size = max(min(largest, even), min(MIN_SPLIT_BYTES, largest), START_UNIT) // START_UNIT * START_UNIT
@@ -51,16 +60,9 @@ def _one_split_per_task(spark: SparkSession, files: list[str], split_bytes: int
     return session
 
 
-def scan_lines(spark: SparkSession, paths: list[str], split_bytes: int | None = None) -> DataFrame:
-    """All lines of the files with their place.
-
-    Columns: ``task`` (number of the task, which has one file split), ``file`` and ``block_start`` (that
-    split), ``line_no`` (0-based place of the line in it), ``is_header`` (first line of a file), ``value``.
-    ``split_bytes``, whole KB, sets the size of a split.
-    """
-    files = list_inputs(spark, paths)
-    lines = raw_lines(_one_split_per_task(spark, files, split_bytes), files).select(
-        F.spark_partition_id().cast("long").alias("task"),
+def _placed(lines: DataFrame, scan: int = 0) -> DataFrame:
+    lines = lines.select(
+        (F.spark_partition_id().cast("long") + F.lit(scan * TASKS_PER_SCAN)).alias("task"),
         F.input_file_name().alias("file"),
         F.input_file_block_start().alias("block_start"),
         place_in_task().alias("line_no"),
@@ -70,6 +72,52 @@ def scan_lines(spark: SparkSession, paths: list[str], split_bytes: int | None =
     return lines.select("task", "file", "block_start", "line_no", first.alias("is_header"), "value")
 
 
+def _decoded_lines(session: SparkSession, files: list[str], encodings: DataFrame) -> DataFrame:
+    """Lines of files in several encodings, as text without byte order marks.
+
+    One scan for each kind of line end, three at most: the encodings whose line feed is one byte share a scan, in
+    which a row finds its file's encoding by a join with the list of files.
+    """
+    wide = {r["path"]: r["encoding"] for r in encodings.where(F.col("encoding").isin(*WIDE)).collect()}
+    value, raw = F.col("value"), F.col("value").cast("binary")
+    scans = []
+    narrow = [f for f in files if f not in wide]
+    if narrow:
+        uris = session.createDataFrame([(f, file_uri(session, f)) for f in narrow], "path string, _uri string")
+        known = uris.join(encodings, "path").select("_uri", charset_of(F.col("encoding")).alias("_charset"))
+        here = spark_uri(F.col("file")) == F.col("_uri")
+        found = _placed(raw_lines(session, narrow)).join(broadcast_if(known, len(narrow)), here, "left")
+        charset = F.coalesce("_charset", F.raise_error(F.lit("a file without an encoding")))
+        text = F.when(charset == "UTF-8", value).otherwise(decoded(raw, charset))
+        scans.append(found.withColumn("value", text).drop("_uri", "_charset"))
+    for i, encoding in enumerate(WIDE, 1):
+        inside = [f for f in files if wide.get(f) == encoding]
+        if inside:
+            charset = SPARK_CHARSETS[encoding]
+            lines = _placed(raw_lines(session, inside, charset), i)
+            # Half a character at an end: the two bytes of the line feed were of two characters.
+            torn = F.raise_error(F.concat(F.lit("characters that look like a line end in "), F.col("file")))
+            text = F.when(F.octet_length("value") % 2 == 0, decoded(raw, charset)).otherwise(torn)
+            text = F.when(F.col("is_header"), F.regexp_replace(text, "^" + BOM, "")).otherwise(text)
+            scans.append(lines.withColumn("value", text))
+    return reduce(DataFrame.unionByName, scans)
+
+
+def scan_lines(
+    spark: SparkSession, paths: list[str], split_bytes: int | None = None, encodings: DataFrame | None = None
+) -> DataFrame:
+    """All lines of the files with their place.
+
+    Columns: ``task`` (number of the task, which has one file split), ``file`` and ``block_start`` (that
+    split), ``line_no`` (0-based place of the line in it), ``is_header`` (first line of a file), ``value``.
+    ``split_bytes``, whole KB, sets the size of a split. With ``encodings``, the ``path, encoding`` of every
+    file, lines are cut and decoded by them; without, they are cut at the byte 0x0A and kept as they are.
+    """
+    files = list_inputs(spark, paths)
+    session = _one_split_per_task(spark, files, split_bytes)
+    return _placed(raw_lines(session, files)) if encodings is None else _decoded_lines(session, files, encodings)
+
+
 def first_data_line() -> Column:
     """0-based place of the first data line of a split."""
     return F.when(F.col("block_start") == 0, 1).otherwise(0)
@@ -90,24 +138,28 @@ def with_chunk_numbers(splits: DataFrame, files: list[str]) -> DataFrame:
     return splits.join(broadcast_if(order, len(files)), "file_key").withColumn(CHUNK, chunk).drop("file_idx")
 
 
-def order_lines(spark: SparkSession, paths: list[str], measured: bool = True) -> Ordered:
+def order_lines(
+    spark: SparkSession, paths: list[str], measured: bool = True, encodings: DataFrame | None = None
+) -> Ordered:
     """The data lines of the files (headers left out) in list order, then file order.
 
     Two scans of the text in the end: one for the totals of every split, one for the rows. A row whose
-    split is not the one its task was seen with raises.
+    split is not the one its task was seen with raises. ``encodings`` is as in :func:`scan_lines`; sizes are those of UTF-8.
     """
     files = list_inputs(spark, paths)
     place = (F.col("line_no") - first_data_line()).alias(PLACE)
     columns = [F.col("task").alias(KEY), place, file_key().alias("file_key"), "block_start"]
     if measured:
         columns.append((F.octet_length("value") + 1).cast("long").alias(SIZE))
-    lines = scan_lines(spark, files).where(~F.col("is_header")).select(*columns, "value")
+    lines = scan_lines(spark, files, encodings=encodings).where(~F.col("is_header")).select(*columns, "value")
     return order_chunks(lines, measured, ["file_key", "block_start"], lambda splits: with_chunk_numbers(splits, files))
 
 
-def header_line(spark: SparkSession, path: str) -> str | None:
+def header_line(spark: SparkSession, path: str, encodings: DataFrame | None = None) -> str | None:
     """First line of the first file of ``path``, ``None`` when it is empty."""
-    rows = raw_lines(spark, list_inputs(spark, [path])[:1]).limit(1).collect()
+    first = list_inputs(spark, [path])[:1]
+    lines = raw_lines(spark, first) if encodings is None else scan_lines(spark, first, encodings=encodings)
+    rows = lines.limit(1).select("value").collect()
     return rows[0]["value"] if rows else None
 
 

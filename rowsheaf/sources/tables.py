@@ -48,23 +48,39 @@ def text_schema(names: list[str]) -> T.StructType:
 def infer_types(df: DataFrame, sample_rows: int | None = None) -> T.StructType:
     """Types of an all-text table from every row, by one aggregate, or from the first ``sample_rows``.
 
-    NULL fits every type; a column of NULLs only is text, and so is a time of day.
+    NULL fits every type; a column of NULLs only is text, and so is a time of day. A cell says what it fits as the bits of
+    a number, and a column's types are the bits that all its cells have.
     """
     # A limit inside a plan runs every task; taking the first rows reads as few splits as it needs.
     sample = df if sample_rows is None else df.sparkSession.createDataFrame(df.take(sample_rows), df.schema)
-    tests = []
-    for i, name in enumerate(df.columns):
-        c = F.col(f"`{name.replace('`', '``')}`")
-        fits = [F.bool_and(c.rlike(regex) & c.try_cast(to).isNotNull()) for _, regex, to in _TYPE_TESTS]
-        tests.append(F.array(*[F.coalesce(f, F.lit(False)) for f in fits]).alias(f"c{i}"))
-    found = sample.agg(*tests).first()
+    found = sample.agg(*[F.bit_and(_type_bits(quoted(name))).alias(f"c{i}") for i, name in enumerate(df.columns)]).first()
     fields = []
-    for name, fits in zip(df.columns, found):
-        types = [dtype for (dtype, _, _), fit in zip(_TYPE_TESTS, fits) if fit]
+    for name, bits in zip(df.columns, found):
+        types = [dtype for i, (dtype, _, _) in enumerate(_TYPE_TESTS) if (bits or 0) >> i & 1]
         fields.append(T.StructField(name, types[0] if types else T.StringType()))
     return T.StructType(fields)
 
 
+def _type_bits(c: Column) -> Column:
+    """The types of :data:`_TYPE_TESTS` that a cell fits, as bits; NULL for NULL.
+
+    Whole numbers are decimal numbers too; otherwise a cell fits one type at most, and its first character tells which
+    of them to try. Most text is told by that alone.
+    """
+
+    def fits(i: int) -> Column:
+        _, regex, to = _TYPE_TESTS[i]
+        return c.rlike(regex) & c.try_cast(to).isNotNull()
+
+    whole, number, truth, day, instant = range(len(_TYPE_TESTS))
+    first = F.substring(c, 1, 1)
+    digits = F.when(fits(whole), F.when(fits(number), 1 << whole | 1 << number).otherwise(1 << whole))
+    digits = digits.when(fits(number), 1 << number).when(fits(day), 1 << day).when(fits(instant), 1 << instant)
+    bits = F.when(first.between("0", "9") | first.isin("+", "-", "."), digits.otherwise(0))
+    bits = bits.when(first.isin(*"tTfF"), F.when(fits(truth), 1 << truth).otherwise(0))
+    return F.when(c.isNotNull(), bits.otherwise(0))
+
+
 def scan_csv(
     spark: SparkSession,
     path: str | list[str],

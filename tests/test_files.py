@@ -1,6 +1,8 @@
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import files_in_order
 from rowsheaf import (
@@ -15,14 +17,18 @@ from rowsheaf import (
     merge_ordered,
     merge_tables,
     name_mapping,
+    numbered_inventory,
     sample_values,
     scan_csv,
     scan_lines,
+    split_file,
+    total_size,
     write_csv,
     write_merged_lines,
     write_merged_table,
 )
 from rowsheaf.plans.files import list_inputs
+from rowsheaf.sources.charsets import coding_session, fits
 
 
 def _values(df):
@@ -246,6 +252,68 @@ def test_merge_mixed_encodings(spark, write):
     assert sorted(rows) == sorted([("1", "张三"), ("2", "李四")] * len(names))
 
 
+def test_lines_of_five_encodings(spark, write, tmp_path):
+    """Merged and split by lines, files are cut at the line end of their encoding and decoded."""
+    names = ("gbk", "utf-16-le", "gb18030", "utf-16-be", "utf-8-sig", "latin-1")
+    paths = [write(f"mix_{n}.csv", BYTES[n]) for n in names]
+    expected = [line for n in names for line in _decoded(n).splitlines()[1:]]
+    found = merge_ordered(spark, paths, detect_encoding=True).orderBy("row_no").collect()
+    assert [r["value"] for r in found] == expected
+    out = str(tmp_path / "merged")
+    write_merged_lines(spark, paths, out, header="first", detect_encoding=True)
+    assert "".join(files_in_order(out)) == "\n".join([_decoded("gbk").splitlines()[0], *expected, ""])
+    listed = merge_manifest(spark, paths, detect_encoding=True).orderBy("file_idx").collect()
+    assert [r["rows"] for r in listed] == [2, 2, 2, 2, 2, 1]
+
+
+def _decoded(name):
+    return BYTES[name].decode(name).removeprefix("\ufeff")
+
+
+@pytest.mark.parametrize("name", ["utf-16-le", "utf-16-be", "gb18030"])
+def test_encoded_lines_over_many_splits(spark, write, tmp_path, name):
+    """Splits begin anywhere in a character or a line end."""
+    text = "编号\n" + "".join(f"{i},{'名' * (i % 7)}🙂\r\n" for i in range(3000))
+    mark = {"utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}.get(name, b"")
+    path = write("many.csv", mark + text.encode(name))
+    encodings = encoding_profile(spark, [path])
+    lines = scan_lines(spark, [path], 1024, encodings).orderBy("block_start", "line_no").collect()
+    assert "".join(r["value"] + "\n" for r in lines) == text
+    assert len({r["task"] for r in lines}) > 20
+    assert [r["value"] for r in lines if r["is_header"]] == ["编号"]
+    split_file(spark, path, str(tmp_path / "parts"), "rows", 700, layout="files", detect_encoding=True)
+    parts = files_in_order(tmp_path / "parts")
+    assert len(parts) == 5 and all(p.startswith("编号\n") for p in parts)
+    assert "".join(p.removeprefix("编号\n") for p in parts) == text.removeprefix("编号\n")
+
+
+def test_characters_like_a_line_end_raise(spark, write):
+    path = write("torn.csv", b"\xff\xfe" + "a\n\u0a05\u4e00\n".encode("utf-16-le"))
+    with pytest.raises(Exception, match="look like a line end"):
+        merge_lines(spark, [path], detect_encoding=True).collect()
+
+
+def test_strict_tests_against_plain_python(spark):
+    """All pairs of bytes, and quadruples at random, fit the encodings that Python's strict decoders say."""
+    draw = random.Random(5)
+    pairs = [bytes([a, b]) for a in range(256) for b in range(256)]
+    fours = [bytes([draw.randrange(0x81, 0xFF), draw.randrange(0x30, 0x3A)] * 2) for _ in range(500)]
+    fours += [draw.randbytes(4) for _ in range(5000)]
+    rows = coding_session(spark).createDataFrame([(raw,) for raw in {*pairs, *fours}], "raw binary")
+    found = rows.select("raw", fits(F.col("raw"), "GBK").alias("gbk"), fits(F.col("raw"), "GB18030").alias("gb18030"))
+    wrong = {name: [] for name in ("gbk", "gb18030")}
+    for row in found.collect():
+        for name in wrong:
+            try:
+                bytes(row["raw"]).decode(name)
+                strict = True
+            except UnicodeDecodeError:
+                strict = False
+            if row[name] != strict:
+                wrong[name].append((bytes(row["raw"]).hex(), row[name]))
+    assert {name: (len(w), sorted(w)[:20]) for name, w in wrong.items()} == {name: (0, []) for name in wrong}
+
+
 # ---- tables
 
 
@@ -312,6 +380,19 @@ def test_inventory(spark, write):
     assert rows[0]["modified"].second == 0
 
 
+def test_inventory_in_list_order(spark, write):
+    paths = [write("inv/b.csv", "y"), write("inv/sub/z.csv", "zz"), write("inv/a 1.csv", "xxx"), write("other/c.csv", "")]
+    listed = numbered_inventory(spark, [paths[2], os.path.dirname(paths[3]), os.path.dirname(paths[0])])
+    assert [(r["index"], r["name"]) for r in listed.orderBy("index").collect()] == [
+        (1, "a 1.csv"),
+        (2, "c.csv"),
+        (3, "b.csv"),
+        (4, "z.csv"),
+    ]
+    totals = total_size(listed).first()
+    assert (totals["n_files"], totals["total_bytes"]) == (4, 6)
+
+
 # ---- profile and samples
 
 
