@@ -1,7 +1,6 @@
 """Licences recognised sentence by sentence: known sentences to identifiers, sequences of identifiers to rules.
 
-DataFrame functions only, so the same steps can be said in SQL. :func:`scan_sql` cuts sentences at every stop and, for
-each document, either at line ends or not; texts without stops inside sentences and without both ways give the same.
+DataFrame functions only. :func:`scan_sql` says the same result another way: word by word, from sentence to sentence.
 """
 
 from __future__ import annotations
@@ -9,16 +8,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of well-known licences, normalised as normalise() does, and their identifiers.
+# Licences, the identifier of a sentence that names one, the names it goes by, its short tags.
+LICENSES = [
+    ("Apache-2.0", "ApacheRef", ["apache license version 2.0", "apache license 2.0"], ["apache-2.0"]),
+    ("GPL-3.0-or-later", "GPL3LaterRef", ["gnu general public license version 3 or later"], ["gpl-3.0-or-later", "gpl-3.0+"]),
+    ("GPL-2.0-or-later", "GPL2LaterRef", ["gnu general public license version 2 or later"], ["gpl-2.0-or-later", "gpl-2.0+"]),
+    ("GPL-3.0", "GPL3Ref", ["gnu general public license version 3", "gnu gpl version 3"], ["gpl-3.0-only", "gpl-3.0"]),
+    ("GPL-2.0", "GPL2Ref", ["gnu general public license version 2", "gnu gpl version 2"], ["gpl-2.0-only", "gpl-2.0"]),
+    ("LGPL-3.0", "LGPL3Ref", ["gnu lesser general public license version 3"], ["lgpl-3.0-only", "lgpl-3.0"]),
+    ("LGPL-2.1", "LGPL21Ref", ["gnu lesser general public license version 2.1"], ["lgpl-2.1-only", "lgpl-2.1"]),
+    ("AGPL-3.0", "AGPL3Ref", ["gnu affero general public license version 3"], ["agpl-3.0-only", "agpl-3.0"]),
+    ("MPL-2.0", "MPL2Ref", ["mozilla public license version 2.0", "mozilla public license 2.0"], ["mpl-2.0"]),
+    ("Unlicense", "UnlicenseRef", ["unlicense"], ["unlicense"]),
+    ("MIT", "MITRef", ["mit license"], ["mit"]),
+    ("ISC", "ISCRef", ["isc license"], ["isc"]),
+    ("BSD-3-Clause", "BSD3Ref", ["bsd 3-clause license", "3-clause bsd license"], ["bsd-3-clause"]),
+    ("BSD-2-Clause", "BSD2Ref", ["bsd 2-clause license", "2-clause bsd license"], ["bsd-2-clause"]),
+    ("Zlib", "ZlibRef", ["zlib license"], ["zlib"]),
+    ("BSL-1.0", "BoostRef", ["boost software license version 1.0"], ["bsl-1.0"]),
+    ("EPL-2.0", "EPL2Ref", ["eclipse public license version 2.0", "eclipse public license 2.0"], ["epl-2.0"]),
+    ("CC-BY-4.0", "CCBYRef", ["cc by 4.0", "creative commons attribution 4.0 international license"], ["cc-by-4.0"]),
+    (
+        "CC-BY-SA-4.0",
+        "CCBYSARef",
+        ["cc by-sa 4.0", "creative commons attribution-sharealike 4.0 international license"],
+        ["cc-by-sa-4.0"],
+    ),
+    (
+        "CC-BY-NC-4.0",
+        "CCBYNCRef",
+        ["cc by-nc 4.0", "creative commons attribution-noncommercial 4.0 international license"],
+        ["cc-by-nc-4.0"],
+    ),
+    ("CC0-1.0", "CC0Ref", ["cc0 1.0", "creative commons cc0 1.0 universal license"], ["cc0-1.0"]),
+]
+# How a licence is named, with or without an article before the name.
+STATEMENTS = [
+    "licensed under",
+    "released under",
+    "distributed under",
+    "available under",
+    "this project is licensed under",
+    "this software is licensed under",
+    "this work is licensed under",
+]
+ARTICLES = ["", "the ", "a "]
+TAG = "spdx-license-identifier"
+
+# Sentences of well-known licences, normalised as the texts are, and their identifiers.
 SENTENCES = {
-    "licensed under the apache license version 2.0": "ApacheRef",
     "licensed under the apache license version 2.0 the license": "ApacheRef",
     "you may not use this file except in compliance with the license": "ApacheUse",
     "you may obtain a copy of the license at": "ApacheCopy",
     "you may obtain a copy of the license at http www.apache.org licenses license-2.0": "ApacheCopy",
-    "released under the mit license": "MITRef",
-    "licensed under the mit license": "MITRef",
-    "this project is licensed under the mit license": "MITRef",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
     " documentation files the software to deal in the software without restriction including without limitation the"
     " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
@@ -37,10 +79,6 @@ SENTENCES = {
     " disclaimer in the documentation and or other materials provided with the distribution": "BSDBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
     " derived from this software without specific prior written permission": "BSDNames",
-    "this work is licensed under the gnu general public license version 3": "GPL3Ref",
-    "this work is licensed under the gnu general public license version 2": "GPL2Ref",
-    "licensed under the gnu general public license version 3": "GPL3Ref",
-    "licensed under the gnu general public license version 2": "GPL2Ref",
     "this program is free software": "FreeProgram",
     "this library is free software": "FreeLibrary",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free"
@@ -49,17 +87,24 @@ SENTENCES = {
     " software foundation either version 2 of the license or at your option any later version": "GPL2Later",
     "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the"
     " free software foundation either version 2.1 of the license or at your option any later version": "LGPL21Later",
-    "this source code form is subject to the terms of the mozilla public license v. 2.0": "MPL2Ref",
+    "this source code form is subject to the terms of the mozilla public license v 2.0": "MPL2Ref",
     "this is free and unencumbered software released into the public domain": "UnlicenseRef",
-    "licensed under cc by 4.0": "CCBYRef",
-    "licensed under cc by-sa 4.0": "CCBYSARef",
-    "licensed under cc by-nc 4.0": "CCBYNCRef",
-    "this work is licensed under a creative commons attribution 4.0 international license": "CCBYRef",
-    "spdx-license-identifier mit": "MITRef",
-    "spdx-license-identifier apache-2.0": "ApacheRef",
-    "spdx-license-identifier gpl-3.0-only": "GPL3Ref",
-    "spdx-license-identifier gpl-2.0-only": "GPL2Ref",
     "all rights reserved": "AllRights",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an"
+    " as is basis without warranties or conditions of any kind either express or implied": "ApacheAsIs",
+    "see the license for the specific language governing permissions and limitations under the license": "ApacheSee",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it"
+    " and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and"
+    " accompanying documentation covered by this license": "BoostGrant",
+    **{
+        f"{statement} {article}{name}": identifier
+        for _, identifier, names, _ in LICENSES
+        for name in names
+        for statement in STATEMENTS
+        for article in ARTICLES
+    },
+    **{f"{TAG} {tag}": identifier for _, identifier, _, tags in LICENSES for tag in tags},
 }
 # Rules in order; the first that matches takes its identifiers, so longer ones come first.
 RULES = [
@@ -68,42 +113,44 @@ RULES = [
     ("ISC", ["ISCGrant"]),
     ("BSD-3-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDNames"]),
     ("BSD-2-Clause", ["BSDGrant", "BSDSource", "BSDBinary"]),
+    ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheCopy"]),
-    ("Apache-2.0", ["ApacheRef"]),
     ("GPL-3.0-or-later", ["FreeProgram", "GPL3Later"]),
     ("GPL-2.0-or-later", ["FreeProgram", "GPL2Later"]),
     ("LGPL-2.1-or-later", ["FreeLibrary", "LGPL21Later"]),
-    ("GPL-3.0", ["GPL3Ref"]),
-    ("GPL-2.0", ["GPL2Ref"]),
-    ("MPL-2.0", ["MPL2Ref"]),
-    ("Unlicense", ["UnlicenseRef"]),
-    ("MIT", ["MITRef"]),
-    ("CC-BY-4.0", ["CCBYRef"]),
-    ("CC-BY-SA-4.0", ["CCBYSARef"]),
-    ("CC-BY-NC-4.0", ["CCBYNCRef"]),
+    ("Zlib", ["ZlibGrant"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    *[(name, [identifier]) for name, identifier, _, _ in LICENSES],
     ("Proprietary", ["AllRights"]),
 ]
+# Words between two sentences of one rule at most: marks of a list, a line about the copyright.
+MAX_GAP = 12
+_APART = " | "
 # A text without any of these has no known sentence. Single words, so that no line end comes between.
-_HINTS = ["licen", "permission", "warranty", "redistribut", "software", "reserved"]
+_HINTS = ["licen", "permission", "warranty", "redistribut", "software", "reserved", "under"]
 # Where a sentence may end, and where it must.
 _CUT, _BREAK = "\u0002", "\u0003"
 _STOP = "([.!?:;])[ \\t\\r\\n\\f]+"
 _BLANK_LINE = "\\n[ \\t\\r\\f]*\\n"
+# What a word is made of; dots, pluses and hyphens only count inside, pluses also at the end.
+_LETTERS = "a-z0-9.+-"
 # Known sentences between two places where one may end, the longest first; stops within them may be such places too.
-_EDGE = "[ .+-]*"
 _KNOWN = (
-    f"(?:^|[{_CUT}{_BREAK}]){_EDGE}("
+    f"(?:^|[{_CUT}{_BREAK}]) *("
     + "|".join(s.replace(".", "\\.").replace("+", "\\+").replace(" ", f"[ {_CUT}]+") for s in sorted(SENTENCES, key=len, reverse=True))
-    + f")(?={_EDGE}(?:\\z|[{_CUT}{_BREAK}]))"
+    + f")(?= *(?:\\z|[{_CUT}{_BREAK}]))"
 )
 
 
 def _marked(text: Column) -> Column:
-    """Lower case; letters, digits and inner dots, pluses and hyphens, other runs as one space, with marks where a
-    sentence may end, with a line or a stop, and where it must, with a paragraph."""
+    """Words in lower case, with one space between, and with marks where a sentence may end, with a line or a stop, and
+    where it must, with a paragraph."""
     plain = F.regexp_replace(F.translate(text, _CUT + _BREAK, "  "), _BLANK_LINE, _BREAK)
     cut = F.replace(F.regexp_replace(plain, _STOP, "$1" + _CUT), F.lit("\n"), F.lit(_CUT))
-    return F.regexp_replace(F.lower(cut), f"[^a-z0-9.+{_CUT}{_BREAK}-]+", " ")
+    words = F.regexp_replace(F.lower(cut), f"[^{_CUT}{_BREAK}{_LETTERS}]+", " ")
+    words = F.regexp_replace(words, f"(?<![{_LETTERS}])[.+-]++", "")
+    words = F.regexp_replace(words, f"(?<![.-])[.-]++(?![{_LETTERS}])", "")
+    return F.regexp_replace(words, "  +", " ")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,9 +158,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns one row per row of ``docs``: ``id_col``, ``sentence_ids`` (identifiers of the known sentences in order,
     joined by spaces), ``licenses`` (names of the matching rules in the order of :data:`RULES`, each once, joined by commas)
-    and ``unmatched`` (identifiers that no rule took). A sentence may end with a line or a stop,
+    and ``unmatched`` (identifiers that no rule took). The sentences of a rule follow each other with no other known sentence
+    and no more than :data:`MAX_GAP` words between two. A sentence may end with a line or a stop,
     and may run over both, but not over a blank line; of those that start at a place the longest counts, and the
-    next is looked for behind it. Null and empty texts give empty strings. Repeated rows each give a
+    next is looked for behind it. Marks of comments are no words. Null and empty texts give empty strings. Repeated rows each give a
     row; other columns are not looked at. Map only: the sentences are a small fixed table.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
@@ -123,18 +171,32 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for hint in _HINTS:
         hinted = F.contains(low, F.lit(hint)) if hinted is None else hinted | F.contains(low, F.lit(hint))
 
-    found = F.regexp_extract_all(_marked(F.col("text")), F.lit(_KNOWN), F.lit(1))
+    text = _marked(F.col("text"))
+    found = F.regexp_extract_all(text, F.lit(_KNOWN), F.lit(1))
     ids = F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, f"[ {_CUT}]+", " ")))
-    found = source.select(F.col(id_col), F.coalesce(F.array_join(F.when(hinted, ids), " "), F.lit("")).alias("sentence_ids"))
+    # Words before each sentence found; a mark keeps rules from reaching over too many of them.
+    gaps = F.transform(F.split(text, _KNOWN, -1), lambda t: F.regexp_count(t, F.lit(f"[{_LETTERS}]+")))
+    found = source.select(F.col(id_col), F.when(hinted, F.arrays_zip(ids.alias("id"), gaps.alias("gap"))).alias("found"))
+    known_ids = F.filter("found", lambda f: f["id"].isNotNull())
+    found = found.select(
+        F.col(id_col),
+        F.coalesce(F.array_join(F.transform(known_ids, lambda f: f["id"]), " "), F.lit("")).alias("sentence_ids"),
+        F.array_join(
+            F.transform(
+                known_ids, lambda f: F.concat(F.when(f["gap"] > MAX_GAP, _APART).otherwise(""), F.lit(" "), f["id"], F.lit(" "))
+            ),
+            "",
+        ).alias("_rest"),
+    )
 
-    rest = F.when(F.col("sentence_ids") != "", F.concat(F.lit(" "), F.replace("sentence_ids", F.lit(" "), F.lit("  ")), F.lit(" ")))
-    taken = []
+    rest, taken = F.col("_rest"), []
     for name, sequence in RULES:
         pattern = F.lit(" " + "  ".join(sequence) + " ")
         taken.append(F.when(F.contains(rest, pattern), F.lit(name)))
-        rest = F.replace(rest, pattern, F.lit(""))
+        # What a rule took still stands between its neighbours.
+        rest = F.replace(rest, pattern, F.lit(_APART))
     licenses = F.array_join(F.array_distinct(F.array_compact(F.array(*taken))), ",")
-    unmatched = F.trim(F.regexp_replace(rest, " +", " "))
+    unmatched = F.trim(F.regexp_replace(rest, "[ |]+", " "))
     return found.select(
         F.col(id_col),
         "sentence_ids",
@@ -144,36 +206,54 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def scan_sql() -> str:
-    """The SQL that the query over ``documents`` must equal."""
+    """The SQL that the query over ``documents`` must equal: words with their places, the longest known sentence at each
+    place, from the end of one to the next."""
     table = ", ".join(f"('{sentence}', '{i}')" for sentence, i in SENTENCES.items())
-    norm = "regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+-]+', ' ', 'g'), '^[ .+-]+|[ .+-]+$', '', 'g')"
-    stop, blank = r"([.!?:;])[ \t\r\n\f]+", r"\n[ \t\r\f]*\n"
-    by_line = rf"string_split(regexp_replace(text, '{stop}', '\1' || chr(10), 'g'), chr(10))"
-    joined = f"replace(regexp_replace(text, '{blank}', chr(1), 'g'), chr(10), ' ')"
-    over = rf"string_split(regexp_replace({joined}, '{stop}', '\1' || chr(1), 'g'), chr(1))"
-    steps, before = "", "' ' || replace(sentence_ids, ' ', '  ') || ' '"
+    plain = rf"regexp_replace(translate(text, chr(2) || chr(3), '  '), '\n[ \t\r\f]*\n', chr(3), 'g')"
+    cut = rf"replace(regexp_replace({plain}, '([.!?:;])[ \t\r\n\f]+', '\1' || chr(2), 'g'), chr(10), chr(2))"
+    words = f"regexp_replace(lower({cut}), '[^' || chr(2) || chr(3) || '{_LETTERS}]+', ' ', 'g')"
+    words = rf"regexp_replace({words}, '(^|[^{_LETTERS}])[.+-]+', '\1', 'g')"
+    words = rf"regexp_replace({words}, '[.-]+([^{_LETTERS}]|$)', '\1', 'g')"
+    units = f"string_split(replace(replace({words}, chr(2), ' ' || chr(2) || ' '), chr(3), ' ' || chr(3) || ' '), ' ')"
+    steps = ""
     for i, (name, sequence) in enumerate(RULES):
         pattern = "' " + "  ".join(sequence) + " '"
-        source = f"r{i - 1}" if i else "start"
+        source = f"r{i - 1}" if i else "line_up"
         steps += (
-            f", r{i} AS (SELECT doc_id, sentence_ids, replace(rest, {pattern}, '') AS rest,"
+            f", r{i} AS (SELECT doc_id, sentence_ids, replace(rest, {pattern}, '{_APART}') AS rest,"
             f" CASE WHEN contains(rest, {pattern}) THEN list_append(names, '{name}') ELSE names END AS names FROM {source})"
         )
     return rf"""
-    WITH known(sentence, id) AS (VALUES {table}),
-    parts AS (
-      SELECT doc_id, way, unnest(list) AS s, unnest(range(len(list))) AS place FROM (
-        SELECT doc_id, 0 AS way, {by_line} AS list FROM documents UNION ALL
-        SELECT doc_id, 1 AS way, {over} AS list FROM documents)
-    ), found AS (
-      SELECT doc_id, way, count(*) AS n, string_agg(id, ' ' ORDER BY place) AS ids
-      FROM (SELECT doc_id, way, place, {norm} AS sentence FROM parts) JOIN known USING (sentence) GROUP BY doc_id, way
-    ), best AS (
-      SELECT doc_id, ids AS sentence_ids FROM found QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, way) = 1
-    ), start AS (
-      SELECT doc_id, sentence_ids, {before} AS rest, CAST([] AS VARCHAR[]) AS names FROM best
+    WITH RECURSIVE known(sentence, id) AS (VALUES {table}),
+    ends_of AS (SELECT DISTINCT l[1] AS first, l[-1] AS last, len(l) AS n FROM (SELECT string_split(sentence, ' ') AS l FROM known)),
+    units AS (
+      SELECT doc_id, u, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (
+        SELECT doc_id, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {units} AS l FROM documents))
+      WHERE u <> ''
+    ), placed AS (
+      SELECT doc_id, u, u NOT IN (chr(2), chr(3)) AS is_word,
+        count(*) FILTER (u = chr(3)) OVER d AS para, count(*) FILTER (u NOT IN (chr(2), chr(3))) OVER d AS w,
+        coalesce(lag(u) OVER d IN (chr(2), chr(3)), true) AS begins, coalesce(lead(u) OVER d IN (chr(2), chr(3)), true) AS ends
+      FROM units WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+    ), words AS MATERIALIZED (SELECT * FROM placed WHERE is_word),
+    spans AS MATERIALIZED (
+      SELECT s.doc_id, s.w AS lo, e.w AS hi FROM words s JOIN ends_of k ON s.u = k.first AND s.begins
+      JOIN words e ON e.doc_id = s.doc_id AND e.w = s.w + k.n - 1 AND e.u = k.last AND e.para = s.para AND e.ends
+    ), cut_out AS MATERIALIZED (
+      SELECT doc_id, lo, hi, string_agg(u, ' ' ORDER BY w) AS sentence FROM spans JOIN words USING (doc_id)
+      WHERE w BETWEEN lo AND hi GROUP BY ALL
+    ), sentences AS MATERIALIZED (
+      SELECT doc_id, lo, max(hi) AS hi, arg_max(id, hi) AS id FROM cut_out JOIN known USING (sentence) GROUP BY doc_id, lo
+    ), found(doc_id, k, lo, hi, id, gap) AS (
+      SELECT DISTINCT doc_id, 0, 0::BIGINT, 0::BIGINT, '', 0::BIGINT FROM sentences UNION ALL
+      SELECT f.doc_id, max(f.k) + 1, min(s.lo), arg_min(s.hi, s.lo), arg_min(s.id, s.lo), min(s.lo) - max(f.hi) - 1
+      FROM found f JOIN sentences s ON s.doc_id = f.doc_id AND s.lo > f.hi GROUP BY f.doc_id
+    ), line_up AS (
+      SELECT doc_id, string_agg(id, ' ' ORDER BY k) AS sentence_ids, CAST([] AS VARCHAR[]) AS names,
+        string_agg(CASE WHEN gap > {MAX_GAP} THEN '{_APART}' ELSE '' END || ' ' || id || ' ', '' ORDER BY k) AS rest
+      FROM found WHERE k > 0 GROUP BY doc_id
     ){steps}
     SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids,
       coalesce(array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ','), '') AS licenses,
-      coalesce(trim(regexp_replace(rest, ' +', ' ', 'g')), '') AS unmatched
+      coalesce(trim(regexp_replace(rest, '[ |]+', ' ', 'g')), '') AS unmatched
     FROM documents LEFT JOIN r{len(RULES) - 1} USING (doc_id)"""

@@ -10,6 +10,7 @@ import tracemalloc
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -416,7 +417,7 @@ WORDINGS = {
     "you may obtain a copy of the license at http www.apache.org licenses license-2.0": "You may obtain a copy of the License at\n    http://www.apache.org/licenses/LICENSE-2.0",
     "this program is free software": "This program is free software: you",
     "this library is free software": "This library is free software; you",
-    "this source code form is subject to the terms of the mozilla public license v. 2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "this source code form is subject to the terms of the mozilla public license v 2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "spdx-license-identifier mit": "// SPDX-License-Identifier: MIT",
     "spdx-license-identifier apache-2.0": "# SPDX-License-Identifier: Apache-2.0",
     "spdx-license-identifier gpl-3.0-only": "/* SPDX-License-Identifier: GPL-3.0-only */",
@@ -465,6 +466,51 @@ def test_licenses_by_line_beside_wrapped_ones(spark):
     assert got[3] == ("", "")
 
 
+def test_licenses_of_marked_and_distant_sentences(spark):
+    later = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free"
+    later += " Software Foundation, either version 3 of the License, or (at your option) any later version."
+    between = " ".join(["word"] * 50)
+    texts = [
+        "-- Licensed under the Apache\n-- License, Version 2.0\n",
+        " * Released under the MIT\n *   License.\n%% SPDX-License-Identifier: GPL-3.0+\n--All rights\n--reserved.--",
+        f"This program is free software.\nLicensed under the Apache License, Version 2.0.\n{between}\n{later}",
+        f"This program is free software:\n{later}\nThis program is free software.\n{between}.\n{later}",
+        "Licensed under the MIT License of old. Licensed under CC0 1.0",
+        "a" + "." * 1_000_000 + "b under " + "-" * 1_000_000 + "\nAll rights reserved " + "\n " * 500_000,
+        "Available under a zlib license; under", None, "", "\x02 \x03 all rights reserved", "ALL RIGHTS RESERVED...!",
+    ]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    assert [got[i].licenses for i in range(5)] == [
+        "Apache-2.0", "GPL-3.0-or-later,MIT,Proprietary", "Apache-2.0", "GPL-3.0-or-later", "CC0-1.0",
+    ]
+    assert [got[i].unmatched for i in range(5)] == ["", "", "FreeProgram GPL3Later", "FreeProgram GPL3Later", ""]
+    assert [got[i].licenses for i in range(5, 11)] == ["Proprietary", "Zlib", "", "", "Proprietary", "Proprietary"]
+    assert all(any(h in s for h in license_scan._HINTS) for s in license_scan.SENTENCES)
+    twice = license_scan.scan_licenses(docs.unionByName(docs).withColumn("found", F.lit(1))).count()
+    assert twice == 2 * len(texts) and license_scan.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_licenses_equal_the_sql(spark):
+    """Sentences of the table, with prose, stops, line ends and paragraphs at random between and inside them."""
+    rng = random.Random(8)
+    known = list(license_scan.SENTENCES)
+    gaps = [" ", "\n", ". ", "\n\n", ";\n -- ", " word ", " -- ", ".\n" + "word " * 14 + "\n", "...", "\r\n", " \x02", "+ "]
+    texts = [None, ""]
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            words = rng.choice(known if rng.random() < 0.7 else known[:30]).split()
+            breaks = rng.choices([" ", "\n", ", ", "\n# ", ". ", "\n\n"], [30, 2, 2, 1, 0.2, 0.1], k=len(words))
+            parts += [w + b for w, b in zip(words, breaks)] + [rng.choice(gaps), rng.choice(gaps)]
+        texts.append("".join(parts))
+    frame = docs_of(spark, texts).select("doc_id", "text")
+    documents = frame.toPandas()  # noqa: F841, the SQL's table
+    want = sorted(duckdb.sql(license_scan.scan_sql()).fetchall())
+    got = sorted(tuple(r) for r in license_scan.scan_licenses(frame).collect())
+    assert got == want and sum(r[2] != "" for r in got) > 150
+
+
 # ---------------------------------------------------------------- 9: chat formatting
 
 
