@@ -126,8 +126,8 @@ RULES = [
 # Words between two sentences of one rule at most: marks of a list, a line about the copyright.
 MAX_GAP = 12
 _APART = " | "
-# A text without any of these has no known sentence. Single words, so that no line end comes between.
-_HINTS = ["licen", "permission", "warranty", "redistribut", "software", "reserved", "under"]
+# A text without any of these has no known sentence. No blank in them, so that no line end comes between.
+_HINTS = ["licen", "permission", "warranty", "redistribut", "software", "reserved", "gpl", "cc0", "4.0"]
 # Where a sentence may end, and where it must.
 _CUT, _BREAK = "\u0002", "\u0003"
 _STOP = "([.!?:;])[ \\t\\r\\n\\f]+"
@@ -195,8 +195,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         taken.append(F.when(F.contains(rest, pattern), F.lit(name)))
         # What a rule took still stands between its neighbours.
         rest = F.replace(rest, pattern, F.lit(_APART))
-    licenses = F.array_join(F.array_distinct(F.array_compact(F.array(*taken))), ",")
-    unmatched = F.trim(F.regexp_replace(rest, "[ |]+", " "))
+    # The rules of most rows, which have no sentence, aren't looked at.
+    some = F.col("sentence_ids") != ""
+    licenses = F.when(some, F.array_join(F.array_distinct(F.array_compact(F.array(*taken))), ","))
+    unmatched = F.when(some, F.trim(F.regexp_replace(rest, "[ |]+", " ")))
     return found.select(
         F.col(id_col),
         "sentence_ids",
