@@ -16,6 +16,7 @@ from rowsheaf.operators.split import (
     Split,
     SplitResult,
     manifest,
+    read_parts,
     split_file,
     split_lines,
     split_table,
@@ -58,6 +59,7 @@ __all__ = [
     "numbered_inventory",
     "preview",
     "read_export",
+    "read_parts",
     "sample_values",
     "scan_csv",
     "scan_csv_records",

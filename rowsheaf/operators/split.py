@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowsheaf.functions.scalars import clean_filename
 from rowsheaf.plans.files import LAYOUTS, materialise, move_files
@@ -29,7 +30,7 @@ from rowsheaf.sinks.csv import csv_line, header_text
 from rowsheaf.sources.encoding import encoding_profile
 from rowsheaf.sources.inventory import file_inventory
 from rowsheaf.sources.lines import header_line, order_lines
-from rowsheaf.sources.tables import quoted
+from rowsheaf.sources.tables import READ_OPTIONS, quoted
 
 # Fixed values
 PART_NAME = "%s_%04d.csv"
@@ -271,3 +272,16 @@ def split_table_to_csv(
         lines = df.withColumn("_line", csv_line(df))
     split = split_table(lines, by, n, order_by, F.col("_line"), unique, cut)
     return write_parts(split, out, header_text(df.columns), prefix, value="_line", layout=layout)
+
+
+def read_parts(spark: SparkSession, out: str, schema: T.StructType, prefix: str = PREFIX) -> DataFrame:
+    """``file``, the part's name, and the rows of a table that was split to ``folders``, with quoted line ends.
+
+    A file in a part's folder is a stretch of its rows, so no task reads more than one task has written, however large
+    the part. Headers have files of their own, which aren't opened.
+    """
+    plain = T.StructType([T.StructField(f"_c{i}", f.dataType) for i, f in enumerate(schema)])
+    # the line end is named, as a file's first record may have others inside quotes
+    reader = spark.read.options(**READ_OPTIONS | {"sep": ",", "header": "false", "multiLine": "true", "lineSep": "\n", "mode": "FAILFAST"})
+    rows = reader.schema(plain).csv(out).where(F.col("chunk") >= CHUNK_BASE)
+    return rows.select(part_file(prefix, F.col("part")).alias("file"), *(F.col(f"_c{i}").alias(f.name) for i, f in enumerate(schema)))

@@ -261,3 +261,30 @@ def test_greedy_cut_of_an_empty_file_and_of_rows(spark, write):
     for by, cut in (("rows", "greedy"), ("bytes", "other")):
         with pytest.raises(ValueError, match="cut"):
             split_lines(spark, empty, by, 5, cut=cut)
+
+
+def test_parts_of_a_table_are_read_back_in_pieces(spark, tmp_path):
+    from rowsheaf import read_parts
+
+    text = F.concat(F.lit("two\r\nlines, "), F.col("id").cast("string"), F.lit('\n"end"\r'))
+    text = F.when(F.col("id") % 5 < 4, text)
+    df = spark.range(400).select("id", text.alias("part"), F.lit(None).cast("double").alias("chunk"))
+    out = str(tmp_path / "out")
+    split_table_to_csv(df.toDF("id", "text", "none"), out, "count", 3, ["id"], prefix="p")
+    rows = read_parts(spark, out, df.schema, prefix="p")
+    assert rows.columns == ["file", "id", "part", "chunk"] and rows.drop("file").exceptAll(df).isEmpty()
+    assert Counter(r["file"] for r in rows.collect()) == {"p_0001.csv": 134, "p_0002.csv": 134, "p_0003.csv": 132}
+    assert max(r["id"] for r in rows.where("file = 'p_0001.csv'").collect()) == 133
+    files = [len(os.listdir(f"{out}/part={i}")) - 1 for i in (1, 2, 3)]
+    assert min(files) > 1
+
+
+def test_the_query_of_whole_records_spreads_each_part(spark, tmp_path):
+    import __spark_entry__
+
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit('a\n"b"'), F.col("id").cast("string")).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = __spark_entry__.queries()["split_records"](spark, str(tmp_path))
+    assert rows.groupBy("file").count().where("count = 200").count() == 5 and rows.drop("file").exceptAll(docs).isEmpty()
+    read = [f for f in rows.inputFiles() if "chunk=1" not in f]
+    assert len(read) > 5  # one for each part before
