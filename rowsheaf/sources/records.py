@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from rowsheaf.plans.files import list_inputs, materialise
 from rowsheaf.plans.numbering import CHUNK, broadcast_if
-from rowsheaf.sources.lines import file_key, scan_lines, with_chunk_numbers
+from rowsheaf.sources.lines import scan_splits, with_chunk_numbers
 from rowsheaf.sources.tables import BOM, READ_OPTIONS, infer_types, quoted, text_schema
 
 QUOTE = '"'
@@ -28,7 +28,7 @@ _PIECES = f"{CHUNK} long, file_key long, record_no long, is_head boolean, leadin
 
 
 def _pieces(batches):
-    """The records of a split, in order: the first is the end of an earlier one if the split begins inside quotes
+    """The records of each split, in order: the first is the end of an earlier one if the split begins inside quotes
     (``leading``), and the last goes on in the next if it ends there (``open``)."""
     state, held, place, first = None, None, 0, None
 
@@ -44,32 +44,37 @@ def _pieces(batches):
         )
 
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        if first is None:
-            chunk, key, start, inside = (batch.column(c)[0].as_py() for c in (CHUNK, "file_key", "block_start", "inside"))
-            first, state = (chunk, key, start == 0, bool(inside)), int(inside)
-        values = batch.column("value").cast(pa.large_string())
-        quotes = pc.count_substring(values, QUOTE).to_numpy(zero_copy_only=False)
-        before = (state + np.cumsum(quotes) - quotes) % 2
-        state = int((state + quotes.sum()) % 2)
-        starts = np.flatnonzero(before == 0)
-        if held is not None and (len(starts) == 0 or starts[0] > 0):
-            # the record in hand goes on
-            more = values.slice(0, starts[0] if len(starts) else len(values)).to_pylist()
-            held = "\n".join([held, *more])
-        elif held is None and (len(starts) == 0 or starts[0] > 0):
-            held = "\n".join(values.slice(0, starts[0] if len(starts) else len(values)).to_pylist())
-        if len(starts):
-            lists = pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(values))), values)
-            joined = pc.binary_join(lists, pa.scalar("\n", pa.large_string())).cast(pa.string())
-            done = joined.slice(0, len(joined) - 1)
-            if held is not None:
-                done = pa.concat_arrays([pa.array([held], pa.string()), done])
-            held = joined[len(joined) - 1].as_py()
-            if len(done):
-                yield rows(done, False)
-                place += len(done)
+        chunks = batch.column(CHUNK).to_numpy()
+        lines = batch.column("value").cast(pa.large_string())
+        counts = pc.count_substring(lines, QUOTE).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)] if len(chunks) else []
+        for begin, end in zip(bounds[:-1], bounds[1:]):
+            if first is None or first[0] != chunks[begin]:
+                # the next split of the task
+                if held is not None:
+                    yield rows(pa.array([held], pa.string()), state == 1)
+                chunk, key, start, inside = (batch.column(c)[begin].as_py() for c in (CHUNK, "file_key", "block_start", "inside"))
+                first, state, held, place = (chunk, key, start == 0, bool(inside)), int(inside), None, 0
+            values, quotes = lines.slice(begin, end - begin), counts[begin:end]
+            before = (state + np.cumsum(quotes) - quotes) % 2
+            state = int((state + quotes.sum()) % 2)
+            starts = np.flatnonzero(before == 0)
+            if held is not None and (len(starts) == 0 or starts[0] > 0):
+                # the record in hand goes on
+                more = values.slice(0, starts[0] if len(starts) else len(values)).to_pylist()
+                held = "\n".join([held, *more])
+            elif held is None and (len(starts) == 0 or starts[0] > 0):
+                held = "\n".join(values.slice(0, starts[0] if len(starts) else len(values)).to_pylist())
+            if len(starts):
+                lists = pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(values))), values)
+                joined = pc.binary_join(lists, pa.scalar("\n", pa.large_string())).cast(pa.string())
+                done = joined.slice(0, len(joined) - 1)
+                if held is not None:
+                    done = pa.concat_arrays([pa.array([held], pa.string()), done])
+                held = joined[len(joined) - 1].as_py()
+                if len(done):
+                    yield rows(done, False)
+                    place += len(done)
     if held is not None:
         yield rows(pa.array([held], pa.string()), state == 1)
 
@@ -83,19 +88,18 @@ def scan_records(spark: SparkSession, paths: list[str], split_bytes: int | None
     records are no records.
     """
     files = list_inputs(spark, paths)
-    lines = scan_lines(spark, files, split_bytes).withColumn("file_key", file_key())
+    lines = scan_splits(spark, files, split_bytes)
     n_quotes = F.length("value") - F.length(F.replace("value", F.lit(QUOTE), F.lit("")))
-    splits = lines.groupBy("task", "file_key", "block_start").agg((F.sum(n_quotes) % 2).alias("odd"))
+    splits = lines.groupBy("file_key", "block_start").agg((F.sum(n_quotes) % 2).alias("odd"))
     splits = materialise(with_chunk_numbers(splits, files), "record-splits")
     unclosed = splits.groupBy("file_key").agg((F.sum("odd") % 2).alias("odd")).where("odd = 1").count()
     if unclosed:
         raise ValueError(f"a quote is never closed in {unclosed} of {len(files)} files")
     before = Window.partitionBy("file_key").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1
-    starts = splits.select("task", F.col("file_key").alias("_key"), F.col("block_start").alias("_start"), CHUNK, inside.alias("inside"))
-    found = lines.join(broadcast_if(starts, splits.count()), "task", "left")
-    same = (F.col("_key") == F.col("file_key")) & (F.col("_start") == F.col("block_start"))
-    checked = F.when(F.coalesce(same, F.lit(False)), F.col("inside")).otherwise(F.raise_error(F.lit("the input changed between two scans")))
+    starts = splits.select("file_key", "block_start", CHUNK, inside.alias("inside"))
+    found = lines.join(broadcast_if(starts, splits.count()), ["file_key", "block_start"], "left")
+    checked = F.when(F.col(CHUNK).isNotNull(), F.col("inside")).otherwise(F.raise_error(F.lit("the input changed between two scans")))
     pieces = found.select(CHUNK, "file_key", "block_start", checked.alias("inside"), "value").mapInArrow(_pieces, _PIECES)
     pieces = materialise(pieces, "record-pieces")
 
@@ -131,7 +135,7 @@ def scan_csv_records(
     """
     paths = [path] if isinstance(path, str) else path
     records = scan_records(spark, paths, split_bytes)
-    if schema is None or header:
+    if schema is None:
         head = records.where("is_head").orderBy("chunk").select("value").first()
         first = next(csv.reader([head["value"]], delimiter=sep)) if head else []
         names = first if header else [f"_c{i}" for i in range(len(first))]

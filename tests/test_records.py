@@ -74,3 +74,15 @@ def test_hidden_files_raise(spark, write, tmp_path):
 def test_empty_files(spark, write):
     assert scan_csv_records(spark, write("h.csv", "a,b\n")).columns == ["a", "b"]
     assert scan_records(spark, [write("e.csv", "")]).count() == 0
+
+
+def test_small_splits_share_tasks(spark, write):
+    from rowsheaf.sources.lines import scan_splits
+
+    path = write("many.csv", "a,b\n" + "".join(f'{i},"line {i}\nend"\n' for i in range(9000)))
+    lines = scan_splits(spark, [path], split_bytes=1024)
+    assert lines.select("block_start").distinct().count() > 100
+    # a task for each split before
+    assert lines.select(F.spark_partition_id()).distinct().count() <= 2
+    table = scan_csv_records(spark, path, split_bytes=1024)
+    assert sorted(map(tuple, table.collect())) == [(i, f"line {i}\nend") for i in range(9000)]
