@@ -239,7 +239,7 @@ def similar_components(
     than ``shingle_words`` words is one shingle; without words or null it has none and links with nothing. Ids
     are whole numbers. Rows are told apart by where they stand, so rows that repeat an id may be in different
     components; a row with a null id links others like any row, and a component of such rows only has a null id.
-    ``unique_ids`` says that no id is null or stands for two texts, which saves the numbering. Equal texts are one class, whatever
+    ``unique_ids`` says that no id is null or comes twice, not even with one text, which saves the numbering. Equal texts are one class, whatever
     their number, and copies are never paired. Other columns are not looked at.
     """
     numerator, denominator = threshold

@@ -5,6 +5,8 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from rowsheaf.llm import ngram_join
+
 
 def test_stages_drop_what_they_should_and_nothing_else(spark, tmp_path):
     rng = random.Random(4)
@@ -71,3 +73,24 @@ def test_null_and_repeated_ids_and_empty_tables(spark, tmp_path):
     assert sorted(found, key=str) == [7, 7, 8, 9, None]
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_copies_are_not_multiplied_before_the_line_dedup(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    line = lambda: " ".join("".join(rng.choices("abcdefghijk", k=6)) for _ in range(30))
+    shared, ends = "\n".join([line(), line(), line()]), [f"one end {i}" for i in range(2)]
+    texts = [f"{shared}\n{ends[i % 2]}" for i in range(120)]
+    rows = [(i, t, "en", f"s{i % 12}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    materialise, written = ngram_join.materialise, {}
+
+    def counted(df, label):
+        table = materialise(df, label)
+        written[label] = max(written.get(label, 0), table.count())
+        return table
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    cleaned = corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id: r.text for r in cleaned.collect()} == dict(enumerate(texts))
+    # two texts: their shared tokens, once for each, not for each pair of copies
+    assert 0 < written["join-shared"] < 200 and written["join-star-sets"] <= 2
