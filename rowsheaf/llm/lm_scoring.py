@@ -6,7 +6,7 @@ segmentation of the word uses them, sharpened by expectation-maximisation over t
 sequence of its words, each with a space before it, and an end mark; its probability is the sum over all ways
 to cut it into entries, by forward recursion in logarithms. An entry holds no space but its first, so the
 recursion passes every word start: a document's log probability is the sum of its words', and each distinct
-word's lattice is built once for the whole corpus.
+word's lattice is built once for the whole corpus, together with those of other words of its length.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ import base64
 import math
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsheaf.llm.text import frequent, held_out, slices
+from rowsheaf.llm.text import frequent, held_out, slices, trimmed
 from rowsheaf.plans.files import materialise
 
 # Words whose counts are sent to every task; the others are joined.
@@ -35,6 +36,10 @@ _LN10 = math.log(10)
 # Added to the count of each entry of the tokenizer, so that all of them, and so every byte, have a probability.
 _PRIOR = 0.05
 _END_KEY = ""  # no word is empty
+# Bytes with the space before it, up to which a word's lattice is computed together with others of its length.
+_LONG = 64
+# Bytes of words of one length whose lattices are computed together.
+_TOGETHER = 1 << 16
 
 
 @cache
@@ -138,6 +143,126 @@ class Lattice:
                         yield word[i:j], part
 
 
+class Trie:
+    """Entries of :data:`_LONG` bytes at most, from their first byte on.
+
+    Nodes are numbers, by depth: 0 is none and 1 the root. ``edges`` are 256 times a node plus a byte that goes on from it, in
+    order, and lead to the nodes from 2 on; those of the root and of the ``near`` nodes below it are in a ``table``, too.
+    ``entry`` is the number of the entry that a node ends, or -1.
+    """
+
+    def __init__(self, entries: dict[bytes, int]):
+        entries = {e: i for e, i in entries.items() if 0 < len(e) <= _LONG}
+        strings = sorted({e[:k] for e in entries for k in range(len(e) + 1)} | {b""}, key=lambda s: (len(s), s))
+        number = {s: i for i, s in enumerate(strings, 1)}
+        # by depth and bytes, strings come in the order of their edges; the last edge is none, so that there is always one to look at
+        self.edges = np.array([*(number[s[:-1]] * 256 + s[-1] for s in strings[1:]), 1 << 62], np.int64)
+        self.near = sum(len(s) < 2 for s in strings)
+        self.table = np.zeros((self.near + 1) * 256, np.int32)
+        short = np.flatnonzero(self.edges < len(self.table))
+        self.table[self.edges[short]] = short + 2
+        self.entry = np.array([-1, *(entries.get(s, -1) for s in strings)], np.int64)
+
+    def follow(self, nodes: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The nodes that the bytes ``data`` lead to from ``nodes``, 0 where there is none."""
+        asked = nodes.astype(np.int64) * 256 + data
+        if nodes.max(initial=0) <= self.near:
+            return self.table[asked]
+        out = np.zeros(nodes.shape, np.int32)
+        live = np.nonzero(nodes)
+        asked = asked[live]
+        at = np.searchsorted(self.edges, asked)
+        out[live] = np.where(self.edges[at] == asked, at + 2, 0)
+        return out
+
+
+@cache
+def _trie(rank_file: str) -> Trie:
+    return Trie(_vocabulary(rank_file))
+
+
+class Lattices:
+    """What :class:`Lattice` gives for a word, for many at a time: those of one length are the columns of arrays whose rows
+    are places, so each step of the recursion is taken for all of them. ``scores`` are log probabilities by the numbers
+    in ``entries``. Words aren't empty; those of more than :data:`_LONG` bytes go through a :class:`Lattice` one by one."""
+
+    def __init__(self, entries: dict[bytes, int], trie: Trie, scores: np.ndarray):
+        self.entries, self.trie, self.scores = entries, trie, scores
+        self.by_node = np.where(trie.entry >= 0, scores[trie.entry], -math.inf)
+
+    @cached_property
+    def _single(self) -> Lattice:
+        return Lattice({e: float(self.scores[i]) for e, i in self.entries.items()})
+
+    def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Which words have one length, and their bytes, by place and word."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for size in np.unique(lengths[lengths <= _LONG]).tolist():
+            of_size = np.flatnonzero(lengths == size)
+            for at in np.array_split(of_size, -(-len(of_size) * size // _TOGETHER)):
+                data = np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8)
+                yield at, np.ascontiguousarray(data.reshape(len(at), size).T)
+
+    def _edges(self, data: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By length, from 1: the nodes of the strings from each place on, 0 where no entry begins so, and the scores."""
+        nodes, found = np.ones(data.shape, np.int32), []
+        for length in range(1, len(data) + 1):
+            nodes = self.trie.follow(nodes[: len(data) - length + 1], data[length - 1 :])
+            if not nodes.any():
+                break
+            found.append(nodes)
+        return found, [self.by_node[n] for n in found]
+
+    @staticmethod
+    def _forward(steps: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+        """Log of the summed probability of all ways to reach each place."""
+        alpha = np.zeros((shape[0] + 1, shape[1]))
+        for j in range(1, len(alpha)):
+            terms = np.array([alpha[j - d] + s[j - d] for d, s in enumerate(steps[:j], 1)] or [np.full(shape[1], -math.inf)])
+            high = terms.max(axis=0)
+            high[high == -math.inf] = 0
+            with np.errstate(divide="ignore"):
+                alpha[j] = high + np.log(np.exp(terms - high).sum(axis=0))
+        return alpha
+
+    def log_probabilities(self, words: list[bytes], own: np.ndarray) -> np.ndarray:
+        """Of each word over all its segmentations; ``own`` are the probabilities of the wholes as one more entry each."""
+        out = np.zeros(len(words))
+        for at, data in self._groups(words):
+            out[at] = self._forward(self._edges(data)[1], data.shape)[-1]
+        for i, word in enumerate(words):
+            if len(word) > _LONG:
+                out[i] = self._single.log_probability(word)
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(out, np.log(np.maximum(own, 0)))
+
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """How often each entry is expected in a segmentation of each word, summed over the words: by number."""
+        totals = np.zeros(len(self.scores))
+        by_node = np.zeros(len(self.by_node))
+        for at, data in self._groups(words):
+            nodes, steps = self._edges(data)
+            alpha = self._forward(steps, data.shape)
+            ends = np.where(alpha > -math.inf, alpha, 0)
+            parts = [np.exp(alpha[:-d] + s - ends[d:]) for d, s in enumerate(steps, 1)]
+            share = np.zeros_like(alpha)
+            share[-1] = alpha[-1] > -math.inf
+            for j in range(len(data), 0, -1):
+                for d, part in enumerate(parts[:j], 1):
+                    part[j - d] *= share[j]
+                    share[j - d] += part[j - d]
+            for node, part in zip(nodes, parts):
+                used = part > 0
+                np.add.at(by_node, node[used], part[used])
+        ends = self.trie.entry >= 0
+        totals[self.trie.entry[ends]] = by_node[ends]
+        for word in words:
+            if len(word) > _LONG:
+                for entry, share in self._single.expected(word):
+                    totals[self.entries[entry]] += share
+        return totals
+
+
 def _word_counts(batches):
     """(word, in training, in all) of a task's documents; the empty word stands for the end mark."""
     counts = {True: Counter(), False: Counter()}
@@ -180,23 +305,21 @@ def _own_counts(words: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(totals[used])], ["id", "n"])
 
-    return words.mapInArrow(run, "id long, n double").groupBy("id").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(trimmed(run), "id long, n double").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _expected_counts(words: DataFrame, rank_file: str, shared) -> DataFrame:
     """Expected uses of each entry over the lattices of the distinct training words: (id, n)."""
 
     def run(batches):
-        ranks, lattice = _vocabulary(rank_file), Lattice(shared.value)
-        totals = np.zeros(max(ranks.values(), default=0) + 1)
+        lattices = Lattices(_vocabulary(rank_file), _trie(rank_file), shared.value)
+        totals = np.zeros(len(shared.value))
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                for entry, share in lattice.expected(b" " + word.encode()):
-                    totals[ranks[entry]] += share
+            totals += lattices.expected([b" " + w.encode() for w in batch.column(0).to_pylist()])
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(totals[used])], ["id", "n"])
 
-    return words.mapInArrow(run, "id long, n double").groupBy("id").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(trimmed(run), "id long, n double").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -209,13 +332,16 @@ class Totals:
     discount: float
 
 
-def _scores(counts: DataFrame, rank_file: str, totals: Totals) -> tuple[dict[bytes, float], float]:
-    """Log probabilities of the tokenizer's entries, and the sum of all counts, by which those of words are divided."""
+def _scores(counts: DataFrame, rank_file: str, totals: Totals) -> tuple[np.ndarray, float]:
+    """Log probabilities of the tokenizer's entries by their numbers, and the sum of all counts, by which those of words are divided."""
     found = {r["id"]: r["n"] * totals.discount for r in counts.collect()}  # one row per entry of the vocabulary at most
     vocabulary = _vocabulary(rank_file)
     kept = totals.tokens - totals.discount * max(0, totals.distinct - (totals.ends > 0))
     whole = kept + sum(found.values()) + _PRIOR * (len(vocabulary) + 1)
-    return {e: math.log((found.get(i, 0) + _PRIOR) / whole) for e, i in vocabulary.items()}, whole
+    out = np.full(max(vocabulary.values(), default=0) + 1, -math.inf)
+    for i in vocabulary.values():
+        out[i] = math.log((found.get(i, 0) + _PRIOR) / whole)
+    return out, whole
 
 
 def score_documents(
@@ -241,7 +367,7 @@ def score_documents(
     """
     spark = docs.sparkSession
     source = docs.select(held_out(F.col(id_col), *fold).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("_id"))
-    counts = source.select("held_out", "text").mapInArrow(_word_counts, "word string, trained long, total long")
+    counts = source.select("held_out", "text").mapInArrow(trimmed(_word_counts), "word string, trained long, total long")
     counts = materialise(counts.groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("total").alias("total")), "lm-words")
     sums = counts.agg(
         F.sum("trained").alias("n"), F.sum((F.col("trained") > 0).cast("long")).alias("v"),
@@ -259,18 +385,15 @@ def score_documents(
     shared = spark.sparkContext.broadcast(scores)
 
     def add_lattice(batches):
-        lattice = Lattice(shared.value)
+        lattices = Lattices(_vocabulary(rank_file), _trie(rank_file), shared.value)
         for batch in batches:
-            found = []
-            for word, trained in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word:
-                    own = (trained - totals.discount) / whole if trained else 0.0
-                    found.append(lattice.log_probability(b" " + word.encode(), own) / _LN10)
-                else:
-                    found.append(math.log10((trained + _PRIOR) / whole))
+            words, trained = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            found = lattices.log_probabilities([b" " + w.encode() for w in words], (trained - totals.discount) / whole) / _LN10
+            for i in (i for i, w in enumerate(words) if w == _END_KEY):
+                found[i] = math.log10((trained[i] + _PRIOR) / whole)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "lattice"])
 
-    words = materialise(counts.mapInArrow(add_lattice, "word string, trained long, total long, lattice double"), "lm-lattice")
+    words = materialise(counts.mapInArrow(trimmed(add_lattice), "word string, trained long, total long, lattice double"), "lm-lattice")
     top = frequent(words, "total", shared_words).toPandas()
     top = spark.sparkContext.broadcast(
         ({w.encode(): i for i, w in enumerate(top["word"])}, top["trained"].to_numpy(np.int64), top["lattice"].to_numpy(np.float64))
@@ -315,7 +438,7 @@ def score_documents(
         f"_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double,"
         " rest array<struct<word: string, n: long>>"
     )
-    rows = source.mapInArrow(add_shared, schema).withColumn("_row", F.monotonically_increasing_id())
+    rows = source.mapInArrow(trimmed(add_shared), schema).withColumn("_row", F.monotonically_increasing_id())
     rows = materialise(rows, "lm-rows")
     rest = rows.select("_row", F.inline("rest")).join(words, "word")
     rest = rest.groupBy("_row").agg(

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -146,6 +147,38 @@ def test_lattice_of_a_very_long_word_keeps_a_window_only():
     assert again == pytest.approx(uses)
 
 
+def test_lattices_of_many_words_are_those_of_each():
+    rng = random.Random(8)
+    scores = {e: math.log(p) for e, p in [(b"a", 0.2), (b"b", 0.1), (b"ab", 0.3), (b"ba", 0.05), (b"aba", 0.01), (b"bcab", 0.02), (b"a" * 70, 0.1)]}
+    entries = {e: 2 * i for i, e in enumerate(scores)}  # not all numbers are used
+    by_number = np.full(20, -math.inf)
+    by_number[list(entries.values())] = list(scores.values())
+    words = [bytes(rng.choices(b"abc" if i % 5 else b"ab", k=rng.randrange(1, 20))) for i in range(300)] + [b"ab" * 31, b"ab" * 32, b"ab" * 33, b"a" * 150, b"c"]
+    own = np.array([rng.choice([0.0, -0.5, 1e-9, 0.3]) for _ in words])
+    one, many = lm_scoring.Lattice(scores), lm_scoring.Lattices(entries, lm_scoring.Trie(entries), by_number)
+    assert many.log_probabilities(words, own).tolist() == pytest.approx([one.log_probability(w, o) for w, o in zip(words, own)])
+    uses = np.zeros(20)
+    for word in words:
+        for entry, share in one.expected(word):
+            uses[entries[entry]] += share
+    assert many.expected(words).tolist() == pytest.approx(uses.tolist()) and uses[entries[b"bcab"]] > 0 < uses[entries[b"a" * 70]]
+    assert many.expected([]).sum() == 0 and len(many.log_probabilities([], np.zeros(0))) == 0
+
+
+def test_lattices_of_many_words_take_less_time_than_one_by_one():
+    rng = random.Random(9)
+    ranks, trie = lm_scoring._vocabulary(RANKS), lm_scoring._trie(RANKS)
+    scores = np.full(max(ranks.values()) + 1, math.log(1 / len(ranks)))
+    words = [b" " + "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(1, 14))).encode() for _ in range(10_000)]
+    many, one = lm_scoring.Lattices(ranks, trie, scores), lm_scoring.Lattice({e: scores[i] for e, i in ranks.items()})
+    start = time.process_time()
+    fast = many.expected(words), many.log_probabilities(words, np.zeros(len(words)))
+    middle = time.process_time()
+    slow = Counter(e for w in words for e, _ in one.expected(w)), [one.log_probability(w) for w in words]
+    assert fast[1].tolist() == pytest.approx(slow[1]) and set(np.flatnonzero(fast[0])) == {ranks[e] for e in slow[0]}
+    assert (middle - start) * 2 < time.process_time() - middle
+
+
 # ---------------------------------------------------------------- 2: decontamination
 
 
