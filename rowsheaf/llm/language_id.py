@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -10,7 +11,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rowsheaf.llm.text import frequent, sized, slices, trimmed
@@ -99,7 +100,7 @@ def _count_words(batches):
     def flush():
         for lang, own in counts.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(own)), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())],
+                [pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())],
                 ["lang", "entry", "n"],
             )
         counts.clear()
@@ -157,14 +158,24 @@ def _count_grams(batches):
         yield from _grams_of_words(*held)
 
 
-def _summed(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-
-
 def _by_entry(counts: DataFrame, languages: list[str], label: str) -> DataFrame:
-    """One row per entry with its count in each language."""
+    """One row per entry with its count in each language, from rows of (lang, entry, n), which are shuffled once."""
     columns = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
-    return materialise(counts.groupBy("entry").agg(F.sum("n").alias("_all"), *columns), label)
+    summed = counts.groupBy("entry").agg(*columns)
+    every = functools.reduce(Column.__add__, [F.col(f"n{i}") for i in range(len(languages))])
+    return materialise(summed.withColumn("_all", every), label)
+
+
+def _sizes(languages: list[str]) -> list[Column]:
+    """The sum of the counts of each language, then the number of its entries."""
+    each = range(len(languages))
+    return [F.sum(f"n{i}").alias(f"sum{i}") for i in each] + [F.sum((F.col(f"n{i}") > 0).cast("long")).alias(f"distinct{i}") for i in each]
+
+
+def _whole(sizes: Row | None, languages: list[str]) -> list[float]:
+    """By what the counts of each language are divided; ``sizes`` is a row of :func:`_sizes`, or none."""
+    sizes = sizes.asDict() if sizes else {}
+    return [(sizes.get(f"sum{i}") or 0) + _PRIOR * ((sizes.get(f"distinct{i}") or 0) + 1) for i in range(len(languages))]
 
 
 def _most_frequent(entries: DataFrame, bound: int, languages: list[str]) -> tuple[list[str], np.ndarray]:
@@ -179,27 +190,31 @@ def train(
 
     Words and n-grams are counted over all of every text, and all counts are kept in written tables. The ``words`` and
     ``grams`` most frequent also go to every task, which changes no prediction. Tasks count before anything is
-    shuffled, so a language with most of the rows spreads out. The labels are few; one value per language comes
-    to the driver.
+    shuffled, which is done once for the words and once for the n-grams, by themselves and not by language, so a language with
+    most of the rows spreads out. The labels are few; one value per language comes to the driver.
     """
     source = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     source = source.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = _summed(source.mapInArrow(trimmed(_count_words), "lang string, entry string, n long"))
-    counted = materialise(counted, "language-words")
-    of_words = {r["lang"]: (r["n"], r["distinct"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
-    languages = sorted(of_words)
-    if not languages:
+    labels = sorted(r["lang"] for r in source.select("lang").distinct().collect())
+    if not labels:
         return LanguageModel([])
-    gram_counts = materialise(_summed(counted.mapInArrow(trimmed(_count_grams), "lang string, entry string, n long")), "language-grams")
-    orders = gram_counts.groupBy("lang", F.length("entry").alias("order")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
-    of_grams = {(r["lang"], r["order"]): (r["n"], r["distinct"]) for r in orders.collect()}
-
-    whole_words = np.array([n + _PRIOR * (distinct + 1) for n, distinct in map(of_words.get, languages)])
-    whole_grams = np.array(
-        [[n + _PRIOR * (distinct + 1) for n, distinct in (of_grams.get((lang, k), (0, 0)) for lang in languages)] for k in range(LONGEST_GRAM + 1)]
-    )
-    all_words = _by_entry(counted, languages, "language-all-words")
-    all_grams = _by_entry(gram_counts, languages, "language-all-grams")
+    all_words = _by_entry(source.mapInArrow(trimmed(_count_words), "lang string, entry string, n long"), labels, "language-words")
+    sizes = all_words.agg(*_sizes(labels)).first()
+    # a label of texts without a letter is no language
+    kept = [i for i in range(len(labels)) if sizes[f"sum{i}"]]
+    if not kept:
+        return LanguageModel([])
+    if len(kept) < len(labels):
+        all_words = all_words.select("entry", "_all", *[F.col(f"n{i}").alias(f"n{k}") for k, i in enumerate(kept)])
+        sizes = all_words.agg(*_sizes(kept)).first()
+    languages = [labels[i] for i in kept]
+    pairs = [F.struct(F.lit(lang).alias("lang"), F.col("entry"), F.col(f"n{i}").alias("n")) for i, lang in enumerate(languages)]
+    pairs = all_words.select(F.inline(F.array(*pairs))).where("n > 0")
+    all_grams = _by_entry(pairs.mapInArrow(trimmed(_count_grams), "lang string, entry string, n long"), languages, "language-grams")
+    orders = {r["order"]: r for r in all_grams.groupBy(F.length("entry").alias("order")).agg(*_sizes(languages)).collect()}
+
+    whole_words = np.array(_whole(sizes, languages))
+    whole_grams = np.array([_whole(orders.get(k), languages) for k in range(LONGEST_GRAM + 1)])
     known, known_counts = _most_frequent(all_words, words, languages)
     pieces, piece_counts = _most_frequent(all_grams, grams, languages)
     lengths = np.array([len(p) for p in pieces], np.int64)
@@ -258,7 +273,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     learned nothing. Repeated rows each give a row.
 
     The most frequent words and n-grams are broadcast; the other words of a text, each once, meet their counts in a
-    join, and so do the n-grams of those never learned. Rows meet their predictions by a hash of id and text.
+    join, the one shuffle they go through, and so do the n-grams of those never learned. Rows meet their predictions by a hash of id and text.
     """
     if not model.languages:
         return docs.select(F.col(id_col), *keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -316,15 +331,21 @@ def predictions(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
     rows = materialise(source.mapInArrow(trimmed(run), schema).withColumn("_row", F.monotonically_increasing_id()), "language-rows")
 
     rest = rows.select("_row", F.inline("rest"))
-    looked_up = rest.select("word").distinct().join(model.words.withColumnRenamed("entry", "word"), "word", "left")
-    looked_up = materialise(looked_up, "language-rest")
-    learned = looked_up.where("n0 IS NOT NULL")
-    learned = learned.select("word", *[F.log((F.col(f"n{i}") + _PRIOR) / float(model.of_words[i])).alias(f"s{i}") for i in each])
-    unseen = _of_unseen(looked_up.where("n0 IS NULL").select("word"), model, shared)
-    scored = materialise(learned.unionByName(unseen), "language-scored")
-    added = rest.join(scored, "word").groupBy("_row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in sums])
+    counts = rest.join(model.words.withColumnRenamed("entry", "word"), "word", "left")
+    learned = F.col("n0").isNotNull()
+    found = counts.select(
+        "_row", F.when(~learned, F.col("word")).alias("word"), "n",
+        *[F.when(learned, F.col("n") * F.log((F.col(f"n{i}") + _PRIOR) / float(model.of_words[i]))).alias(f"s{i}") for i in each],
+    )
+    # a row for the learned words of a text, and one for each other word of it
+    found = found.groupBy("_row", "word").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    found = materialise(found, "language-found")
+    unseen = found.where("word IS NOT NULL").select("_row", "word", "n")
+    scored = _of_unseen(unseen.select("word").distinct(), model, shared)
+    unseen = unseen.join(scored, "word").select("_row", *[(F.col("n") * F.col(c)).alias(c) for c in sums])
     empty = [F.lit(None).cast("long").alias(c) for c in ("_key_a", "_key_b", "n_words")]
-    totals = rows.drop("rest").unionByName(added.select("_row", *empty, *sums)).groupBy("_row").agg(
+    added = found.where("word IS NULL").select("_row", *sums).unionByName(unseen).select("_row", *empty, *sums)
+    totals = rows.drop("rest").unionByName(added).groupBy("_row").agg(
         *[F.max(c).alias(c) for c in ("_key_a", "_key_b", "n_words")], F.array(*[F.sum(c) for c in sums]).alias("totals")
     )
     best, some = F.array_max("totals"), F.col("n_words") > 0

@@ -32,6 +32,7 @@ from rowsheaf.llm import (
 )
 from rowsheaf.llm.components import connected
 from rowsheaf.llm.text import WHITE_SPACE, WordHasher, frequent
+from rowsheaf.plans.files import materialise
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -427,6 +428,25 @@ def test_languages_do_not_depend_on_what_is_broadcast(spark):
     assert len(found[0]) == ask.count() and found[0] == found[1] == found[2]
 
 
+def test_languages_shuffle_words_once(spark, monkeypatch):
+    plans = []
+
+    def written(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return materialise(df, label)
+
+    monkeypatch.setattr(language_id, "materialise", written)
+    # a label of texts without a letter is no language
+    model = language_id.train(docs_of(spark, [EN, FR, "12 -- 3"] * 3, lang=["en", "fr", "aa"] * 3), words=20, grams=20)
+    assert model.languages == ["en", "fr"]
+    assert sum(n for _, n in plans) == 2  # words, and n-grams
+    plans.clear()
+    got = language_id.predictions(docs_of(spark, [EN, FR + " qqq zzz zzz"]), model)
+    # the words of texts, the counts they meet, and the sums by text; the others come from rows of words never learned only
+    assert dict(plans)["language-found"] <= 3 and sum(n for _, n in plans) <= 4
+    assert sorted(r.lang_pred for r in got.collect()) == ["en", "fr"]
+
+
 # ---------------------------------------------------------------- 8: licences
 
 
