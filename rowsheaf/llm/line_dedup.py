@@ -8,15 +8,15 @@ but the first that has them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsheaf.llm.text import BROADCAST_ROWS, sized, trimmed
+from rowsheaf.llm.text import BROADCAST_ROWS, sized, slices, trimmed
 from rowsheaf.plans.files import materialise
 
 MIN_SITES = 10
@@ -26,15 +26,56 @@ LG_REGISTERS = 12
 SURE = 4
 
 
-def _norm(line: Column) -> Column:
-    """Lines are one if they differ only in case and in runs of blanks."""
-    return F.lower(F.trim(F.regexp_replace(line, "[ \\t\\r\\f\\x0B]+", " ")))
+# 96 bits stand for a line; all of them zero for a blank one.
+_HASH = np.dtype([("a", "<i8"), ("b", "<i4")])
+_BLANK = bytes(_HASH.itemsize)
 
 
-def _hashes(text: Column) -> Column:
-    """96 bits of each normalised line of a text; null for blank lines."""
-    both = lambda n: F.when(n != "", F.struct(F.xxhash64(n).alias("a"), F.hash(n).alias("b")))
-    return F.transform(F.transform(F.split(text, "\n"), _norm), both)
+def _norm(text: str) -> list[str]:
+    """The lines of a text. Lines are one if they differ only in case and in runs of blanks."""
+    text = text.lower()
+    for blank in "\t\r\f\x0b":
+        text = text.replace(blank, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return [line.strip(" ") for line in text.split("\n")]
+
+
+def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many lines each text has, and the hashes of all of them."""
+    counts, found = [], []
+    for text in texts:
+        lines = _norm(text)
+        counts.append(len(lines))
+        found += [blake2b(line.encode(), digest_size=len(_BLANK)).digest() if line else _BLANK for line in lines]
+    return np.array(counts, np.int64), np.frombuffer(b"".join(found), _HASH)
+
+
+def _hashed(df: DataFrame, text_col: str, keep_text: bool = False) -> DataFrame:
+    """``df`` with ``_hashes`` of the lines of its texts, null for blank lines, without the texts unless ``keep_text``.
+
+    The lines are made in slices of the texts in the workers: as JVM strings, several for each line, they fill the heap.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    at = df.columns.index(text_col)
+    plain = df.toDF(*names)
+    kept = [i for i in range(len(names)) if keep_text or i != at]
+
+    def run(batches):
+        for batch in batches:
+            start = 0
+            for part in slices(batch, at):
+                counts, flat = _hashes(part.column(at).to_pylist())
+                blank = (flat["a"] == 0) & (flat["b"] == 0)
+                each = pa.StructArray.from_arrays([pa.array(flat["a"].copy()), pa.array(flat["b"].copy())], ["a", "b"], mask=pa.array(blank))
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                own = batch.slice(start, part.num_rows)
+                start += part.num_rows
+                columns = [own.column(i) for i in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, each)], [*[names[i] for i in kept], "_hashes"])
+
+    schema = T.StructType([plain.schema.fields[i] for i in kept]).add("_hashes", T.ArrayType(T.StructType().add("a", T.LongType()).add("b", T.IntegerType())))
+    return plain.mapInArrow(trimmed(run), schema).toDF(*[df.columns[i] for i in kept], "_hashes")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -68,43 +109,46 @@ def _without(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> D
 
     ``first`` goes to every task, and the texts stay where they are.
     """
-    rows = first.select("h.a", "h.b", "first._id", "first.place").toPandas()
-    known = {(a, b): (i, p) for a, b, i, p in zip(rows["a"].tolist(), rows["b"].tolist(), rows["_id"].tolist(), rows["place"].tolist())}
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(rows["a"].to_numpy(np.int64)), known))
+    rows = first.select("h.a", "h.b", "first._id", "first.place").toPandas().sort_values("a")
+    known = rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64), rows["_id"].tolist(), rows["place"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     plain = docs.toDF(*names)
-    hashed = plain.withColumn("h", _hashes(F.when(F.col(names[at]).isNotNull(), F.col(names[text_at]))))
+
+    def places_gone(ids: list, counts: np.ndarray, flat: np.ndarray) -> dict[int, set]:
+        """The places of the lines to take out, by row."""
+        a, b, stays_in, stays_at = shared.value
+        starts = np.cumsum(counts) - counts
+        low, high = np.searchsorted(a, flat["a"]), np.searchsorted(a, flat["a"], side="right")
+        gone: dict[int, set] = {}
+        for i in np.flatnonzero((high > low) & ((flat["a"] != 0) | (flat["b"] != 0))).tolist():
+            row = int(np.searchsorted(starts, i, side="right")) - 1
+            place = i - int(starts[row])
+            for k in range(low[i], high[i]):
+                if b[k] == flat["b"][i] and ids[row] is not None and (ids[row], place) != (stays_in[k], stays_at[k]):
+                    gone.setdefault(row, set()).add(place)
+        return gone
 
     def run(batches):
-        likely, known = shared.value
         for batch in batches:
-            ids, texts, hashes = batch.column(at), batch.column(text_at), batch.column(len(names))
-            flat = hashes.flatten()
-            owners = pc.list_parent_indices(hashes).to_numpy()
-            a = pc.fill_null(flat.field("a"), 0).to_numpy(zero_copy_only=False)
-            inside = np.searchsorted(likely, a).clip(max=max(len(likely) - 1, 0))
-            hits = np.flatnonzero((likely[inside] == a) & flat.is_valid().to_numpy(zero_copy_only=False)) if len(likely) else np.zeros(0, int)
-            starts = np.searchsorted(owners, np.arange(batch.num_rows))
-            gone: dict[int, set] = {}
-            for i, b in zip(hits.tolist(), flat.field("b").take(pa.array(hits)).to_pylist()):
-                stays = known.get((int(a[i]), b))
-                row = int(owners[i])
-                place = i - int(starts[row])
-                if stays is not None and stays != (ids[row].as_py(), place):
-                    gone.setdefault(row, set()).add(place)
-            n_removed = np.zeros(batch.num_rows, np.int64)
-            if gone:
-                changed = texts.to_pylist()
-                for row, places in gone.items():
-                    n_removed[row] = len(places)
-                    changed[row] = "\n".join(line for place, line in enumerate(changed[row].split("\n")) if place not in places)
-                texts = pa.array(changed, texts.type)
-            columns = [texts if i == text_at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_removed)], [*names, "n_removed"])
+            start = 0
+            for part in slices(batch, text_at):
+                own = batch.slice(start, part.num_rows)
+                start += part.num_rows
+                texts, changed = own.column(text_at), part.column(text_at).to_pylist()
+                gone = places_gone(own.column(at).to_pylist(), *_hashes(changed))
+                n_removed = np.zeros(own.num_rows, np.int64)
+                if gone:
+                    for row, places in gone.items():
+                        n_removed[row] = len(places)
+                        changed[row] = "\n".join(line for place, line in enumerate(changed[row].split("\n")) if place not in places)
+                    texts = pa.array(changed, texts.type, mask=texts.is_null().to_numpy(zero_copy_only=False))
+                columns = [texts if i == text_at else own.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_removed)], [*names, "n_removed"])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("n_removed", T.LongType())])
-    return hashed.mapInArrow(trimmed(run), schema).toDF(*docs.columns, "n_removed")
+    return plain.mapInArrow(trimmed(run), schema).toDF(*docs.columns, "n_removed")
 
 
 def _without_many(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -112,9 +156,8 @@ def _without_many(docs: DataFrame, lines: DataFrame, first: DataFrame, id_col: s
     places = lines.where("_id IS NOT NULL").join(first, "h").where(F.struct("_id", "place") != F.col("first"))
     gone = places.groupBy("_id").agg(F.collect_set(F.struct("place", "h")).alias("_gone")).withColumnRenamed("_id", "_gone_id")
     gone = materialise(gone, "line-removals")
-    hashes = _hashes(F.col(text_col))
-    listed = F.transform(hashes, lambda h, i: F.coalesce(F.array_contains("_gone", F.struct(i.alias("place"), h.alias("h"))) & h.isNotNull(), F.lit(False)))
-    joined = docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left").withColumn("_listed", listed)
+    listed = F.transform("_hashes", lambda h, i: F.coalesce(F.array_contains("_gone", F.struct(i.alias("place"), h.alias("h"))) & h.isNotNull(), F.lit(False)))
+    joined = _hashed(docs, text_col, keep_text=True).join(gone, F.col(id_col) == F.col("_gone_id"), "left").withColumn("_listed", listed)
     kept = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.get("_listed", i))
     some = F.col("_gone").isNotNull() & F.col(text_col).isNotNull()
     n_removed = F.when(some, F.size(F.filter("_listed", lambda x: x))).otherwise(0).cast("long").alias("n_removed")
@@ -149,8 +192,8 @@ def drop_boilerplate(
     docs = docs.drop("n_removed")
     source = docs.select(F.col(id_col).alias("_id"), F.col(site_col).cast("string").alias("site"), F.col(text_col).cast("string").alias("text"))
     source = source.withColumn("key", F.xxhash64("text"))
-    hashed = materialise(source.select("_id", "site", "key", _hashes(F.col("text")).alias("hashes")), "line-hashes")
-    lines = hashed.select("_id", "site", "key", F.posexplode("hashes").alias("place", "h")).where("h IS NOT NULL")
+    hashed = materialise(_hashed(source, "text"), "line-hashes")
+    lines = hashed.select("_id", "site", "key", F.posexplode("_hashes").alias("place", "h")).where("h IS NOT NULL")
     found = boilerplate(lines.select("h", "site"), min_sites)
     if components:
         found = _in_different_texts(found, lines, source, min_sites, components)

@@ -291,6 +291,41 @@ def test_wide_lines_stay_only_where_they_come_first(spark):
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_lines_are_compared_as_spark_would_lower_and_trim_them(spark):
+    words = ["ΟΔΟΣ", "Σ", "ΑΣ.", "İstanbul", "ẞ ß", "É", "ǅ", "a\u00a0b", "\t x\x0b \fY\r", "  ", " \t", "", "\u2003Z", "Ω  \t Ω", "𐐀", "x" * 300]
+    text = "\n".join([*words, *[f"{a} {b}" for a in words for b in words]])
+    norm = F.lower(F.trim(F.regexp_replace("line", "[ \\t\\r\\f\\x0B]+", " ")))
+    rows = spark.createDataFrame([(text,)], "text string").select(F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    assert line_dedup._norm(text) == [r.line for r in rows.orderBy("place").select(norm.alias("line")).collect()]
+
+
+def test_lines_are_made_and_cut_in_slices_outside_the_jvm(spark, monkeypatch):
+    texts = [f"own {i}\nAccept all\tcookies\n" + f"word{i} " * 40_000 for i in range(12)] + [None, ""]
+    docs = docs_of(spark, texts, source={i: f"site{i}" for i in range(12)}).coalesce(1)
+    tasks, mapped = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: tasks.append((run, df)) or mapped(df, run, schema))
+    cleaned = line_dedup.drop_boilerplate(docs)
+    got = {r.doc_id: (r.text, r.n_removed) for r in cleaned.collect()}
+    assert got == {i: (t if not t or i == 0 else t.replace("Accept all\tcookies\n", ""), int(bool(t) and i > 0)) for i, t in enumerate(texts)}
+    assert len(tasks) == 2
+    for run, given in tasks:
+        # one large batch, as a task gets it, comes back in slices; and no line is made by a higher-order function before it
+        assert "lambda" not in given._jdf.queryExecution().optimizedPlan().toString()
+        parts = list(run(iter(given.toArrow().combine_chunks().to_batches())))
+        assert len(parts) >= 3 and sum(p.num_rows for p in parts) == len(texts)
+        assert max(p.num_rows for p in parts) <= 6
+
+
+def test_few_and_many_wide_lines_give_the_same_texts(spark):
+    rng = random.Random(3)
+    lines = ["Home\t |  News", "home | news", "ΟΔΟΣ", "οδος", "", " \t ", "Own line", "all  rights RESERVED", "\r"]
+    texts = ["\n".join(rng.choices(lines, k=rng.randrange(8)) + [f"own {i % 30}"]) for i in range(60)] + [None, "", "\n\n"]
+    docs = docs_of(spark, texts, source={i: f"s{i % 13}" for i in range(60)})
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 9 != 4, F.col("doc_id") % 50)).withColumn("_hash", F.lit(1))
+    few, many = (sorted(map(repr, line_dedup.drop_boilerplate(docs, min_sites=4, most=most).collect())) for most in (1 << 20, 0))
+    assert few == many and any("n_removed=3" in r for r in few)
+
+
 # ---------------------------------------------------------------- 4: nearest neighbours
 
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rowsheaf.llm import ngram_join
@@ -94,3 +95,17 @@ def test_copies_are_not_multiplied_before_the_line_dedup(spark, tmp_path, monkey
     assert {r.doc_id: r.text for r in cleaned.collect()} == dict(enumerate(texts))
     # two texts: their shared tokens, once for each, not for each pair of copies
     assert 0 < written["join-shared"] < 200 and written["join-star-sets"] <= 2
+
+
+def test_a_stage_gives_its_workers_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    stage = corpus_pipeline._stage(lambda spark, docs, sf_dir: docs)
+    try:
+        for given, most in (("10000", 1000), ("0", 1000), ("50", 50)):
+            spark.conf.set(setting, given)
+            docs = stage(spark, spark.range(0, 3000, 1, 1), "")
+            sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+            assert {r.n for r in sizes.collect()} == {most}
+    finally:
+        spark.conf.set(setting, before)
