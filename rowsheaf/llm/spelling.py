@@ -102,6 +102,15 @@ def _grams(words: DataFrame) -> DataFrame:
     return words.select("word").mapInArrow(run, "word string, prefix array<int>, pivots array<int>, last int")
 
 
+def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that shuffles both tables and broadcasts neither, whatever the session's threshold.
+
+    All tables here grow with the words. Spark takes their sizes from compressed files, and an explode's from what goes
+    into it, so a table of some MB may be one of hundreds in the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """All pairs ``word, other`` of the distinct ``word``s that differ by one inserted, deleted or replaced code point.
 
@@ -128,7 +137,7 @@ def near_words(words: DataFrame) -> DataFrame:
     here = here.select(F.col("word").alias("other"), F.col("last").alias("other_last"), said)
     asks = grams.select("word", "last", F.explode("pivots").alias("p"))
     asks = asks.select("word", "last", F.explode(F.array(*(k for by in (-1, 0, 1) for side in (0, 1) for k in keys(by, side)))).alias("key"))
-    met = asks.join(here, "key").where((F.col("last") <= F.col("other_last")) & (F.col("word") != F.col("other")))
+    met = _join(asks, here, "key").where((F.col("last") <= F.col("other_last")) & (F.col("word") != F.col("other")))
     pairs = met.where(F.levenshtein("word", "other") == 1)
     pairs = pairs.select(F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other")).distinct()
     pairs = materialise(pairs, "variant-pairs")
@@ -143,7 +152,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     hops = materialise(forms.select("word", F.col("form").alias("root")), "variant-roots")
     while True:
         further = hops.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        joined = hops.join(further, "root", "left")
+        joined = _join(hops, further, "root", "left")
         after = joined.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         after = materialise(after, "variant-roots")
         if after.where("moved").isEmpty():
@@ -159,17 +168,17 @@ def variant_groups(words: DataFrame, times: int = TIMES) -> DataFrame:
     is its ``n``. ``root`` is what following forms ends at, the word itself without one. Empty tables give empty results.
     """
     words = materialise(words.select("word", F.col("n").cast("long").alias("n")), "variant-words")
-    near = near_words(words).join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    near = _join(near_words(words), words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("other_n"), "other")).alias("best"))
     best = best.select("word", "n_near", F.col("best.other").alias("best"), (-F.col("best.col1")).alias("best_n"))
-    known = words.join(best, "word", "left")
+    known = _join(words, best, "word", "left")
     goes = F.col("best_n") >= times * F.col("n")
     known = known.select(
         "word", F.when(goes, F.col("best")).alias("form"), "n",
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(goes, F.col("best_n")).alias("form_n"),
     )
     known = materialise(known, "variant-forms")
-    out = known.join(_roots(known.where("form IS NOT NULL")), "word", "left")
+    out = _join(known, _roots(known.where("form IS NOT NULL")), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -8,7 +8,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from rowsheaf.llm import spelling
 from rowsheaf.llm.spelling import corpus_words, near_words, pivots, variant_groups
+from rowsheaf.plans.files import materialise
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -89,6 +91,29 @@ def test_pivots_are_the_cheapest_disjoint_grams():
         assert got[1] - got[0] >= 2 and cost[got[0]] + cost[got[1]] == best
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    # all of them are below the session's threshold, as compressed tables of a million words are too
+    plans = []
+
+    def run(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0])
+        return rows
+
+    def written(df, label):
+        run(df)
+        return materialise(df, label)
+
+    monkeypatch.setattr(spelling, "materialise", written)
+    words = {"".join(w): 1 + 3 * w.count("a") ** 3 for n in (4, 5) for w in itertools.product("ab", repeat=n)}
+    rows = run(variant_groups(spark.createDataFrame(list(words.items()), "word string, n long")))
+    assert sorted(map(tuple, rows)) == brute_groups(words)
+    final = "".join(plans)
+    assert "Broadcast" not in final and "ShuffledHashJoin" not in final
+    # pairs, counts of near words, forms, at least two rounds to the roots, and the last one
+    assert final.count("SortMergeJoin") >= 6
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert variant_groups(corpus_words(docs)).count() == 0
